@@ -49,3 +49,10 @@ def crc_bucket(doc_id, modulus: int):
 def digest(spans):
     """Lowercase hex SHA-256 of the UTF-8 text."""
     return F.sha2(spans.cast("binary"), 256)
+
+
+def rendered(spans, kinds: list[str]):
+    """kind:start:end of an array of spans, by start, then by the order of kinds, joined with commas."""
+    place = F.array(*[F.lit(k) for k in kinds])
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), F.array_position(place, s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("n")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["n"], s["a"], s["b"])), ",")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import crc_bucket, digest, rendered, table
 
 #: Words of a text in DuckDB: A-Z folded, runs outside space and \\t..\\r.
 SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -36,5 +36,55 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
 FROM sets s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) m ON m.d = s.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages")).drop("threshold")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        digest(rendered(base, list(secrets.KINDS))).alias("base_sha256"),
+        rendered(F.col("spans"), [*secrets.KINDS, "crf"]).alias("spans"),
+    )
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.lm import score_texts
+
+    fold = crc_bucket(F.col("doc_id"), 10)
+    return score_texts(table(spark, sf_dir, "documents"), held_out=fold == 0, deleted=fold == 1)[0]
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.langid import label_languages, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    found = label_languages(docs, train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filter": op4_url_filter,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_language_id": op7_language_id,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_inverted_multi_index": op10_inverted_multi_index,
+}
 ORACLE: dict[str, str] = {"op8_ngram_jaccard_join": OP8_SQL}
