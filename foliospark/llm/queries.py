@@ -36,6 +36,44 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
 FROM sets s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) m ON m.d = s.doc_id
 """
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm import pii
+
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
+    base = F.filter("spans", lambda s: F.array_contains(F.array(*[F.lit(k) for k in pii.BASE]), s["kind"]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE],
+        digest(rendered(base, list(pii.BASE))).alias("base_sha256"),
+        rendered(F.col("spans"), list(pii.KINDS)).alias("spans"),
+    )
+
+
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH turns AS (
+  SELECT conv_id, role, replace(coalesce(text, ''), '<|', '<\\|') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, replace(coalesce(text, ''), '<|', '<\\|')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+who AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE conv_id IS NOT NULL AND role <> 'system'),
+pieces AS (
+  SELECT t.conv_id, perspective, place // 256 AS segment, place, coalesce(role = perspective, false) AS own,
+    CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user|> ' || coalesce(role, 'unknown') || chr(10) END AS head, text || '<|end|>' || chr(10) AS body
+  FROM turns t JOIN who USING (conv_id)),
+ends AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY place) AS e FROM pieces)
+SELECT conv_id, perspective, CAST(segment AS BIGINT) AS segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+  coalesce(string_agg((CAST(e AS BIGINT) - length(body)) || ':' || CAST(e AS BIGINT), ',' ORDER BY place) FILTER (own), '') AS masks
+FROM ends GROUP BY conv_id, perspective, segment
+"""
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.url_filter import judge_urls
 
@@ -80,6 +118,8 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_boosting": op1_pii_boosting,
+    "op3_chat_perspectives": op3_chat_perspectives,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op6_lm_scoring": op6_lm_scoring,
@@ -87,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_inverted_multi_index": op10_inverted_multi_index,
 }
-ORACLE: dict[str, str] = {"op8_ngram_jaccard_join": OP8_SQL}
+ORACLE: dict[str, str] = {"op3_chat_perspectives": OP3_SQL, "op8_ngram_jaccard_join": OP8_SQL}
