@@ -49,6 +49,12 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.chat import rotate
 
@@ -110,6 +116,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.ann import nearest
 
@@ -119,12 +131,14 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_boosting": op1_pii_boosting,
+    "op2_decontamination": op2_decontamination,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_source_mixing": op9_source_mixing,
     "op10_inverted_multi_index": op10_inverted_multi_index,
 }
 ORACLE: dict[str, str] = {"op3_chat_perspectives": OP3_SQL, "op8_ngram_jaccard_join": OP8_SQL}
