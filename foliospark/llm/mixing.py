@@ -2,8 +2,9 @@
 
 A classifier fitted on the labelled documents predicts each document's posterior over domains; rates
 (how often a document is to be taken, on average) are fitted so that the expected tokens by domain meet
-the targets: minimise sum_k (sum_d r_d n_d p_dk - T_k)^2 / T + ridge, subject to r >= 0, by projected
-gradient. T_k is the target share of all tokens.
+the targets: minimise sum_k (sum_d r_d n_d p_dk - T_k)^2 / S_k + ridge, subject to r >= 0, by projected
+gradient. T_k is the target share of all tokens and S_k what domain k has at rate 1, so that a rare
+domain counts as much as a frequent one.
 
 The classifier is naive Bayes over word hashes of a bounded number of FEATURES, with posteriors tempered
 by text length so that they stay soft. Each step of the descent is one distributed sum of K numbers
@@ -22,7 +23,7 @@ from foliospark.llm.common import stored
 
 FEATURES = 1 << 14
 STEPS = 24
-RIDGE = 0.02  # pull of every rate towards 1
+RIDGE = 0.002  # pull of every rate towards 1
 TEMPER = 10.0  # words of evidence a posterior counts at most
 ALPHA = 0.5
 
@@ -70,24 +71,26 @@ def posteriors(texts: DataFrame, model: DataFrame) -> DataFrame:
 def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS) -> tuple[list[list[float]], float]:
     """The K-vectors of the descent over members(tokens, p), and its step length.
 
-    In units of all tokens: a_k = sum_d r_d n_d p_dk / N, target t_k. The gradient for document d, per
-    token, is sum_k p_dk (a_k - t_k) + RIDGE (r_d - 1); posteriors sum to 1, so step length 1 / (1 + RIDGE)
-    never overshoots.
+    In units of all tokens: a_k = sum_d r_d n_d p_dk / N, target t_k, s_k = a_k at rate 1. The gradient for
+    document d, per token, is sum_k p_dk (a_k - t_k) / s_k + RIDGE (r_d - 1). Posteriors sum to 1, so the
+    curvature is at most 1 + RIDGE and the step length 1 / (1 + RIDGE) never overshoots.
     """
     eta = 1.0 / (1.0 + RIDGE)
     want = [float(targets.get(d, 0.0)) for d in DOMAINS]
     norm = sum(want) or 1.0
-    want = [w / norm for w in want]
     history: list[list[float]] = []
     table = members.select("tokens", "p")
     total = table.agg(F.sum("tokens")).first()[0]
     if not total:
         return history, eta
-    for step in range(steps):
+    share: list[float] = []
+    for _ in range(steps):
         r = rate(F.col("p"), history, eta)
-        sums = table.agg(*[(F.sum(r * F.col("tokens") * F.col("p")[k]) / total).alias(f"a{k}") for k in range(len(DOMAINS))]).first()
-        history.append([sums[k] - want[k] for k in range(len(DOMAINS))])
-        if max(abs(x) for x in history[-1]) < 1e-6 and step:
+        sums = list(table.agg(*[F.sum(r * F.col("tokens") * F.col("p")[k]) / total for k in range(len(DOMAINS))]).first())
+        share = share or sums
+        off = [a - w / norm for a, w in zip(sums, want, strict=True)]
+        history.append([o / s if s > 1e-12 else 0.0 for o, s in zip(off, share, strict=True)])
+        if max(abs(o) for o in off) < 1e-5:
             break
     return history, eta
 
