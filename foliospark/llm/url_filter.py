@@ -105,9 +105,8 @@ class Markov:
 
     def __init__(self, counts: list[np.ndarray]):
         self.counts = counts
-        self.seen = [c.reshape(ALPHABET, -1).sum(axis=0) if k == 0 else None for k, c in enumerate(counts)]
         self.context, self.kinds = [], []
-        for k, c in enumerate(counts):
+        for c in counts:
             by = c.reshape(-1, ALPHABET)  # the last digit is the character, the others its context
             self.context.append(by.sum(axis=1))
             self.kinds.append((by > 0).sum(axis=1))
@@ -121,9 +120,11 @@ class Markov:
         return np.log(p)
 
 
-def _score(models: list[list[np.ndarray]]):
+def _score(shared):
+    """shared holds, of each side and order, the slots that are not zero and their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good = (Markov(c) for c in models)
+        bad, good = (Markov([_dense(k, *c) for k, c in enumerate(side)]) for side in shared.value)
         for batch in batches:
             grams, row = _grams(batch.column("text"))
             gain = good.log_probability(grams) - bad.log_probability(grams)
@@ -136,6 +137,12 @@ def _score(models: list[list[np.ndarray]]):
     return run
 
 
+def _dense(k: int, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(SIZES[k], dtype=np.int64)
+    out[slot] = n
+    return out
+
+
 def _calibrated(histogram: dict[tuple[int, bool], int]) -> float:
     """The score threshold of the best balanced accuracy; the middle of equally good ones."""
     n = np.zeros((2, BINS))
@@ -164,13 +171,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataF
     taught = base.where("said is not null").select(
         F.when(F.col("said") == "allow", 1).otherwise(0).alias("good"), "text", (F.coalesce(crc_bucket(F.col("page_id"), FOLD), F.lit(1)) == 0).alias("held")
     )
-    models = [[np.zeros(n, dtype=np.int64) for n in SIZES] for _ in range(2)]
     summed = (
         taught.where("not held").select("good", "text").mapInArrow(_count, "good long, k long, slot long, n long").groupBy("good", "k", "slot").agg(F.sum("n").alias("n"))
     )
-    for good, k, slot, n in summed.collect():  # at most twice the sum of SIZES rows, see above
-        models[good][k][slot] = n
-    score = _score(models)
+    counts = summed.toArrow()  # at most twice the sum of SIZES rows, see above
+    side, order = counts.column("good").to_numpy(), counts.column("k").to_numpy()
+    slot, n = counts.column("slot").to_numpy().astype(np.int32), counts.column("n").to_numpy()
+    models = [[(slot[(side == i) & (order == k)], n[(side == i) & (order == k)]) for k in range(ORDER + 1)] for i in (0, 1)]
+    score = _score(pages.sparkSession.sparkContext.broadcast(models))
     place = F.least(F.greatest(F.floor((F.col("score") / SPAN + 1) / 2 * BINS), F.lit(0)), F.lit(BINS - 1))
     held = taught.where("held").select("good", "text").mapInArrow(score, "good int, text string, score double")
     histogram = {(int(b), bool(g)): n for b, g, n in held.groupBy(place.alias("b"), "good").count().collect()}
