@@ -58,11 +58,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def _ruled(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """The longest fitting rule and its verdict, null without one."""
-    name = verdict = F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    names, verdicts = [F.lit(None).cast("string")], [F.lit(None).cast("string")]
+    for kind, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(kind)).otherwise(verdict)
-    return name, verdict
+        names.insert(-1, F.when(fits, F.lit(h + p)))
+        verdicts.insert(-1, F.when(fits, F.lit(kind)))
+    return F.coalesce(*names), F.coalesce(*verdicts)
 
 
 def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
