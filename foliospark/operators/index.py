@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.functions import text as T
+from foliospark.operators.sets import ranked
 
 
 def tokens(books: DataFrame) -> DataFrame:
@@ -18,9 +18,14 @@ def tokens(books: DataFrame) -> DataFrame:
     return books.select("book_id", F.posexplode(T.process_text(F.col("text"))).alias("pos", "term"))
 
 
+def pairs(books: DataFrame) -> DataFrame:
+    """(term, book_id), each pair once a row of books; no shuffle."""
+    return books.select(F.explode(F.array_distinct(T.process_text(F.col("text")))).alias("term"), "book_id")
+
+
 def build_postings(books: DataFrame) -> DataFrame:
     """(term, book_id): each pair is made once in its book, so a pair crosses the shuffle once."""
-    return books.select("book_id", F.explode(F.array_distinct(T.process_text(F.col("text")))).alias("term")).select("term", "book_id").distinct()
+    return pairs(books).distinct()
 
 
 def as_arrays(postings: DataFrame) -> DataFrame:
@@ -62,7 +67,8 @@ def add_books(existing: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def term_count(postings: DataFrame) -> DataFrame:
-    return postings.agg(F.countDistinct("term").alias("n_terms"))
+    """Distinct terms are shuffled once each, not with their books."""
+    return postings.select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 def synthetic_corpus(books: DataFrame, size: int, start: int = 900_000) -> DataFrame:
@@ -70,7 +76,7 @@ def synthetic_corpus(books: DataFrame, size: int, start: int = 900_000) -> DataF
     n = books.count()
     if not n:
         return books.select("book_id", "text")
-    order = books.select("book_id", "text").withColumn("r", F.row_number().over(Window.orderBy("book_id")) - 1)
+    order = ranked(books.select("book_id", "text"), "book_id")
     real = order.where(F.col("r") < size)
     if size <= n:
         return real.select("book_id", "text")

@@ -33,11 +33,12 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
 def conjunctive_query(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, book_id) of the books that hold every term of a query; repeated terms change nothing.
 
-    Relational division: postings are cut to the queries' terms, then matches are counted.
+    Relational division: postings (pairs may repeat) are cut to the queries' few terms where they are read,
+    then distinct matches are counted.
     """
     asked = queries.select("query_id", "term").distinct()
     wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = postings.join(asked, "term").groupBy("query_id", "book_id").agg(F.count(F.lit(1)).alias("m"))
+    hits = postings.join(asked, "term").select("query_id", "book_id", "term").distinct().groupBy("query_id", "book_id").agg(F.count(F.lit(1)).alias("m"))
     return hits.join(wanted, "query_id").where("m = n").select("query_id", "book_id")
 
 
@@ -50,7 +51,7 @@ def query_answers(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
 def term_lookup(postings: DataFrame, term: str | Column) -> DataFrame:
     """Postings of one term exactly as it is written; none if it is absent."""
-    return postings.where(F.col("term") == (F.lit(term) if isinstance(term, str) else term)).select("book_id")
+    return postings.where(F.col("term") == (F.lit(term) if isinstance(term, str) else term)).select("book_id").distinct()
 
 
 def multi_term_lookup(terms: DataFrame, postings: DataFrame) -> DataFrame:

@@ -19,29 +19,37 @@ def candidate_ids(first: DataFrame, highest: int = 600) -> DataFrame:
     return ordered_dedup(first.select("book_id", F.col("place").cast("long").alias("place")).unionByName(rest), "book_id", "place")
 
 
-def even_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """k keys evenly spaced in order, the first and the last among them; all of at most k keys.
+def ranked(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """rows with `r`, their rank (from 0) by an integer key, without a task that sees all rows.
 
-    Ranks come from counts of value ranges, so no single task sorts all keys.
+    Keys fall into equal ranges; counts of the ranges (a few numbers) give each range its first rank.
     """
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.withColumn("r", F.lit(0).cast("long")).where("false")
+    width = (high - low) // buckets + 1
+    placed = rows.withColumn("_b", F.expr(f"(`{key}` - {low}) div {width}"))
+    counts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = F.broadcast(counts.select("_b", F.coalesce(before, F.lit(0)).alias("_f")))  # at most `buckets` rows
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    return placed.join(firsts, "_b").withColumn("r", (inside + F.col("_f")).cast("long")).drop("_b", "_f")
+
+
+def even_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """k keys evenly spaced in order, the first and the last among them; all of at most k keys."""
     distinct = rows.select(key).distinct()
     n = distinct.count()
     if n <= k:
         return distinct
     if k < 2:
         return distinct.orderBy(key).limit(k)
-    placed = distinct.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    placed = placed.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-    heads = placed.groupBy("p").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = F.broadcast(heads.select("p", "first", before.alias("before")))  # one row a partition
-    ranked = placed.join(heads, "p").select(key, (F.col("i") - F.col("first") + F.col("before")).alias("r"))
     wanted = rows.sparkSession.range(k).select(F.expr(f"id * {n - 1} div {k - 1}").alias("r")).distinct()
-    return ranked.join(F.broadcast(wanted), "r", "left_semi").select(key)
+    return ranked(distinct, key).join(F.broadcast(wanted), "r", "left_semi").select(key)
 
 
 def first_half(rows: DataFrame, key: str) -> DataFrame:
-    return rows.orderBy(key).limit(rows.count() // 2)
+    return ranked(rows, key).where(F.col("r") < rows.count() // 2).drop("r")
 
 
 def first_difference(left: DataFrame, right: DataFrame) -> DataFrame:

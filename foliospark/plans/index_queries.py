@@ -59,7 +59,7 @@ def q_build_postings(spark, sf):
 
 
 def q_index_arrays(spark, sf):
-    return _joined(index.as_arrays(index.build_postings(books(spark, sf))))
+    return _joined(index.as_arrays(index.pairs(books(spark, sf))))
 
 
 def q_first_seen(spark, sf):
@@ -83,11 +83,11 @@ def q_add_book(spark, sf):
 
 
 def q_term_count(spark, sf):
-    return index.term_count(index.build_postings(books(spark, sf)))
+    return index.term_count(index.pairs(books(spark, sf)))
 
 
 def q_postings_sorted(spark, sf):
-    return _joined(index.as_arrays(index.build_postings(books(spark, sf)))).orderBy("term")
+    return _joined(index.as_arrays(index.pairs(books(spark, sf)))).orderBy("term")
 
 
 def q_synthetic_corpus(spark, sf):
@@ -97,16 +97,16 @@ def q_synthetic_corpus(spark, sf):
 
 
 def q_term_lookup(spark, sf):
-    return query.term_lookup(index.build_postings(books(spark, sf)), "onon")
+    return query.term_lookup(index.pairs(books(spark, sf)), "onon")
 
 
 def q_multi_term_lookup(spark, sf):
-    found = query.multi_term_lookup(workload(spark).select("term").distinct(), index.build_postings(books(spark, sf)))
+    found = query.multi_term_lookup(workload(spark).select("term").distinct(), index.pairs(books(spark, sf)))
     return _joined(found)
 
 
 def q_conjunctive(spark, sf):
-    return query.query_answers(workload(spark), index.build_postings(books(spark, sf)))
+    return query.query_answers(workload(spark), index.pairs(books(spark, sf)))
 
 
 def q_parse_queries(spark, sf):
@@ -114,7 +114,7 @@ def q_parse_queries(spark, sf):
 
 
 def q_term_file_path(spark, sf):
-    t = index.build_postings(books(spark, sf)).select("term").distinct()
+    t = index.pairs(books(spark, sf)).select("term").distinct()
     t = t.unionByName(spark.createDataFrame([("con",), ("cone",), ("lpt9",), ("nul",)], "term string"))
     return t.select("term", ids.term_file_path(F.col("term")).alias("path"), ids.term_of_file_name(ids.term_file_name(F.col("term"))).alias("back"))
 
