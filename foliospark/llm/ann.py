@@ -5,9 +5,13 @@ which gives centroids ** 2 cells. A query walks the cells by the sum of its two
 heap (the multi-sequence order) until the cells hold `wanted` vectors, and every vector of those cells
 is reranked by its exact cosine on the original values in double precision.
 
+How deep to walk depends on the data, so it is measured: the true neighbours of PROBED queries are found
+by brute force over all rows, and `wanted` is set so that the walk reaches RECALL of them.
+
 The codebooks are fitted on a bounded sample of at most SAMPLE vectors; every vector is indexed. Equal
-vectors are one entry with its smallest ids, so a vector with very many copies stays one entry. A cell
-is dealt in chunks of about CHUNK entries and CHUNK queries, so a full cell is many small tasks' work.
+vectors are one entry with its smallest ids, so a vector with very many copies stays one entry. Cells
+are dealt to shards, a shard in parts of about CHUNK entries and CHUNK queries, so a full cell is many
+small tasks' work, and a query's vector travels once a shard and part, with its list of cells.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from foliospark.llm.common import stored
 SAMPLE = 20_000
 CHUNK = 2048
 ROUNDS = 15
+PROBED, RECALL = 100, 0.96
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -128,7 +133,9 @@ def traverse(da: np.ndarray, db: np.ndarray, counts: np.ndarray, wanted: int) ->
     return cells
 
 
-def _probe(books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray, wanted: int):
+def _probe(books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray, wanted: int, shards: int):
+    """A row for each query and shard: the cells of the shard that the query's walk reaches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -136,45 +143,94 @@ def _probe(books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray,
             x = _unit(_matrix(batch.column("v")))
             da, db = _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
             for start in range(0, len(x), 256):
-                rows, cells = [], []
+                rows, shard, cells = [], [], []
                 for i in range(start, min(start + 256, len(x))):
-                    found = traverse(da[i], db[i], counts, wanted)
-                    rows += [i] * len(found)
-                    cells += found
+                    found = np.array(traverse(da[i], db[i], counts, wanted))
+                    for s in np.unique(found % shards):
+                        rows.append(i)
+                        shard.append(int(s))
+                        cells.append(found[found % shards == s].astype(np.int32))
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(cells, pa.int32())], ["query_id", "q", "cell"]
+                    [batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(shard, pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
+                    ["query_id", "q", "shard", "cells"],
                 )
 
     return run
 
 
+def _cosines(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    q, e = q / np.abs(q).max(axis=1, keepdims=True), e / np.abs(e).max(axis=1, keepdims=True)
+    return (q @ e.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((e * e).sum(1))[None]
+
+
+def _brute(q: np.ndarray, ids: list[int], top: int):
+    """The best entries of each batch for a few queries: (query, score, cell)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score = _cosines(q, _matrix(batch.column("v")))
+            score[np.array(ids)[:, None] == batch.column("e").to_numpy()[None]] = -2
+            keep = min(top, batch.num_rows)
+            best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+            cell = batch.column("cell").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(q)), keep)), pa.array(np.take_along_axis(score, best, 1).ravel()), pa.array(cell[best].ravel())],
+                ["i", "score", "cell"],
+            )
+
+    return run
+
+
+def depth(coded: DataFrame, asked: DataFrame, books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray, top: int) -> int:
+    """How many vectors a walk must reach so that RECALL of the true neighbours of PROBED queries are among them."""
+    picked = asked.orderBy(F.xxhash64("vec_id")).limit(PROBED).collect()
+    if not picked:
+        return top
+    q = np.array([r["v"] for r in picked], dtype=np.float64)
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))
+    near = coded.select("e", "v", "cell").mapInArrow(_brute(q, [r["vec_id"] for r in picked], top), "i long, score double, cell int")
+    true = near.withColumn("r", rank).where((F.col("r") <= top) & (F.col("score") > -2)).select("i", "cell").collect()
+    x = _unit(q)
+    da, db = _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
+    reach = {}
+    for i in range(len(q)):
+        cells = traverse(da[i], db[i], counts, int(counts.sum()))
+        reach[i] = dict(zip(cells, np.cumsum(counts[cells]).tolist(), strict=True))
+    needed = sorted(reach[i][c] for i, c in true)
+    return needed[min(int(len(needed) * RECALL), len(needed) - 1)] if needed else top
+
+
 def _rerank(top: int):
-    """Of one chunk of queries against one chunk of entries of a cell: each query's best ids."""
+    """Of one part of a shard's queries against one of its entries: each query's best ids in its cells."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            q, e = _matrix(left.column("q").combine_chunks()), _matrix(right.column("v").combine_chunks())
-            q, e = q / np.abs(q).max(axis=1, keepdims=True), e / np.abs(e).max(axis=1, keepdims=True)
-            score = (q @ e.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((e * e).sum(1))[None]
+            score = _cosines(_matrix(left.column("q").combine_chunks()), _matrix(right.column("v").combine_chunks()))
             ids = right.column("ids").to_pylist()
-            name = np.array([x[0] for x in ids])
-            keep = min(top + 1, len(ids))
+            name, cell = np.array([x[0] for x in ids]), right.column("cell").to_numpy()
+            cells = left.column("cells").to_pylist()
             for i, query in enumerate(left.column("query_id").to_pylist()):
-                edge = np.partition(-score[i], keep - 1)[keep - 1]
-                near = np.flatnonzero(-score[i] <= edge)
+                own = np.flatnonzero(np.isin(cell, cells[i]))
+                if not len(own):
+                    continue
+                s = -score[i][own]
+                keep = min(top + 1, len(own))
+                near = own[s <= np.partition(s, keep - 1)[keep - 1]]
                 near = near[np.lexsort((name[near], -score[i][near]))][: 4 * keep]
                 best = sorted((-score[i, j], n) for j in near for n in ids[j] if n != query)[:top]
                 out["query_id"] += [query] * len(best)
                 out["vec_id"] += [n for _, n in best]
-                out["score"] += [-s for s, _ in best]
+                out["score"] += [-x for x, _ in best]
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int = 4000, centroids: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int | None = None, centroids: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` nearest of each query row among all other rows.
 
     rows and queries have (vec_id, embedding). Rows with a null id, a null, empty or zero vector, or a
@@ -204,27 +260,25 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int = 400
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     for cell, c in coded.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         counts[cell] = c
-    probes = stored(asked.select("vec_id", "v").mapInArrow(_probe(books, half, counts, max(wanted, top + 1)), "query_id long, q array<double>, cell int"), "probes")
-    load = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    fills = spark.createDataFrame([(int(c), int(counts[c])) for c in np.flatnonzero(counts)], "cell int, filled long")
-    dealt = fills.join(load, "cell").select("cell", F.ceil(F.col("filled") / CHUNK).cast("int").alias("parts"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("turns"))
-    dealt = F.broadcast(dealt)  # at most centroids ** 2 rows of three numbers
-    right = coded.join(dealt, "cell").select(
-        "cell", F.pmod(F.xxhash64("e"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "ids", "v"
+    wanted = max(wanted or depth(coded, asked, books, half, counts, top), top + 1)
+    shards = int(np.clip(n // CHUNK, 16, 4096))
+    probes = stored(asked.select("vec_id", "v").mapInArrow(_probe(books, half, counts, wanted, shards), "query_id long, q array<double>, shard int, cells array<int>"), "probes")
+    coded = coded.withColumn("shard", F.col("cell") % shards)
+    load = probes.groupBy("shard").agg(F.count(F.lit(1)).alias("asked"))
+    dealt = coded.groupBy("shard").agg(F.count(F.lit(1)).alias("filled")).join(load, "shard").select(
+        "shard", F.ceil(F.col("filled") / CHUNK).cast("int").alias("parts"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("turns")
     )
-    left = probes.join(dealt, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"), "query_id", "q"
+    dealt = F.broadcast(dealt)  # at most 4096 rows of three numbers
+    right = coded.join(dealt, "shard").select(
+        "shard", F.pmod(F.xxhash64("e"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "ids", "v", "cell"
     )
-    keys = ["cell", "part", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_drop_keys(_rerank(top)), "query_id long, vec_id long, score double")
+    left = probes.join(dealt, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"), "query_id", "q", "cells"
+    )
+    keys = ["shard", "part", "turn"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rerank(top), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )
 
-
-def _drop_keys(f):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(left, right)
-
-    return run

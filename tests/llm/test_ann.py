@@ -18,7 +18,7 @@ def test_recall_on_sample(spark):
     table = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in rows.collect()]
     want = brute(table, [(i, v) for i, v in table if i % 50 == 0])
     got = {}
-    for r in nearest(rows, rows.where("vec_id % 50 = 0"), wanted=1500).collect():
+    for r in nearest(rows, rows.where("vec_id % 50 = 0"),).collect():
         got.setdefault(r.query_id, {})[r.vec_id] = (r.rank, r.score)
     hits = sum(i in got[q] for q, w in want.items() for _, i in w)
     assert hits / sum(len(w) for w in want.values()) >= 0.9
