@@ -105,7 +105,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, slot, n): n-gram slots, then behind SLOTS the letters by script."""
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in at.slices(batch, "text", 4 << 20):
+        for part in at.slices(batch, "text", 1 << 20):
             langs = part.column("lang").to_pylist()
             names = sorted(set(langs))
             of_row = np.array([names.index(x) for x in langs])
@@ -195,7 +195,7 @@ def _label(shared, switch: float):
         model: Model = shared.value
         k = len(model.langs)
         for batch in batches:
-            for part in at.slices(batch, "text", 4 << 20):
+            for part in at.slices(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
                 a, b, row, low, starts = _words(texts)
                 pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]

@@ -155,7 +155,7 @@ def _role(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training windows of a sampled text: around its base matches (4 at most), and one anywhere."""
     for batch in batches:
-        for part in at.slices(batch, "text", 4 << 20):
+        for part in at.slices(batch, "text", 1 << 20):
             texts = part.column("text").to_pylist()
             start, end, row, features, offset = _tokens(part)
             xs, ys = [], []
@@ -277,7 +277,7 @@ def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field | None = shared.value
         for batch in batches:
-            for part in at.slices(batch, "text", 4 << 20):
+            for part in at.slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 found = [[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t)] for t in texts]
                 if field is not None:
