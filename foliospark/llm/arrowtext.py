@@ -91,7 +91,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about `most` bytes at most (a longer text is a part alone)."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     total, start = 0, 0
@@ -125,8 +125,10 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
         value = np.where(inside, mix(value * np.uint64(0x100000001B3) + shifted + np.uint64(j + 1)), value)
     keep = (np.arange(n) + k <= at[1:][rows]) | ((length[rows] < k) & (np.arange(n) == at[:-1][rows]))
     value, rows = value[keep], rows[keep]
-    order = np.lexsort((value, rows))
-    value, rows = value[order], rows[order]
+    ends = np.zeros(n_rows + 1, dtype=np.int64)
+    np.cumsum(np.bincount(rows, minlength=n_rows), out=ends[1:])
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        value[a:b].sort()
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (rows[1:] != rows[:-1])
     value, rows = value[new], rows[new]

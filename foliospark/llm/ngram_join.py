@@ -5,14 +5,15 @@ Documents are sets of distinct k-word shingles; two documents link when
 
 1. One scan hashes every text's shingles and adds their counts into a hashed table of fixed width,
    which orders shingles rare-first. Any order gives the same links; a good one gives short lists.
-2. A second scan keeps, of each document, its set size, a 128-bit signature of its whole set and the
-   prefix of its set in that order (size - ceil(t * size) + 1 shingles). Documents of one signature
-   are copies and go on as one class.
-3. Classes that share a prefix shingle are candidates. In each shingle's list the smallest class is
-   the leader; members are compared with it under the length, positional and suffix filters, and the
-   pairs that remain are verified exactly, once each, on whole sets. Components of the links so far
-   make most lists uniform. After further rounds with other leaders, lists that still hold two
-   components are joined pair by pair across components. A pair inside a component needs no check,
+2. A second scan keeps, of each document, its set size, a 128-bit signature of its whole set, the
+   histogram of its hashes over RANGES equal ranges (for the suffix filter) and the prefix of its set
+   in that order (size - ceil(t * size) + 1 shingles). Documents of one signature are copies and go
+   on as one class.
+3. Classes that share a prefix shingle are candidates. Pairs pass the length, positional and suffix
+   filters and are verified exactly, once each, on whole sets. Where lists are long, members are first
+   compared with LEADERS hashed members of their list; components of the links so far make most lists
+   uniform, and further rounds take other leaders while that finds links. Lists that then still hold
+   two components are joined pair by pair across components. A pair inside a component needs no check,
    as it cannot change the components; every pair between components is checked, so no link that
    connects different components is lost.
 """
@@ -30,75 +31,99 @@ from foliospark.llm import arrowtext as at
 from foliospark.llm.common import stored
 from foliospark.llm.components import components
 
-#: Counters of the rare-first order, and ranges of the suffix filter. Neither changes any result.
-COUNTERS = 1 << 18
-RANGES = 16
+#: Counters of the rare-first order (one saturating byte each a task, two in the sum: 8 MB), the blocks
+#: they are summed in, and the ranges of the suffix filter. None of them changes any result.
+COUNTERS = 1 << 22
+BLOCK = 1 << 14
+RANGES = 64
+#: Members of a list that a round compares the others with, most rounds, and how many pairs across
+#: components an entry of a list may stand for before another round is worth it.
+LEADERS, ROUNDS, FEW = 8, 6, 4
+#: Ids of this many rows are broadcast (8 bytes each); more are joined by a shuffle.
+SMALL = 1_000_000
+
+
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - 22)).astype(np.int64)
 
 
 def _counts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
+        counts = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             for part in at.slices(batch, "text"):
                 value, _ = at.shingles(*at.word_hashes(part.column("text")), k)
-                counts += np.bincount((value >> np.uint64(64 - 18)).astype(np.int64), minlength=COUNTERS)
-        slot = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+                np.add.at(counts, _slot(value), 1)
+        packed = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(packed))), pa.array([x.tobytes() for x in packed], pa.binary())], ["block", "counts"]
+        )
 
     return run
 
 
-def _prefixes(k: int, percent: int, counts: np.ndarray):
+def _sum_blocks(key: tuple, group: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, dtype=np.int64)
+    for x in group.column("counts").to_pylist():
+        total += np.frombuffer(x, dtype=np.uint8)
+    packed = np.minimum(total, 65535).astype(np.uint16).tobytes()
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([packed], pa.binary())})
+
+
+def _prefixes(k: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(counts.value, dtype=np.uint16)
         for batch in batches:
             for part in at.slices(batch, "text"):
                 value, offset = at.shingles(*at.word_hashes(part.column("text")), k)
                 rows, size = at.row_numbers(offset), np.diff(offset)
-                seen = counts[(value >> np.uint64(64 - 18)).astype(np.int64)]
-                order = np.lexsort((value, seen, rows))
-                ranked = value[order]
+                # rarest first; equal counts by value, as a stable sort of sorted values leaves them
+                rank = (table[_slot(value)].astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16))
                 take = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-                place = np.arange(len(ranked)) - offset[:-1][rows]
-                keep = place < take[rows]
                 ends = np.zeros(len(size) + 1, dtype=np.int64)
                 np.cumsum(take, out=ends[1:])
+                prefix = np.empty(ends[-1], dtype=np.uint64)
+                for i, (a, b) in enumerate(zip(offset[:-1], offset[1:], strict=True)):
+                    prefix[ends[i] : ends[i + 1]] = value[a:b][np.argsort(rank[a:b], kind="stable")[: take[i]]]
                 total = np.zeros((2, len(size)), dtype=np.uint64)
                 full = np.flatnonzero(size > 0)
                 if len(full):
                     total[0, full] = np.add.reduceat(at.mix(value + np.uint64(1)), offset[:-1][full])
                     total[1, full] = np.add.reduceat(at.mix(value ^ np.uint64(0xA5A5A5A55A5A5A5A)), offset[:-1][full])
+                hist = np.bincount(rows * RANGES + (value >> np.uint64(58)).astype(np.int64), minlength=len(size) * RANGES)
+                hist = (np.minimum(hist, 255) - 128).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(size),
                         pa.array(total[0].view(np.int64)),
                         pa.array(total[1].view(np.int64)),
-                        at.lists(ranked[keep], ends),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * RANGES), pa.array(hist)),
+                        at.lists(prefix, ends),
                     ],
-                    ["doc_id", "n", "sig", "sig2", "prefix"],
+                    ["doc_id", "n", "sig", "sig2", "hist", "prefix"],
                 )
 
     return run
 
 
 def _sets(k: int):
-    """Whole sets, and how many of their shingles lie in each of RANGES equal ranges of the hash."""
+    """Whole sets, with their signatures; of repeated rows a task keeps one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for part in at.slices(batch, "text"):
+            nodes = batch.column("node").to_pylist()
+            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+            for part in at.slices(batch.take(pa.array(fresh, pa.int64())), "text"):
                 value, offset = at.shingles(*at.word_hashes(part.column("text")), k)
-                cell = at.row_numbers(offset) * RANGES + (value >> np.uint64(60)).astype(np.int64)
-                hist = np.bincount(cell, minlength=part.num_rows * RANGES)
+                full = np.flatnonzero(np.diff(offset) > 0)
+                total = np.zeros(part.num_rows, dtype=np.uint64)
+                if len(full):
+                    total[full] = np.add.reduceat(at.mix(value + np.uint64(1)), offset[:-1][full])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("node"),
-                        at.lists(value, offset),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * RANGES), pa.array(hist.astype(np.int32))
-                        ),
-                    ],
-                    ["node", "items", "hist"],
+                    [part.column("node"), part.column("sig"), pa.array(total.view(np.int64)), at.lists(value, offset)],
+                    ["node", "sig", "found", "items"],
                 )
 
     return run
@@ -109,108 +134,142 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _fits(percent: int, *, na: str, nb: str, pa_: str, pb: str) -> Column:
-    """Length filter, then positional filter: what can still be shared from the first common place on."""
-    small, large = F.least(na, nb), F.greatest(na, nb)
-    rest = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
-    return (100 * small >= percent * large) & (rest >= _needed(F.col(na), F.col(nb), percent))
+def _fits(percent: int) -> Column:
+    """Length filter, then positional filter: what can still be shared from the common place on."""
+    n, m = F.col("n"), F.col("l_n")
+    rest = F.least(n - F.col("pos"), m - F.col("l_pos"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest >= _needed(n, m, percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among distinct pairs (a, b, na, nb): suffix filter, then the exact intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("hist").alias("ha"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"), F.col("hist").alias("hb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = joined.where(apart <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), percent))
-    same = near.withColumn("same", F.size(F.array_intersect("ia", "ib")).cast("long"))
-    return same.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select(
-        "a", "b", "na", "nb", "same"
+def _suffix_filtered(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) whose sets may differ by as little as a link allows.
+
+    Sets differ by at least the sum, over the ranges of the hash, of the differences of their counts.
+    """
+    apart = F.aggregate(
+        F.zip_with("ha", "hb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
     )
+    both = pairs.join(hists.select(F.col("node").alias("a"), F.col("hist").alias("ha")), "a").join(
+        hists.select(F.col("node").alias("b"), F.col("hist").alias("hb")), "b"
+    )
+    near = both.where(apart <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), percent))
+    return near.select("a", "b", "na", "nb")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among distinct pairs, by the exact intersection of the whole sets."""
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
+    same = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("ia", "ib")).cast("long"))
+    return same.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, leader_rounds: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, node, root, component_id) of every row of docs(doc_id, text, ...).
 
-    component_id is the smallest doc_id that links reach. A null or wordless text has size 0, links
-    with nothing and is its own component. Rows of one doc_id are judged by their own texts; a row
-    without doc_id takes part and gets null if it is alone. Other columns are ignored, whatever their
-    names. An empty table gives an empty table.
+    component_id is the smallest doc_id that links reach; node names the row's set, root its component.
+    A null or wordless text has size 0, links with nothing and is its own component. Rows of one doc_id
+    are judged by their own texts; a row without doc_id takes part and gets null if it is alone. Other
+    columns are ignored, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = np.zeros(COUNTERS, dtype=np.int64)
-    summed = texts.select("text").mapInArrow(_counts(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    for slot, n in summed.collect():  # at most COUNTERS rows
-        table[slot] = n
-    rows = stored(
-        texts.mapInArrow(
-            _prefixes(k, percent, table), "doc_id long, n long, sig long, sig2 long, prefix array<long>"
-        ),
-        "prefixes",
-    ).withColumn("node", F.xxhash64("sig", "sig2", "n"))
-    links = _links(spark, texts, rows, k, percent, leader_rounds)
+    table = np.zeros((COUNTERS // BLOCK, BLOCK), dtype=np.uint16)
+    blocks = texts.select("text").mapInArrow(_counts(k), "block long, counts binary").groupBy("block")
+    for block, packed in blocks.applyInArrow(_sum_blocks, "block long, counts binary").collect():  # 8 MB at most
+        table[block] = np.frombuffer(packed, dtype=np.uint16)
+    counts = spark.sparkContext.broadcast(table.tobytes())
+    kind = "doc_id long, n long, sig long, sig2 long, hist array<tinyint>, prefix array<long>"
+    rows = stored(texts.mapInArrow(_prefixes(k, percent, counts), kind), "prefixes")
+    rows = rows.withColumn("node", F.xxhash64("sig", "sig2", "n"))
+    links = _links(texts, rows, k, percent)
     small = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     classes = small.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    if links is None:
-        named = classes.select("node", F.col("node").alias("root"), F.col("first").alias("component_id"))
-    else:
-        rooted = classes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = rooted.join(least, "root").select("node", "root", "component_id")
+    rooted = classes.withColumn("root", F.col("node")) if links is None else classes.join(links, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select("node", "root", "component_id")
     return small.join(named, "node", "left").select(
-        "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", "node", "root", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _sets_of(wanted: DataFrame, rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, items) of the wanted nodes, from the text of one row each.
+
+    The row is named by doc_id; as ids may repeat with other texts, the signature of what is found decides.
+    """
+    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"), F.min("sig").alias("sig")
     )
+    named = stored(named, "wanted")
+    if named.count() <= SMALL:
+        named = F.broadcast(named)
+    there = texts.where("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(named, "doc_id")
+    found = there.select("node", "sig", "text").mapInArrow(
+        _sets(k), "node long, sig long, found long, items array<long>"
+    )
+    return stored(found.where("sig = found").select("node", "items"), "sets")
 
 
-def _links(spark, texts: DataFrame, rows: DataFrame, k: int, percent: int, leader_rounds: int) -> DataFrame | None:
-    """(node, root) of the classes that link with another; None if no two classes share a prefix shingle."""
-    classes = rows.where("n > 0").dropDuplicates(["node"])
-    posted = classes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+def _links(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(node, root) of the classes that link with another; None if there are none."""
+    full = rows.where("n > 0")
+    posted = full.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     frequent = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     lists = stored(posted.join(frequent, "h", "left_semi"), "postings")
-    if lists.isEmpty():
-        return None
-    wanted = lists.select("node").distinct()
-    one_row = rows.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    chosen = one_row.select("doc_id", "node")
-    # doc_id may repeat with other texts: the signature of each text found decides which row is meant
-    found = (
-        texts.where("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(chosen, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, items array<long>, hist array<int>")
-    )
-    sets = stored(found.join(one_row.select("node", "n"), "node").where(F.size("items") == F.col("n")).drop("n").dropDuplicates(["node"]), "sets")
-    links, tested = None, None
-    for turn in range(leader_rounds + 1):
-        if turn == 0:
-            open_lists = lists.withColumn("root", F.col("node"))
-        else:
-            roots = components(links.select("a", "b"))
+    hists = full.select("node", "hist").dropDuplicates(["node"])
+    links = sets = tested = roots = None
+    fruitful = True
+    for turn in range(ROUNDS + 1):
+        rooted = lists.withColumn("root", F.col("node"))
+        if roots is not None:
             rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
-            open_lists = stored(rooted.join(mixed, "h", "left_semi"), "open-lists")
-            if open_lists.isEmpty():
-                return roots
-        key = F.struct("n", "node", "pos", "root") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "n", "node", "pos", "root")
-        if turn < leader_rounds:
-            led = open_lists.groupBy("h").agg(F.min(key).alias("l"))
-            other = open_lists.join(led, "h").select("h", "node", "n", "pos", "root", *[F.col(f"l.{x}").alias(f"l_{x}") for x in ("node", "n", "pos", "root")])
+            mixed = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+            rooted = stored(rooted.join(mixed.select("h"), "h", "left_semi"), "open-lists")
+        same = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("h")
+        left = same.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        entries, crossing = left.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2)).first()
+        if not crossing:
+            return roots
+        names = ("node", "n", "pos", "root")
+        last = crossing <= FEW * entries or not fruitful or turn == ROUNDS
+        if last:
+            others = rooted.select("h", *[F.col(x).alias(f"l_{x}") for x in names])
+            other = rooted.join(others, "h").where("node > l_node")
         else:
-            other = open_lists.join(open_lists.select("h", *[F.col(x).alias(f"l_{x}") for x in ("node", "n", "pos", "root")]), "h").where("node > l_node")
+            drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)).alias("o"), *names)).alias(f"l{i}") for i in range(LEADERS)]
+            led = rooted.groupBy("h").agg(*drawn)
+            picked = F.array_distinct(F.array(*[F.struct(*[F.col(f"l{i}.{x}").alias(f"l_{x}") for x in names]) for i in range(LEADERS)]))
+            other = rooted.join(led.select("h", F.inline(picked)), "h")
+        first = F.col("node") < F.col("l_node")
         pairs = (
-            other.where("node != l_node and root != l_root")
-            .where(_fits(percent, na="n", nb="l_n", pa_="pos", pb="l_pos"))
+            other.where("root != l_root")
+            .where(_fits(percent))
             .select(
                 F.least("node", "l_node").alias("a"),
                 F.greatest("node", "l_node").alias("b"),
-                F.when(F.col("node") < F.col("l_node"), F.col("n")).otherwise(F.col("l_n")).alias("na"),
-                F.when(F.col("node") < F.col("l_node"), F.col("l_n")).otherwise(F.col("n")).alias("nb"),
+                F.when(first, F.col("n")).otherwise(F.col("l_n")).alias("na"),
+                F.when(first, F.col("l_n")).otherwise(F.col("n")).alias("nb"),
             )
             .distinct()
         )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        new = stored(_verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-    return components(links.select("a", "b"))
+        pairs = stored(_suffix_filtered(pairs, hists, percent), "pairs")
+        fruitful = False
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            if sets is not None:
+                wanted = wanted.join(sets.select("node"), "node", "left_anti")
+            more = _sets_of(wanted, rows, texts, k)
+            sets = more if sets is None else sets.unionByName(more)
+            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+            new = stored(_verified(pairs, sets, percent), "links")
+            fruitful = not new.isEmpty()
+            if fruitful:
+                links = new if links is None else links.unionByName(new)
+                roots = components(links)
+        if last:
+            return roots
+    return roots
