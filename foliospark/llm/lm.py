@@ -1,8 +1,6 @@
 """LM scoring by deleted interpolation.
 
-The model is a bigram model over a vocabulary of the words that make up at least one token in VOCABULARY
-(so it has at most that many; other words are the class <unk>, inside which a word has its smoothed
-relative frequency):
+The model is a bigram model over all words of the training texts; <unk> is only what they do not hold:
 
   P(w | h) = l2(b) c(h, w) / c(h) + l1(b) c(w) / N + l0(b) / K,   b the bucket of c(h)
 
@@ -10,9 +8,14 @@ The weights of each context-frequency bucket are learned by expectation-maximisa
 deleted part of the training texts, under estimates from the rest. Afterwards all training texts count.
 
 All counts cover all texts. Words and word pairs travel to their counts as packed blocks: a task sorts
-what it has read, cuts it by ranges of the hash and sends a few bytes an item. Pairs that make up at
-least one token in HEAVY are at most HEAVY, so they are counted first and known to every task; all
-others are rare by definition, so no range of hashes can hold a hot item.
+what it has read, cuts it by ranges of the hash and sends a few bytes an item. Words that make up at
+least one token in VOCABULARY are at most that many, and so are pairs of them that make up one in HEAVY;
+they are counted first and known to every task. All others are rare by definition, so no range of hashes
+can hold a hot item. A pair with a rare word goes to that word's range, where its count is known; a pair
+of two rare words goes to the first one's range and, with what was found there, on to the second one's.
+
+With a vocabulary_size, words below that share are pooled in the class <unk> instead, inside which a word
+has its smoothed relative frequency.
 """
 
 from __future__ import annotations
@@ -143,6 +146,7 @@ def _word_counts(key: tuple, group: pa.Table) -> pa.Table:
             "deleted": pa.array([int(b.sum())], pa.int64()),
             "distinct": pa.array([len(value)], pa.int64()),
             "packed": pa.array([pack(_deltas(value), a, b)], pa.binary()),
+            "block": pa.array([key[0].as_py()], pa.int32()),
         }
     )
 
@@ -163,13 +167,17 @@ def _frequent(tokens: int, vocabulary: int):
 
 @dataclass
 class Vocabulary:
-    """Hashes in order, counts by class (kept, deleted; contexts for BOS), and what <unk> holds."""
+    """Hashes in order, counts by class (kept, deleted; contexts for BOS), and what <unk> holds.
+
+    If it is open, other words are no class: <unk> then only says that a word's counts are not here.
+    """
 
     words: np.ndarray
     kept: np.ndarray
     deleted: np.ndarray
     tokens: int
     distinct: int
+    open: bool = False
 
     @property
     def counts(self) -> np.ndarray:
@@ -184,7 +192,7 @@ class Vocabulary:
 
     @property
     def classes(self) -> int:
-        return len(self.words) + 1  # <unk> and the words; BOS is never predicted
+        return (self.distinct if self.open else len(self.words)) + 1  # <unk> and the words; BOS is never predicted
 
     def classify(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -193,9 +201,10 @@ class Vocabulary:
         return np.where(self.words[place] == tokens, place + 2, UNK)
 
 
-def _vocabulary(texts: DataFrame, blocks: int, limit: int) -> Vocabulary:
+def _vocabulary(texts: DataFrame, blocks: int, limit: int, whole: bool) -> tuple[Vocabulary, DataFrame]:
+    """The words of a share of one in `limit` and the counts (block, packed) of all; whole: the rest are words, too."""
     counted = texts.where("part != 0").mapInArrow(_count_words(blocks), "block int, packed binary").groupBy("block")
-    words = stored(counted.applyInArrow(_word_counts, "kept long, deleted long, distinct long, packed binary"), "words")
+    words = stored(counted.applyInArrow(_word_counts, "kept long, deleted long, distinct long, packed binary, block int"), "words")
     kept_all, deleted_all, distinct = (x or 0 for x in words.agg(F.sum("kept"), F.sum("deleted"), F.sum("distinct")).first())
     tokens = kept_all + deleted_all
     found = words.select("packed").mapInArrow(_frequent(max(tokens, 1), limit), "packed binary").collect()  # `limit` words at most
@@ -203,21 +212,29 @@ def _vocabulary(texts: DataFrame, blocks: int, limit: int) -> Vocabulary:
     order = np.argsort(columns[0])
     value, a, b = columns[0][order], columns[1][order].astype(np.int64), columns[2][order].astype(np.int64)
     texts_kept, texts_deleted = (int(x[value == END].sum()) for x in (a, b))
-    big = (a + b) * limit >= max(tokens, 1)  # the end token may be too rare for the vocabulary
+    big = ((a + b) * limit >= max(tokens, 1)) | whole  # the end token may be too rare for the vocabulary
     value, a, b = value[big], a[big], b[big]
-    return Vocabulary(
+    vocabulary = Vocabulary(
         value,
         np.concatenate([[kept_all - a.sum(), texts_kept], a]).astype(np.int64),
         np.concatenate([[deleted_all - b.sum(), texts_deleted], b]).astype(np.int64),
         tokens,
         distinct,
+        whole,
     )
+    return vocabulary, words.select("block", "packed")
+
+
+def _before(values: np.ndarray, offset: np.ndarray, start) -> np.ndarray:
+    """What stands before each token; `start` at the start of a text."""
+    before = np.concatenate([values[:0], [values.dtype.type(start)], values[:-1]])
+    before[offset[:-1]] = start
+    return before
 
 
 def _codes(classes: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Codes of the pairs (class before, class): bijective, spread over BITS bits."""
-    before = np.concatenate([[BOS], classes[:-1]])
-    before[offset[:-1]] = BOS
+    before = _before(classes, offset, BOS)
     plain = (before.astype(np.uint64) << np.uint64(17)) | classes.astype(np.uint64)
     return (plain * np.uint64(_SPREAD)) & np.uint64((1 << BITS) - 1)
 
@@ -227,43 +244,157 @@ def _uncode(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (plain >> np.uint64(17)).astype(np.int64), (plain & np.uint64((1 << 17) - 1)).astype(np.int64)
 
 
+#: Kinds of pairs by what is rare in them; 3 and 5 go to the range of the word before, 4 to that of the word.
+COMMON, RARE_BEFORE, RARE_AFTER, RARE_BOTH = 2, 3, 4, 5
+
+
+def _rare_pairs(tokens: np.ndarray, classes: np.ndarray, offset: np.ndarray):
+    """(kind, where, hash that leads, class or hash of the other word) of the pairs that hold a word of no class."""
+    before, prior = _before(classes, offset, BOS), _before(tokens, offset, 0)
+    here, ahead = classes == UNK, before == UNK
+    for kind, pick, lead, other in (
+        (RARE_BEFORE, ahead & ~here, prior, classes), (RARE_AFTER, here & ~ahead, tokens, before), (RARE_BOTH, ahead & here, prior, tokens)
+    ):
+        where = np.flatnonzero(pick)
+        yield kind, where, lead[where], other[where].astype(np.uint64)
+
+
 def _count_pairs(shared, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
         for tokens, offset, rows in _pieces(batches):
             deleted = np.repeat(rows.column("part").to_numpy() == 1, np.diff(offset))
-            code, a, b = _tally(_codes(vocabulary.classify(tokens), offset), deleted)
-            cuts = _ranges(code, BITS, blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c[0] for c in cuts], pa.int32()), pa.array([pack(_deltas(code[i:j]), a[i:j], b[i:j]) for _, i, j in cuts], pa.binary())],
-                ["block", "packed"],
-            )
+            classes = vocabulary.classify(tokens)
+            code, out = _codes(classes, offset), []
+            both = np.ones(len(code), dtype=bool)
+            if vocabulary.open:
+                for kind, where, lead, other in _rare_pairs(tokens, classes, offset):
+                    both[where] = False
+                    order = np.lexsort((other, lead))
+                    lead, other, gone = lead[order], other[order], deleted[where][order].astype(np.int64)
+                    if not len(lead):
+                        continue
+                    first = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (other[1:] != other[:-1])]))
+                    total, gone = np.diff(np.append(first, len(lead))), np.add.reduceat(gone, first)
+                    lead, other = lead[first], other[first]
+                    out += [(k, kind, pack(_deltas(lead[i:j]), other[i:j], total[i:j] - gone[i:j], gone[i:j])) for k, i, j in _ranges(lead, 64, blocks)]
+            code, a, b = _tally(code[both], deleted[both])
+            out += [(k, COMMON, pack(_deltas(code[i:j]), a[i:j], b[i:j])) for k, i, j in _ranges(code, BITS, blocks)]
+            yield _messages(out)
 
     return run
 
 
+def _messages(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
+        ["block", "kind", "packed"],
+    )
+
+
+def _looked_up(words: np.ndarray, counts: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Counts of hashes in a table of hashes in order; 0 for others."""
+    if not len(words):
+        return np.zeros(len(value), dtype=np.int64)
+    place = np.minimum(np.searchsorted(words, value), len(words) - 1)
+    return np.where(words[place] == value, counts[place], 0).astype(np.int64)
+
+
+def _same_pairs(lead: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair stands first, and the number of the pair at each place."""
+    _, first, back = np.unique(at.mix(lead ^ at.mix(other + np.uint64(1))), return_index=True, return_inverse=True)
+    return first, back
+
+
+def _of_kind(group: pa.Table, kind: int) -> list[bytes]:
+    return [x for k, x in zip(group.column("kind").to_pylist(), group.column("packed").to_pylist(), strict=True) if k == kind]
+
+
+def _joint(raws: list[bytes], n_columns: int) -> list[np.ndarray]:
+    """The columns of all messages, the first from its differences."""
+    got = [unpack(x, n_columns) for x in raws] or [[np.zeros(0, np.uint64)] * n_columns]
+    return [np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), *(np.concatenate([g[i] for g in got]) for i in range(1, n_columns))]
+
+
 def bucket(context_count: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else 1 + the integer part of the binary logarithm."""
     return np.minimum(np.where(context_count > 0, 1 + np.log2(np.maximum(context_count, 1)).astype(np.int64), 0), BUCKETS - 1)
 
 
-def _pair_facts(shared, limit: int):
-    """Of one range of pairs: the heavy ones, and the deleted counts by bucket and by size of both estimates."""
+def _fineness(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.clip(np.round(-8 * np.log2(np.maximum(p, 1e-18))), 0, 510), 511).astype(np.int64)
+
+
+def _summed_cells(cell: np.ndarray, mass: np.ndarray) -> pa.Table:
+    cells, back = np.unique(cell, return_inverse=True)
+    sums = np.bincount(back, weights=mass, minlength=len(cells)).astype(np.int64)
+    return pa.table({"cell": pa.array(cells, pa.int64()), "mass": pa.array(sums, pa.int64())})
+
+
+FACTS = "cell long, mass long, heavy binary, block int, packed binary"
+
+
+def _filled(table: pa.Table, kinds: dict[str, pa.DataType]) -> pa.Table:
+    """The table with all columns of `kinds`; what it lacks is null."""
+    return pa.table({c: table.column(c) if c in table.column_names else pa.nulls(table.num_rows, t) for c, t in kinds.items()})
+
+
+def _pair_facts(shared, limit: int, blocks: int):
+    """Of one range of pairs: the heavy ones, and the deleted counts by bucket and by size of both estimates.
+
+    Pairs of two rare words go on, with the deleted counts and the half of the cell that is known.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         vocabulary: Vocabulary = shared.value
-        code, a, b = _merged(group)
-        h, w = _uncode(code)
+        n, contexts = max(int(vocabulary.kept.sum() - vocabulary.kept[BOS]), 1), vocabulary.contexts(vocabulary.kept)
+        words, kept, _ = _joint(_of_kind(group, 0), 3)
+        code, a, b = _joint(_of_kind(group, COMMON), 3)
+        first, back = _same_pairs(code, np.zeros(len(code), np.uint64))
+        a, b = (np.bincount(back, weights=x, minlength=len(first)).astype(np.int64) for x in (a, b))
+        h, w = _uncode(code[first])
         heavy = np.flatnonzero((a + b) * limit >= vocabulary.tokens)
-        held = np.flatnonzero(b)
-        n, context = max(int(vocabulary.kept.sum() - vocabulary.kept[BOS]), 1), vocabulary.contexts(vocabulary.kept)[h[held]]
-        p2 = np.where(context > 0, a[held] / np.maximum(context, 1), 0.0)
-        p1 = vocabulary.kept[w[held]] / n
-        cell = (bucket(context) * 512 + np.where(p2 > 0, np.clip(np.round(-8 * np.log2(np.maximum(p2, 1e-18))), 0, 510), 511).astype(np.int64)) * 512
-        cell += np.where(p1 > 0, np.clip(np.round(-8 * np.log2(np.maximum(p1, 1e-18))), 0, 510), 511).astype(np.int64)
-        cells, back = np.unique(cell, return_inverse=True)
-        mass = np.bincount(back, weights=b[held], minlength=len(cells)).astype(np.int64)
-        return pa.table({"heavy": pa.array([pack(code[heavy], a[heavy] + b[heavy])], pa.binary()), "cells": pa.array([pack(cells, mass)], pa.binary())})
+        tables = [pa.table({"heavy": pa.array([pack(code[first][heavy], a[heavy] + b[heavy])], pa.binary())})]
+        cells, masses = [], []
+        found = [(a, b, contexts[h], vocabulary.kept[w], None)]
+        for kind in (RARE_BEFORE, RARE_AFTER, RARE_BOTH):
+            lead, other, a, b = _joint(_of_kind(group, kind), 4)
+            first, back = _same_pairs(lead, other)
+            a, b = (np.bincount(back, weights=x, minlength=len(first)).astype(np.int64) for x in (a, b))
+            own, other = _looked_up(words, kept, lead[first]), other[first]
+            if kind == RARE_BOTH:
+                found.append((a, b, own, None, other))
+            else:
+                c = other.astype(np.int64)
+                found.append((a, b, own, vocabulary.kept[c], None) if kind == RARE_BEFORE else (a, b, contexts[c], own, None))
+        for a, b, context, single, after in found:
+            held = np.flatnonzero(b)
+            a, b, context = a[held], b[held], context[held]
+            half = bucket(context) * 512 + _fineness(np.where(context > 0, a / np.maximum(context, 1), 0.0))
+            if after is None:
+                cells.append(half * 512 + _fineness(single[held] / n))
+                masses.append(b)
+                continue
+            order = np.argsort(after[held])
+            after, half, b = after[held][order], half[order], b[order]
+            cuts = _ranges(after, 64, blocks)
+            sent = [pack(_deltas(after[i:j]), half[i:j], b[i:j]) for _, i, j in cuts]
+            tables.append(pa.table({"block": pa.array([c[0] for c in cuts], pa.int32()), "packed": pa.array(sent, pa.binary())}))
+        tables.append(_summed_cells(np.concatenate(cells), np.concatenate(masses)))
+        kinds = {"cell": pa.int64(), "mass": pa.int64(), "heavy": pa.binary(), "block": pa.int32(), "packed": pa.binary()}
+        return pa.concat_tables([_filled(t, kinds) for t in tables])
+
+    return run
+
+
+def _rare_facts(shared):
+    """Of one range of words: the cells of the pairs of two rare words whose second word is here."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        n = max(int(shared.value.kept.sum() - shared.value.kept[BOS]), 1)
+        words, kept, _ = _joint(_of_kind(group, 0), 3)
+        after, half, mass = _joint(_of_kind(group, RARE_BOTH), 3)
+        return _summed_cells(half.astype(np.int64) * 512 + _fineness(_looked_up(words, kept, after) / n), mass)
 
     return run
 
@@ -298,10 +429,13 @@ class Scorer:
 
     def log10_pairs(self, h: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
         v = self.vocabulary
-        context = v.contexts(v.counts)[h]
+        return self.log10_mixed(v.contexts(v.counts)[h], count, v.counts[w])
+
+    def log10_mixed(self, context: np.ndarray, count: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Of pairs of this count, whose words have these counts as context and alone."""
+        v = self.vocabulary
         l2, l1, l0 = self.weights[bucket(context)].T
-        p = l2 * count / np.maximum(context, 1) + l1 * v.counts[w] / max(v.tokens, 1) + l0 / v.classes
-        return np.log10(p)
+        return np.log10(l2 * count / np.maximum(context, 1) + l1 * single / max(v.tokens, 1) + l0 / v.classes)
 
     def log10_base(self, count: np.ndarray) -> np.ndarray:
         v = self.vocabulary
@@ -309,11 +443,13 @@ class Scorer:
 
     def log10_inside_unk(self, count: np.ndarray) -> np.ndarray:
         v = self.vocabulary
+        if v.open:
+            return np.zeros(len(count))
         return np.log10((count + 0.1) / (v.counts[UNK] + 0.1 * (v.distinct - len(v.words) + 1)))
 
 
 def _send(shared, blocks: int):
-    """Blocks of rare words and rare pairs for their counts (kinds 1 and 2), and what is known already (kind 0)."""
+    """Blocks of rare words and rare pairs for their counts (kinds from 1), and what is known already (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer: Scorer = shared.value
@@ -337,18 +473,23 @@ def _send(shared, blocks: int):
             n_known = np.bincount(doc[known], minlength=n_docs).astype(np.uint64)
             head = b"".join([pack(key, np.diff(offset), n_known), base.tobytes(), score.tobytes()])
             out = [(int(key[0] % np.uint64(blocks)) if n_docs else 0, 0, head)]
-            for kind, value, pick, bits in ((1, tokens, ~known, 64), (2, code, ~frequent, BITS)):
-                x, d = value[pick], doc[pick]
+            rare = np.flatnonzero(~known)
+            work = [(1, rare, tokens[rare], None)]
+            if v.open:
+                for x in _rare_pairs(tokens, classes, offset):
+                    frequent[x[1]] = True  # not to be sent by its code
+                    work.append(x)
+            rest = np.flatnonzero(~frequent)
+            work.append((COMMON, rest, code[rest], None))
+            for kind, where, x, other in work:
                 order = np.argsort(x, kind="stable")
-                x, d = x[order], d[order].astype(np.uint64)
-                for b, i, j in _ranges(x, bits, blocks):
+                x, d = x[order], doc[where][order].astype(np.uint64)
+                more = [] if other is None else [other[order]]
+                for b, i, j in _ranges(x, BITS if kind == COMMON else 64, blocks):
                     own, index = np.unique(d[i:j], return_inverse=True)
                     ids = own.astype(np.int64)
-                    out.append((b, kind, pack(_deltas(x[i:j]), index.astype(np.uint64)) + pack(key[ids], train[ids])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
-                ["block", "kind", "packed"],
-            )
+                    out.append((b, kind, pack(_deltas(x[i:j]), *[m[i:j] for m in more], index.astype(np.uint64)) + pack(key[ids], train[ids])))
+            yield _messages(out)
 
     return run
 
@@ -360,70 +501,119 @@ def _skip(raw: bytes, n_columns: int) -> int:
     return pos
 
 
-def _settle(shared):
-    """Of one block: counts of its rare words and pairs over all texts, then the sums of each text."""
+def _with_texts(raws: list[bytes], n_columns: int, n_own: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns of all messages, the last as numbers of texts, and what is known of the texts."""
+    own, shift = [], []
+    for raw in raws:
+        own.append(unpack(raw[_skip(raw, n_columns) :], n_own))
+        shift.append(len(own[-1][0]))
+    columns = _joint(raws, n_columns)
+    sizes = [int(np.frombuffer(raw, "<u8", 1)[0]) for raw in raws]
+    columns[-1] = columns[-1].astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(shift)[:-1]]).astype(np.int64), sizes)
+    return columns, [np.concatenate([o[i] for o in own]) for i in range(n_own)]
+
+
+def _text_sums(keys: list[np.ndarray], sums: list[np.ndarray]) -> pa.Table:
+    """The sums (tokens, known, base, score) of each text."""
+    out, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    columns = [np.bincount(back, weights=t, minlength=len(out)) for t in np.concatenate([np.zeros((4, 0)), *sums], axis=1)]
+    return pa.table(
+        {
+            "key": pa.array(out, pa.int64()),
+            "n_tokens": pa.array(columns[0].astype(np.int64)),
+            "n_known": pa.array(columns[1].astype(np.int64)),
+            "base": pa.array(columns[2]),
+            "score": pa.array(columns[3]),
+        }
+    )
+
+
+def _settle(shared, blocks: int):
+    """Of one block: counts of its rare words and pairs over all texts, then the sums of each text.
+
+    Pairs of two rare words go on, with the counts that are known here.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         scorer: Scorer = shared.value
-        kinds, packed = group.column("kind").to_pylist(), group.column("packed").to_pylist()
-        keys, sums = [], []  # sums: tokens, known, base, score
-        for kind in (1, 2):
-            value, index, own, train, at_ = [], [], [], [], 0
-            for k, raw in zip(kinds, packed, strict=True):
-                if k != kind:
-                    continue
-                delta, i = unpack(raw, 2)
-                ids, flags = unpack(raw[_skip(raw, 2) :], 2)
-                value.append(np.cumsum(delta, dtype=np.uint64))
-                index.append(i.astype(np.int64) + at_)
-                own.append(ids)
-                train.append(flags)
-                at_ += len(ids)
-            if not value:
+        v = scorer.vocabulary
+        keys, sums, sent = [], [], []
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for kind in (1, COMMON, RARE_BEFORE, RARE_AFTER, RARE_BOTH):
+            raws = _of_kind(group, kind)
+            if not raws:
                 continue
-            value, index, own, train = (np.concatenate(x) for x in (value, index, own, train))
-            distinct, back = np.unique(value, return_inverse=True)
-            count = np.bincount(back, weights=train[index].astype(np.float64), minlength=len(distinct))
+            (value, *other, index), (own, train) = _with_texts(raws, 2 if kind <= COMMON else 3, 2)
+            other = other[0] if other else np.zeros(len(value), np.uint64)
+            first, back = _same_pairs(value, other)
+            count = np.bincount(back, weights=train[index].astype(np.float64), minlength=len(first))
+            distinct, other_class = value[first], other[first].astype(np.int64)
+            known = base = np.zeros(len(own))
+            per_text = lambda x: np.bincount(index, weights=x[back], minlength=len(own))  # noqa: B023, E731
             if kind == 1:
-                known = np.bincount(index, weights=(count > 0)[back], minlength=at_)
-                base = np.bincount(index, weights=scorer.log10_base(count)[back], minlength=at_)
-                score = np.bincount(index, weights=scorer.log10_inside_unk(count)[back], minlength=at_)
+                order = np.argsort(distinct)
+                words, counts = distinct[order], count[order].astype(np.int64)
+                known, base, score = per_text(count > 0), per_text(scorer.log10_base(count)), per_text(scorer.log10_inside_unk(count))
+            elif kind == COMMON:
+                score = per_text(scorer.log10_pairs(*_uncode(distinct), count))
+            elif kind == RARE_BEFORE:
+                score = per_text(scorer.log10_mixed(_looked_up(words, counts, distinct), count, v.counts[other_class]))
+            elif kind == RARE_AFTER:
+                score = per_text(scorer.log10_mixed(v.contexts(v.counts)[other_class], count, _looked_up(words, counts, distinct)))
             else:
-                h, w = _uncode(distinct)
-                known = base = np.zeros(at_)
-                score = np.bincount(index, weights=scorer.log10_pairs(h, w, count)[back], minlength=at_)
+                context, order = _looked_up(words, counts, distinct), np.argsort(other)
+                after, back, index = other[order], back[order], index[order]
+                for b, i, j in _ranges(after, 64, blocks):
+                    texts, place = np.unique(index[i:j], return_inverse=True)
+                    pairs = pack(_deltas(after[i:j]), context[back[i:j]], count[back[i:j]].astype(np.int64), place.astype(np.uint64))
+                    sent.append((b, pairs + pack(own[texts])))
+                continue
             keys.append(own.view(np.int64))
-            sums.append(np.stack([np.zeros(at_), known, base, score]))
-        for k, raw in zip(kinds, packed, strict=True):
-            if k == 0:
-                ids, n_tokens, n_known = unpack(raw, 3)
-                rest = np.frombuffer(raw[_skip(raw, 3) :], np.float64).reshape(2, -1)
-                keys.append(ids.view(np.int64))
-                sums.append(np.stack([n_tokens.astype(float), n_known.astype(float), *rest]))
-        all_keys = np.concatenate(keys)
-        total = np.concatenate(sums, axis=1)
-        out, back = np.unique(all_keys, return_inverse=True)
-        columns = [np.bincount(back, weights=t, minlength=len(out)) for t in total]
-        return pa.table(
-            {
-                "key": pa.array(out, pa.int64()),
-                "n_tokens": pa.array(columns[0].astype(np.int64)),
-                "n_known": pa.array(columns[1].astype(np.int64)),
-                "base": pa.array(columns[2]),
-                "score": pa.array(columns[3]),
-            }
-        )
+            sums.append(np.stack([np.zeros(len(own)), known, base, score]))
+        for raw in _of_kind(group, 0):
+            ids, n_tokens, n_known = unpack(raw, 3)
+            rest = np.frombuffer(raw[_skip(raw, 3) :], np.float64).reshape(2, -1)
+            keys.append(ids.view(np.int64))
+            sums.append(np.stack([n_tokens.astype(float), n_known.astype(float), *rest]))
+        kinds = {"key": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "block": pa.int32(), "packed": pa.binary()}
+        onward = pa.table({"block": pa.array([b for b, _ in sent], pa.int32()), "packed": pa.array([x for _, x in sent], pa.binary())})
+        return pa.concat_tables([_filled(t, kinds) for t in (_text_sums(keys, sums), onward)])
+
+    return run
+
+
+def _settle_rare(shared):
+    """Of one range of words: the scores of the pairs of two rare words whose second word is here, summed by text."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        scorer: Scorer = shared.value
+        raws = _of_kind(group, RARE_BOTH)
+        if not raws:
+            return _text_sums([], [])
+        words, a, b = _joint(_of_kind(group, 0), 3)
+        (after, context, count, index), (own,) = _with_texts(raws, 4, 1)
+        single = _looked_up(words, (a + b).astype(np.int64), after)
+        score = scorer.log10_mixed(context.astype(np.int64), count.astype(np.int64), single)
+        score = np.bincount(index, weights=score, minlength=len(own))
+        none = np.zeros(len(own))
+        return _text_sums([own.view(np.int64)], [np.stack([none, none, none, score])])
 
     return run
 
 
 def score_texts(
-    docs: DataFrame, held_out: Column, deleted: Column, vocabulary_size: int = VOCABULARY, heavy_size: int = HEAVY
+    docs: DataFrame,
+    held_out: Column,
+    deleted: Column,
+    vocabulary_size: int | None = None,
+    heavy_size: int = HEAVY,
+    table_size: int = VOCABULARY,
 ) -> tuple[DataFrame, Scorer]:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text, ...).
 
     held_out marks the rows that nothing is learned from, deleted the training rows that only weights are
-    learned from at first; both are conditions on docs, and null counts as false. A null or empty text is its end token alone.
+    learned from at first; both are conditions on docs, and null counts as false. Without a vocabulary_size
+    (VOCABULARY at most) all words are modelled; table_size then only says which are broadcast. A null or empty text is its end token alone.
     Rows are summed under their doc_id; if ids are null or repeat, under a hash of id and text, and equal
     rows get equal results. Without a training row every count is 0. Other columns are ignored. An empty
     table gives an empty table.
@@ -436,19 +626,30 @@ def score_texts(
     texts = docs.select(row_key.alias("key"), part.alias("part"), "text")
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(max(64, size // (6 * BLOCK)))
-    vocabulary = _vocabulary(texts.select("part", "text"), blocks, min(vocabulary_size, VOCABULARY))
+    limit = table_size if vocabulary_size is None else min(vocabulary_size, VOCABULARY)
+    vocabulary, words = _vocabulary(texts.select("part", "text"), blocks, limit, vocabulary_size is None)
+    words = words.select("block", F.lit(0).alias("kind"), "packed")
+    onward = lambda rows: rows.where("packed IS NOT NULL").select("block", F.lit(RARE_BOTH).alias("kind"), "packed").unionByName(words)
     shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = texts.where("part != 0").select("part", "text").mapInArrow(_count_pairs(shared, blocks), "block int, packed binary")
-    facts = pairs.groupBy("block").applyInArrow(_pair_facts(shared, heavy_size), "heavy binary, cells binary").collect()
-    heavy = [unpack(bytes(r["heavy"]), 2) for r in facts] or [[np.zeros(0, np.uint64)] * 2]
+    pairs = texts.where("part != 0").select("part", "text").mapInArrow(_count_pairs(shared, blocks), "block int, kind int, packed binary")
+    facts = stored(pairs.unionByName(words).groupBy("block").applyInArrow(_pair_facts(shared, heavy_size, blocks), FACTS), "facts")
+    heavy = [unpack(bytes(r["heavy"]), 2) for r in facts.where("heavy IS NOT NULL").select("heavy").collect()] or [[np.zeros(0, np.uint64)] * 2]
     code, count = (np.concatenate(x) for x in zip(*heavy, strict=True))
     order = np.argsort(code)
-    cells = [unpack(bytes(r["cells"]), 2) for r in facts] or [[np.zeros(0, np.uint64)] * 2]
-    cell, mass = (np.concatenate(x).astype(np.int64) for x in zip(*cells, strict=True))
+    cells = facts.where("cell IS NOT NULL").select("cell", "mass")
+    if vocabulary.open:
+        cells = cells.unionByName(onward(facts).groupBy("block").applyInArrow(_rare_facts(shared), "cell long, mass long"))
+    summed_cells = cells.groupBy("cell").agg(F.sum("mass").alias("mass")).collect()  # cells are a grid of fixed size
+    cell, mass = (np.array([r[i] for r in summed_cells], dtype=np.int64) for i in (0, 1))
     scorer = Scorer(vocabulary, fit_weights(cell, mass, vocabulary.classes), code[order], count[order].astype(np.int64))
     ready = spark.sparkContext.broadcast(scorer)
     sent = texts.mapInArrow(_send(ready, blocks), "block int, kind int, packed binary")
-    settled = sent.groupBy("block").applyInArrow(_settle(ready), "key long, n_tokens long, n_known long, base double, score double")
+    sums = "key long, n_tokens long, n_known long, base double, score double"
+    settled = sent.groupBy("block").applyInArrow(_settle(ready, blocks), f"{sums}, block int, packed binary")
+    if vocabulary.open:
+        settled = stored(settled, "settled")
+        rest = onward(settled).groupBy("block").applyInArrow(_settle_rare(ready), sums)
+        settled = settled.where("key IS NOT NULL").drop("block", "packed").unionByName(rest)
     summed = settled.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     named = texts.select("key", "part") if not alike else docs.select("doc_id", row_key.alias("key"), part.alias("part"))
     if alike:

@@ -107,3 +107,20 @@ def test_blocks_round_trip():
     code = lm._codes(np.array([2, 70000, 0, 5]), np.array([0, 3, 4]))
     h, w = lm._uncode(code)
     assert h.tolist() == [1, 2, 70000, 1] and w.tolist() == [2, 70000, 0, 5]
+
+
+def test_rare_words_keep_their_own_bigrams(spark, sf):
+    """Words outside the broadcast table are modelled one by one: the same scores as with all words known."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    f = crc_bucket(F.col("doc_id"), 10)
+    found, scorer = lm.score_texts(docs, held_out=f == 0, deleted=f == 1, heavy_size=200, table_size=300)
+    assert len(scorer.vocabulary.words) <= 301 < scorer.vocabulary.distinct
+    want = brute(rows, scorer, 1 << 60)
+    plain = run(docs)[1]
+    assert np.allclose(scorer.weights, plain.weights)
+    for r in found.collect():
+        n_tokens, n_known, n, base, score = want[r.doc_id, dict(rows)[r.doc_id]]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
