@@ -92,3 +92,26 @@ def test_odd_and_empty_rows(spark, odd_docs, no_docs, sf):
     assert find_leaks(odd_docs, bench).count() == 0
     assert find_leaks(no_docs, bench).count() == 0
     assert find_leaks(odd_docs, bench.where("false")).count() == 0
+
+
+def test_shifted_cut_and_reordered_passages(spark):
+    """Leaks whose best window stands at other offsets than the item's, or where the text is shorter than the item."""
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    item = say(60)
+    docs = [
+        (1, item[3:] + say(40)), (2, say(40) + item[:-3]), (3, say(40) + item[:30] + item[31:]), (4, say(20) + item[30:] + item[:30] + say(20)),
+        (5, say(9) + item[:20] + ["new"] + item[20:] + say(9)), (6, item[:30] + item[31:] + say(20)), (7, say(80)), (8, item[30:] + item[:30]),
+    ]
+    short = [(20, item[3:]), (21, item[:-6]), (22, item[5:-6]), (23, item[12:]), (24, item[:3])]
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    want = brute([(i, " ".join(w)) for i, w in docs], [(0, " ".join(item))])
+    assert {d for d, _ in want} >= {1, 2, 4, 5, 8}
+    for d, w in short:
+        n = len(shingled(w))
+        if n / 56 >= 0.8:
+            want[d, 0] = round(n / 56, 9)
+    found = find_leaks(frame(docs + short, "doc_id"), frame([(0, item)], "item_id"))
+    assert got(found) == want
+    assert {r.doc_id: (r.start, r.n_words) for r in found.collect()}[20] == (0, 57)
