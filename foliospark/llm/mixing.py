@@ -2,20 +2,22 @@
 
 A classifier fitted on the labelled documents predicts each document's posterior over domains; rates
 (how often a document is to be taken, on average) are fitted so that the expected tokens by domain meet
-the targets: minimise sum_k (sum_d r_d n_d p_dk - T_k)^2 / S_k + ridge, subject to r >= 0, by projected
-gradient. T_k is the target share of all tokens and S_k what domain k has at rate 1, so that a rare
-domain counts as much as a frequent one.
+the targets: minimise sum_k (sum_d r_d n_d p_dk - T_k)^2 / S_k + ridge, subject to r >= 0. T_k is the
+target share of all tokens and S_k what domain k has at rate 1, so that a rare domain counts as much as a
+frequent one. This is the least-squares solution; where posteriors are too soft to tell domains apart, no
+rates meet the targets, and the solution misses them by as little as it can.
 
 The classifier is naive Bayes over word hashes of a bounded number of FEATURES, with posteriors tempered
-by text length so that they stay soft. Each step of the descent is one distributed sum of K numbers
-over the documents' (tokens, posteriors); the rate of a document follows from its own posteriors and the
-K-vector of each step, so no rate is ever gathered.
+by text length so that they stay soft. At the solution a document's rate follows from its own posteriors
+and one K-vector, so the problem is solved in that vector by Newton steps until its gradient is nearly 0.
+Each step is one distributed sum of ten numbers over (tokens, posteriors); no rate is ever gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from foliospark.llm.common import stored
 
 FEATURES = 1 << 14
 LABELLED = 200_000  # documents the classifier is fitted on
-STEPS = 24
+STEPS = 24  # of the plain descent
+PASSES, SETTLED = 200, 1e-8  # most sums over all documents; the gradient, as a share of a domain, that ends them
 RIDGE = 0.002  # pull of every rate towards 1
 TEMPER = 10.0  # words of evidence a posterior counts at most
 ALPHA = 0.5
@@ -76,7 +79,9 @@ def posteriors(texts: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS) -> tuple[list[list[float]], float]:
-    """The K-vectors of the descent over members(tokens, p), and its step length.
+    """The K-vectors of a plain descent over members(tokens, p) of so many steps, and its step length.
+
+    It takes thousands of steps to settle, so `solve_rates` is what `mix` uses; this is what it is held against.
 
     In units of all tokens: a_k = sum_d r_d n_d p_dk / N, target t_k, s_k = a_k at rate 1. The gradient for
     document d, per token, is sum_k p_dk (a_k - t_k) / s_k + RIDGE (r_d - 1). Posteriors sum to 1, so the
@@ -102,6 +107,56 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps:
     return history, eta
 
 
+def settled_rate(p: Column, g: list[float]) -> Column:
+    """The rate at which the gradient, projected on r >= 0, is 0 for a document, if g is the vector of all."""
+    return F.greatest(F.lit(0.0), 1 - sum((p[k] * F.lit(float(x)) for k, x in enumerate(g)), F.lit(0.0)) / RIDGE)
+
+
+def solve_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS) -> list[float]:
+    """The vector g_k = (a_k - t_k) / s_k of the least-squares rates over members(tokens, p).
+
+    Units are those of fit_rates. With r(g) from settled_rate, g is the minimum of the convex function
+    sum_k (s_k g_k^2 / 2 + t_k g_k) + RIDGE / 2 sum_d n_d r_d(g)^2 / N, found by Newton steps with halving.
+    """
+    n = len(DOMAINS)
+    want = np.array([float(targets.get(d, 0.0)) for d in DOMAINS])
+    want /= want.sum() or 1.0
+    first = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[k]) for k in range(n)]).first()
+    total = first[0]
+    if not total:
+        return [0.0] * n
+    share = np.array(first[1:]) / total
+    live = np.flatnonzero(share > 1e-12)  # what no document has is out of reach
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def at(g):
+        r, p = settled_rate(F.col("p"), list(g)), lambda k: F.col("p")[k]
+        on = F.when(r > 0, F.col("tokens")).otherwise(0)
+        sums = [F.sum(F.col("tokens") * r * r), *[F.sum(F.col("tokens") * r * p(k)) for k in range(n)], *[F.sum(on * p(i) * p(j)) for i, j in pairs]]
+        row = np.array(members.agg(*sums).first(), dtype=float) / total
+        curve = np.diag(share)
+        for (i, j), x in zip(pairs, row[n + 1 :], strict=True):
+            curve[i, j] += x / RIDGE
+            curve[j, i] = curve[i, j]
+        return share @ (g * g) / 2 + want @ g + RIDGE / 2 * row[0], (share * g + want - row[1 : n + 1])[live], curve[np.ix_(live, live)]
+
+    g = np.zeros(n)
+    value, slope, curve = at(g)
+    step, length = None, 1.0
+    for _ in range(PASSES):
+        if np.abs(slope / share[live]).max() < SETTLED:
+            return g.tolist()
+        if step is None:
+            step, length = np.zeros(n), 1.0
+            step[live] = -np.linalg.solve(curve, slope)
+        new = at(g + length * step)
+        if new[0] <= value + 1e-4 * length * (slope @ step[live]) + 1e-13 * abs(value):
+            g, (value, slope, curve), step = g + length * step, new, None
+        else:
+            length /= 2
+    raise RuntimeError(f"rates did not settle within {PASSES} passes")
+
+
 def rate(p: Column, history: list[list[float]], eta: float) -> Column:
     """The rate after the recorded steps, from 1: each is a gradient step and a projection on r >= 0."""
     if not history:
@@ -116,7 +171,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
 
     labels has (doc_id, quality, toxic). A null or blank text has no tokens, equal posteriors and rate 0.
     Rows of one doc_id and text share their result; other columns are ignored. Targets are shares,
-    normalised to 1; missing domains have target 0. An empty table gives an empty table, and without
+    normalised to 1; missing domains have target 0; they are met as far as posteriors allow. An empty table gives an empty table, and without
     labels posteriors are equal and rates stay near 1.
     """
     alike = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().count() < docs.count()
@@ -125,10 +180,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     texts = keyed.select("key", "text")
     members = stored(posteriors(texts.dropDuplicates(["key"]) if alike else texts, train(docs, labels)), "members")
     copies = keyed.select("doc_id", "key").join(members, "key", "left")
-    history, eta = fit_rates(members, targets)
+    g = solve_rates(members, targets)
     k = len(DOMAINS)
     p = F.coalesce("p", F.array(*[F.lit(1.0 / k)] * k))
     return copies.select(
         "doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), *[p[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)],
-        F.when(F.col("tokens") > 0, rate(F.col("p"), history, eta)).otherwise(F.lit(0.0)).alias("rate"),
+        F.when(F.col("tokens") > 0, settled_rate(F.col("p"), g)).otherwise(F.lit(0.0)).alias("rate"),
     )

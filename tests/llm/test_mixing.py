@@ -46,3 +46,33 @@ def test_odd_and_empty_rows(spark, odd_docs, no_docs):
     assert all(r.rate >= 0 and abs(r.p_good + r.p_poor + r.p_toxic - 1) < 1e-9 for r in rows)
     assert mixing.mix(odd_docs, none).count() == len(rows)
     assert mixing.mix(no_docs, none).count() == 0
+
+
+def test_rates_are_the_least_squares_solution(spark):
+    """No projected gradient is left on sf0.1, where a short descent stays far from it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = [r for r in mixing.mix(docs, labels).collect() if r.tokens]
+    n = sum(r.tokens for r in rows)
+    p = lambda r: [r[f"p_{d}"] for d in mixing.DOMAINS]
+    a = [sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) / n for d in mixing.DOMAINS]
+    s = [sum(r.tokens * r[f"p_{d}"] for r in rows) / n for d in mixing.DOMAINS]
+    print("shares", dict(zip(mixing.DOMAINS, a, strict=True)), "rate 0:", sum(r.rate == 0 for r in rows) / len(rows), "most:", max(r.rate for r in rows))
+    g = [(x - mixing.TARGETS[d]) / y for x, y, d in zip(a, s, mixing.DOMAINS, strict=True)]
+    for r in rows:
+        slope = sum(x * y for x, y in zip(p(r), g, strict=True)) + mixing.RIDGE * (r.rate - 1)
+        assert abs(r.rate - max(0.0, r.rate - slope)) < 1e-6
+
+
+def test_solution_is_where_the_plain_descent_ends(spark):
+    members = [(10, [0.9, 0.1, 0.0]), (30, [0.2, 0.7, 0.1]), (5, [0.0, 0.0, 1.0]), (50, [0.6, 0.3, 0.1])]
+    n, r = sum(t for t, _ in members), [1.0] * 4
+    want, share = (0.9, 0.1, 0.0), [sum(t * p[k] for t, p in members) / n for k in range(3)]
+    for _ in range(200_000):
+        a = [sum(x * t * p[k] for x, (t, p) in zip(r, members, strict=True)) / n for k in range(3)]
+        g = [(a[k] - want[k]) / share[k] for k in range(3)]
+        r = [max(0.0, x - (sum(p[k] * g[k] for k in range(3)) + mixing.RIDGE * (x - 1)) / (1 + mixing.RIDGE)) for x, (_, p) in zip(r, members, strict=True)]
+    table = spark.createDataFrame(members, "tokens long, p array<double>")
+    found = mixing.solve_rates(table, {"good": 0.9, "poor": 0.1})
+    got = [x[0] for x in table.select(mixing.settled_rate(table.p, found)).collect()]
+    assert all(abs(x - y) < 1e-4 for x, y in zip(got, r, strict=True))
+    assert mixing.solve_rates(table.where("false")) == [0.0] * 3
