@@ -70,6 +70,16 @@ def _sum_blocks(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([packed], pa.binary())})
 
 
+def _signatures(value: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Both halves of each row's signature: sums over its set; 0 for an empty set."""
+    total = np.zeros((2, len(offset) - 1), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(offset) > 0)
+    if len(full):
+        total[0, full] = np.add.reduceat(at.mix(value + np.uint64(1)), offset[:-1][full])
+        total[1, full] = np.add.reduceat(at.mix(value ^ np.uint64(0xA5A5A5A55A5A5A5A)), offset[:-1][full])
+    return total.view(np.int64)
+
+
 def _prefixes(k: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, dtype=np.uint16)
@@ -85,19 +95,15 @@ def _prefixes(k: int, percent: int, counts):
                 prefix = np.empty(ends[-1], dtype=np.uint64)
                 for i, (a, b) in enumerate(zip(offset[:-1], offset[1:], strict=True)):
                     prefix[ends[i] : ends[i + 1]] = value[a:b][np.argsort(rank[a:b], kind="stable")[: take[i]]]
-                total = np.zeros((2, len(size)), dtype=np.uint64)
-                full = np.flatnonzero(size > 0)
-                if len(full):
-                    total[0, full] = np.add.reduceat(at.mix(value + np.uint64(1)), offset[:-1][full])
-                    total[1, full] = np.add.reduceat(at.mix(value ^ np.uint64(0xA5A5A5A55A5A5A5A)), offset[:-1][full])
+                total = _signatures(value, offset)
                 hist = np.bincount(rows * RANGES + (value >> np.uint64(58)).astype(np.int64), minlength=len(size) * RANGES)
                 hist = (np.minimum(hist, 255) - 128).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(size),
-                        pa.array(total[0].view(np.int64)),
-                        pa.array(total[1].view(np.int64)),
+                        pa.array(total[0]),
+                        pa.array(total[1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * RANGES), pa.array(hist)),
                         at.lists(prefix, ends),
                     ],
@@ -108,22 +114,20 @@ def _prefixes(k: int, percent: int, counts):
 
 
 def _sets(k: int):
-    """Whole sets, with their signatures; of repeated rows a task keeps one."""
+    """Whole sets of texts, with their signatures; of equal ones a task keeps one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            nodes = batch.column("node").to_pylist()
-            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
-            for part in at.slices(batch.take(pa.array(fresh, pa.int64())), "text"):
+            for part in at.slices(batch, "text"):
                 value, offset = at.shingles(*at.word_hashes(part.column("text")), k)
-                full = np.flatnonzero(np.diff(offset) > 0)
-                total = np.zeros(part.num_rows, dtype=np.uint64)
-                if len(full):
-                    total[full] = np.add.reduceat(at.mix(value + np.uint64(1)), offset[:-1][full])
+                total, size = _signatures(value, offset), np.diff(offset)
+                names = zip(*total.tolist(), size.tolist(), strict=True)
+                fresh = np.array([not (x in seen or seen.add(x)) for x in names], dtype=bool)
+                ends = np.concatenate([[0], np.cumsum(size[fresh])]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("sig"), pa.array(total.view(np.int64)), at.lists(value, offset)],
-                    ["node", "sig", "found", "items"],
+                    [pa.array(total[0][fresh]), pa.array(total[1][fresh]), pa.array(size[fresh]), at.lists(value[np.repeat(fresh, size)], ends)],
+                    ["sig", "sig2", "n", "items"],
                 )
 
     return run
@@ -197,19 +201,18 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
 def _sets_of(wanted: DataFrame, rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, items) of the wanted nodes, from the text of one row each.
 
-    The row is named by doc_id; as ids may repeat with other texts, the signature of what is found decides.
+    The row is named by its doc_id (null only if no row of the node has one). As ids may be null or repeat
+    with other texts, all texts of these ids are hashed, and the signature of each says which node it is.
     """
-    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"), F.min("sig").alias("sig")
-    )
+    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = stored(named, "wanted")
-    if named.count() <= SMALL:
-        named = F.broadcast(named)
-    there = texts.where("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(named, "doc_id")
-    found = there.select("node", "sig", "text").mapInArrow(
-        _sets(k), "node long, sig long, found long, items array<long>"
-    )
-    return stored(found.where("sig = found").select("node", "items"), "sets")
+    n = named.count()
+    small = F.broadcast if n <= SMALL else lambda x: x
+    there = texts.where("text is not null").join(small(named.select("doc_id").distinct()), texts["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
+    found = there.select("text").mapInArrow(_sets(k), "sig long, sig2 long, n long, items array<long>")
+    found = found.select(F.xxhash64("sig", "sig2", "n").alias("node"), "items").join(small(named.select("node")), "node", "left_semi")
+    sets = stored(found, "sets")
+    return sets if sets.count() == n else stored(sets.dropDuplicates(["node"]), "sets")  # more: equal texts of one id
 
 
 def _links(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame | None:

@@ -66,3 +66,21 @@ def test_odd_and_empty_rows(spark, odd_docs, no_docs):
     assert got(found) == brute(rows, 4, 85)
     assert found.count() == len(rows)
     assert similar_documents(no_docs).count() == 0
+
+
+def test_near_duplicates_under_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    say = lambda n: [rng.choice([f"w{i}" for i in range(500)]) for _ in range(n)]
+    rows = []
+    for g in range(6):  # groups of near duplicates: ids that are null, repeated with other texts, or proper
+        text = say(120)
+        for j, i in enumerate((None, None, 7, 100 + g, None)):
+            other = list(text)
+            other[20 * j] = "changed"
+            rows.append((i, " ".join(other)))
+        rows.append((200 + g, rows[-1][1]))  # a copy, with an id, of a row without one
+        rows.append((7, " ".join(say(60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    want = brute(rows, 4, 85)
+    assert got(similar_documents(docs)) == want
+    assert got(similar_documents(docs.repartition(5))) == want
