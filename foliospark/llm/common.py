@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliospark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes what stored() has written once nothing reads it any more, and lets Spark drop what led to it.
+
+    Only for tables whose readers have all ended in another stored table or on the driver. Spark deletes
+    shuffle files when the driver's garbage is collected, which a long run of small jobs may never cause.
+    """
+    for kept in tables:
+        if kept is not None and (path := getattr(kept, "_stored_at", None)):
+            session = kept.sparkSession
+            where = session._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are stored."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def crc_bucket(doc_id, modulus: int):

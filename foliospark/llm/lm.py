@@ -1,21 +1,25 @@
 """LM scoring by deleted interpolation.
 
-The model is a bigram model over all words of the training texts; <unk> is only what they do not hold:
+The model is a bigram model over all words of the training texts:
 
   P(w | h) = l2(b) c(h, w) / c(h) + l1(b) c(w) / N + l0(b) / K,   b the bucket of c(h)
 
 The weights of each context-frequency bucket are learned by expectation-maximisation on the counts of a
 deleted part of the training texts, under estimates from the rest. Afterwards all training texts count.
 
-All counts cover all texts. Words and word pairs travel to their counts as packed blocks: a task sorts
-what it has read, cuts it by ranges of the hash and sends a few bytes an item. Words that make up at
-least one token in VOCABULARY are at most that many, and so are pairs of them that make up one in HEAVY;
-they are counted first and known to every task. All others are rare by definition, so no range of hashes
-can hold a hot item. A pair with a rare word goes to that word's range, where its count is known; a pair
-of two rare words goes to the first one's range and, with what was found there, on to the second one's.
+All counts cover all texts, and no word or pair is pooled or left out. Words of at least one token in
+VOCABULARY are at most that many, and so are pairs of them of at least one in HEAVY; they are counted
+first and known to every task. All others are rare by definition, so no range of hashes can hold a hot
+item. Texts are taken in pieces of about FLUSH tokens, and a piece sends packed blocks, a few bytes a
+token, to the ranges of the hash:
 
-With a vocabulary_size, words below that share are pooled in the class <unk> instead, inside which a word
-has its smoothed relative frequency.
+- the pairs of two frequent words, by their code;
+- the rare words with what stands before and behind them, by the word. There its count is known, and so
+  are the counts of its pairs with frequent words. Pairs of two rare words go on, with what was found, to
+  the range of the second word.
+
+For the weights a range turns its pairs into cells of equal estimates, which are a grid of fixed size.
+For the scores it sends the sums of each text back to the text's piece, which adds them up.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
-from foliospark.llm.common import stored
+from foliospark.llm.common import release, stored, tidy
 
 VOCABULARY = 1 << 16
 HEAVY = 1 << 17
@@ -37,10 +42,13 @@ FLUSH = 1_500_000  # tokens a task gathers before it sends blocks
 BLOCK = 1_000_000  # tokens a range of hashes holds about
 BUCKETS = 42
 END = np.uint64(0x51ED270B0A1F3C55)
-UNK, BOS = 0, 1  # classes; vocabulary words follow from 2
+RARE, BOS = 0, 1  # classes: a word that is not frequent, the start of a text; frequent words follow from 2
 BITS = 34  # of a pair code: two classes of 17 bits
 _SPREAD = 0x2545F491 | 1
 _SPREAD_BACK = pow(_SPREAD, -1, 1 << BITS)
+#: Kinds of messages to a range: what is known of a piece's texts, rare words, pairs of frequent words, counts of words.
+HEAD, WORDS, PAIRS, COUNTS, ONWARD = range(5)
+MESSAGES = "block int, kind int, packed binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -53,15 +61,31 @@ def pack(*columns: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
+class Reader:
+    """What pack() and raw doubles have written one behind the other."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.pos = raw, 0
+
+    def columns(self, count: int) -> list[np.ndarray]:
+        n, out = int(np.frombuffer(self.raw, "<u8", 1, self.pos)[0]), []
+        self.pos += 8
+        for _ in range(count):
+            planes = self.raw[self.pos]
+            wide = np.zeros((n, 8), dtype=np.uint8)
+            wide[:, :planes] = np.frombuffer(self.raw, np.uint8, planes * n, self.pos + 1).reshape(planes, n).T
+            out.append(wide.view("<u8")[:, 0])
+            self.pos += 1 + planes * n
+        return out
+
+    def doubles(self, n: int) -> np.ndarray:
+        out = np.frombuffer(self.raw, "<f8", n, self.pos)
+        self.pos += 8 * n
+        return out
+
+
 def unpack(raw: bytes, n_columns: int) -> list[np.ndarray]:
-    n, pos, out = int(np.frombuffer(raw, "<u8", 1)[0]), 8, []
-    for _ in range(n_columns):
-        planes = raw[pos]
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :planes] = np.frombuffer(raw, np.uint8, planes * n, pos + 1).reshape(planes, n).T
-        out.append(wide.view("<u8")[:, 0])
-        pos += 1 + planes * n
-    return out
+    return Reader(raw).columns(n_columns)
 
 
 def _deltas(sorted_values: np.ndarray) -> np.ndarray:
@@ -151,14 +175,14 @@ def _word_counts(key: tuple, group: pa.Table) -> pa.Table:
     )
 
 
-def _frequent(tokens: int, vocabulary: int):
+def _frequent(tokens: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for raw in batch.column("packed").to_pylist():
                 delta, a, b = unpack(raw, 3)
                 value = np.cumsum(delta, dtype=np.uint64)
-                big = np.flatnonzero(((a + b) * np.uint64(vocabulary) >= tokens) | (value == END))
+                big = np.flatnonzero(((a + b) * np.uint64(limit) >= tokens) | (value == END))
                 found.append(pack(value[big], a[big], b[big]))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["packed"])
 
@@ -167,42 +191,31 @@ def _frequent(tokens: int, vocabulary: int):
 
 @dataclass
 class Vocabulary:
-    """Hashes in order, counts by class (kept, deleted; contexts for BOS), and what <unk> holds.
-
-    If it is open, other words are no class: <unk> then only says that a word's counts are not here.
-    """
+    """The frequent words: hashes in order, and counts by class (kept, deleted; texts for BOS, all rare words for RARE)."""
 
     words: np.ndarray
     kept: np.ndarray
     deleted: np.ndarray
     tokens: int
     distinct: int
-    open: bool = False
 
     @property
     def counts(self) -> np.ndarray:
         return self.kept + self.deleted
 
-    def contexts(self, counts: np.ndarray) -> np.ndarray:
-        """How often each class stands before a token: every token but ends, and the start of each text."""
-        out = counts.copy()
-        if END not in self.words:
-            out[UNK] -= counts[BOS]
-        return out
-
     @property
-    def classes(self) -> int:
-        return (self.distinct if self.open else len(self.words)) + 1  # <unk> and the words; BOS is never predicted
+    def outcomes(self) -> int:
+        return self.distinct + 1  # all words, and one that training does not hold
 
     def classify(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(tokens), dtype=np.int64)
         place = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[place] == tokens, place + 2, UNK)
+        return np.where(self.words[place] == tokens, place + 2, RARE)
 
 
-def _vocabulary(texts: DataFrame, blocks: int, limit: int, whole: bool) -> tuple[Vocabulary, DataFrame]:
-    """The words of a share of one in `limit` and the counts (block, packed) of all; whole: the rest are words, too."""
+def _vocabulary(texts: DataFrame, blocks: int, limit: int) -> tuple[Vocabulary, DataFrame]:
+    """The words of a share of one in `limit`, with the end token, and the counts (block, kind, packed) of all."""
     counted = texts.where("part != 0").mapInArrow(_count_words(blocks), "block int, packed binary").groupBy("block")
     words = stored(counted.applyInArrow(_word_counts, "kept long, deleted long, distinct long, packed binary, block int"), "words")
     kept_all, deleted_all, distinct = (x or 0 for x in words.agg(F.sum("kept"), F.sum("deleted"), F.sum("distinct")).first())
@@ -212,29 +225,20 @@ def _vocabulary(texts: DataFrame, blocks: int, limit: int, whole: bool) -> tuple
     order = np.argsort(columns[0])
     value, a, b = columns[0][order], columns[1][order].astype(np.int64), columns[2][order].astype(np.int64)
     texts_kept, texts_deleted = (int(x[value == END].sum()) for x in (a, b))
-    big = ((a + b) * limit >= max(tokens, 1)) | whole  # the end token may be too rare for the vocabulary
-    value, a, b = value[big], a[big], b[big]
-    vocabulary = Vocabulary(
-        value,
-        np.concatenate([[kept_all - a.sum(), texts_kept], a]).astype(np.int64),
-        np.concatenate([[deleted_all - b.sum(), texts_deleted], b]).astype(np.int64),
-        tokens,
-        distinct,
-        whole,
+    return (
+        Vocabulary(
+            value,
+            np.concatenate([[kept_all - a.sum(), texts_kept], a]).astype(np.int64),
+            np.concatenate([[deleted_all - b.sum(), texts_deleted], b]).astype(np.int64),
+            tokens,
+            distinct,
+        ),
+        words,
     )
-    return vocabulary, words.select("block", "packed")
-
 
-def _before(values: np.ndarray, offset: np.ndarray, start) -> np.ndarray:
-    """What stands before each token; `start` at the start of a text."""
-    before = np.concatenate([values[:0], [values.dtype.type(start)], values[:-1]])
-    before[offset[:-1]] = start
-    return before
 
-
-def _codes(classes: np.ndarray, offset: np.ndarray) -> np.ndarray:
+def _codes(before: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Codes of the pairs (class before, class): bijective, spread over BITS bits."""
-    before = _before(classes, offset, BOS)
     plain = (before.astype(np.uint64) << np.uint64(17)) | classes.astype(np.uint64)
     return (plain * np.uint64(_SPREAD)) & np.uint64((1 << BITS) - 1)
 
@@ -244,50 +248,62 @@ def _uncode(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (plain >> np.uint64(17)).astype(np.int64), (plain & np.uint64((1 << 17) - 1)).astype(np.int64)
 
 
-#: Kinds of pairs by what is rare in them; 3 and 5 go to the range of the word before, 4 to that of the word.
-COMMON, RARE_BEFORE, RARE_AFTER, RARE_BOTH = 2, 3, 4, 5
+def _firsts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each distinct value of sorted ones stands first."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
 
+def _grouped(sorted_values: np.ndarray) -> bytes:
+    """Sorted values as distinct ones with their numbers."""
+    first = _firsts(sorted_values)
+    return pack(_deltas(sorted_values[first]), np.diff(np.append(first, len(sorted_values))))
 
-def _rare_pairs(tokens: np.ndarray, classes: np.ndarray, offset: np.ndarray):
-    """(kind, where, hash that leads, class or hash of the other word) of the pairs that hold a word of no class."""
-    before, prior = _before(classes, offset, BOS), _before(tokens, offset, 0)
-    here, ahead = classes == UNK, before == UNK
-    for kind, pick, lead, other in (
-        (RARE_BEFORE, ahead & ~here, prior, classes), (RARE_AFTER, here & ~ahead, tokens, before), (RARE_BOTH, ahead & here, prior, tokens)
-    ):
-        where = np.flatnonzero(pick)
-        yield kind, where, lead[where], other[where].astype(np.uint64)
 
+def _pair_messages(code: np.ndarray, mark: np.ndarray, name: int, blocks: int) -> Iterator[tuple[int, int, bytes]]:
+    order = np.argsort(code)
+    code, mark = code[order], mark[order]
+    for b, i, j in _ranges(code, BITS, blocks):
+        yield b, PAIRS, pack(np.array([name], np.uint64)) + _grouped(code[i:j]) + pack(mark[i:j])
+
+
+def _word_messages(tokens: np.ndarray, classes: np.ndarray, before: np.ndarray, mark: np.ndarray, name: int, blocks: int) -> Iterator[tuple[int, int, bytes]]:
+    """Of each rare word (never the last token of a text): its mark, the class before it, and the class or the hash behind it."""
+    where = np.flatnonzero(classes == RARE)
+    where = where[np.argsort(tokens[where])]
+    lead, behind = tokens[where], classes[where + 1]
+    for b, i, j in _ranges(lead, 64, blocks):
+        own = where[i:j]
+        both = own[behind[i:j] == RARE] + 1
+        yield b, WORDS, pack(np.array([name], np.uint64)) + _grouped(lead[i:j]) + pack(mark[own], before[own], behind[i:j]) + pack(tokens[both])
+
+
+def _before(classes: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The class that stands before each token; BOS at the start of a text."""
+    before = np.concatenate([[BOS], classes[:-1]])
+    before[offset[:-1]] = BOS
+    return before
+
+
+def _count_messages(shared, blocks: int):
+    """The pairs of training texts; a mark is whether the text is deleted."""
 
-def _count_pairs(shared, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
         for tokens, offset, rows in _pieces(batches):
-            deleted = np.repeat(rows.column("part").to_numpy() == 1, np.diff(offset))
+            mark = np.repeat(rows.column("part").to_numpy() == 1, np.diff(offset)).astype(np.uint64)
             classes = vocabulary.classify(tokens)
-            code, out = _codes(classes, offset), []
-            both = np.ones(len(code), dtype=bool)
-            if vocabulary.open:
-                for kind, where, lead, other in _rare_pairs(tokens, classes, offset):
-                    both[where] = False
-                    order = np.lexsort((other, lead))
-                    lead, other, gone = lead[order], other[order], deleted[where][order].astype(np.int64)
-                    if not len(lead):
-                        continue
-                    first = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (other[1:] != other[:-1])]))
-                    total, gone = np.diff(np.append(first, len(lead))), np.add.reduceat(gone, first)
-                    lead, other = lead[first], other[first]
-                    out += [(k, kind, pack(_deltas(lead[i:j]), other[i:j], total[i:j] - gone[i:j], gone[i:j])) for k, i, j in _ranges(lead, 64, blocks)]
-            code, a, b = _tally(code[both], deleted[both])
-            out += [(k, COMMON, pack(_deltas(code[i:j]), a[i:j], b[i:j])) for k, i, j in _ranges(code, BITS, blocks)]
-            yield _messages(out)
+            before = _before(classes, offset)
+            both = np.flatnonzero((classes != RARE) & (before != RARE))
+            yield _messages(_pair_messages(_codes(before[both], classes[both]), mark[both], 0, blocks))
+            yield _messages(_word_messages(tokens, classes, before, mark, 0, blocks))
 
     return run
 
 
-def _messages(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _messages(sent: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    sent = list(sent)
     return pa.RecordBatch.from_arrays(
-        [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
+        [pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())],
         ["block", "kind", "packed"],
     )
 
@@ -300,20 +316,48 @@ def _looked_up(words: np.ndarray, counts: np.ndarray, value: np.ndarray) -> np.n
     return np.where(words[place] == value, counts[place], 0).astype(np.int64)
 
 
-def _same_pairs(lead: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct pair stands first, and the number of the pair at each place."""
-    _, first, back = np.unique(at.mix(lead ^ at.mix(other + np.uint64(1))), return_index=True, return_inverse=True)
-    return first, back
-
-
 def _of_kind(group: pa.Table, kind: int) -> list[bytes]:
     return [x for k, x in zip(group.column("kind").to_pylist(), group.column("packed").to_pylist(), strict=True) if k == kind]
 
 
-def _joint(raws: list[bytes], n_columns: int) -> list[np.ndarray]:
-    """The columns of all messages, the first from its differences."""
-    got = [unpack(x, n_columns) for x in raws] or [[np.zeros(0, np.uint64)] * n_columns]
-    return [np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), *(np.concatenate([g[i] for g in got]) for i in range(1, n_columns))]
+def _gathered(raws: list[bytes], n_columns: int, more: bool = False) -> tuple[np.ndarray, ...]:
+    """Of messages of grouped values: each entry's value, message number and columns; the messages' names; what follows (more)."""
+    names, value, of, columns, rest = [], [], [], [], []
+    for i, raw in enumerate(raws):
+        r = Reader(raw)
+        names.append(r.columns(1)[0])
+        delta, times = r.columns(2)
+        value.append(np.repeat(np.cumsum(delta, dtype=np.uint64), times.astype(np.int64)))
+        of.append(np.full(len(value[-1]), i))
+        columns.append(r.columns(n_columns))
+        if more:
+            rest.append(r.columns(1)[0])
+    joined = lambda x, kind=np.uint64: np.concatenate(x) if x else np.zeros(0, kind)
+    return joined(value), joined(of, np.int64), [joined([c[i] for c in columns]).astype(np.int64) for i in range(n_columns)], joined(names), joined(rest)
+
+
+def _ranked(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place in them."""
+    return np.unique(lead, return_inverse=True)
+
+
+def _word_pairs(raws: list[bytes]):
+    """The messages of rare words: distinct words, each entry's word number, message number, mark, names, and its pairs.
+
+    Pairs are (entries, keys, other) of: this word and a frequent one behind, a frequent one before and
+    this word, this word and a rare one behind; keys are equal for equal pairs.
+    """
+    lead, of, (mark, before, behind), names, follow = _gathered(raws, 3, more=True)
+    words, rank = _ranked(lead)
+    common = np.flatnonzero(behind != RARE)
+    after = np.flatnonzero(before != RARE)
+    both = np.flatnonzero(behind == RARE)
+    pairs = (
+        (common, (rank[common] << 17) | behind[common], behind[common]),
+        (after, (rank[after] << 17) | before[after], before[after]),
+        (both, at.mix(at.mix(rank[both].astype(np.uint64) + np.uint64(1)) ^ follow), follow),
+    )
+    return words, rank, of, mark, names, pairs
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -331,6 +375,14 @@ def _summed_cells(cell: np.ndarray, mass: np.ndarray) -> pa.Table:
     return pa.table({"cell": pa.array(cells, pa.int64()), "mass": pa.array(sums, pa.int64())})
 
 
+def _cells(a: np.ndarray, b: np.ndarray, context: np.ndarray, single: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _half_cells(a, context) * 512 + _fineness(single / n), b
+
+
+def _half_cells(a: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return bucket(context) * 512 + _fineness(np.where(context > 0, a / np.maximum(context, 1), 0.0))
+
+
 FACTS = "cell long, mass long, heavy binary, block int, packed binary"
 
 
@@ -340,69 +392,76 @@ def _filled(table: pa.Table, kinds: dict[str, pa.DataType]) -> pa.Table:
 
 
 def _pair_facts(shared, limit: int, blocks: int):
-    """Of one range of pairs: the heavy ones, and the deleted counts by bucket and by size of both estimates.
+    """Of one range: the heavy pairs, and the deleted counts by bucket and by size of both estimates.
 
     Pairs of two rare words go on, with the deleted counts and the half of the cell that is known.
     """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         vocabulary: Vocabulary = shared.value
-        n, contexts = max(int(vocabulary.kept.sum() - vocabulary.kept[BOS]), 1), vocabulary.contexts(vocabulary.kept)
-        words, kept, _ = _joint(_of_kind(group, 0), 3)
-        code, a, b = _joint(_of_kind(group, COMMON), 3)
-        first, back = _same_pairs(code, np.zeros(len(code), np.uint64))
-        a, b = (np.bincount(back, weights=x, minlength=len(first)).astype(np.int64) for x in (a, b))
-        h, w = _uncode(code[first])
-        heavy = np.flatnonzero((a + b) * limit >= vocabulary.tokens)
-        tables = [pa.table({"heavy": pa.array([pack(code[first][heavy], a[heavy] + b[heavy])], pa.binary())})]
-        cells, masses = [], []
-        found = [(a, b, contexts[h], vocabulary.kept[w], None)]
-        for kind in (RARE_BEFORE, RARE_AFTER, RARE_BOTH):
-            lead, other, a, b = _joint(_of_kind(group, kind), 4)
-            first, back = _same_pairs(lead, other)
-            a, b = (np.bincount(back, weights=x, minlength=len(first)).astype(np.int64) for x in (a, b))
-            own, other = _looked_up(words, kept, lead[first]), other[first]
-            if kind == RARE_BOTH:
-                found.append((a, b, own, None, other))
+        n = max(int(vocabulary.kept.sum() - vocabulary.kept[BOS]), 1)
+        code, _, (gone,), _, _ = _gathered(_of_kind(group, PAIRS), 1)
+        codes, place = _ranked(code)
+        b = np.bincount(place, weights=gone, minlength=len(codes)).astype(np.int64)
+        total = np.bincount(place, minlength=len(codes))
+        h, w = _uncode(codes)
+        heavy = np.flatnonzero(total * limit >= vocabulary.tokens)
+        tables = [pa.table({"heavy": pa.array([pack(codes[heavy], total[heavy])], pa.binary())})]
+        held = np.flatnonzero(b)
+        found = [_cells((total - b)[held], b[held], vocabulary.kept[h[held]], vocabulary.kept[w[held]], n)]
+        words, rank, _, gone, _, pairs = _word_pairs(_of_kind(group, WORDS))
+        kept = np.bincount(rank, weights=1 - gone, minlength=len(words)).astype(np.int64)
+        for i, (entries, keys, other) in enumerate(pairs):
+            seen = gone[entries] > 0
+            wanted = np.isin(keys, keys[seen]) if seen.any() else seen  # only pairs with deleted counts matter
+            entries, keys, other = entries[wanted], keys[wanted], other[wanted]
+            _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            b = np.bincount(place, weights=gone[entries], minlength=len(first)).astype(np.int64)
+            a = np.bincount(place, minlength=len(first)) - b
+            own, other = kept[rank[entries[first]]], other[first]
+            if i == 0:
+                found.append(_cells(a, b, own, vocabulary.kept[other], n))
+            elif i == 1:
+                found.append(_cells(a, b, vocabulary.kept[other], own, n))
             else:
-                c = other.astype(np.int64)
-                found.append((a, b, own, vocabulary.kept[c], None) if kind == RARE_BEFORE else (a, b, contexts[c], own, None))
-        for a, b, context, single, after in found:
-            held = np.flatnonzero(b)
-            a, b, context = a[held], b[held], context[held]
-            half = bucket(context) * 512 + _fineness(np.where(context > 0, a / np.maximum(context, 1), 0.0))
-            if after is None:
-                cells.append(half * 512 + _fineness(single[held] / n))
-                masses.append(b)
-                continue
-            order = np.argsort(after[held])
-            after, half, b = after[held][order], half[order], b[order]
-            cuts = _ranges(after, 64, blocks)
-            sent = [pack(_deltas(after[i:j]), half[i:j], b[i:j]) for _, i, j in cuts]
-            tables.append(pa.table({"block": pa.array([c[0] for c in cuts], pa.int32()), "packed": pa.array(sent, pa.binary())}))
-        tables.append(_summed_cells(np.concatenate(cells), np.concatenate(masses)))
+                order = np.argsort(other)
+                after, half, b = other[order], _half_cells(a, own)[order], b[order]
+                cuts = _ranges(after, 64, blocks)
+                sent = [pack(_deltas(after[i:j]), half[i:j], b[i:j]) for _, i, j in cuts]
+                tables.append(pa.table({"block": pa.array([c[0] for c in cuts], pa.int32()), "packed": pa.array(sent, pa.binary())}))
+        tables.append(_summed_cells(*(np.concatenate(x) for x in zip(*found, strict=True))))
         kinds = {"cell": pa.int64(), "mass": pa.int64(), "heavy": pa.binary(), "block": pa.int32(), "packed": pa.binary()}
         return pa.concat_tables([_filled(t, kinds) for t in tables])
 
     return run
 
 
+def _counted(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a range, and their counts in kept and in deleted texts."""
+    for raw in _of_kind(group, COUNTS):
+        delta, a, b = unpack(raw, 3)
+        return np.cumsum(delta, dtype=np.uint64), a.astype(np.int64), b.astype(np.int64)
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
 def _rare_facts(shared):
     """Of one range of words: the cells of the pairs of two rare words whose second word is here."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         n = max(int(shared.value.kept.sum() - shared.value.kept[BOS]), 1)
-        words, kept, _ = _joint(_of_kind(group, 0), 3)
-        after, half, mass = _joint(_of_kind(group, RARE_BOTH), 3)
-        return _summed_cells(half.astype(np.int64) * 512 + _fineness(_looked_up(words, kept, after) / n), mass)
+        words, kept, _ = _counted(group)
+        got = [unpack(x, 3) for x in _of_kind(group, ONWARD)] or [[np.zeros(0, np.uint64)] * 3]
+        after = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+        half, mass = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (1, 2))
+        return _summed_cells(half * 512 + _fineness(_looked_up(words, kept, after) / n), mass)
 
     return run
 
 
-def fit_weights(cells: np.ndarray, mass: np.ndarray, classes: int, rounds: int = 100) -> np.ndarray:
+def fit_weights(cells: np.ndarray, mass: np.ndarray, outcomes: int, rounds: int = 100) -> np.ndarray:
     """l2, l1, l0 of each bucket by expectation-maximisation; a bucket without deleted counts takes its lower neighbour's."""
     of, p2, p1 = cells >> 18, (cells >> 9) & 511, cells & 511
-    p = np.stack([np.where(p2 < 511, 2.0 ** (-p2 / 8), 0.0), np.where(p1 < 511, 2.0 ** (-p1 / 8), 0.0), np.full(len(cells), 1 / classes)], axis=1)
+    p = np.stack([np.where(p2 < 511, 2.0 ** (-p2 / 8), 0.0), np.where(p1 < 511, 2.0 ** (-p1 / 8), 0.0), np.full(len(cells), 1 / outcomes)], axis=1)
     weights = np.tile(np.array([0.4, 0.5, 0.1]), (BUCKETS, 1))
     weights[0] = (0.0, 0.9, 0.1)
     seen = np.bincount(of, weights=mass, minlength=BUCKETS)
@@ -427,109 +486,89 @@ class Scorer:
     heavy: np.ndarray
     heavy_counts: np.ndarray
 
-    def log10_pairs(self, h: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-        v = self.vocabulary
-        return self.log10_mixed(v.contexts(v.counts)[h], count, v.counts[w])
-
     def log10_mixed(self, context: np.ndarray, count: np.ndarray, single: np.ndarray) -> np.ndarray:
         """Of pairs of this count, whose words have these counts as context and alone."""
         v = self.vocabulary
         l2, l1, l0 = self.weights[bucket(context)].T
-        return np.log10(l2 * count / np.maximum(context, 1) + l1 * single / max(v.tokens, 1) + l0 / v.classes)
+        return np.log10(l2 * count / np.maximum(context, 1) + l1 * single / max(v.tokens, 1) + l0 / v.outcomes)
 
     def log10_base(self, count: np.ndarray) -> np.ndarray:
         v = self.vocabulary
         return np.log10((count + 0.1) / (v.tokens + 0.1 * (v.distinct + 1)))
 
-    def log10_inside_unk(self, count: np.ndarray) -> np.ndarray:
-        v = self.vocabulary
-        if v.open:
-            return np.zeros(len(count))
-        return np.log10((count + 0.1) / (v.counts[UNK] + 0.1 * (v.distinct - len(v.words) + 1)))
 
+def _name(ids: pa.Array, ordinal: int) -> int:
+    """A piece's name: from its task, its place there, and its texts in order, so a task that runs again gives it again."""
+    task = TaskContext.get()
+    values = ids.fill_null(-1).to_numpy().view(np.uint64)
+    both = np.array([(task.partitionId() if task else 0) << 32 | ordinal], np.uint64)
+    return int(at.mix(at.mix(both) ^ (at.mix(values + np.arange(len(values), dtype=np.uint64))).sum(dtype=np.uint64))[0])
+
+
+def _sums(known: np.ndarray, base: np.ndarray, score: np.ndarray, texts: np.ndarray) -> bytes:
+    """What is found of some texts of a piece (numbers in order)."""
+    return pack(_deltas(texts.astype(np.uint64)), known) + base.astype("<f8").tobytes() + score.astype("<f8").tobytes()
 
-def _send(shared, blocks: int):
-    """Blocks of rare words and rare pairs for their counts (kinds from 1), and what is known already (kind 0)."""
+
+def _score_messages(shared, blocks: int):
+    """The words and pairs of all texts that are not known to every task, and what is known already (HEAD).
+
+    A mark is twice the number of the text in its piece, and one more in a training text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer: Scorer = shared.value
         v = scorer.vocabulary
-        for tokens, offset, rows in _pieces(batches):
-            key = rows.column("key").to_numpy().view(np.uint64)
-            train = (rows.column("part").to_numpy() != 0).astype(np.uint64)
-            doc, n_docs = at.row_numbers(offset), len(offset) - 1
+        for ordinal, (tokens, offset, rows) in enumerate(_pieces(batches)):
+            ids, part = rows.column("doc_id"), rows.column("part").to_numpy()
+            name, n = _name(ids, ordinal), len(offset) - 1
+            doc = at.row_numbers(offset)
+            mark = (2 * doc + (part != 0)[doc]).astype(np.uint64)
             classes = v.classify(tokens)
-            known = classes != UNK
-            base = np.bincount(doc[known], weights=scorer.log10_base(v.counts[classes[known]]), minlength=n_docs)
-            code = _codes(classes, offset)
-            count = np.zeros(len(code), dtype=np.int64)
-            frequent = np.zeros(len(code), dtype=bool)
+            before = _before(classes, offset)
+            known = classes != RARE
+            base = np.bincount(doc[known], weights=scorer.log10_base(v.counts[classes[known]]), minlength=n)
+            both = np.flatnonzero(known & (before != RARE))
+            code, frequent, count = _codes(before[both], classes[both]), np.zeros(len(both), dtype=bool), np.zeros(len(both), np.int64)
             if len(scorer.heavy):
                 place = np.minimum(np.searchsorted(scorer.heavy, code), len(scorer.heavy) - 1)
                 frequent = scorer.heavy[place] == code
                 count = scorer.heavy_counts[place]
-            h, w = _uncode(code[frequent])
-            score = np.bincount(doc[frequent], weights=scorer.log10_pairs(h, w, count[frequent]), minlength=n_docs)
-            n_known = np.bincount(doc[known], minlength=n_docs).astype(np.uint64)
-            head = b"".join([pack(key, np.diff(offset), n_known), base.tobytes(), score.tobytes()])
-            out = [(int(key[0] % np.uint64(blocks)) if n_docs else 0, 0, head)]
-            rare = np.flatnonzero(~known)
-            work = [(1, rare, tokens[rare], None)]
-            if v.open:
-                for x in _rare_pairs(tokens, classes, offset):
-                    frequent[x[1]] = True  # not to be sent by its code
-                    work.append(x)
-            rest = np.flatnonzero(~frequent)
-            work.append((COMMON, rest, code[rest], None))
-            for kind, where, x, other in work:
-                order = np.argsort(x, kind="stable")
-                x, d = x[order], doc[where][order].astype(np.uint64)
-                more = [] if other is None else [other[order]]
-                for b, i, j in _ranges(x, BITS if kind == COMMON else 64, blocks):
-                    own, index = np.unique(d[i:j], return_inverse=True)
-                    ids = own.astype(np.int64)
-                    out.append((b, kind, pack(_deltas(x[i:j]), *[m[i:j] for m in more], index.astype(np.uint64)) + pack(key[ids], train[ids])))
-            yield _messages(out)
+            own = both[frequent]
+            value = scorer.log10_mixed(v.counts[before[own]], count[frequent], v.counts[classes[own]])
+            score = np.bincount(doc[own], weights=value, minlength=n)
+            n_known = np.bincount(doc[known & (v.counts[classes] > 0)], minlength=n)
+            head = pack(np.array([name], np.uint64)) + pack(ids.fill_null(0).to_numpy().view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), part == 0, np.diff(offset))
+            yield _messages([(name % blocks, HEAD, head + _sums(n_known, base, score, np.arange(n)))])
+            rest = both[~frequent]
+            yield _messages(_pair_messages(code[~frequent], mark[rest], name, blocks))
+            yield _messages(_word_messages(tokens, classes, before, mark, name, blocks))
 
     return run
 
 
-def _skip(raw: bytes, n_columns: int) -> int:
-    n, pos = int(np.frombuffer(raw, "<u8", 1)[0]), 8
-    for _ in range(n_columns):
-        pos += 1 + raw[pos] * n
-    return pos
+SETTLED = "piece long, head boolean, block int, packed binary"
+_SETTLED = {"piece": pa.int64(), "head": pa.bool_(), "block": pa.int32(), "packed": pa.binary()}
 
 
-def _with_texts(raws: list[bytes], n_columns: int, n_own: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The columns of all messages, the last as numbers of texts, and what is known of the texts."""
-    own, shift = [], []
-    for raw in raws:
-        own.append(unpack(raw[_skip(raw, n_columns) :], n_own))
-        shift.append(len(own[-1][0]))
-    columns = _joint(raws, n_columns)
-    sizes = [int(np.frombuffer(raw, "<u8", 1)[0]) for raw in raws]
-    columns[-1] = columns[-1].astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(shift)[:-1]]).astype(np.int64), sizes)
-    return columns, [np.concatenate([o[i] for o in own]) for i in range(n_own)]
-
-
-def _text_sums(keys: list[np.ndarray], sums: list[np.ndarray]) -> pa.Table:
-    """The sums (tokens, known, base, score) of each text."""
-    out, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
-    columns = [np.bincount(back, weights=t, minlength=len(out)) for t in np.concatenate([np.zeros((4, 0)), *sums], axis=1)]
+def _to_pieces(names: np.ndarray, of: np.ndarray, text: np.ndarray, score: np.ndarray, base: np.ndarray | None = None, known: np.ndarray | None = None) -> pa.Table:
+    """The sums of entries by piece and text, packed by piece; names[of] is an entry's piece."""
+    pieces, which = np.unique(names, return_inverse=True)
+    key, place = np.unique((which[of].astype(np.int64) << 32) | text, return_inverse=True)
+    add = lambda x: np.zeros(len(key)) if x is None else np.bincount(place, weights=x, minlength=len(key))
+    score, base, known = add(score), add(base), add(known).astype(np.int64)
+    cut = np.searchsorted(key >> 32, np.arange(len(pieces) + 1))
+    spans = [(i, int(cut[i]), int(cut[i + 1])) for i in range(len(pieces)) if cut[i + 1] > cut[i]]
     return pa.table(
         {
-            "key": pa.array(out, pa.int64()),
-            "n_tokens": pa.array(columns[0].astype(np.int64)),
-            "n_known": pa.array(columns[1].astype(np.int64)),
-            "base": pa.array(columns[2]),
-            "score": pa.array(columns[3]),
+            "piece": pa.array(pieces[[i for i, _, _ in spans]].view(np.int64)),
+            "packed": pa.array([_sums(known[a:b], base[a:b], score[a:b], key[a:b] & 0xFFFFFFFF) for _, a, b in spans], pa.binary()),
         }
     )
 
 
 def _settle(shared, blocks: int):
-    """Of one block: counts of its rare words and pairs over all texts, then the sums of each text.
+    """Of one range: counts of its words and pairs over all texts, then the sums of each text, by piece.
 
     Pairs of two rare words go on, with the counts that are known here.
     """
@@ -537,134 +576,123 @@ def _settle(shared, blocks: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         scorer: Scorer = shared.value
         v = scorer.vocabulary
-        keys, sums, sent = [], [], []
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for kind in (1, COMMON, RARE_BEFORE, RARE_AFTER, RARE_BOTH):
-            raws = _of_kind(group, kind)
-            if not raws:
-                continue
-            (value, *other, index), (own, train) = _with_texts(raws, 2 if kind <= COMMON else 3, 2)
-            other = other[0] if other else np.zeros(len(value), np.uint64)
-            first, back = _same_pairs(value, other)
-            count = np.bincount(back, weights=train[index].astype(np.float64), minlength=len(first))
-            distinct, other_class = value[first], other[first].astype(np.int64)
-            known = base = np.zeros(len(own))
-            per_text = lambda x: np.bincount(index, weights=x[back], minlength=len(own))  # noqa: B023, E731
-            if kind == 1:
-                order = np.argsort(distinct)
-                words, counts = distinct[order], count[order].astype(np.int64)
-                known, base, score = per_text(count > 0), per_text(scorer.log10_base(count)), per_text(scorer.log10_inside_unk(count))
-            elif kind == COMMON:
-                score = per_text(scorer.log10_pairs(*_uncode(distinct), count))
-            elif kind == RARE_BEFORE:
-                score = per_text(scorer.log10_mixed(_looked_up(words, counts, distinct), count, v.counts[other_class]))
-            elif kind == RARE_AFTER:
-                score = per_text(scorer.log10_mixed(v.contexts(v.counts)[other_class], count, _looked_up(words, counts, distinct)))
+        heads = _of_kind(group, HEAD)
+        own_names = [int(unpack(x, 1)[0][0]) for x in heads]
+        tables = [pa.table({"piece": pa.array(np.array(own_names, np.uint64).view(np.int64)), "head": pa.array([True] * len(heads), pa.bool_()), "packed": pa.array(heads, pa.binary())})]
+        code, of, (mark,), names, _ = _gathered(_of_kind(group, PAIRS), 1)
+        codes, place = _ranked(code)
+        count = np.bincount(place, weights=mark & 1, minlength=len(codes)).astype(np.int64)
+        h, w = _uncode(codes)
+        tables.append(_to_pieces(names, of, mark >> 1, scorer.log10_mixed(v.counts[h], count, v.counts[w])[place]))
+        words, rank, of, mark, names, pairs = _word_pairs(_of_kind(group, WORDS))
+        text, train = mark >> 1, mark & 1
+        counts = np.bincount(rank, weights=train, minlength=len(words)).astype(np.int64)
+        score = np.zeros(len(rank))
+        for i, (entries, keys, other) in enumerate(pairs):
+            _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            count = np.bincount(place, weights=train[entries], minlength=len(first)).astype(np.int64)
+            own, other = counts[rank[entries[first]]], other[first]
+            if i == 0:
+                score[entries] += scorer.log10_mixed(own, count, v.counts[other])[place]
+            elif i == 1:
+                score[entries] += scorer.log10_mixed(v.counts[other], count, own)[place]
             else:
-                context, order = _looked_up(words, counts, distinct), np.argsort(other)
-                after, back, index = other[order], back[order], index[order]
-                for b, i, j in _ranges(after, 64, blocks):
-                    texts, place = np.unique(index[i:j], return_inverse=True)
-                    pairs = pack(_deltas(after[i:j]), context[back[i:j]], count[back[i:j]].astype(np.int64), place.astype(np.uint64))
-                    sent.append((b, pairs + pack(own[texts])))
-                continue
-            keys.append(own.view(np.int64))
-            sums.append(np.stack([np.zeros(len(own)), known, base, score]))
-        for raw in _of_kind(group, 0):
-            ids, n_tokens, n_known = unpack(raw, 3)
-            rest = np.frombuffer(raw[_skip(raw, 3) :], np.float64).reshape(2, -1)
-            keys.append(ids.view(np.int64))
-            sums.append(np.stack([n_tokens.astype(float), n_known.astype(float), *rest]))
-        kinds = {"key": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "block": pa.int32(), "packed": pa.binary()}
-        onward = pa.table({"block": pa.array([b for b, _ in sent], pa.int32()), "packed": pa.array([x for _, x in sent], pa.binary())})
-        return pa.concat_tables([_filled(t, kinds) for t in (_text_sums(keys, sums), onward)])
+                order = np.argsort(other[place])
+                entries, place = entries[order], place[order]
+                after, sent = other[place], []
+                cuts = _ranges(after, 64, blocks)
+                for _, a, b in cuts:
+                    near, which = np.unique(of[entries[a:b]], return_inverse=True)
+                    sent.append(pack(names[near]) + _grouped(after[a:b]) + pack(which, text[entries[a:b]], own[place[a:b]], count[place[a:b]]))
+                tables.append(pa.table({"block": pa.array([c[0] for c in cuts], pa.int32()), "packed": pa.array(sent, pa.binary())}))
+        tables.append(_to_pieces(names, of, text, score, scorer.log10_base(counts)[rank], counts[rank] > 0))
+        return pa.concat_tables([_filled(t, _SETTLED) for t in tables])
 
     return run
 
 
 def _settle_rare(shared):
-    """Of one range of words: the scores of the pairs of two rare words whose second word is here, summed by text."""
+    """Of one range of words: the scores of the pairs of two rare words whose second word is here, by piece and text."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         scorer: Scorer = shared.value
-        raws = _of_kind(group, RARE_BOTH)
-        if not raws:
-            return _text_sums([], [])
-        words, a, b = _joint(_of_kind(group, 0), 3)
-        (after, context, count, index), (own,) = _with_texts(raws, 4, 1)
-        single = _looked_up(words, (a + b).astype(np.int64), after)
-        score = scorer.log10_mixed(context.astype(np.int64), count.astype(np.int64), single)
-        score = np.bincount(index, weights=score, minlength=len(own))
-        none = np.zeros(len(own))
-        return _text_sums([own.view(np.int64)], [np.stack([none, none, none, score])])
+        words, kept, deleted = _counted(group)
+        got, names, shift = [], [], 0
+        for raw in _of_kind(group, ONWARD):
+            r = Reader(raw)
+            names.append(r.columns(1)[0])
+            delta, times = r.columns(2)
+            after = np.repeat(np.cumsum(delta, dtype=np.uint64), times.astype(np.int64))
+            which, *more = (x.astype(np.int64) for x in r.columns(4))
+            got.append((after, which + shift, *more))
+            shift += len(names[-1])
+        if not got:
+            return _filled(pa.table({"piece": pa.array([], pa.int64())}), _SETTLED)
+        after, of, text, context, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        score = scorer.log10_mixed(context, count, _looked_up(words, kept + deleted, after))
+        return _filled(_to_pieces(np.concatenate(names), of, text, score), _SETTLED)
 
     return run
 
 
-def score_texts(
-    docs: DataFrame,
-    held_out: Column,
-    deleted: Column,
-    vocabulary_size: int | None = None,
-    heavy_size: int = HEAVY,
-    table_size: int = VOCABULARY,
-) -> tuple[DataFrame, Scorer]:
+def _finish(key: tuple, group: pa.Table) -> pa.Table:
+    """The texts of one piece with their sums."""
+    heads, raws = group.column("head").to_pylist(), group.column("packed").to_pylist()
+    r = Reader(next(x for h, x in zip(heads, raws, strict=True) if h))
+    r.columns(1)
+    ids, null, held, n_tokens = r.columns(4)
+    known, base, score = (np.zeros(len(ids)) for _ in range(3))
+    for reader in [r, *(Reader(x) for h, x in zip(heads, raws, strict=True) if not h)]:
+        delta, more = reader.columns(2)
+        text = np.cumsum(delta, dtype=np.uint64).astype(np.int64)
+        known[text] += more
+        base[text] += reader.doubles(len(text))
+        score[text] += reader.doubles(len(text))
+    return pa.table(
+        {
+            "doc_id": pa.array(ids.view(np.int64), mask=null > 0), "held_out": pa.array(held > 0), "n_tokens": pa.array(n_tokens.astype(np.int64)),
+            "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+        }
+    )
+
+
+def score_texts(docs: DataFrame, held_out: Column, deleted: Column, heavy_size: int = HEAVY, table_size: int = VOCABULARY) -> tuple[DataFrame, Scorer]:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text, ...).
 
     held_out marks the rows that nothing is learned from, deleted the training rows that only weights are
-    learned from at first; both are conditions on docs, and null counts as false. Without a vocabulary_size
-    (VOCABULARY at most) all words are modelled; table_size then only says which are broadcast. A null or empty text is its end token alone.
-    Rows are summed under their doc_id; if ids are null or repeat, under a hash of id and text, and equal
-    rows get equal results. Without a training row every count is 0. Other columns are ignored. An empty
-    table gives an empty table.
+    learned from at first; both are conditions on docs, and null counts as false. All words are modelled;
+    table_size (VOCABULARY at most) and heavy_size only say which words and pairs are broadcast. A null or
+    empty text is its end token alone. Every row is scored by itself, whatever its doc_id, null or repeated
+    ones, too. Without a training row every count is 0. Other columns are ignored. An empty table gives an
+    empty table.
     """
     spark = docs.sparkSession
-    n_rows = docs.count()
-    alike = docs.where("doc_id is not null").select("doc_id").distinct().count() < n_rows
-    row_key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))) if alike else F.col("doc_id").cast("long")
     part = F.when(F.coalesce(held_out, F.lit(False)), 0).when(F.coalesce(deleted, F.lit(False)), 1).otherwise(2)
-    texts = docs.select(row_key.alias("key"), part.alias("part"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), "text")
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(max(64, size // (6 * BLOCK)))
-    limit = table_size if vocabulary_size is None else min(vocabulary_size, VOCABULARY)
-    vocabulary, words = _vocabulary(texts.select("part", "text"), blocks, limit, vocabulary_size is None)
-    words = words.select("block", F.lit(0).alias("kind"), "packed")
-    onward = lambda rows: rows.where("packed IS NOT NULL").select("block", F.lit(RARE_BOTH).alias("kind"), "packed").unionByName(words)
+    vocabulary, counted = _vocabulary(texts.select("part", "text"), blocks, min(table_size, VOCABULARY))
+    tidy(spark)
+    words = counted.select("block", F.lit(COUNTS).alias("kind"), "packed")
+    onward = lambda rows: rows.where("block IS NOT NULL").select("block", F.lit(ONWARD).alias("kind"), "packed").unionByName(words)
     shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = texts.where("part != 0").select("part", "text").mapInArrow(_count_pairs(shared, blocks), "block int, kind int, packed binary")
-    facts = stored(pairs.unionByName(words).groupBy("block").applyInArrow(_pair_facts(shared, heavy_size, blocks), FACTS), "facts")
+    pairs = texts.where("part != 0").select("part", "text").mapInArrow(_count_messages(shared, blocks), MESSAGES)
+    facts = stored(pairs.groupBy("block").applyInArrow(_pair_facts(shared, heavy_size, blocks), FACTS), "facts")
+    tidy(spark)
     heavy = [unpack(bytes(r["heavy"]), 2) for r in facts.where("heavy IS NOT NULL").select("heavy").collect()] or [[np.zeros(0, np.uint64)] * 2]
     code, count = (np.concatenate(x) for x in zip(*heavy, strict=True))
     order = np.argsort(code)
-    cells = facts.where("cell IS NOT NULL").select("cell", "mass")
-    if vocabulary.open:
-        cells = cells.unionByName(onward(facts).groupBy("block").applyInArrow(_rare_facts(shared), "cell long, mass long"))
-    summed_cells = cells.groupBy("cell").agg(F.sum("mass").alias("mass")).collect()  # cells are a grid of fixed size
-    cell, mass = (np.array([r[i] for r in summed_cells], dtype=np.int64) for i in (0, 1))
-    scorer = Scorer(vocabulary, fit_weights(cell, mass, vocabulary.classes), code[order], count[order].astype(np.int64))
+    cells = facts.where("cell IS NOT NULL").select("cell", "mass").unionByName(onward(facts).groupBy("block").applyInArrow(_rare_facts(shared), "cell long, mass long"))
+    summed = cells.groupBy("cell").agg(F.sum("mass").alias("mass")).collect()  # cells are a grid of fixed size
+    release(facts)
+    tidy(spark)
+    cell, mass = (np.array([r[i] for r in summed], dtype=np.int64) for i in (0, 1))
+    scorer = Scorer(vocabulary, fit_weights(cell, mass, vocabulary.outcomes), code[order], count[order].astype(np.int64))
     ready = spark.sparkContext.broadcast(scorer)
-    sent = texts.mapInArrow(_send(ready, blocks), "block int, kind int, packed binary")
-    sums = "key long, n_tokens long, n_known long, base double, score double"
-    settled = sent.groupBy("block").applyInArrow(_settle(ready, blocks), f"{sums}, block int, packed binary")
-    if vocabulary.open:
-        settled = stored(settled, "settled")
-        rest = onward(settled).groupBy("block").applyInArrow(_settle_rare(ready), sums)
-        settled = settled.where("key IS NOT NULL").drop("block", "packed").unionByName(rest)
-    summed = settled.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    named = texts.select("key", "part") if not alike else docs.select("doc_id", row_key.alias("key"), part.alias("part"))
-    if alike:
-        copies = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-        summed = summed.join(copies, "key").select("key", *[(F.col(c) / F.col("m")).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-        named = named.select("doc_id", "key", "part")
-    else:
-        named = named.select(F.col("key").alias("doc_id"), "key", "part")
-    out = named.join(summed, "key").select(
-        "doc_id",
-        (F.col("part") == 0).alias("held_out"),
-        F.col("n_tokens").cast("long").alias("n_tokens"),
-        F.col("n_known").cast("long").alias("n_known"),
-        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        "score",
-    )
-    return out, scorer
+    sent = texts.mapInArrow(_score_messages(ready, blocks), MESSAGES)
+    settled = stored(sent.groupBy("block").applyInArrow(_settle(ready, blocks), SETTLED), "settled")
+    tidy(spark)
+    rare = onward(settled).groupBy("block").applyInArrow(_settle_rare(ready), SETTLED)
+    sums = settled.where("piece IS NOT NULL").unionByName(rare).select("piece", F.coalesce("head", F.lit(False)).alias("head"), "packed")
+    out = sums.groupBy("piece").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(vocabulary.tokens).cast("long")), scorer
