@@ -30,6 +30,7 @@ SHARE = 1e-3
 SWITCH = 6.0  # nats a change of language costs
 FLOOR = -4.0  # least log-posterior of a candidate for one word
 ALPHA = 0.5
+LETTERS = 1 << 17  # worked on at once
 
 #: Code point ranges of scripts (from Unicode's blocks), by first code point.
 SCRIPTS = (
@@ -95,6 +96,13 @@ def _features(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> tuple[np.ndarray
     return two.astype(np.int64), three.astype(np.int64), first
 
 
+def _runs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of words that hold about LETTERS letters: what is worked on at once, however long a text is."""
+    ends = np.cumsum(b - a)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(LETTERS, int(ends[-1]) if len(ends) else 0, LETTERS)) + 1, len(a)))
+    yield from zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)
+
+
 def _script_of(code: np.ndarray) -> np.ndarray:
     bounds = np.array([c for c, _ in SCRIPTS])
     names = np.array([SCRIPT_NAMES.index(x) for _, x in SCRIPTS])
@@ -112,10 +120,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, row, low, _ = _words(part.column("text").to_pylist())
             if not len(a):
                 continue
-            two, three, _ = _features(a, b, low)
-            lang = np.repeat(of_row[row], b - a)
             script = np.bincount(of_row[row] * len(SCRIPT_NAMES) + _script_of(low[a]), weights=b - a, minlength=len(names) * len(SCRIPT_NAMES))
-            grams = np.bincount(lang * SLOTS + two, minlength=len(names) * SLOTS) + np.bincount(lang * SLOTS + three, minlength=len(names) * SLOTS)
+            grams = np.zeros(len(names) * SLOTS, dtype=np.int64)
+            for i, j in _runs(a, b):
+                two, three, _ = _features(a[i:j], b[i:j], low)
+                lang = np.repeat(of_row[row[i:j]] * SLOTS, b[i:j] - a[i:j])
+                grams += np.bincount(lang + two, minlength=len(grams)) + np.bincount(lang + three, minlength=len(grams))
             for i, name in enumerate(names):
                 got = total.setdefault(name, np.zeros(SLOTS + len(SCRIPT_NAMES), dtype=np.int64))
                 got[:SLOTS] += grams[i * SLOTS : (i + 1) * SLOTS]
@@ -180,8 +190,10 @@ def viterbi(emit: np.ndarray, row: np.ndarray, switch: float) -> np.ndarray:
 
 
 def _posteriors(model: Model, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
-    two, three, first = _features(a, b, low)
-    score = np.add.reduceat(model.logp[two] + model.logp[three], first, axis=0).astype(np.float64)
+    score = np.empty((len(a), len(model.langs)))
+    for i, j in _runs(a, b):
+        two, three, first = _features(a[i:j], b[i:j], low)
+        score[i:j] = np.add.reduceat(model.logp[two] + model.logp[three], first, axis=0)
     score = np.where(model.allowed[_script_of(low[a])], score, -np.inf)
     top = score.max(axis=1, keepdims=True)
     post = score - top - np.log(np.exp(score - top).sum(axis=1, keepdims=True))
