@@ -38,7 +38,8 @@ def from_arrays(index: DataFrame) -> DataFrame:
 
 def term_first_seen(tokens_: DataFrame) -> DataFrame:
     """(term, book_id, pos) of the first token of each term, in the order of books and places."""
-    return tokens_.groupBy("term").agg(F.min(F.struct("book_id", "pos")).alias("f")).select("term", "f.book_id", "f.pos")
+    once = tokens_.groupBy("term", "book_id").agg(F.min("pos").alias("pos"))  # mostly done where a book is read
+    return once.groupBy("term").agg(F.min("book_id").alias("book_id"), F.min_by("pos", "book_id").alias("pos"))
 
 
 def in_first_seen_order(tokens_: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.schemas import MetricSchema
 
@@ -61,9 +62,14 @@ def drop_invalid(frame: DataFrame, keys: Sequence[str], numbers: Sequence[str],
 
 
 def keep_latest(frame: DataFrame, keys: Sequence[str], at: str, order: str) -> DataFrame:
-    """Of each key the row with the latest time; a null time counts as the latest, then the later row wins."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_first(at), F.desc(order)))
-    return frame.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """Of each key the row with the latest time; a null time counts as the latest, then the later row wins.
+
+    The greatest (time is null, time, place) is found while rows are read, so one row a key and task is shuffled.
+    """
+    place = F.struct(F.col(at).isNull(), F.col(at), F.col(order))
+    rest = [c for c in frame.columns if c not in keys]
+    best = frame.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row"))
+    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*frame.columns)
 
 
 def clean(frame: DataFrame, language: str, metric: str, schema: MetricSchema) -> DataFrame:
@@ -78,15 +84,24 @@ def clean(frame: DataFrame, language: str, metric: str, schema: MetricSchema) ->
     return keep_latest(drop_invalid(typed, schema.keys, schema.required, schema.positive), schema.keys, "timestamp", "row").drop("row")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table of text columns with `row`, or None if the file is missing or empty. One task reads a file in order."""
+def no_rows(spark: SparkSession, schema: MetricSchema) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*dict.fromkeys([*schema.keys, *schema.written]), "timestamp"]) + ", row long")
+
+
+def read_csv(spark: SparkSession, path: str, schema: MetricSchema) -> DataFrame:
+    """A table of text columns with `row`. One task reads a file in order.
+
+    A file that is missing, unreadable or empty gives a warning and an empty table of the metric's columns.
+    """
     try:
         frame = spark.read.csv(path, header=True, mode="PERMISSIVE")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER" in str(error):
-            return None
-        raise
-    return frame.withColumn("row", F.monotonically_increasing_id()) if frame.columns else None
+    except AnalysisException as error:
+        warnings.warn(f"{path} can't be read: {error.getCondition()}", stacklevel=2)
+        return no_rows(spark, schema)
+    if not frame.columns:
+        warnings.warn(f"{path} is empty", stacklevel=2)
+        return no_rows(spark, schema)
+    return frame.withColumn("row", F.monotonically_increasing_id())
 
 
 def csv_text(frame: DataFrame, schema: MetricSchema) -> DataFrame:
@@ -95,10 +110,6 @@ def csv_text(frame: DataFrame, schema: MetricSchema) -> DataFrame:
     return frame.select(*text, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
 
 
-def append_csv(frame: DataFrame, schema: MetricSchema, path: str) -> None:
-    csv_text(frame, schema).coalesce(1).write.mode("append").csv(path, header=True, lineSep="\r\n")
-
-
 def union_metrics(frames: Sequence[DataFrame]) -> DataFrame:
     """Rows of all tables by column name; a column that a table lacks is null."""
     out = frames[0]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.functions import headers, ids
 from foliospark.functions.text import contains_literal
@@ -24,8 +23,9 @@ def build_metadata(files: DataFrame, root: str) -> DataFrame:
 
 def upsert_latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the row that is last by `order`."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
 def save_many(table: DataFrame, new: DataFrame) -> DataFrame:

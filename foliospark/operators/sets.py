@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,16 +19,25 @@ def candidate_ids(first: DataFrame, highest: int = 600) -> DataFrame:
     return ordered_dedup(first.select("book_id", F.col("place").cast("long").alias("place")).unionByName(rest), "book_id", "place")
 
 
-def ranked(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+def _range_of(key: str, bounds: list[int], first: int = 0) -> Column:
+    """How many of the ascending bounds a key has reached, as a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(F.col(key) < bounds[mid], _range_of(key, bounds[:mid], first)).otherwise(_range_of(key, bounds[mid + 1 :], first + mid + 1))
+
+
+def ranked(rows: DataFrame, key: str, buckets: int = 128) -> DataFrame:
     """rows with `r`, their rank (from 0) by an integer key, without a task that sees all rows.
 
-    Keys fall into equal ranges; counts of the ranges (a few numbers) give each range its first rank.
+    Keys fall into ranges of about equal counts by their approximate quantiles, wherever they lie; counts of
+    the ranges (a few numbers) give each range its first rank.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = rows.agg(F.percentile_approx(key, shares, 100 * buckets)).first()[0]
+    if bounds is None:
         return rows.withColumn("r", F.lit(0).cast("long")).where("false")
-    width = (high - low) // buckets + 1
-    placed = rows.withColumn("_b", F.expr(f"(`{key}` - {low}) div {width}"))
+    placed = rows.withColumn("_b", _range_of(key, sorted(set(bounds))))
     counts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     firsts = F.broadcast(counts.select("_b", F.coalesce(before, F.lit(0)).alias("_f")))  # at most `buckets` rows
@@ -60,6 +69,17 @@ def first_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return unequal.orderBy("line").limit(1)
 
 
+def snapshot_parity(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(section, place, expected, actual) of every place at which two snapshots(section, place, value) differ.
+
+    Sections are the ordered labels, keys and headers of a snapshot; parity is an empty result.
+    """
+    both = expected.select("section", "place", F.col("value").alias("expected")).join(
+        actual.select("section", "place", F.col("value").alias("actual")), ["section", "place"], "full"
+    )
+    return both.where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
 def canonical_lines(tokens: DataFrame, answers: DataFrame) -> DataFrame:
     """(section, rank, key, line) of the canonical form of tokens(book_id, terms) and answers(query_id, books).
 

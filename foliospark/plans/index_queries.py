@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import ids
 from foliospark.functions import text as T
 from foliospark.operators import index, query, sets
+from foliospark.session import shared_dir
+from foliospark.sources import index_store
 
 #: The registered workload: frequent, rarer, repeated, absent and wrongly cased terms.
 WORKLOAD = """# the registered workload
@@ -35,13 +39,29 @@ def workload(spark: SparkSession) -> DataFrame:
     return query.parse_queries(spark.createDataFrame([(WORKLOAD,)], "content string"))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf: str, part: str = "all") -> str:
+    """Path of the stored index of the books (part `known`: of those with labels), built once an application."""
+    key = (spark.sparkContext.applicationId, sf, part)
+    if key not in _STORED:
+        chosen = books(spark, sf) if part == "all" else books(spark, sf).join(known(spark, sf), "book_id", "left_semi")
+        path = f"{shared_dir(spark)}/foliospark/index-{uuid.uuid4().hex}"
+        index_store.save_table(index.pairs(chosen), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _joined(index_: DataFrame) -> DataFrame:
     return index_.select("term", F.size("postings").cast("long").alias("n_books"), F.array_join("postings", ",").alias("postings"))
 
 
 def q_tokenize(spark, sf):
-    return books(spark, sf).select("book_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "term")).groupBy("book_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("term").alias("n_terms"), F.sum(F.length("term") * (F.col("pos") + 1)).alias("weighted")
+    rows = books(spark, sf).select("book_id", T.tokenize(F.col("text")).alias("t"))
+    weighted = F.aggregate(F.transform("t", lambda x, i: F.length(x).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.where(F.size("t") > 0).select(
+        "book_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), weighted.alias("weighted")
     )
 
 
@@ -77,9 +97,8 @@ def q_merge(spark, sf):
 
 
 def q_add_book(spark, sf):
-    b = books(spark, sf)
-    base = index.build_postings(b.join(known(spark, sf), "book_id", "left_semi"))
-    return index.add_books(base, b).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    base = index_store.load_table(spark, stored_index(spark, sf, "known"))
+    return index.add_books(base, books(spark, sf)).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 def q_term_count(spark, sf):
@@ -97,16 +116,17 @@ def q_synthetic_corpus(spark, sf):
 
 
 def q_term_lookup(spark, sf):
-    return query.term_lookup(index.pairs(books(spark, sf)), "onon")
+    return index_store.lookup(spark, stored_index(spark, sf), "onon").select("book_id")
 
 
 def q_multi_term_lookup(spark, sf):
-    found = query.multi_term_lookup(workload(spark).select("term").distinct(), index.pairs(books(spark, sf)))
-    return _joined(found)
+    terms = workload(spark).select("term").distinct()
+    return _joined(query.multi_term_lookup(terms, index_store.lookup_terms(spark, stored_index(spark, sf), terms)))
 
 
 def q_conjunctive(spark, sf):
-    return query.query_answers(workload(spark), index.pairs(books(spark, sf)))
+    asked = workload(spark)
+    return query.query_answers(asked, index_store.lookup_terms(spark, stored_index(spark, sf), asked))
 
 
 def q_parse_queries(spark, sf):

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.ids import normalize_book_id
+from foliospark.functions.text import strip
+from foliospark.sources.atomic import write_text
 
 #: What ends a line when a text is split into lines: CR LF, or one of these.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -56,9 +58,19 @@ def repair(spark: SparkSession, path: str) -> bool:
                 return False
     elif not canonical:
         return False
-    with open(f"{path}.tmp", "w", encoding="utf-8", newline="\n") as out:
-        out.write(canonical)
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(f"{path}.tmp", path)
+    write_text(path, canonical)
     return True
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(place, book_id) of a file with one id a line, in its order; blank lines are skipped, other text is an error."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", LINE_END, -1)).alias("place", "line"))
+    bare = lines.select("place", strip("line").alias("id")).where("id != ''")
+    return bare.select("place", F.col("id").cast("long").alias("book_id"))
+
+
+def load_pending(spark: SparkSession, downloaded: str, indexed: str) -> DataFrame:
+    """(book_id) of the downloaded books that are not indexed, by first download, after both logs are repaired."""
+    for path in (downloaded, indexed):
+        repair(spark, path)
+    return load(spark, downloaded).join(load(spark, indexed).select("book_id"), "book_id", "left_anti").orderBy("pos").select("book_id")

@@ -1,10 +1,11 @@
-"""Fetching books: one pooled session a partition, results and failures as columns."""
+"""Fetching books: one request a book, results and failures as columns."""
 
 from __future__ import annotations
 
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from http.client import HTTPException
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ def http_get(url: str) -> tuple[int | None, str | None]:
             return answer.status, answer.read().decode("utf-8", "replace")
     except urllib.error.HTTPError as error:
         return error.code, None
-    except OSError:
+    except (OSError, HTTPException, ValueError):  # unreachable, cut off in the middle, or no answer in the protocol
         return None, None
 
 

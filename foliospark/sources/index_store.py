@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import os
 import shutil
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import ids
+from foliospark.sources.atomic import write_text
 
 BUCKETS = 16
+LETTERS, FILE_ROWS = 27, 4_000_000
 
 
 def _placed(postings: DataFrame) -> DataFrame:
@@ -20,9 +23,15 @@ def _placed(postings: DataFrame) -> DataFrame:
 
 
 def save_table(postings: DataFrame, path: str) -> None:
-    """Replaces the table with postings(term, book_id); a term's rows lie together and sorted."""
-    placed = _placed(postings.select("term", "book_id").distinct())
-    placed.repartition("letter", "bucket").sortWithinPartitions("term", "book_id").write.mode("overwrite").partitionBy("letter", "bucket").parquet(path)
+    """Replaces the table with postings(term, book_id); a file holds a term's rows together and sorted.
+
+    A partition is written in `parts` by book, as many as keep about FILE_ROWS in one, so a frequent term is
+    the work of several tasks, when it is written and when it is read.
+    """
+    pairs = postings.select("term", "book_id").distinct()
+    parts = max(1, pairs.count() // (LETTERS * BUCKETS * FILE_ROWS) + 1)
+    placed = _placed(pairs).repartition("letter", "bucket", F.pmod(F.xxhash64("book_id"), F.lit(parts)))
+    placed.sortWithinPartitions("letter", "bucket", "term", "book_id").write.mode("overwrite").partitionBy("letter", "bucket").parquet(path)
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +45,20 @@ def lookup(spark: SparkSession, path: str, term: str) -> DataFrame:
     return table.where((F.col("letter") == row["letter"]) & (F.col("bucket") == row["bucket"]) & (F.col("term") == term)).select("term", "book_id")
 
 
+def lookup_terms(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """(term, book_id) of the stored postings of a small table of terms; only their partitions are read."""
+    asked = _placed(terms.select("term").distinct())
+    rows = asked.select("letter", "bucket").distinct().collect()  # LETTERS * BUCKETS at most
+    table = spark.read.parquet(path)
+    if not rows:
+        return table.select("term", "book_id").where("false")
+    pairs = {}
+    for r in rows:
+        pairs.setdefault(r["letter"], []).append(r["bucket"])
+    here = reduce(lambda a, b: a | b, [(F.col("letter") == letter) & F.col("bucket").isin(sorted(buckets)) for letter, buckets in sorted(pairs.items())])
+    return table.where(here).join(terms.select("term").distinct(), "term", "left_semi").select("term", "book_id")
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """Postings of a JSON object of term to ids."""
     raw = spark.read.text(path, wholetext=True)
@@ -47,17 +70,16 @@ def save_json(index: DataFrame, path: str) -> None:
 
     An export for exchange: rows are streamed through the driver one at a time.
     """
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8", newline="") as out:
+
+    def parts():
         sep = "{\n"
         for row in index.select("term", "postings").toLocalIterator():
             body = ",\n    ".join(str(b) for b in row["postings"])
-            out.write(f"{sep}  {json.dumps(row['term'], ensure_ascii=False)}: [\n    {body}\n  ]")
+            yield f"{sep}  {json.dumps(row['term'], ensure_ascii=False)}: [\n    {body}\n  ]"
             sep = ",\n"
-        out.write("{}" if sep == "{\n" else "\n}")
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(part, path)
+        yield "{}" if sep == "{\n" else "\n}"
+
+    write_text(path, parts())
 
 
 def save_folders(index: DataFrame, root: str) -> None:
@@ -68,14 +90,32 @@ def save_folders(index: DataFrame, root: str) -> None:
 
     def write(rows) -> None:
         for row in rows:
-            folder, name = row["path"].split("/", 1)
-            os.makedirs(f"{root}/{folder}", exist_ok=True)
-            with open(f"{root}/{folder}/{name}", "w", encoding="utf-8", newline="") as out:
-                out.writelines(f"{b}\n" for b in row["postings"])
+            path = f"{root}/{row['path']}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            write_text(path, (f"{b}\n" for b in row["postings"]))
 
     index.select(ids.term_file_path(F.col("term")).alias("path"), "postings").foreachPartition(write)
 
 
+def update_folders(postings: DataFrame, root: str) -> None:
+    """Adds postings(term, book_id) to the folder form: only files of their terms are read, and only those that lack an id are rewritten."""
+
+    def write(rows) -> None:
+        for row in rows:
+            path = f"{root}/{row['path']}"
+            old = []
+            if os.path.exists(path):
+                with open(path, encoding="utf-8") as f:
+                    old = [int(x) for x in f.read().split()]
+            new = sorted({*old, *row["postings"]})
+            if len(new) > len(set(old)):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                write_text(path, (f"{b}\n" for b in new))
+
+    arrays = postings.groupBy("term").agg(F.collect_set("book_id").alias("postings"))
+    arrays.select(ids.term_file_path(F.col("term")).alias("path"), "postings").foreachPartition(write)
+
+
 def load_folders(spark: SparkSession, root: str) -> DataFrame:
     lines = spark.read.text(f"{root}/*/*.txt").select(F.trim("value").alias("v"), F.col("_metadata.file_name").alias("f")).where("v != ''")
     return lines.select(ids.term_of_file_name(F.regexp_replace("f", r"\.txt$", "")).alias("term"), F.col("v").cast("long").alias("book_id"))

@@ -6,11 +6,16 @@ a book's folder in the book and batch layouts is computed from its id, so a look
 
 from __future__ import annotations
 
+import json
+import os
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions import ids
+from foliospark.sources.atomic import write_text
 
 LAYOUTS = {"time": "*/*", "book": "*", "batch": "*"}
 _FILE = r"/([^/]+)/(?:([0-9]+)_(body|header)\.txt)$"
@@ -107,6 +112,33 @@ def disk_usage(files: DataFrame, root: str) -> DataFrame:
     return sizes.crossJoin(folders)  # one row each
 
 
+def store_text(root: str, layout: str, book_id: int, header: str, body: str, source_url: str, at: datetime, batch_size: int = 1000) -> None:
+    """Stores one book's two text files where the layout has them (book layout: a metadata.json, too).
+
+    For the tasks of a fetch, on a path that all executors share; each file appears whole or not at all.
+    """
+    folder = f"{root}/{at:%Y%m%d}/{at:%H}" if layout == "time" else book_folder(root, layout, book_id, batch_size)
+    os.makedirs(folder, exist_ok=True)
+    write_text(f"{folder}/{book_id}_header.txt", header)
+    write_text(f"{folder}/{book_id}_body.txt", body)
+    if layout == "book":
+        side = {"book_id": book_id, "source_url": source_url, "downloaded_at": f"{at:%Y-%m-%dT%H:%M:%S}"}
+        write_text(f"{folder}/metadata.json", json.dumps(side, indent=2) + "\n")
+
+
+def store_texts(books: DataFrame, root: str, layout: str, batch_size: int = 1000) -> None:
+    """Stores books(book_id, header, body, source_url, downloaded_at) as text files, by the tasks that hold them."""
+    if layout == "batch":
+        book_folder(root, layout, 0, batch_size)  # a bad batch size fails before anything is written
+    columns = ("book_id", "header", "body", "source_url", "downloaded_at")
+
+    def write(rows) -> None:
+        for row in rows:
+            store_text(root, layout, *[row[c] for c in columns], batch_size)
+
+    books.select(*columns).foreachPartition(write)
+
+
 def write_books(books: DataFrame, root: str, layout: str, batch_size: int = 1000) -> None:
     """Stores books(book_id, header, body, source_url, downloaded_at) as partitioned tables of one layout.
 
