@@ -9,18 +9,20 @@ Documents are sets of distinct k-word shingles; two documents link when
    histogram of its hashes over RANGES equal ranges (for the suffix filter) and the prefix of its set
    in that order (size - ceil(t * size) + 1 shingles). Documents of one signature are copies and go
    on as one class.
-3. Classes that share a prefix shingle are candidates. Pairs pass the length, positional and suffix
-   filters and are verified exactly, once each, on whole sets. Where lists are long, members are first
-   compared with LEADERS hashed members of their list; components of the links so far make most lists
-   uniform, and further rounds take other leaders while that finds links. Lists that then still hold
-   two components are joined pair by pair across components. A pair inside a component needs no check,
-   as it cannot change the components; every pair between components is checked, so no link that
+3. Classes that share a prefix shingle are candidates. Pairs pass the length, positional and suffix filters (the last in a coarse form where pairs
+   arise, then in a finer one) and are verified exactly, once each, on whole sets. If the lists would need
+   more than a few comparisons an entry, by counts, members are first compared with a few hashed
+   members of their list; components of the links so far make most lists uniform. These are closed, as
+   components only grow, and further rounds take other leaders of the open ones while that finds links.
+   Then all pairs across components in the open lists are compared. A pair inside a component needs no
+   check, as it cannot change the components; every pair between components is checked, so no link that
    connects different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
-from foliospark.llm.common import stored
+from foliospark.llm.common import release, stored, tidy
 from foliospark.llm.components import components
 
 #: Counters of the rare-first order (one saturating byte each a task, two in the sum: 8 MB), the blocks
@@ -36,9 +38,10 @@ from foliospark.llm.components import components
 COUNTERS = 1 << 22
 BLOCK = 1 << 14
 RANGES = 64
-#: Members of a list that a round compares the others with, most rounds, and how many pairs across
-#: components an entry of a list may stand for before another round is worth it.
-LEADERS, ROUNDS, FEW = 8, 6, 4
+#: Most members of a list that a round compares the others with, at first, where most lists of many are groups of
+#: near copies, and later; most rounds; and how many comparisons an entry of the lists may stand for without a
+#: round, at first and later.
+FIRST_LEADERS, LEADERS, ROUNDS, FIRST, LATER = 16, 64, 3, 1, 16
 #: Ids of this many rows are broadcast (8 bytes each); more are joined by a shuffle.
 SMALL = 1_000_000
 
@@ -97,6 +100,7 @@ def _prefixes(k: int, percent: int, counts):
                     prefix[ends[i] : ends[i + 1]] = value[a:b][np.argsort(rank[a:b], kind="stable")[: take[i]]]
                 total = _signatures(value, offset)
                 hist = np.bincount(rows * RANGES + (value >> np.uint64(58)).astype(np.int64), minlength=len(size) * RANGES)
+                coarse = np.minimum(hist.reshape(len(size), 8, RANGES // 8).sum(axis=2), 255).astype(np.uint8).view("<i8").ravel()
                 hist = (np.minimum(hist, 255) - 128).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -104,10 +108,11 @@ def _prefixes(k: int, percent: int, counts):
                         pa.array(size),
                         pa.array(total[0]),
                         pa.array(total[1]),
+                        pa.array(coarse),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * RANGES), pa.array(hist)),
                         at.lists(prefix, ends),
                     ],
-                    ["doc_id", "n", "sig", "sig2", "hist", "prefix"],
+                    ["doc_id", "n", "sig", "sig2", "coarse", "hist", "prefix"],
                 )
 
     return run
@@ -145,6 +150,13 @@ def _fits(percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest >= _needed(n, m, percent))
 
 
+def _coarsely_near(percent: int) -> Column:
+    """The suffix filter where pairs arise: by the counts over eight ranges of the hash, packed into one number."""
+    byte = lambda name, i: F.shiftrightunsigned(name, 8 * i).bitwiseAND(F.lit(255))
+    apart = reduce(lambda s, i: s + F.abs(byte("coarse", i) - byte("l_coarse", i)), range(8), F.lit(0))
+    return apart <= F.col("n") + F.col("l_n") - 2 * _needed(F.col("n"), F.col("l_n"), percent)
+
+
 def _suffix_filtered(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose sets may differ by as little as a link allows.
 
@@ -183,7 +195,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     for block, packed in blocks.applyInArrow(_sum_blocks, "block long, counts binary").collect():  # 8 MB at most
         table[block] = np.frombuffer(packed, dtype=np.uint16)
     counts = spark.sparkContext.broadcast(table.tobytes())
-    kind = "doc_id long, n long, sig long, sig2 long, hist array<tinyint>, prefix array<long>"
+    kind = "doc_id long, n long, sig long, sig2 long, coarse long, hist array<tinyint>, prefix array<long>"
     rows = stored(texts.mapInArrow(_prefixes(k, percent, counts), kind), "prefixes")
     rows = rows.withColumn("node", F.xxhash64("sig", "sig2", "n"))
     links = _links(texts, rows, k, percent)
@@ -215,48 +227,78 @@ def _sets_of(wanted: DataFrame, rows: DataFrame, texts: DataFrame, k: int) -> Da
     return sets if sets.count() == n else stored(sets.dropDuplicates(["node"]), "sets")  # more: equal texts of one id
 
 
+def _comparisons(lists: DataFrame, percent: int) -> int:
+    """At most how many pairs across components the lists hold, from counts alone.
+
+    In a link, the smaller set's place is among its first n - needed(n, n) + 1, so pairs of two later places
+    don't count.
+    """
+    late = F.sum(F.when(F.col("n") - F.col("pos") < _needed(F.col("n"), F.col("n"), percent), 1.0).otherwise(0.0))
+    by_root = lists.groupBy("h", "root").agg(F.count(F.lit(1)).cast("double").alias("a"), late.alias("p"))
+    across = lambda x: (F.sum(x) * F.sum(x) - F.sum(F.col(x) * F.col(x))) / 2
+    by_list = by_root.groupBy("h").agg((across("a") - across("p")).alias("pairs"))
+    return int(by_list.agg(F.sum("pairs")).first()[0] or 0)
+
+
+def _candidates(lists: DataFrame, turn: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of entries of one list that pass the filters: all pairs, or those with the leaders of a turn."""
+    names = [c for c in ("node", "n", "pos", "coarse", "root") if c in lists.columns]
+    if turn is None:
+        both = lists.join(lists.select("h", *[F.col(x).alias(f"l_{x}") for x in names]), "h").where("node > l_node")
+    else:
+        # one leader a bucket of the turn's hash of the node
+        bucket = F.xxhash64("node", F.lit(turn))
+        drawn = lists.select("h", F.struct(bucket.alias("o"), *names).alias("l"), F.pmod(bucket, F.lit(FIRST_LEADERS if turn == 0 else LEADERS)).alias("part"))
+        led = drawn.groupBy("h", "part").agg(F.min("l").alias("l")).select("h", *[F.col(f"l.{x}").alias(f"l_{x}") for x in names])
+        both = lists.join(led, "h")
+    apart = "root != l_root" if "root" in names else "node != l_node"
+    first = F.col("node") < F.col("l_node")
+    return (
+        both.where(apart)
+        .where(_fits(percent))
+        .where(_coarsely_near(percent))
+        .select(
+            F.least("node", "l_node").alias("a"),
+            F.greatest("node", "l_node").alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("l_n")).alias("na"),
+            F.when(first, F.col("l_n")).otherwise(F.col("n")).alias("nb"),
+        )
+        .distinct()
+    )
+
+
+def _open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries of lists that still hold two components, with the roots of now; the others never open again."""
+    if "root" not in lists.columns:
+        lists = lists.withColumn("root", F.col("node"))
+    if roots is not None:
+        now = roots.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        lists = lists.join(now, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    mixed = lists.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    return stored(lists.join(mixed.select("h"), "h", "left_semi"), "open-lists")
+
+
 def _links(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(node, root) of the classes that link with another; None if there are none."""
     full = rows.where("n > 0")
-    posted = full.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))  # both in one number, as most entries travel for nothing
+    posted = full.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", place.alias("place"))
     frequent = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    lists = stored(posted.join(frequent, "h", "left_semi"), "postings")
-    hists = full.select("node", "hist").dropDuplicates(["node"])
+    shared = stored(posted.join(frequent, "h", "left_semi"), "shared")
+    tidy(rows.sparkSession)
+    hists = full.select("node", "hist", "coarse").dropDuplicates(["node"])
+    parts = F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
+    lists = stored(shared.select("h", "node", *parts).join(hists.select("node", "coarse"), "node"), "postings")
+    release(shared)
+    entries = lists.count()
     links = sets = tested = roots = None
     fruitful = True
     for turn in range(ROUNDS + 1):
-        rooted = lists.withColumn("root", F.col("node"))
-        if roots is not None:
-            rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-            rooted = stored(rooted.join(mixed.select("h"), "h", "left_semi"), "open-lists")
-        same = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("h")
-        left = same.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        entries, crossing = left.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2)).first()
-        if not crossing:
-            return roots
-        names = ("node", "n", "pos", "root")
-        last = crossing <= FEW * entries or not fruitful or turn == ROUNDS
-        if last:
-            others = rooted.select("h", *[F.col(x).alias(f"l_{x}") for x in names])
-            other = rooted.join(others, "h").where("node > l_node")
-        else:
-            drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)).alias("o"), *names)).alias(f"l{i}") for i in range(LEADERS)]
-            led = rooted.groupBy("h").agg(*drawn)
-            picked = F.array_distinct(F.array(*[F.struct(*[F.col(f"l{i}.{x}").alias(f"l_{x}") for x in names]) for i in range(LEADERS)]))
-            other = rooted.join(led.select("h", F.inline(picked)), "h")
-        first = F.col("node") < F.col("l_node")
-        pairs = (
-            other.where("root != l_root")
-            .where(_fits(percent))
-            .select(
-                F.least("node", "l_node").alias("a"),
-                F.greatest("node", "l_node").alias("b"),
-                F.when(first, F.col("n")).otherwise(F.col("l_n")).alias("na"),
-                F.when(first, F.col("l_n")).otherwise(F.col("n")).alias("nb"),
-            )
-            .distinct()
-        )
+        compared = _comparisons(lists if turn else lists.withColumn("root", F.col("node")), percent)
+        if not compared:
+            break
+        last = compared <= (LATER if turn else FIRST) * entries or not fruitful or turn == ROUNDS
+        pairs = _candidates(lists, None if last else turn, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(_suffix_filtered(pairs, hists, percent), "pairs")
@@ -274,5 +316,9 @@ def _links(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
                 links = new if links is None else links.unionByName(new)
                 roots = components(links)
         if last:
-            return roots
+            break
+        lists, before = _open(lists, roots if fruitful else None), lists
+        release(before)
+        tidy(rows.sparkSession)
+    release(lists)
     return roots
