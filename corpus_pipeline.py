@@ -31,11 +31,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id, once."""
-    found = ngram_join.similar_documents(docs, k=NEAR_K, percent=NEAR_PERCENT)
-    kept = _without(docs, found.where("component_id < doc_id"))
-    repeated = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().count() < docs.where("doc_id IS NOT NULL").count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Keeps of each group of near duplicates the document with the smallest id, once.
+
+    Where ids are null or repeat, rows are told apart by numbers of their own; of one group the row with the
+    smallest id stays, null ids last.
+    """
+    n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        found = ngram_join.similar_documents(docs, k=NEAR_K, percent=NEAR_PERCENT)
+        return _without(docs, found.where("component_id < doc_id"))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"), k=NEAR_K, percent=NEAR_PERCENT)
+    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import strip
 
 #: Names no file may have on some systems; such a term's file gets an underscore.
-RESERVED_NAMES = tuple("con prn aux nul".split()) + tuple(f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10))
+RESERVED_NAMES = (
+    "con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9",
+    "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9",
+)
 
 
 def normalize_book_id(raw: Column) -> Column:

@@ -6,28 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that are never indexed.
-STOP_WORDS = tuple(dict.fromkeys("""
-a an the and or but in on at to for
-of with by is are was were be been being
-have has had do does did will would could
-should may might shall can it its he she
-they them his her their this that these those
-i you we me my your our not no so
-if then than too very just about also
-as from into up out off over under again
-there here when where why how all each every
-both few more most other some such only own
-same so now new one two three many much
-well back even still before after between through
-""".split()))
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "shall", "can", "it", "its", "he", "she", "they", "them", "his", "her", "their", "this", "that",
+    "these", "those", "i", "you", "we", "me", "my", "your", "our", "not", "no", "so", "if", "then", "than", "too",
+    "very", "just", "about", "also", "as", "from", "into", "up", "out", "off", "over", "under", "again", "there",
+    "here", "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some",
+    "such", "only", "own", "same", "now", "new", "one", "two", "three", "many", "much", "well", "back", "even",
+    "still", "before", "after", "between", "through",
+)
 
 #: Roman numerals that are never indexed.
-ROMAN_NUMERALS = tuple("""
-i ii iii iv v vi vii viii ix x
-xi xii xiii xiv xv xvi xvii xviii xix xx
-xxi xxii xxiii xxiv xxv xxvi xxvii xxviii xxix xxx
-xl l lx lxx lxxx xc c
-""".split())
+ROMAN_NUMERALS = (
+    "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii",
+    "xviii", "xix", "xx", "xxi", "xxii", "xxiii", "xxiv", "xxv", "xxvi", "xxvii", "xxviii", "xxix", "xxx", "xl", "l",
+    "lx", "lxx", "lxxx", "xc", "c",
+)
 
 IGNORED_TERMS = tuple(sorted({*STOP_WORDS, *ROMAN_NUMERALS}))
 

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.schemas import MetricSchema
+from foliospark.schemas import Measurement
 
 
 def deviation(c: str) -> Column:
@@ -43,7 +43,7 @@ def standardize(frame: DataFrame) -> DataFrame:
     return frame.toDF(*["test_name" if n == "function_name" else n for n in names])
 
 
-def coerce_types(frame: DataFrame, schema: MetricSchema) -> DataFrame:
+def coerce_types(frame: DataFrame, schema: Measurement) -> DataFrame:
     """Numbers and timestamps by try-casts (bad values become null), text keys stripped."""
     out = frame
     for c in dict.fromkeys([*schema.required, *(k for k in schema.written if k in frame.columns)]):
@@ -72,7 +72,7 @@ def keep_latest(frame: DataFrame, keys: Sequence[str], at: str, order: str) -> D
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*frame.columns)
 
 
-def clean(frame: DataFrame, language: str, metric: str, schema: MetricSchema) -> DataFrame:
+def clean(frame: DataFrame, language: str, metric: str, schema: Measurement) -> DataFrame:
     """One raw table, tagged and cleaned; ValueError where a column is missing. `row` numbers the raw rows."""
     table = standardize(frame)
     missing = [c for c in [*schema.keys, *schema.required, "timestamp"] if c not in table.columns]
@@ -84,11 +84,11 @@ def clean(frame: DataFrame, language: str, metric: str, schema: MetricSchema) ->
     return keep_latest(drop_invalid(typed, schema.keys, schema.required, schema.positive), schema.keys, "timestamp", "row").drop("row")
 
 
-def no_rows(spark: SparkSession, schema: MetricSchema) -> DataFrame:
+def no_rows(spark: SparkSession, schema: Measurement) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*dict.fromkeys([*schema.keys, *schema.written]), "timestamp"]) + ", row long")
 
 
-def read_csv(spark: SparkSession, path: str, schema: MetricSchema) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: Measurement) -> DataFrame:
     """A table of text columns with `row`. One task reads a file in order.
 
     A file that is missing, unreadable or empty gives a warning and an empty table of the metric's columns.
@@ -104,7 +104,7 @@ def read_csv(spark: SparkSession, path: str, schema: MetricSchema) -> DataFrame:
     return frame.withColumn("row", F.monotonically_increasing_id())
 
 
-def csv_text(frame: DataFrame, schema: MetricSchema) -> DataFrame:
+def csv_text(frame: DataFrame, schema: Measurement) -> DataFrame:
     """Numbers with their fixed decimals as text, times in ISO form with six places."""
     text = [c if c not in schema.written else F.format_string(f"%.{schema.written[c]}f", F.col(c).cast("double")).alias(c) for c in schema.columns]
     return frame.select(*text, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))

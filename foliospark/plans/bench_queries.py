@@ -78,14 +78,14 @@ def q_throughput(spark, sf):
 
 
 def q_coerce_types(spark, sf):
-    from foliospark.schemas import MetricSchema
+    from foliospark.schemas import Field, Measurement
 
     raw = runs(spark, sf).select(
         "event_id", F.concat(F.lit(" "), "test_name", F.lit(" ")).alias("test_name"),
         F.when(F.col("event_id") % 4 == 0, "not a number").otherwise(F.concat(F.lit(" "), F.col("batch_size").cast("string"))).alias("item_count"),
         F.when(F.col("event_id") % 3 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
     )
-    out = measures.coerce_types(raw, MetricSchema(("test_name",), {}, ("item_count",)))
+    out = measures.coerce_types(raw, Measurement((Field("test_name", key=True), Field("item_count", needed=True))))
     return out.select("event_id", "test_name", "item_count", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

@@ -83,13 +83,30 @@ def log(spark, sf):
     return d.unionByName(i).unionByName(f)
 
 
+FIRST_MADE = 1000  # ids from here on are made of the documents
+
+
+def raw_headers(spark, sf):
+    """The odd headers, and one around every document: its id, source and length."""
+    made = F.format_string("A preamble\n\nTitle: Book\n   %d  of\t%s\r\nAuthor: %s\nAuthor:  The %s\n\n lost\nLength: %d\nLanguage: English; German", "doc_id", "source", "source", "lang", F.length("text"))
+    rows = docs(spark, sf).select((F.col("doc_id") + FIRST_MADE).alias("book_id"), made.alias("text"))
+    return spark.createDataFrame(HEADERS, "book_id long, text string").unionByName(rows)
+
+
+def raw_books(spark, sf):
+    """The odd files, and every whole document as a body between its markers."""
+    made = F.concat(F.lit("head of "), F.col("doc_id").cast("string"), F.lit(f"\n{T.START_MARKER} ["), F.coalesce("text", F.lit("")), F.lit(f"]\n{T.END_MARKER} x ***\nfoot"))
+    rows = docs(spark, sf).select((F.col("doc_id") + FIRST_MADE).alias("book_id"), made.alias("text"))
+    return spark.createDataFrame(RAW_BOOKS, "book_id long, text string").unionByName(rows)
+
+
 def q_header_fields(spark, sf):
-    h = spark.createDataFrame(HEADERS, "book_id int, text string").select("book_id", F.posexplode(headers.header_fields(F.col("text"))).alias("ordinal", "f"))
+    h = raw_headers(spark, sf).select("book_id", F.posexplode(headers.header_fields(F.col("text"))).alias("ordinal", "f"))
     return h.select("book_id", "ordinal", "f.name", "f.value")
 
 
 def q_extract_metadata(spark, sf):
-    return spark.createDataFrame(HEADERS, "book_id int, text string").select("book_id", headers.extract_metadata(F.col("text")).alias("m")).select("book_id", "m.*")
+    return raw_headers(spark, sf).select("book_id", headers.extract_metadata(F.col("text")).alias("m")).select("book_id", "m.*")
 
 
 def q_metadata_build(spark, sf):
@@ -107,7 +124,7 @@ def q_normalize_language(spark, sf):
 
 
 def q_split_markers(spark, sf):
-    return spark.createDataFrame(RAW_BOOKS, "book_id int, text string").select("book_id", T.split_markers(F.col("text")).alias("p")).select("book_id", "p.*")
+    return raw_books(spark, sf).select("book_id", T.split_markers(F.col("text")).alias("p")).select("book_id", "p.*")
 
 
 def q_normalize_book_id(spark, sf):
@@ -249,7 +266,10 @@ def q_sha256(spark, sf):
     return docs(spark, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-_HEADER_ROWS = "(VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in HEADERS) + ") h(book_id, text)"
+_MADE_HEADER = """'A preamble' || chr(10) || chr(10) || 'Title: Book' || chr(10) || '   ' || doc_id || '  of' || chr(9) || source || chr(13) || chr(10) || 'Author: ' || source || chr(10)
+  || 'Author:  The ' || coalesce(lang, 'null') || chr(10) || chr(10) || ' lost' || chr(10) || 'Length: ' || coalesce(CAST(length(text) AS VARCHAR), 'null') || chr(10) || 'Language: English; German'"""
+_HEADER_ROWS = f"""(SELECT CAST(book_id AS BIGINT) AS book_id, text FROM (VALUES {", ".join(f"({i}, {_q(t)})" for i, t in HEADERS)}) v(book_id, text)
+  UNION ALL SELECT doc_id + {FIRST_MADE}, {_MADE_HEADER} FROM documents) h"""
 _WS = "[\\s\\x1c-\\x1f]"
 _PARSED = f"""
   lines AS (SELECT book_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS pos FROM {_HEADER_ROWS}),
@@ -279,7 +299,8 @@ def _values(rows, names) -> str:
 
 
 _START, _END = (m.replace("*", "\\*") for m in (T.START_MARKER, T.END_MARKER))
-_BOOK_SPLIT = f"""SELECT book_id, trim(split_part(text, '{T.START_MARKER}', 1), ' ' || chr(10)) AS h, text[strpos(text, '{T.START_MARKER}') + {len(T.START_MARKER)}:] AS r, strpos(text, '{T.START_MARKER}') > 0 AS s FROM {_values(RAW_BOOKS, "book_id, text")}"""
+_BOOK_SPLIT = f"""SELECT book_id, trim(split_part(text, '{T.START_MARKER}', 1), ' ' || chr(10)) AS h, text[strpos(text, '{T.START_MARKER}') + {len(T.START_MARKER)}:] AS r, strpos(text, '{T.START_MARKER}') > 0 AS s FROM (SELECT CAST(book_id AS BIGINT) AS book_id, text FROM {_values(RAW_BOOKS, "book_id, text")}
+  UNION ALL SELECT doc_id + {FIRST_MADE}, 'head of ' || doc_id || chr(10) || '{T.START_MARKER} [' || coalesce(text, '') || ']' || chr(10) || '{T.END_MARKER} x ***' || chr(10) || 'foot' FROM documents)"""
 
 QUERIES = {
     "header_fields": q_header_fields, "extract_metadata": q_extract_metadata, "metadata_build": q_metadata_build, "normalize_language": q_normalize_language,

@@ -14,39 +14,67 @@ QUERIES = "query_id int, ordinal int, term string"
 
 
 @dataclass(frozen=True)
-class MetricSchema:
-    """Columns of one measurement table: keys, numbers with the decimals they are written with, the numbers a
-    row must have, and those that must be over 0."""
+class Field:
+    """A column of a measurement table: text, or a number that is written with some decimals."""
 
-    keys: tuple[str, ...]
-    written: dict[str, int]
-    required: tuple[str, ...]
-    positive: tuple[str, ...] = ()
+    name: str
+    decimals: int | None = None
+    key: bool = False
+    needed: bool = False  # a row without it is dropped
+    over_zero: bool = False  # and so is one where it isn't over 0
+
+
+@dataclass(frozen=True)
+class Measurement:
+    fields: tuple[Field, ...]
 
     @property
     def columns(self) -> list[str]:
-        return [*(k for k in self.keys if k not in self.written), *self.written]
+        return [f.name for f in self.fields]
+
+    @property
+    def keys(self) -> list[str]:
+        return [f.name for f in self.fields if f.key]
+
+    @property
+    def written(self) -> dict[str, int]:
+        return {f.name: f.decimals for f in self.fields if f.decimals is not None}
+
+    @property
+    def required(self) -> list[str]:
+        return [f.name for f in self.fields if f.needed]
+
+    @property
+    def positive(self) -> list[str]:
+        return [f.name for f in self.fields if f.over_zero]
+
+
+def _needed(**decimals: int) -> tuple[Field, ...]:
+    return tuple(Field(name, n, needed=True) for name, n in decimals.items())
 
 
-_RUN = {"elapsed_seconds": 6, "stdev_seconds": 6, "repetitions": 0, "memory_mb": 4, "cpu_percent": 2, "peak_rss_mb": 4}
-_RECOVERY = ("total_books", "processed_before_interruption", "processed_after_resume", "duplicated", "lost")
+_TEST = Field("test_name", key=True)
+_RUN = (
+    Field("elapsed_seconds", 6, needed=True, over_zero=True),
+    *_needed(stdev_seconds=6, repetitions=0, memory_mb=4, cpu_percent=2, peak_rss_mb=4),
+)
 
 #: The seven measurement tables.
 METRICS = {
-    "benchmarks": MetricSchema(("test_name",), {"elapsed_seconds": 6, "memory_mb": 4, "cpu_percent": 2}, ("elapsed_seconds", "memory_mb", "cpu_percent")),
-    "disk_usage": MetricSchema(("path",), {"size_mb": 4, "file_count": 0, "dir_count": 0}, ("size_mb", "file_count", "dir_count")),
-    "recovery": MetricSchema(
-        ("test_name",), {**dict.fromkeys(_RECOVERY, 0), "detection_time": 6, "processing_time": 6, "elapsed_seconds": 6}, _RECOVERY, ("total_books",)
-    ),
-    "scalability": MetricSchema(("test_name", "batch_size"), {"batch_size": 0, **_RUN}, ("batch_size", *_RUN), ("batch_size", "elapsed_seconds")),
-    "updates": MetricSchema(("test_name", "base_size"), {"base_size": 0, **_RUN}, ("base_size", *_RUN), ("base_size", "elapsed_seconds")),
-    "statistics": MetricSchema(
-        ("test_name",),
-        {"iterations": 0, "mean_seconds": 6, "stdev_seconds": 6, "min_seconds": 6, "max_seconds": 6},
-        ("mean_seconds", "stdev_seconds", "min_seconds", "max_seconds"),
-        ("mean_seconds",),
-    ),
-    "throughput": MetricSchema(
-        ("test_name",), {"item_count": 0, "elapsed_seconds": 6, "items_per_second": 4}, ("item_count", "items_per_second"), ("items_per_second",)
-    ),
-}
+    "benchmarks": Measurement((_TEST, *_needed(elapsed_seconds=6, memory_mb=4, cpu_percent=2))),
+    "disk_usage": Measurement((Field("path", key=True), *_needed(size_mb=4, file_count=0, dir_count=0))),
+    "recovery": Measurement((
+        _TEST, Field("total_books", 0, needed=True, over_zero=True),
+        *_needed(processed_before_interruption=0, processed_after_resume=0, duplicated=0, lost=0),
+        Field("detection_time", 6), Field("processing_time", 6), Field("elapsed_seconds", 6),
+    )),
+    "scalability": Measurement((_TEST, Field("batch_size", 0, key=True, needed=True, over_zero=True), *_RUN)),
+    "updates": Measurement((_TEST, Field("base_size", 0, key=True, needed=True, over_zero=True), *_RUN)),
+    "statistics": Measurement((
+        _TEST, Field("iterations", 0), Field("mean_seconds", 6, needed=True, over_zero=True),
+        *_needed(stdev_seconds=6, min_seconds=6, max_seconds=6),
+    )),
+    "throughput": Measurement((
+        _TEST, Field("item_count", 0, needed=True), Field("elapsed_seconds", 6), Field("items_per_second", 4, needed=True, over_zero=True),
+    )),
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import labels
 from foliospark.operators import analytics, measures
-from foliospark.schemas import METRICS, MetricSchema
+from foliospark.schemas import METRICS, Measurement
 from foliospark.sources.atomic import write_text
 
 #: Columns of the consolidated table that are whole numbers.
@@ -41,7 +41,7 @@ def read_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {m: measures.union_metrics(parts) if parts else empty(m) for m, parts in found.items()}
 
 
-def append_rows(frame: DataFrame, schema: MetricSchema, path: str) -> None:
+def append_rows(frame: DataFrame, schema: Measurement, path: str) -> None:
     """Appends a few rows to one CSV file, with its header once; a file appears with its header or not at all.
 
     Measurements are a handful of rows, so they are written by the driver.
