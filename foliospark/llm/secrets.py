@@ -3,8 +3,9 @@
 Tokens are runs of letters and digits, or single symbols. A token's label is begin, inside or outside of
 a secret; its features are its shape (length, composition, changes of character class), the words and
 symbols around it, and how code-like its file is. The field is trained by maximum conditional likelihood
-on windows of a bounded sample of texts in which the base rules' matches are the labels, and its spans
-are added to the base rules' matches, which always stay.
+on windows of a bounded sample of texts, in which the base rules' matches are the labels, and of GENERATED
+lines with credentials and look-alikes of other forms than the base rules know, as there are no labelled
+secrets to learn those from. Its spans are added to the base rules' matches, which always stay.
 
 Decoding is exact over whole texts: a token whose score for "outside" exceeds the others by more than
 any change of transitions could return is outside on the best path, so Viterbi runs on the stretches
@@ -13,6 +14,7 @@ between such tokens only.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
+from foliospark.llm.common import small_batches
 
 SAMPLE = 8_000  # texts the field is trained on
+GENERATED = 3_000  # lines beside them
 WINDOW = 12  # tokens on either side of what a training window is about
 STEPS = 60
 LEAST = 8  # characters of an added span
@@ -76,6 +80,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _points(part: pa.RecordBatch) -> np.ndarray:
+    """How many code points begin before each byte of a batch of texts, and before its end."""
+    flat, _ = at._flat(part.column("text"))
+    out = np.zeros(len(flat) + 1, dtype=np.int64)
+    np.cumsum((flat & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Of all tokens of a batch of texts: start, end (bytes), row, features; and the rows' byte offsets."""
     flat, offset = at._flat(part.column("text"))
@@ -152,12 +164,68 @@ def _role(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _window(features: np.ndarray, label: np.ndarray, middle: int) -> tuple[bytes, bytes]:
+    """Features and labels of the tokens around one; -1 and 0 beyond the text's ends."""
+    place = np.arange(middle - WINDOW, middle + WINDOW + 1)
+    good = (place >= 0) & (place < len(label))
+    place = np.clip(place, 0, len(label) - 1)
+    return np.where(good[:, None], features[place], -1).astype(np.int16).tobytes(), np.where(good, label[place], 0).astype(np.int8).tobytes()
+
+
+def _generated() -> list[tuple[bytes, bytes]]:
+    """Windows of GENERATED lines: half hold a credential behind a key word, half a look-alike."""
+    rng = random.Random(7)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    word = lambda: draw(lower, rng.randrange(2, 10))
+    mixed = lower + lower.upper() + digits
+    values = (
+        lambda: draw(mixed, rng.randrange(12, 41)), lambda: draw(digits + "abcdef", rng.choice((24, 32, 40, 64))), lambda: draw(digits + "ABCDEF", rng.choice((24, 32, 40))),
+        lambda: draw(mixed, rng.randrange(6, 14)) + rng.choice("+/-_.") + draw(mixed, rng.randrange(6, 20)) + rng.choice(("", "=", "==")), lambda: draw(lower + digits, rng.randrange(12, 33)),
+    )
+    signs = (" = ", ": ", "=", ":", " : ", '": ', " => ")
+    named = lambda names: rng.choice(names) if rng.random() < 0.5 else rng.choice(names).upper()
+    lines, places = [], []
+    for i in range(GENERATED):
+        before, after = (" ".join(word() for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        quote = rng.choice(("", '"', "'"))
+        if i % 2 == 0:
+            key = named(KEY_WORDS)
+            if rng.random() < 0.3:
+                key = rng.choice((word(), "db", "my")) + rng.choice("_-. ") + key
+            head = f"{before} {key}{rng.choice(signs) if rng.random() < 0.9 else ' '}{quote}"
+            value = rng.choice(values)()
+            places.append((len(head), len(head) + len(value)))
+            lines.append(f"{head}{value}{quote}{rng.choice((' ', ', ', '; ', '. '))}{after}")
+            continue
+        places.append(None)
+        hexes = draw(digits + "abcdef", rng.choice((7, 12, 20, 32, 40, 64)))
+        look = rng.choice((
+            f"{named(ID_WORDS)}{rng.choice((*signs, ' '))}{quote}{rng.choice((hexes, draw(digits, 9), f'{draw(digits, 1)}.{draw(digits, 2)}.{draw(digits, 1)}'))}{quote}",
+            f"{named(KEY_WORDS)}{rng.choice((*signs, ' ', ' is ', ' of '))}{quote}{word()}{quote}", f"{named(KEY_WORDS)} {word()} {word()}", f"{word()}{rng.choice(signs)}{quote}{word()}{quote}",
+            f"{word()} {draw(mixed, 14)} {word()}", f"http://{word()}.example/{word()}/{draw(mixed, 12)}", f"{draw(lower, 24)} {draw(digits, 12)}", f"{word()}{rng.choice(signs)}{draw(digits, rng.randrange(4, 12))}",
+        ))
+        lines.append(f"{before} {look} {after}")
+    start, end, row, features, _ = _tokens(part := pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["text"]))
+    offset = np.concatenate([[0], np.cumsum([len(x) for x in part.column("text").to_pylist()])])  # all ASCII
+    out = []
+    for r, place in enumerate(places):
+        own = np.arange(*np.searchsorted(row, [r, r + 1]))
+        label, middle = np.zeros(len(own), dtype=np.int64), len(own) // 2
+        if place:
+            inside = np.flatnonzero((start[own] >= offset[r] + place[0]) & (end[own] <= offset[r] + place[1]))
+            label[inside], label[inside[0]], middle = 2, 1, int(inside[0])
+        out.append(_window(features[own], label, middle))
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training windows of a sampled text: around its base matches (4 at most), and one anywhere."""
     for batch in batches:
         for part in at.slices(batch, "text", 1 << 20):
             texts = part.column("text").to_pylist()
             start, end, row, features, offset = _tokens(part)
+            points = _points(part)
             xs, ys = [], []
             for r, text in enumerate(texts):
                 own = np.arange(*np.searchsorted(row, [r, r + 1]))
@@ -168,18 +236,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for kind, a, b in base_spans(text or ""):
                     if kind == "assign":
                         a = ASSIGN.match(text, a).start(2)
-                    lo, hi = (len(text[:i].encode()) + offset[r] for i in (a, b))
-                    inside = np.flatnonzero((start[own] >= lo) & (end[own] <= hi))
+                    lo, hi = np.searchsorted(points, points[offset[r]] + np.array([a, b]))
+                    inside = np.arange(np.searchsorted(start[own], lo), np.searchsorted(end[own], hi, side="right"))
                     if len(inside):
                         label[inside] = 2
                         label[inside[0]] = 1
                         begins.append(inside[0])
                 for middle in [*begins[:4], (len(text) * 7919) % len(own)]:
-                    at_ = np.arange(middle - WINDOW, middle + WINDOW + 1)
-                    good = (at_ >= 0) & (at_ < len(own))
-                    at_ = np.clip(at_, 0, len(own) - 1)
-                    xs.append(np.where(good[:, None], features[own[at_]], -1).astype(np.int16).tobytes())
-                    ys.append(np.where(good, label[at_], 0).astype(np.int8).tobytes())
+                    x, y = _window(features[own], label, middle)
+                    xs.append(x)
+                    ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
 
 
@@ -232,11 +298,16 @@ def fit(windows: list[tuple[bytes, bytes]], l2: float = 1e-3, rate: float = 0.15
     return Field(w[:N_FEATURES], t)
 
 
-def train(docs: DataFrame) -> Field | None:
-    """Fits the field on windows of about SAMPLE texts that the hash of doc_id picks."""
-    share = max(1, docs.count() // SAMPLE)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).where("text is not null").select("text").limit(2 * SAMPLE)
-    return fit([(bytes(x), bytes(y)) for x, y in picked.mapInArrow(_windows, "x binary, y binary").collect()])
+def train(docs: DataFrame) -> Field:
+    """Fits the field on windows of about SAMPLE distinct texts, picked by hash, and of generated lines.
+
+    The hash is the text's, so copies count once and the choice is the same however the rows are dealt.
+    """
+    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    share = max(1, texts.agg(F.approx_count_distinct("h", 0.02)).first()[0] // SAMPLE)
+    picked = texts.where(F.pmod("h", F.lit(share)) == 0).dropDuplicates(["h"]).select("text")
+    found = picked.mapInArrow(_windows, "x binary, y binary").collect()
+    return fit([*sorted((bytes(x), bytes(y)) for x, y in found), *_generated()])
 
 
 def decode(field: Field, features: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -271,6 +342,37 @@ def decode(field: Field, features: np.ndarray, row: np.ndarray) -> np.ndarray:
     return label
 
 
+def _added(label: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, offset: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end), in code points of the row's text, of the labelled runs of LEAST characters or more."""
+    new_row = np.diff(row, prepend=-1) != 0
+    begins = (label > 0) & ((label == 1) | new_row | (np.concatenate([[0], label[:-1]]) == 0))
+    first = np.flatnonzero(begins)
+    stops = np.flatnonzero((label == 0) | begins)  # a run ends before the next of these
+    last = np.append(stops, len(label))[np.searchsorted(stops, first, side="right")] - 1
+    of = row[first]
+    lo, hi = points[start[first]] - points[offset[of]], points[end[last]] - points[offset[of]]
+    for k in np.flatnonzero(hi - lo >= LEAST):
+        yield int(of[k]), int(lo[k]), int(hi[k])
+
+
+def _apart(found: list[dict]) -> list[dict]:
+    """The base spans, and those of the field that overlap none of them: one walk over all in order."""
+    order = sorted(found, key=lambda x: (x["start"], x["kind"] == "crf"))
+    drop, reached = set(), 0
+    for x in order:
+        if x["kind"] != "crf":
+            reached = max(reached, x["end"])
+        elif x["start"] < reached:
+            drop.add(id(x))
+    ahead = float("inf")
+    for x in reversed(order):
+        if x["kind"] != "crf":
+            ahead = x["start"]
+        elif x["end"] > ahead:
+            drop.add(id(x))
+    return [x for x in found if id(x) not in drop]
+
+
 def _scan(shared):
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -283,17 +385,9 @@ def _scan(shared):
                 if field is not None:
                     start, end, row, features, offset = _tokens(part)
                     label = decode(field, features, row)
-                    begin = np.flatnonzero((label > 0) & ((label == 1) | (np.concatenate([[0], label[:-1]]) == 0) | (np.diff(row, prepend=-1) != 0)))
-                    for i in begin:
-                        j = i + 1
-                        while j < len(label) and label[j] == 2 and row[j] == row[i]:
-                            j += 1
-                        r = row[i]
-                        raw = texts[r].encode("utf-8", "replace")
-                        lo = len(raw[: start[i] - offset[r]].decode("utf-8", "replace"))
-                        hi = lo + len(raw[start[i] - offset[r] : end[j - 1] - offset[r]].decode("utf-8", "replace"))
-                        if hi - lo >= LEAST and not any(x["start"] < hi and lo < x["end"] for x in found[r]):
-                            found[r].append({"kind": "crf", "start": lo, "end": hi})
+                    for r, lo, hi in _added(label, row, start, end, offset, _points(part)):
+                        found[r].append({"kind": "crf", "start": lo, "end": hi})
+                    found = [_apart(x) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(kind))], ["doc_id", "spans"])
 
     return run
@@ -307,5 +401,6 @@ def scan_secrets(docs: DataFrame, field: Field | None) -> DataFrame:
     other columns are ignored. An empty table gives an empty table; without a field only base matches are
     found.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     return docs.select("doc_id", "text").mapInArrow(_scan(shared), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
