@@ -270,26 +270,39 @@ def fit(windows: list[tuple[bytes, bytes]], l2: float = 1e-3, rate: float = 0.15
     if not len(y) or not (y > 0).any():
         return None
     x = np.where(x < 0, N_FEATURES, x)  # a row of zeros
-    n = len(y)
+    n, width = len(y), len(WIDTHS)
+    # tokens of equal features are scored and summed once; all features' numbers fit in a byte
+    key = (x.reshape(-1, width).astype(np.uint64) << (np.uint64(8) * np.arange(width, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    kinds = x.reshape(-1, width)[first]
     w, t = np.zeros((N_FEATURES + 1, 3)), np.zeros((3, 3))
     moments = [np.zeros_like(v) for v in (w, w, t, t)]
-    gold_w = np.stack([np.bincount(x[y == k].ravel(), minlength=N_FEATURES + 1) for k in range(3)], axis=1)
+
+    def by_feature(mass: np.ndarray) -> np.ndarray:
+        """Sums by feature and label of what the tokens (tokens x labels) carry."""
+        per_kind = [np.bincount(kind, weights=mass[:, k], minlength=len(first)) for k in range(3)]
+        return np.stack([np.bincount(kinds.ravel(), weights=np.repeat(m, width), minlength=N_FEATURES + 1) for m in per_kind], axis=1)
+
+    gold_w = by_feature(np.eye(3)[y.ravel()])
     gold_t = np.zeros((3, 3))
     np.add.at(gold_t, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     for step in range(1, STEPS + 1):
-        e = w[x].sum(axis=2)
-        f, b = np.empty_like(e), np.zeros_like(e)
-        f[:, 0] = e[:, 0]
+        score = w[kinds].sum(axis=1)
+        e = np.exp(score - score.max(axis=1, keepdims=True))[kind].reshape(n, span, 3)
+        jump = np.exp(t - t.max())
+        f, b = np.empty_like(e), np.ones_like(e)  # forward and backward, each place scaled to sum 1
+        f[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
         for i in range(1, span):
-            f[:, i] = e[:, i] + np.logaddexp.reduce(f[:, i - 1, :, None] + t[None], axis=1)
+            now = (f[:, i - 1] @ jump) * e[:, i]
+            f[:, i] = now / now.sum(axis=1, keepdims=True)
         for i in range(span - 2, -1, -1):
-            b[:, i] = np.logaddexp.reduce(t[None] + (e[:, i + 1] + b[:, i + 1])[:, None, :], axis=2)
-        z = np.logaddexp.reduce(f[:, -1], axis=1)
-        p = np.exp(f + b - z[:, None, None])
-        flat = np.repeat(p.reshape(-1, 3), len(WIDTHS), axis=0)
-        got_w = np.stack([np.bincount(x.ravel(), weights=flat[:, k], minlength=N_FEATURES + 1) for k in range(3)], axis=1)
-        pair = np.exp(f[:, :-1, :, None] + t[None, None] + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        grads = ((gold_w - got_w) / n - l2 * w, (gold_t - pair.sum(axis=(0, 1))) / n - l2 * t)
+            now = (e[:, i + 1] * b[:, i + 1]) @ jump.T
+            b[:, i] = now / now.sum(axis=1, keepdims=True)
+        p = f * b
+        p /= p.sum(axis=2, keepdims=True)
+        pair = f[:, :-1, :, None] * jump * (e[:, 1:] * b[:, 1:])[:, :, None, :]
+        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        grads = ((gold_w - by_feature(p.reshape(-1, 3))) / n - l2 * w, (gold_t - pair.sum(axis=(0, 1))) / n - l2 * t)
         for v, g, m1, m2 in ((w, grads[0], moments[0], moments[1]), (t, grads[1], moments[2], moments[3])):
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
