@@ -5,8 +5,9 @@ which gives centroids ** 2 cells. A query walks the cells by the sum of its two
 heap (the multi-sequence order) until the cells hold `wanted` vectors, and every vector of those cells
 is reranked by its exact cosine on the original values in double precision.
 
-How deep to walk depends on the data, so it is measured: the true neighbours of PROBED queries are found
-by brute force over all rows, and `wanted` is set so that the walk reaches RECALL of them.
+How deep to walk depends on the data, so it is measured: the true neighbours of PROBED indexed vectors that
+are no queries are found by brute force over all rows, and `wanted` is set so that the walk reaches RECALL of
+them. Cells hold about nine entries (more beyond MOST_CENTROIDS), so a walk stops close to that depth.
 
 The codebooks are fitted on a bounded sample of at most SAMPLE vectors; every vector is indexed. Equal
 vectors are one entry with its smallest ids, so a vector with very many copies stays one entry. Cells
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import release, stored
 
 SAMPLE = 20_000
 CHUNK = 2048
 ROUNDS = 15
-PROBED, RECALL = 100, 0.96
+PROBED, RECALL = 200, 0.96
+MOST_CENTROIDS = 512
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -185,8 +187,14 @@ def _brute(q: np.ndarray, ids: list[int], top: int):
 
 
 def depth(coded: DataFrame, asked: DataFrame, books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray, top: int) -> int:
-    """How many vectors a walk must reach so that RECALL of the true neighbours of PROBED queries are among them."""
-    picked = asked.orderBy(F.xxhash64("vec_id")).limit(PROBED).collect()
+    """How many vectors a walk must reach so that RECALL of the true neighbours of PROBED entries are among them.
+
+    The entries are none of the queries, unless all are; so the queries' recall is no fit to themselves.
+    """
+    asked = asked.select(F.col("vec_id").alias("e"), "v")
+    others = coded.select("e", "v").join(asked.select("e"), "e", "left_anti")
+    hashed = lambda rows: rows.orderBy(F.xxhash64("e")).limit(PROBED).select(F.col("e").alias("vec_id"), "v").collect()
+    picked = hashed(others) or hashed(asked)
     if not picked:
         return top
     q = np.array([r["v"] for r in picked], dtype=np.float64)
@@ -254,7 +262,7 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int | Non
     if not sample:
         sample = index.select("v").limit(SAMPLE).collect()
     x = _unit(np.array([r["v"] for r in sample], dtype=np.float64))
-    k = centroids or int(np.clip(round(2 * n**0.25), 4, 256))
+    k = centroids or int(np.clip(round(n**0.5 / 3), 4, MOST_CENTROIDS))
     books = (_kmeans(x[:, :half], k, 1), _kmeans(x[:, half:], k, 2) if half < d else np.zeros((1, 0)))
     coded = stored(index.select("e", "ids", "v").mapInArrow(_encode(books, half), "e long, ids array<long>, v array<double>, cell int"), "cells")
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)

@@ -11,7 +11,7 @@ each partition numbers its own, and the few counts of (conversation, partition)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,11 +50,16 @@ def rotate(conversations: DataFrame) -> DataFrame:
     )
     numbered = _numbered(turns).withColumn("segment", F.floor(F.col("at") / SEGMENT))
     speakers = turns.where((F.col("role") != SYSTEM) & F.col("role").isNotNull()).select("c", F.col("role").alias("who")).distinct()
-    own = F.col("role").eqNullSafe(F.col("who"))
-    name = F.coalesce("role", F.lit(NOBODY))
-    head = F.when(own, F.lit("<|assistant|>\n")).when(name == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user|> "), name, F.lit("\n")))
-    pieces = numbered.join(speakers, "c").select("c", "who", "segment", F.struct("at", head.alias("head"), F.concat("text", F.lit("<|end|>\n")).alias("body"), own.alias("own")).alias("turn"))
-    rows = pieces.groupBy("c", "who", "segment").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+
+    def rendered(x: Column) -> Column:
+        own = x["role"].eqNullSafe(F.col("who"))
+        name = F.coalesce(x["role"], F.lit(NOBODY))
+        head = F.when(own, F.lit("<|assistant|>\n")).when(name == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user|> "), name, F.lit("\n")))
+        return F.struct(head.alias("head"), F.concat(x["text"], F.lit("<|end|>\n")).alias("body"), own.alias("own"))
+
+    # a segment's turns gather once, before speakers multiply them
+    segments = numbered.groupBy("c", "segment").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
+    rows = segments.join(speakers, "c").select("c", "who", "segment", F.transform("turns", rendered).alias("turns"))
     size = lambda x: F.length(x["head"]) + F.length(x["body"])
     walked = F.aggregate(
         "turns",

@@ -12,8 +12,10 @@ that is shorter than the item is one window as a whole. Steps:
    anchor. Those with fewer places of shingles of such items than a leak needs are dropped: they cannot
    be similar enough. Equal windows (of copies, too) are one from here on, by the hash of their shingles.
 3. SimHash. Each window and each item gets a 64-bit fingerprint of its weighted shingles. Fingerprints
-   are cut into RADIUS + 1 blocks: two within RADIUS agree on at least one block (pigeonhole), so a
-   join on (size, block, value) yields every pair within the radius, and the rest is cut by distance.
+   are cut into BLOCKS blocks: two within RADIUS differ by at most RADIUS // BLOCKS bits in one of them
+   (pigeonhole), so each item is entered under all values that near, and a join on (size, block, value)
+   yields every pair within the radius; the rest is cut by distance. Blocks of 16 bits select: two
+   unrelated fingerprints meet with a chance of 0.14, which the anchors have lowered before.
 4. Exact weighted similarity decides on the pairs that are left.
 """
 
@@ -27,8 +29,8 @@ from foliospark.llm.common import stored
 
 K = 5
 THRESHOLD = 0.8
-RADIUS = 15
-BLOCK_BITS = 4  # 16 blocks of 4 bits
+RADIUS, BLOCKS = 19, 4
+BLOCK_BITS = 64 // BLOCKS
 SMALL = 1_000_000  # rows of three numbers that are broadcast; more are joined by a shuffle
 
 WORD = r"[\p{L}\p{N}]+"
@@ -66,7 +68,15 @@ def _fingerprint(weighted: DataFrame, *keys: str) -> DataFrame:
 
 
 def _blocks(f: Column) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(f, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("v")) for i in range(64 // BLOCK_BITS)])
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(f, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("v")) for i in range(BLOCKS)])
+
+
+def _near_blocks(rows: DataFrame) -> DataFrame:
+    """rows(h, ..) once for each block `i` and each value `v` that differs from it by at most RADIUS // BLOCKS bits."""
+    masks = ",".join(str(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= RADIUS // BLOCKS)
+    flips = F.split(F.lit(masks), ",").cast("array<long>")  # a constant
+    blocks = rows.select("*", F.inline(_blocks(F.col("h"))).alias("i", "block"))
+    return blocks.withColumn("v", F.explode(flips)).withColumn("v", F.col("v").bitwiseXOR(F.col("block"))).drop("block")
 
 
 def _proposed(marks: DataFrame, threshold: float) -> DataFrame:
@@ -128,8 +138,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     unique = windows.select("win", "size", "words").dropDuplicates(["win", "size"])
     shingles = stored(_shingled(unique, "win", "size").groupBy("win", "size", "g").agg(F.count(F.lit(1)).alias("w")), "window-shingles")
     left = _fingerprint(shingles, "win", "size").select("win", "size", "f", F.inline(_blocks(F.col("f"))))
-    right = _fingerprint(weights, "item_id").join(size, "item_id").select("item_id", "size", F.col("f").alias("h"), F.inline(_blocks(F.col("f"))))
-    near = left.join(right, ["size", "i", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("h"))) <= RADIUS).select("win", "size", "item_id").distinct()
+    # ten thousand rows an item, which Spark can't estimate behind a generator: not to be broadcast
+    right = _near_blocks(stored(_fingerprint(weights, "item_id").join(size, "item_id").select("item_id", "size", F.col("f").alias("h")), "item-fingerprints"))
+    near = left.join(right.hint("merge"), ["size", "i", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("h"))) <= RADIUS).select("win", "size", "item_id").distinct()
     shared = near.join(shingles.select("win", "size", "g", F.col("w").alias("a")), ["win", "size"]).join(weights.select("item_id", "g", F.col("w").alias("b")), ["item_id", "g"])
     same = shared.groupBy("win", "size", "item_id").agg(F.sum(F.least("a", "b")).alias("same"))
     placed = same.join(windows.drop("words"), ["win", "size"])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
+from foliospark.llm.common import small_batches
 
 SLOTS = 1 << 15
 SHARE = 1e-3
@@ -149,6 +150,7 @@ class Model:
 
 def train(labelled: DataFrame) -> Model:
     """Learns from labelled(lang, text); rows without either are left out. The driver gets SLOTS rows a language."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
     summed = rows.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = summed.column("lang").to_pylist()
@@ -241,6 +243,7 @@ def label_languages(docs: DataFrame, model: Model, switch: float = SWITCH) -> Da
     a language, gives 'und', 0 and no spans. Equal masses go to the first language by name. Repeated rows
     are labelled one by one; other columns are ignored. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(
         _label(shared, switch), "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"

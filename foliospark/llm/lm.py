@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
-from foliospark.llm.common import release, stored, tidy
+from foliospark.llm.common import release, small_batches, stored, tidy
 
 VOCABULARY = 1 << 16
 HEAVY = 1 << 17
@@ -667,6 +667,7 @@ def score_texts(docs: DataFrame, held_out: Column, deleted: Column, heavy_size:
     empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     part = F.when(F.coalesce(held_out, F.lit(False)), 0).when(F.coalesce(deleted, F.lit(False)), 1).otherwise(2)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), "text")
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0

@@ -50,11 +50,12 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(x, e): of each feature the array of its log-probabilities in DOMAINS; at most FEATURES rows.
 
     It is fitted on about LABELLED labelled documents, which the hash of doc_id picks (all, if there are
-    fewer than twice as many), so their ids are a bounded broadcast and no text is shuffled. Without labels
-    every domain is alike.
+    fewer than twice as many), so their ids are a bounded broadcast and no text is shuffled. An id with
+    labels of several domains teaches nothing. Without labels every domain is alike.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    known = known.where("doc_id IS NOT NULL AND domain IS NOT NULL").distinct()
+    known = known.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other"))
+    known = known.where("domain = other").drop("other")
     share = max(1, labels.count() // LABELLED)
     taught = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0))
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(taught, "doc_id")

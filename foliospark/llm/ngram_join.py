@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
-from foliospark.llm.common import release, stored, tidy
+from foliospark.llm.common import release, small_batches, stored, tidy
 from foliospark.llm.components import components
 
 #: Counters of the rare-first order (one saturating byte each a task, two in the sum: 8 MB), the blocks
@@ -189,6 +189,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     columns are ignored, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = np.zeros((COUNTERS // BLOCK, BLOCK), dtype=np.uint16)
     blocks = texts.select("text").mapInArrow(_counts(k), "block long, counts binary").groupBy("block")
@@ -302,12 +303,14 @@ def _links(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(_suffix_filtered(pairs, hists, percent), "pairs")
+        tidy(rows.sparkSession)
         fruitful = False
         if not pairs.isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             if sets is not None:
                 wanted = wanted.join(sets.select("node"), "node", "left_anti")
             more = _sets_of(wanted, rows, texts, k)
+            tidy(rows.sparkSession)
             sets = more if sets is None else sets.unionByName(more)
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
             new = stored(_verified(pairs, sets, percent), "links")

@@ -5,6 +5,10 @@ numbers, tax ids, obfuscated mail addresses, account numbers, IPv6). Boosted tre
 from its format and its context; a threshold for each kind, calibrated on rows the trees did not see,
 selects which looser candidates join the base rules' matches. Base matches always stay.
 
+Everything happens inside a document's own row and grows in proportion to its text: places come from
+running sums over the gaps between matches (`scan`), the context of a candidate from the gaps beside it,
+and overlaps with base matches from running bounds over the spans in order.
+
 The trees are fitted on a labelled table of TRAINING generated rows (formats of personal data and of
 look-alikes such as dates, versions, prices, ranges and ids, in personal and neutral contexts). The rows
 fall into cells of equal features, at most the product of the features' values, so boosting needs the
@@ -14,6 +18,7 @@ cells' counts alone; scoring is one CASE expression a tree.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -53,27 +58,90 @@ def matches(text: Column, pattern: str, may: Column) -> tuple[Column, Column]:
     return F.when(may, F.split(text, pattern, -1)).otherwise(none), F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
-def _placed(gaps: Column, hits: Column, kind: str) -> Column:
-    """Spans (kind, start, end, value) from gaps and matches, in code points."""
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), hits.alias("h")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"),
-            F.when(
-                x["h"].isNotNull(),
-                F.array_append(
-                    s["out"],
-                    F.struct(
-                        F.lit(kind).alias("kind"), (s["at"] + F.length(x["g"])).alias("start"),
-                        (s["at"] + F.length(x["g"]) + F.length(x["h"])).alias("end"), x["h"].alias("value"),
-                    ),
-                ),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(hits) > 0, walked["out"]).otherwise(empty)
+def scan(items: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """For each item of an array what `step` makes of the item's forerunner's result (null at first) and the item.
+
+    Results are gathered in runs of about sqrt(n) items, since appending to an array copies it.
+    """
+    run = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    runs = F.transform(F.sequence(F.lit(0), F.size(items) - 1, run), lambda i: F.slice(items, i + 1, run))
+    none = F.array().cast(f"array<{kind}>")
+
+    def fold(before: Column, own: Column) -> Column:
+        return F.aggregate(own, none, lambda out, x: F.array_append(out, step(F.coalesce(F.try_element_at(out, F.lit(-1)), before), x)))
+
+    def onward(out: Column, own: Column) -> Column:
+        return F.array_append(out, fold(F.try_element_at(F.try_element_at(out, F.lit(-1)), F.lit(-1)), own))
+
+    found = F.flatten(F.aggregate(runs, F.array().cast(f"array<array<{kind}>>"), onward))
+    return F.when(F.size(items) > 0, found).otherwise(none)
+
+
+def _placed(hits: Column, ends: Column, kind: str) -> Column:
+    """Spans (kind, start, end, value) from matches and their ends, in code points."""
+    span = lambda h, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(h)).alias("start"), end.alias("end"), h.alias("value"))
+    return F.zip_with(hits, ends, span)
+
+
+def _with_context(gaps: Column, hits: Column, ends: Column, kind: str) -> Column:
+    """Spans (kind, start, end, value, left, right): with 40 code points before and 8 behind, as far as the match before and the next."""
+    text = lambda array, i: F.coalesce(F.get(array, i), F.lit(""))
+
+    def span(s: Column, i: Column) -> Column:
+        left = F.concat(text(hits, i - 1), F.get(gaps, i))
+        right = F.concat(F.get(gaps, i + 1), text(hits, i + 1))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(left, F.lit(40)).alias("left"), F.left(right, F.lit(8)).alias("right"))
+
+    return F.transform(_placed(hits, ends, kind), span)
+
+
+def _before(items: str, first: Column) -> Column:
+    """The array whose every item is the one before; `first` at the start."""
+    return F.concat(F.array(first), F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))))
+
+
+def _cleared(row: DataFrame) -> DataFrame:
+    """row(_base, _more, ...) with the spans of `_more` that overlap none of `_base`.
+
+    All spans in order of their starts (base ones first among equal starts): a span overlaps a base one before
+    it if the largest end of those exceeds its start, and one behind it if the next start falls short of its end.
+    """
+    mark = lambda s, x: F.struct(s["start"].alias("at"), F.lit(x).alias("more"), s["end"].alias("end"), (s if x else F.lit(None).cast(_SPAN)).alias("span"))
+    order = F.sort_array(F.concat(F.transform("_base", lambda s: mark(s, 0)), F.transform("_more", lambda s: mark(s, 1))))
+    row = row.withColumn("_order", F.when((F.size("_base") > 0) & (F.size("_more") > 0), order)).withColumn("_back", F.reverse("_order"))
+    reached = scan(F.col("_order"), "int", lambda end, x: F.greatest(end, F.when(x["more"] == 0, x["end"])))
+    ahead = scan(F.col("_back"), "int", lambda start, x: F.when(x["more"] == 0, x["at"]).otherwise(start))
+    row = row.withColumn("_reached", reached).withColumn("_ahead", ahead)
+    free = lambda z: (z["x"]["more"] == 1) & (F.coalesce(z["r"], F.lit(0)) <= z["x"]["at"]) & F.coalesce(z["a"] >= z["x"]["end"], F.lit(True))
+    zipped = F.arrays_zip(F.col("_order").alias("x"), F.col("_reached").alias("r"), F.reverse("_ahead").alias("a"))
+    kept = F.when(F.col("_order").isNull(), F.col("_more")).otherwise(F.transform(F.filter(zipped, free), lambda z: z["x"]["span"]))
+    return row.withColumn("_more", kept).drop("_order", "_back", "_reached", "_ahead")
+
+
+def _settled(row: DataFrame) -> DataFrame:
+    """row(_more, ...) with the spans of `_more`(span, p) that stay: of each run of overlapping ones by falling p, what overlaps none before.
+
+    Within a run this takes the square of its length, which candidates of bounded length keep short.
+    """
+    order = F.sort_array(F.transform("_more", lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["p"].alias("p"), x["span"].alias("span"))))
+    row = row.withColumn("_order", F.when(F.size("_more") > 1, order))
+    row = row.withColumn("_reached", scan(F.col("_order"), "int", lambda end, x: F.greatest(end, x["end"])))
+    row = row.withColumn("_new", F.zip_with("_order", _before("_reached", F.lit(0)), lambda x, end: (end <= x["start"]).cast("int")))
+    row = row.withColumn("_run", scan(F.col("_new"), "int", lambda n, x: F.coalesce(n, F.lit(0)) + x))
+    numbered = F.zip_with("_order", "_run", lambda x, n: F.struct(n.alias("run"), (-x["p"]).alias("q"), x["start"].alias("start"), x["end"].alias("end"), x["span"].alias("span")))
+    row = row.withColumn("_order", F.sort_array(numbered))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.when(s["run"] == x["run"], s["own"]).otherwise(none)
+        free = ~F.exists(own, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
+        kept = F.when(free, F.array_append(own, F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(own)
+        return F.struct(x["run"].alias("run"), kept.alias("own"), free.alias("free"))
+
+    row = row.withColumn("_state", scan(F.col("_order"), "struct<run:int,own:array<struct<start:int,end:int>>,free:boolean>", step))
+    both = F.filter(F.arrays_zip(F.col("_order").alias("x"), F.col("_state").alias("s")), lambda z: z["s"]["free"])
+    kept = F.when(F.size("_more") > 1, F.transform(both, lambda z: z["x"]["span"])).otherwise(F.transform("_more", lambda x: x["span"]))
+    return row.withColumn("_more", kept).drop("_order", "_reached", "_new", "_run", "_state")
 
 
 def _digits(value: Column) -> Column:
@@ -121,6 +189,8 @@ def _may(kind: str, text: Column) -> Column:
     return F.col("_digits")
 
 
+_SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+
 # features -----------------------------------------------------------------------------------------
 
 #: Number of values of each feature of a candidate.
@@ -212,10 +282,12 @@ class Booster:
 
         return reduce(lambda a, b: a + b, [leaf(t) for t in self.trees], F.lit(self.prior))
 
-    def selects(self, kind: Column, features: dict[str, Column]) -> Column:
-        p = 1 / (1 + F.exp(-self.margin(features)))
-        edge = reduce(lambda c, k: F.when(kind == k, F.lit(self.thresholds[k])).otherwise(c), EXTRA, F.lit(2.0))
-        return p >= edge
+    def score(self, kind: Column, features: dict[str, Column]) -> Column:
+        """The probability of a candidate that its kind's threshold selects; null for others."""
+        edge = lambda k: -math.log(1 / self.thresholds[k] - 1) if self.thresholds[k] < 1 else math.inf
+        least = reduce(lambda c, k: F.when(kind == k, F.lit(edge(k))).otherwise(c), EXTRA, F.lit(math.inf))
+        above = F.filter(F.array(self.margin(features)), lambda m: m >= least)  # so that the trees are summed once
+        return F.get(F.transform(above, lambda m: 1 / (1 + F.exp(-m))), F.lit(0))
 
 
 def _grow(cells: list[tuple[dict, float, float]], depth: int, path: list) -> Tree:
@@ -280,10 +352,11 @@ def train(spark: SparkSession) -> Booster:
 def find_personal_data(docs: DataFrame, booster: Booster) -> DataFrame:
     """docs with spans: the base rules' matches and the looser candidates that the trees select.
 
-    A span is (kind, start, end, value), in code points, end exclusive, of KINDS; looser ones overlap no
-    base match and no looser one further left. A null or empty text has none. Every column of docs stays
-    (one named `spans` is replaced); repeated rows are judged one by one. An empty table gives an empty
-    table.
+    A span is (kind, start, end, value), in code points, end exclusive, of KINDS, base rules first. Looser
+    ones overlap no base match; of looser ones that overlap each other the most probable stays, then what it
+    leaves free (of equal ones the first, then the shorter one).
+    A null or empty text has none. Every column of docs stays (one named `spans` is replaced); repeated rows
+    are judged one by one. An empty table gives an empty table.
     """
     own = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -293,42 +366,52 @@ def find_personal_data(docs: DataFrame, booster: Booster) -> DataFrame:
     for k, p in patterns.items():
         gaps, hits = matches(F.col("_text"), p, _may(k, F.col("_text")))
         found += [gaps.alias(f"_g_{k}"), hits.alias(f"_h_{k}")]
-    row = row.select("_row", "_text", *found)
-    spans = {k: F.filter(_placed(F.col(f"_g_{k}"), F.col(f"_h_{k}"), k), _passes(k)) for k in patterns}
-    row = row.select("_row", "_text", F.concat(*[spans[k] for k in BASE]).alias("_base"), F.concat(*[spans[k] for k in EXTRA]).alias("_more"))
-
-    def chosen(s: Column) -> Column:
-        left = F.substring(F.col("_text"), F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-        right = F.substring(F.col("_text"), s["end"] + 1, F.lit(8))
-        clear = ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return clear & booster.selects(s["kind"], _features(s["kind"], s["value"], left, right))
-
-    kept = F.filter("_more", chosen)
-    apart = F.aggregate(
-        F.array_sort(kept, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])),
-        F.filter("_more", lambda s: F.lit(False)),
-        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] > s["start"]), out).otherwise(F.array_append(out, s)),
-    )
-    row = row.select("_row", F.concat("_base", F.when(F.size("_more") > 0, apart).otherwise(F.col("_more"))).alias("spans"))
+    row = row.select("_row", *found)
+    lengths = lambda k: F.zip_with(F.slice(f"_g_{k}", F.lit(1), F.size(f"_h_{k}")), f"_h_{k}", lambda g, h: F.length(g) + F.length(h))
+    row = row.select("*", *[lengths(k).alias(f"_n_{k}") for k in patterns])
+    row = row.select("*", *[scan(F.col(f"_n_{k}"), "int", lambda end, n: F.coalesce(end, F.lit(0)) + n).alias(f"_e_{k}") for k in patterns])
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    some = lambda k, spans, kind: F.when(F.size(f"_h_{k}") > 0, spans).otherwise(none(kind))
+    base = {k: F.filter(_placed(F.col(f"_h_{k}"), F.col(f"_e_{k}"), k), _passes(k)) for k in BASE}
+    more = {k: _with_context(F.col(f"_g_{k}"), F.col(f"_h_{k}"), F.col(f"_e_{k}"), k) for k in EXTRA}
+    slim = "struct<kind:string,start:int,end:int,value:string>"
+    row = row.select("_row", F.concat(*[some(k, s, slim) for k, s in base.items()]).alias("_base"), F.concat(*[some(k, s, _SPAN) for k, s in more.items()]).alias("_more"))
+    row = _cleared(row)
+
+    def featured(s: Column) -> Column:
+        bare = F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")])
+        return F.struct(bare.alias("span"), *[c.alias(f"f_{n}") for n, c in _features(s["kind"], s["value"], s["left"], s["right"]).items()])
+
+    score = lambda x: F.struct(x["span"].alias("span"), booster.score(x["span"]["kind"], {n: x[f"f_{n}"] for n in FEATURES}).alias("p"))
+    scored = F.filter(F.transform(F.transform("_more", featured), score), lambda x: x["p"].isNotNull())
+    row = row.withColumn("_more", F.when(F.size("_more") > 0, scored).otherwise(none(f"struct<span:{slim},p:double>")))
+    row = _settled(row).select("_row", F.concat("_base", "_more").alias("spans"))
     return row.select("_row.*", "spans")
 
 
+CHUNK = 1024
+
+
 def redact(found: DataFrame) -> DataFrame:
     """The rows of find_personal_data without spans, each span of `text` replaced by its kind, as [EMAIL].
 
-    Overlapping spans become one mark of the first one's kind. A null text stays null.
+    Overlapping spans become one mark of the first one's kind (of equal starts, the longest one's). A null
+    text stays null. Texts are cut from pieces of CHUNK code points, so a place costs the same wherever it is.
     """
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
-    walked = F.aggregate(
-        F.array_sort("spans", order),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(
-                x["start"] >= s["at"],
-                F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
-    )
-    return found.withColumn("text", F.when(F.size("spans") > 0, walked).otherwise(F.col("text"))).drop("spans")
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def cut(start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        held = F.slice("_chunks", first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+        return F.when(start < end, F.substring(F.array_join(held, ""), start - first * CHUNK + 1, end - start)).otherwise("")
+
+    order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    row = found.withColumn("_chunks", F.when(F.size("spans") > 0, chunks)).withColumn("_order", F.when(F.size("spans") > 0, order))
+    row = row.withColumn("_reached", scan(F.col("_order"), "int", lambda end, x: F.greatest(end, -x["back"])))
+
+    def piece(x: Column, at: Column) -> Column:
+        return F.when(x["start"] >= at, F.concat(cut(at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+
+    rest = cut(F.element_at("_reached", -1), F.length("text"))
+    marked = F.concat(F.array_join(F.zip_with("_order", _before("_reached", F.lit(0)), piece), ""), rest)
+    return row.withColumn("text", F.when(F.size("spans") > 0, marked).otherwise(F.col("text"))).drop("spans", "_chunks", "_order", "_reached")

@@ -129,6 +129,62 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+# what of op1, op4 and op5 does not depend on a fitted model, for which there is SQL
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii_boosting(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+PII_BASE_SQL = r"""
+WITH found AS (
+  SELECT doc_id,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+    regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')) AS card,
+    list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')) AS phone
+  FROM documents)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ip, lambda m: len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false))) = 4)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(card, lambda d: len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(len(d)), lambda i:
+    CASE WHEN i % 2 = 0 THEN CAST(d[len(d) - i] AS INTEGER)
+      ELSE CAST(d[len(d) - i] AS INTEGER) * 2 - CASE WHEN CAST(d[len(d) - i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phone, lambda d: len(d) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM found
+"""
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+URL_RULES_SQL = r"""
+WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+rules(h, p) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/'))
+SELECT page_id, host, path,
+  (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY len(h || p) DESC LIMIT 1) AS rule
+FROM split
+"""
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_BASE_SQL = r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''),
+    '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1),
+    lambda v: len(v) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: len(v) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: len(v) >= 32)) AS BIGINT) AS n_hex
+FROM documents
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_decontamination": op2_decontamination,
@@ -140,5 +196,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_inverted_multi_index": op10_inverted_multi_index,
+    "pii_base_counts": pii_base_counts,
+    "url_rules": url_rules,
+    "secret_base_counts": secret_base_counts,
+}
+ORACLE: dict[str, str] = {
+    "op3_chat_perspectives": OP3_SQL,
+    "op8_ngram_jaccard_join": OP8_SQL,
+    "pii_base_counts": PII_BASE_SQL,
+    "url_rules": URL_RULES_SQL,
+    "secret_base_counts": SECRET_BASE_SQL,
 }
-ORACLE: dict[str, str] = {"op3_chat_perspectives": OP3_SQL, "op8_ngram_jaccard_join": OP8_SQL}

@@ -168,7 +168,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataF
     host, path = split_url(F.col("url"))
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
     name, verdict = _ruled(F.col("host"), F.col("path"), rules)
-    base = base.select("page_id", F.regexp_replace("text", r"^.*?://", "").alias("text"), "host", "path", name.alias("rule"), verdict.alias("said"))
+    base = base.select("page_id", F.regexp_replace("text", r"(?s)^.*?://", "").alias("text"), "host", "path", name.alias("rule"), verdict.alias("said"))
     taught = base.where("said is not null").select(
         F.when(F.col("said") == "allow", 1).otherwise(0).alias("good"), "text", (F.coalesce(crc_bucket(F.col("page_id"), FOLD), F.lit(1)) == 0).alias("held")
     )

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+
+from foliospark.llm import ann
 from foliospark.llm.ann import nearest, traverse
 
 
@@ -29,6 +31,28 @@ def test_recall_on_sample(spark):
         assert sorted(x[0] for x in got[q].values()) == list(range(1, 6))
 
 
+def test_walk_is_short_on_clusters_and_measured_on_other_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 16))
+    vectors = (centres[np.arange(6000) % 150] + 0.25 * rng.normal(size=(6000, 16))).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    seen = {}
+
+    def depth(coded, asked, *rest):
+        seen["depth"] = measured(coded, asked, *rest)
+        return seen["depth"]
+
+    measured = ann.depth
+    monkeypatch.setattr(ann, "depth", depth)
+    want = brute([(i, np.array(v)) for i, v in enumerate(vectors)], [(i, vectors[i]) for i in range(0, 6000, 100)])
+    got = {}
+    for r in nearest(rows, rows.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(i in got[q] for q, w in want.items() for _, i in w)
+    assert hits / sum(len(w) for w in want.values()) >= 0.9
+    assert seen["depth"] < 0.2 * 6000
+
+
 def test_cells_come_by_rising_distance():
     rng = np.random.default_rng(1)
     da, db = rng.random(6), rng.random(5)

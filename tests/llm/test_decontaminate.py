@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from foliospark.llm.decontaminate import RADIUS, _blocks, _fingerprint, find_leaks
+from foliospark.llm.decontaminate import RADIUS, _blocks, _fingerprint, _near_blocks, find_leaks
 from pyspark.sql import functions as F
 
 
@@ -68,14 +68,16 @@ def test_altered_passages(spark):
 def test_blocks_cover_the_radius(spark):
     rng = random.Random(3)
     pairs = []
-    for _ in range(200):
+    for _ in range(100):
         a = rng.getrandbits(64)
         b = a
         for bit in rng.sample(range(64), RADIUS):
             b ^= 1 << bit
         pairs.append(tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (a, b)))
-    rows = spark.createDataFrame(pairs, "a long, b long").select(_blocks(F.col("a")).alias("x"), _blocks(F.col("b")).alias("y"))
-    assert all(set(r.x) & set(r.y) for r in rows.collect())
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k long, f long, h long")
+    entered = _near_blocks(rows.select(F.col("k").alias("l"), "h"))
+    met = rows.select("k", F.inline(_blocks(F.col("f")))).join(entered, ["i", "v"]).where("k = l").select("k").distinct()
+    assert met.count() == len(pairs)
 
 
 def test_fingerprint_is_the_weighted_majority(spark):

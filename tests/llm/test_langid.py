@@ -67,3 +67,37 @@ def test_odd_and_empty_rows(spark, odd_docs, no_docs, sf):
     assert langid.label_languages(no_docs, model).count() == 0
     empty = langid.train(no_docs)
     assert {r.lang_pred for r in langid.label_languages(odd_docs, empty).collect()} == {"und"}
+
+
+def test_posteriors_against_plain_sums():
+    """Of single words: sums over letter pairs and triples by plain integers, softmax over the script's candidates, floored."""
+    rng = np.random.default_rng(2)
+    scripts = len(langid.SCRIPT_NAMES)
+    counts = np.zeros((3, langid.SLOTS + scripts), dtype=np.int64)
+    counts[:, : langid.SLOTS] = rng.integers(0, 50, (3, langid.SLOTS))
+    latin, cyrillic = langid.SCRIPT_NAMES.index("latin"), langid.SCRIPT_NAMES.index("cyrillic")
+    counts[:2, langid.SLOTS + latin] = 1000
+    counts[2, langid.SLOTS + cyrillic] = 1000
+    model = langid.Model(["aa", "bb", "cc"], counts)
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & full
+        return x ^ (x >> 31)
+
+    words = ["Straße", "a", "Москва", "naïve", "x" * 40]
+    a, b, row, low, _ = langid._words(words)
+    assert row.tolist() == list(range(len(words)))
+    got = langid._posteriors(model, a, b, low)
+    for i, word in enumerate(words):
+        codes = [0, *(ord(c) for c in word.lower()), 0]
+        sums = np.zeros(3)
+        for p, c, n in zip(codes, codes[1:], codes[2:], strict=False):
+            for slot in (mix((p << 21) | c | 1 << 63) >> 49, mix((p << 42) | (c << 21) | n) >> 49):
+                sums += np.log((counts[:, slot] + langid.ALPHA) / (counts[:, : langid.SLOTS].sum(axis=1) + langid.ALPHA * langid.SLOTS))
+        can = [2] if word == "Москва" else [0, 1]
+        want = sums[can] - sums[can].max()
+        want = np.maximum(want - np.log(np.exp(want).sum()), langid.FLOOR)
+        assert np.allclose(got[i, can], want, atol=1e-3)  # the model holds single precision
+        assert (np.delete(got[i], can) == 4 * langid.FLOOR).all()

@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import xxhash
+
 from foliospark.llm import mixing
 
 
@@ -76,3 +82,34 @@ def test_solution_is_where_the_plain_descent_ends(spark):
     got = [x[0] for x in table.select(mixing.settled_rate(table.p, found)).collect()]
     assert all(abs(x - y) < 1e-4 for x, y in zip(got, r, strict=True))
     assert mixing.solve_rates(table.where("false")) == [0.0] * 3
+
+
+def test_ids_of_conflicting_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "a x y"), (3, "z")], "doc_id long, text string")
+    rows = [(1, 1, 0), (1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    model = lambda frame: sorted((r.x, tuple(r.e)) for r in mixing.train(docs, frame).collect())
+    assert model(labels) == model(labels.where("doc_id <> 3").distinct())
+
+
+def test_posteriors_against_plain_naive_bayes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.train(docs, spark.createDataFrame(labels, "doc_id long, quality long, toxic long"))
+    found = {r.key: (r.tokens, r.p) for r in mixing.posteriors(docs.withColumnRenamed("doc_id", "key"), model).collect()}
+    slot = lambda w: (lambda h: (h - (1 << 64) if h >= 1 << 63 else h) % mixing.FEATURES)(xxhash.xxh64(w, seed=42).intdigest())
+    words = {i: [slot(w) for w in re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()) if w] for i, t in rows}
+    domain = {i: "toxic" if x else "good" if q else "poor" for i, q, x in labels}
+    counts = {d: Counter(x for i, ws in words.items() if domain.get(i) == d for x in ws) for d in mixing.DOMAINS}
+    seen = set().union(*counts.values())
+    for i, ws in words.items():
+        if not ws:
+            assert i not in found
+            continue
+        raw = [sum(math.log((c[x] + mixing.ALPHA) / (sum(c.values()) + mixing.ALPHA * mixing.FEATURES)) for x in ws if x in seen) for c in (counts[d] for d in mixing.DOMAINS)]
+        raw = [r * min(1.0, mixing.TEMPER / len(ws)) for r in raw]
+        ex = [math.exp(r - max(raw)) for r in raw]
+        assert found[i][0] == len(ws)
+        assert all(math.isclose(p, x / sum(ex), rel_tol=1e-6, abs_tol=1e-9) for p, x in zip(found[i][1], ex, strict=True))

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import math
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from foliospark.llm import pii
 
@@ -61,6 +66,76 @@ def test_looser_candidates(spark):
         assert got[len(yes) + i] == [], t
 
 
+def long_text(matches):
+    """A text of very many matches of several rules, with candidates between them."""
+    parts = ("10.0.{}.7", "+1 523 555 {:04d}", "a{}@b.example", "call 0999 123 {:04d}", "joe [at] mail{}.example [dot] com", "é {} 🙂", "2021-03-{}")
+    return " ".join(parts[i % len(parts)].format(i % 250) for i in range(matches))
+
+
+def test_long_texts_of_matches(spark):
+    """The time grows in proportion to the text: 2 MB of matches are a matter of seconds."""
+    booster = pii.train(spark)
+    texts = [long_text(3_000), long_text(130_000)]
+    assert len(texts[1]) > 1_900_000
+    for t in texts:
+        began = time.time()
+        found = pii.find_personal_data(rows(spark, [t]), booster)
+        spans = sorted(spans_of(found)[0])
+        clean = pii.redact(found).first().text
+        assert time.time() - began < 60
+        assert [s for s in spans if s[0] in pii.BASE] == plain_base(t)
+        assert not [s for s in plain_base(clean)] and clean.count("🙂") == t.count("🙂")
+
+
+def test_overlaps_with_base_matches_against_all_pairs(spark):
+    rng = random.Random(6)
+    cases = []
+    for _ in range(60):
+        base, more = ([(a, a + rng.randrange(1, 9)) for a in rng.choices(range(60), k=rng.randrange(9))] for _ in range(2))
+        cases.append((base, more))
+    kinds = "base array<struct<start:int,end:int>>, more array<struct<start:int,end:int>>"
+    table = spark.createDataFrame(cases, kinds)
+    full = lambda c: F.transform(c, lambda s: F.struct(F.lit("k").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *[F.lit("").alias(x) for x in ("value", "left", "right")]))
+    spans = table.select("base", "more", full("base").alias("_base"), full("more").alias("_more"))
+    for r in pii._cleared(spans).collect():
+        want = [(a, b) for a, b in r.more if not any(a < y and x < b for x, y in r.base)]
+        assert sorted((s.start, s.end) for s in r._more) == sorted(want)
+
+
+def test_overlapping_candidates_settle_by_probability(spark):
+    rng = random.Random(9)
+    cases = [[(a, a + rng.randrange(1, 9), rng.randrange(5) / 5) for a in rng.sample(range(50), k=rng.randrange(12))] for _ in range(60)]
+    table = spark.createDataFrame([(c,) for c in cases], "found array<struct<start:int,end:int,p:double>>")
+    span = lambda s: F.struct(F.lit("k").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("value"))
+    spans = table.select("found", F.transform("found", lambda s: F.struct(span(s).alias("span"), s["p"].alias("p"))).alias("_more"))
+    for r in pii._settled(spans).collect():
+        want = []
+        for s in sorted(r.found, key=lambda s: (-s.p, s.start, s.end)):
+            if not any(s.start < b and a < s.end for a, b in want):
+                want.append((s.start, s.end))
+        assert sorted((s.start, s.end) for s in r._more) == sorted(want)
+
+
+def test_running_sums(spark):
+    table = spark.range(400).select("id", F.when(F.col("id") > 0, F.sequence(F.lit(1), F.col("id").cast("int"))).otherwise(F.array().cast("array<int>")).alias("x"))
+    for r in table.select("id", pii.scan(F.col("x"), "int", lambda s, x: F.coalesce(s, F.lit(0)) + x).alias("s")).collect():
+        assert r.s == [i * (i + 1) // 2 for i in range(1, r.id + 1)]
+
+
+def test_trees_against_a_plain_evaluation(spark):
+    """The compiled CASE expressions give the sums of the trees' leaves."""
+    booster = pii.train(spark)
+    rng = random.Random(2)
+    cases = [{f: rng.randrange(n) for f, n in pii.FEATURES.items()} for _ in range(200)]
+    frame = spark.createDataFrame([tuple(x.values()) for x in cases], ", ".join(f"{f} int" for f in pii.FEATURES))
+    got = frame.select(*pii.FEATURES, booster.margin({f: F.col(f) for f in pii.FEATURES}).alias("margin")).collect()
+    for r in got:
+        x = {f: r[f] for f in pii.FEATURES}
+        leaves = [[v for conditions, v in tree if all((x[f] == k) == same for f, k, same in conditions)] for tree in booster.trees]
+        assert all(len(v) == 1 for v in leaves)
+        assert math.isclose(r.margin, booster.prior + sum(v[0] for v in leaves), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_redaction_round_trip(spark, sf):
     booster = pii.train(spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as cp
 from foliospark.llm import ngram_join, pii
 
@@ -47,3 +49,26 @@ def test_stages_bear_odd_and_empty_rows(spark, odd_docs, no_docs, sf):
         assert f(spark, odd_docs.select(*plain), sf).columns == plain
     assert cp.STAGES[4][1](spark, no_docs, sf).count() == 0
     assert ngram_join.COUNTERS and pii.KINDS
+
+
+def test_near_duplicates_under_null_and_repeated_ids(spark, sf):
+    """One row of each group stays: near copies under one id go, clean texts that share an id with them stay."""
+    rng = random.Random(12)
+    say = lambda n: [rng.choice([f"w{i}" for i in range(800)]) for _ in range(n)]
+    rows = []
+    for g in range(5):
+        text = say(150)
+        for j, i in enumerate((7, 7, None, 30 + g, None)):
+            other = list(text)
+            other[25 * j] = "changed"
+            rows.append((i, " ".join(other)))
+    rows += [(7, " ".join(say(90))), (None, " ".join(say(90))), (31, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicates(spark, docs, sf).collect()
+    group = {r: c for r, _, c in groups(list(enumerate(t for _, t in rows)), cp.NEAR_K, cp.NEAR_PERCENT)}
+    best = {}
+    for r, (i, _) in enumerate(rows):
+        best.setdefault(group[r], []).append((i is None, i or 0))
+    want = sorted(min(x) for x in best.values())
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == want
+    assert {group[rows.index((r.doc_id, r.text))] for r in kept} == set(best)
