@@ -118,16 +118,21 @@ def _encode(books: tuple[np.ndarray, np.ndarray], half: int):
     return run
 
 
-def traverse(da: np.ndarray, db: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
-    """Cells by rising da[i] + db[j], with a heap over the two sorted lists, until they hold `wanted` entries."""
+def traverse(da: np.ndarray, db: np.ndarray, counts: np.ndarray, wanted: int, until: set[int] | None = None) -> list[int]:
+    """Cells by rising da[i] + db[j], with a heap over the two sorted lists, until they hold `wanted` entries.
+
+    With `until` the walk also ends when it has met all these cells.
+    """
     ia, ib = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
     heap, pushed, cells, have = [(da[ia[0]] + db[ib[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and have < wanted:
+    left = set(until or ())
+    while heap and have < wanted and (left or until is None):
         _, i, j = heapq.heappop(heap)
         cell = int(ia[i]) * len(db) + int(ib[j])
         if counts[cell]:
             cells.append(cell)
             have += int(counts[cell])
+            left.discard(cell)
         for x, y in ((i + 1, j), (i, j + 1)):
             if x < len(ia) and y < len(ib) and (x, y) not in pushed:
                 pushed.add((x, y))
@@ -203,9 +208,11 @@ def depth(coded: DataFrame, asked: DataFrame, books: tuple[np.ndarray, np.ndarra
     true = near.withColumn("r", rank).where((F.col("r") <= top) & (F.col("score") > -2)).select("i", "cell").collect()
     x = _unit(q)
     da, db = _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
-    reach = {}
-    for i in range(len(q)):
-        cells = traverse(da[i], db[i], counts, int(counts.sum()))
+    reach, sought = {}, {}
+    for i, c in true:
+        sought.setdefault(i, set()).add(c)
+    for i, cells in sought.items():
+        cells = traverse(da[i], db[i], counts, int(counts.sum()), cells)
         reach[i] = dict(zip(cells, np.cumsum(counts[cells]).tolist(), strict=True))
     needed = sorted(reach[i][c] for i, c in true)
     return needed[min(int(len(needed) * RECALL), len(needed) - 1)] if needed else top
