@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import ids
 from foliospark.sources.atomic import write_text
 
-BUCKETS = 16
-LETTERS, FILE_ROWS = 27, 4_000_000
+BUCKETS, LETTERS = 4, 27
 
 
 def _placed(postings: DataFrame) -> DataFrame:
@@ -25,12 +24,12 @@ def _placed(postings: DataFrame) -> DataFrame:
 def save_table(postings: DataFrame, path: str) -> None:
     """Replaces the table with postings(term, book_id); a file holds a term's rows together and sorted.
 
-    A partition is written in `parts` by book, as many as keep about FILE_ROWS in one, so a frequent term is
-    the work of several tasks, when it is written and when it is read.
+    A partition is written in `parts` by book, as many as the session's shuffle partitions allow, so a frequent
+    term is the work of several tasks, when it is written and when it is read. Files are sorted by term, so a
+    look-up also skips the row groups of other terms.
     """
-    pairs = postings.select("term", "book_id").distinct()
-    parts = max(1, pairs.count() // (LETTERS * BUCKETS * FILE_ROWS) + 1)
-    placed = _placed(pairs).repartition("letter", "bucket", F.pmod(F.xxhash64("book_id"), F.lit(parts)))
+    parts = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (LETTERS * BUCKETS))
+    placed = _placed(postings.select("term", "book_id").distinct()).repartition("letter", "bucket", F.pmod(F.xxhash64("book_id"), F.lit(parts)))
     placed.sortWithinPartitions("letter", "bucket", "term", "book_id").write.mode("overwrite").partitionBy("letter", "bucket").parquet(path)
 
 
