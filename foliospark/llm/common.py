@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,12 @@ def release(*tables: DataFrame | None) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are stored."""
+    """Lets Spark delete the shuffle files of jobs whose results are stored.
+
+    Listeners hold a query for a moment after its end, and what they hold can't be collected.
+    """
     gc.collect()
+    time.sleep(0.5)
     spark._jvm.System.gc()
 
 
