@@ -107,6 +107,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out=fold == 0, deleted=fold == 1)[0]
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.spelling import group_variants, words
+
+    return group_variants(words(table(spark, sf_dir, "documents"), every=97))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.langid import label_languages, train
 
@@ -196,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_inverted_multi_index": op10_inverted_multi_index,
+    "op13_spelling_variants": op13_spelling_variants,
     "pii_base_counts": pii_base_counts,
     "url_rules": url_rules,
     "secret_base_counts": secret_base_counts,
