@@ -57,8 +57,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All words of a column in order: 64-bit hashes, and the n + 1 offsets of the rows in them."""
+def word_hashes(column: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a column in order: 64-bit hashes, and the n + 1 offsets of the rows in them.
+
+    `space` tells for each byte whether it parts words.
+    """
     flat, at = _flat(column)
     hashes, counts = [], np.zeros(len(at) - 1, dtype=np.int64)
     starts_row = np.zeros(len(flat) + 1, dtype=bool)
@@ -67,14 +70,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while pos < len(flat):
         end = min(pos + PIECE, len(flat))
         if end < len(flat):  # cut behind a space or at the start of a row
-            cuts = np.flatnonzero(_SPACE[flat[pos:end]] | starts_row[pos + 1 : end + 1])
+            cuts = np.flatnonzero(space[flat[pos:end]] | starts_row[pos + 1 : end + 1])
             while len(cuts) == 0:
                 more = min(end + PIECE, len(flat))
-                cuts = np.flatnonzero(_SPACE[flat[end:more]] | starts_row[end + 1 : more + 1]) + (end - pos)
+                cuts = np.flatnonzero(space[flat[end:more]] | starts_row[end + 1 : more + 1]) + (end - pos)
                 end = more
             end = pos + int(cuts[-1]) + 1
         piece, row = flat[pos:end], starts_row[pos : end + 1]
-        word = ~_SPACE[piece]
+        word = ~space[piece]
         first = word.copy()
         first[1:] &= ~word[:-1] | row[1:-1]
         last = word.copy()

@@ -107,6 +107,40 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out=fold == 0, deleted=fold == 1)[0]
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def license_base_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+LICENSE_BASE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases(label, p) AS (VALUES ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS place
+  FROM words, phrases WHERE list_has_all(w, p)),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM words LEFT JOIN base USING (doc_id)
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.negatives import hard_negatives
 
@@ -231,11 +265,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_source_mixing": op9_source_mixing,
     "op10_inverted_multi_index": op10_inverted_multi_index,
+    "op11_license_scan": op11_license_scan,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_variants": op13_spelling_variants,
     "pii_base_counts": pii_base_counts,
     "url_rules": url_rules,
     "secret_base_counts": secret_base_counts,
+    "license_base_labels": license_base_labels,
 }
 ORACLE: dict[str, str] = {
     "op3_chat_perspectives": OP3_SQL,
@@ -244,4 +280,5 @@ ORACLE: dict[str, str] = {
     "pii_base_counts": PII_BASE_SQL,
     "url_rules": URL_RULES_SQL,
     "secret_base_counts": SECRET_BASE_SQL,
+    "license_base_labels": LICENSE_BASE_SQL,
 }
