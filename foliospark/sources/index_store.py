@@ -1,61 +1,35 @@
-"""Stores of the inverted index: the partitioned table, and the JSON and folder forms for exchange."""
+"""Stores of the inverted index: the segmented table (see segments), and the JSON and folder forms for exchange."""
 
 from __future__ import annotations
 
 import json
 import os
 import shutil
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import ids
 from foliospark.sources.atomic import write_text
-
-BUCKETS, LETTERS = 4, 27
-
-
-def _placed(postings: DataFrame) -> DataFrame:
-    """Partition columns: the term's letter and, as letters are uneven, a hash bucket inside it."""
-    return postings.withColumn("letter", ids.term_letter(F.col("term"))).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-
+from foliospark.sources.segments import SegmentedIndex
 
 def save_table(postings: DataFrame, path: str) -> None:
-    """Replaces the table with postings(term, book_id); a file holds a term's rows together and sorted.
-
-    A partition is written in `parts` by book, as many as the session's shuffle partitions allow, so a frequent
-    term is the work of several tasks, when it is written and when it is read. Files are sorted by term, so a
-    look-up also skips the row groups of other terms.
-    """
-    parts = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (LETTERS * BUCKETS))
-    placed = _placed(postings.select("term", "book_id").distinct()).repartition("letter", "bucket", F.pmod(F.xxhash64("book_id"), F.lit(parts)))
-    placed.sortWithinPartitions("letter", "bucket", "term", "book_id").write.mode("overwrite").partitionBy("letter", "bucket").parquet(path)
+    """Replaces the stored index at `path` with postings(term, book_id)."""
+    SegmentedIndex(postings.sparkSession, path).replace(postings)
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("term", "book_id")
+    return SegmentedIndex(spark, path).postings()
 
 
 def lookup(spark: SparkSession, path: str, term: str) -> DataFrame:
-    """Postings of one term, as it is; its partition follows from it, so no other is read."""
-    table = spark.read.parquet(path)
-    row = spark.range(1).select(ids.term_letter(F.lit(term)).alias("letter"), F.pmod(F.xxhash64(F.lit(term)), F.lit(BUCKETS)).cast("int").alias("bucket")).first()
-    return table.where((F.col("letter") == row["letter"]) & (F.col("bucket") == row["bucket"]) & (F.col("term") == term)).select("term", "book_id")
+    """Postings of one term, as it is; only its folder is read."""
+    return SegmentedIndex(spark, path).lookup(term)
 
 
 def lookup_terms(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
-    """(term, book_id) of the stored postings of a small table of terms; only their partitions are read."""
-    asked = _placed(terms.select("term").distinct())
-    rows = asked.select("letter", "bucket").distinct().collect()  # LETTERS * BUCKETS at most
-    table = spark.read.parquet(path)
-    if not rows:
-        return table.select("term", "book_id").where("false")
-    pairs = {}
-    for r in rows:
-        pairs.setdefault(r["letter"], []).append(r["bucket"])
-    here = reduce(lambda a, b: a | b, [(F.col("letter") == letter) & F.col("bucket").isin(sorted(buckets)) for letter, buckets in sorted(pairs.items())])
-    return table.where(here).join(terms.select("term").distinct(), "term", "left_semi").select("term", "book_id")
+    """(term, book_id) of the stored postings of a table of terms; only their folders are read."""
+    return SegmentedIndex(spark, path).lookup_terms(terms)
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:

@@ -50,8 +50,9 @@ def test_all_forms_answer_alike(spark, tmp_path):
             assert dict_of(got) == want
         for w in [*words, "Alpha", "absent"]:
             assert sorted(r.book_id for r in index_store.lookup(spark, table, w).collect()) == want.get(w, [])
-    plan = index_store.lookup(spark, table, "alpha")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(letter" in plan
+    found = index_store.lookup(spark, table, "alpha")
+    assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1 and "letter=A/bucket=" in found.inputFiles()[0]
+    assert "EqualTo(term,alpha)" in found._jdf.queryExecution().toString()
 
 
 def test_queries(spark):
