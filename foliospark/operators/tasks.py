@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import index, metadata
+from foliospark.operators import control, metadata
 from foliospark.sources import fetch, lake
+from foliospark.sources.segments import SegmentedIndex
+from foliospark.sources.store import METADATA, Store, View
+from foliospark.sources.tables import MergeTable
 
 
 def download(root: str, layout: str, get: Callable = fetch.http_get, batch_size: int = 1000) -> Callable[[DataFrame], DataFrame]:
@@ -29,59 +32,70 @@ def download(root: str, layout: str, get: Callable = fetch.http_get, batch_size:
 
 def books_of(spark: SparkSession, root: str, layout: str) -> DataFrame:
     """(book_id, header_path, body_path, header, body, modified) of the complete books of a lake."""
-    found = lake.list_books(spark, root, layout)
-    texts = lake.read_texts(spark, f"{root}/{lake.LAYOUTS[layout]}/*_*.txt").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    found = lake.list_books(spark, root, layout)
+    texts = lake.read_texts(spark, f"{root}/{lake.LAYOUTS[layout]}/*_*.txt").withColumn("path", plain("path"))
     headers = texts.select(F.col("path").alias("header_path"), F.col("text").alias("header"), "modified")
     bodies = texts.select(F.col("path").alias("body_path"), F.col("text").alias("body"))
     found = found.select("book_id", plain("header_path").alias("header_path"), plain("body_path").alias("body_path"))
     return found.join(headers, "header_path").join(bodies, "body_path").select("book_id", "header_path", "body_path", "header", "body", "modified")
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+def refresh_metadata(books: DataFrame, root: str, path: str) -> None:
+    """Puts the metadata of books(book_id, header_path, body_path, header, modified) into the table at `path`; rows
+    that are there already are not written again."""
+    put_metadata(MergeTable(books.sparkSession, path, METADATA), books, root)
 
 
-METADATA = "book_id long, title string, author string, language string, capture_date string, header_path string, body_path string"
+def put_metadata(table: MergeTable, books: DataFrame, root: str) -> None:
+    new = metadata.build_metadata(books, root)
+    changed = new.join(table.read(), metadata.COLUMNS, "left_anti")
+    if not changed.isEmpty():
+        table.upsert(changed)
 
 
-def refresh_metadata(books: DataFrame, root: str, path: str) -> None:
-    """Puts the metadata of books(book_id, header_path, body_path, header, modified) into the table at `path`.
+def current_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return MergeTable(spark, path, METADATA).read()
 
-    The table is append only: the last row of an id counts (`current_metadata`), so a crash leaves what was
-    there, and doing it again changes nothing.
+
+def index_books(spark: SparkSession, root: str, layout: str, index_path: str, metadata_path: str, batch_size: int = 1000) -> Callable[[DataFrame], DataFrame]:
+    """An index step for the controller: locate, metadata, postings. A missing book touches nothing and is not ok.
+
+    A step reads the files of its own books only.
     """
-    spark = books.sparkSession
-    new = metadata.build_metadata(books, root)
-    known = current_metadata(spark, path)
-    changed = new.join(known, metadata.COLUMNS, "left_anti").withColumn("seq", F.unix_micros(F.current_timestamp()))
-    changed.write.mode("append").parquet(path)
 
+    def run(ids: DataFrame) -> DataFrame:
+        found = lake.read_pairs(lake.find_books(spark, root, layout, ids, batch_size)).persist()
+        try:
+            refresh_metadata(found, root, metadata_path)
+            SegmentedIndex(spark, index_path).add(found.select("book_id", F.col("body").alias("text")))
+            done = [r["book_id"] for r in found.select("book_id").collect()]  # one batch of the loop
+        finally:
+            found.unpersist()
+        return ids.select("book_id", F.col("book_id").isin(done).alias("ok"))
 
-def current_metadata(spark: SparkSession, path: str) -> DataFrame:
-    rows = table_or_empty(spark, path, f"{METADATA}, seq long")
-    last = F.max_by(F.struct(*metadata.COLUMNS[1:]), "seq").alias("m")
-    return rows.groupBy("book_id").agg(last).select("book_id", "m.*")
+    return run
 
 
-def index_books(spark: SparkSession, root: str, layout: str, index_path: str, metadata_path: str) -> Callable[[DataFrame], DataFrame]:
-    """An index step for the controller: locate, metadata, postings. A missing book touches nothing and is not ok."""
+def index_into_store(store: Store, root: str, layout: str, batch_size: int = 1000) -> Callable[[DataFrame], DataFrame]:
+    """An index step whose metadata, postings and log rows are committed together."""
 
     def run(ids: DataFrame) -> DataFrame:
-        found = books_of(spark, root, layout).join(ids.select("book_id"), "book_id", "left_semi").persist()
+        found = lake.read_pairs(lake.find_books(store.spark, root, layout, ids, batch_size)).persist()
         try:
-            refresh_metadata(found, root, metadata_path)
-            known = table_or_empty(spark, index_path, "term string, book_id long")
-            bodies = found.select("book_id", F.col("body").alias("text"))
-            index.new_postings(known, bodies).write.mode("append").parquet(index_path)
+            if not found.isEmpty():
+                with store.change() as view:
+                    put_books(view, found, root)
             done = [r["book_id"] for r in found.select("book_id").collect()]  # one batch of the loop
         finally:
             found.unpersist()
         return ids.select("book_id", F.col("book_id").isin(done).alias("ok"))
 
     return run
+
+
+def put_books(view: View, books: DataFrame, root: str) -> None:
+    """Puts books(book_id, header_path, body_path, header, body, modified) into an open change of a store."""
+    put_metadata(view.metadata, books, root)
+    view.index.add(books.select("book_id", F.col("body").alias("text")))
+    view.log.append(control.mark(view.log.read(), books.select("book_id"), control.INDEXED))

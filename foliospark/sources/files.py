@@ -11,6 +11,7 @@ class Files:
     """Small driver-side files: listing, whole reads, writes that appear at once, renames and removals."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self._spark = spark
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs
         conf = spark._jsparkSession.sessionState().newHadoopConf()
@@ -20,6 +21,9 @@ class Files:
         self._context = self._fs.FileContext.getFileContext(self.root.toUri(), conf)
         self._array = spark.sparkContext._gateway.new_array
 
+    def below(self, name: str) -> Files:
+        return Files(self._spark, f"{self.root.toString()}/{name}")
+
     def path(self, name: str = ""):
         return self._fs.Path(self.root, name) if name else self.root
 

@@ -1,7 +1,8 @@
 """The datalake: raw header and body files in time, book and batch layouts.
 
 Bodies and headers are text files `<id>_body.txt` and `<id>_header.txt`. Listing reads paths only;
-a book's folder in the book and batch layouts is computed from its id, so a look-up is pruned to it.
+a book's folder in the book and batch layouts is computed from its id, so a look-up is pruned to it. Spark's file
+listing passes over empty files, so a book with an empty half is not complete here; the `lake` data source has it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import json
 import os
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,9 +22,9 @@ LAYOUTS = {"time": "*/*", "book": "*", "batch": "*"}
 _FILE = r"/([^/]+)/(?:([0-9]+)_(body|header)\.txt)$"
 
 
-def _paths(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, dir, parent, book_id, kind, size) of the lake files that a glob reaches; empty if there are none."""
-    if not _exists(spark, pattern):
+def _paths(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """(path, dir, parent, book_id, kind, size) of the lake files that globs reach; empty if there are none."""
+    if isinstance(pattern, str) and not _exists(spark, pattern):
         return spark.createDataFrame([], "path string, dir string, parent string, book_id long, kind string, size long")
     files = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("size"))
     return files.where(F.col("path").rlike(_FILE)).select(
@@ -85,6 +86,46 @@ def find_book(spark: SparkSession, root: str, layout: str, book_id: int, batch_s
     return found
 
 
+def find_books(spark: SparkSession, root: str, layout: str, ids: DataFrame, batch_size: int = 1000) -> DataFrame:
+    """(book_id, header_path, body_path) of those books of one batch of ids that are complete.
+
+    Only folders that can hold them are listed: in the book and batch layouts they follow from the ids.
+    """
+    if layout == "time":
+        pairs = pair_files(_paths(spark, f"{root}/*/*/*_*.txt"))
+    else:
+        folders = {book_folder(root, layout, r["book_id"], batch_size) for r in ids.where("book_id IS NOT NULL").select("book_id").distinct().collect()}
+        there = sorted(f for f in folders if _exists(spark, f"{f}/*_*.txt"))
+        pairs = pair_files(_paths(spark, [f"{f}/*_*.txt" for f in there] or f"{root}/_none/*.txt"))
+    return newest_complete_copy(pairs.join(ids.select("book_id").distinct(), "book_id", "left_semi"))
+
+
+def read_pairs(found: DataFrame) -> DataFrame:
+    """(book_id, header_path, body_path, header, body, modified) of one batch of found(book_id, header_path, body_path).
+
+    The paths of the batch go to the driver, as every list of files to read does, and no other file is opened.
+    """
+    spark = found.sparkSession
+    rows = [tuple(r) for r in found.select("book_id", _plain("header_path").alias("h"), _plain("body_path").alias("b")).collect()]
+    if not rows:
+        return spark.createDataFrame([], "book_id long, header_path string, body_path string, header string, body string, modified timestamp")
+    files = [(p, i, kind) for i, h, b in rows for p, kind in ((h, "header"), (b, "body"))]
+    named = F.broadcast(spark.createDataFrame(files, "path string, book_id long, kind string"))
+    texts = spark.read.text([p for p, _, _ in files], wholetext=True).select(
+        _plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified")
+    )
+    of = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return texts.join(named, "path").groupBy("book_id").agg(
+        of("path", "header").alias("header_path"), of("path", "body").alias("body_path"), of("text", "header").alias("header"),
+        of("text", "body").alias("body"), of("modified", "header").alias("modified"),
+    )
+
+
+def _plain(path) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def discover_book_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _paths(spark, f"{folder}/*_body.txt").select("book_id").orderBy("book_id")
 

@@ -49,3 +49,21 @@ class Manifest:
         for epoch in epochs[:-keep]:
             self.files.delete(f"{self.FOLDER}/{epoch:012d}.json")
         return [self.at(e) for e in epochs[-keep:]]
+
+
+class Section:
+    """A table's part of a state that several tables share: looks like a manifest of its own."""
+
+    def __init__(self, manifest: Manifest, name: str, states: dict[str, Any], writable: bool):
+        self.name, self._states, self._writable = name, states, writable
+        self.files = manifest.files.below(name)
+
+    def latest(self) -> tuple[int, dict[str, Any]]:
+        return 0, self._states.get(self.name, {})
+
+    def commit(self, base: int, state: dict[str, Any]) -> int:
+        """Notes the table's new state; it holds when the whole state is committed."""
+        if not self._writable:
+            raise PermissionError(f"{self.name} is open for reading; change it inside a change of its store")
+        self._states[self.name] = state
+        return 0

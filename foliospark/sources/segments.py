@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import ids as names
 from foliospark.operators import index
-from foliospark.sources.manifest import Conflict, Manifest
+from foliospark.sources.manifest import Conflict, Manifest, Section
 
 BUCKETS, LETTERS = 4, 27
 BLOCK = 32_768  # ids, as many as Spark's bitmaps have bits
@@ -82,11 +82,11 @@ def blocked(postings: DataFrame, parts: int) -> DataFrame:
 
 
 class SegmentedIndex:
-    """One index below a root folder of any file system."""
+    """One index below a root folder of any file system; its states are its own or a section of a store's."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, manifest: Manifest | Section | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-        self.manifest = Manifest(spark, self.root)
+        self.manifest = manifest or Manifest(spark, self.root)
 
     # what is there
 
@@ -311,9 +311,12 @@ class SegmentedIndex:
 
         For times without a writer: what a writer has not committed yet is named by no state.
         """
-        states = self.manifest.forget(keep)
-        named = {s["name"] for state in states for s in state["segments"]}
-        known = {name for state in states for name in state["books"]}
+        return self.drop_unnamed(self.manifest.forget(keep))
+
+    def drop_unnamed(self, states: list[dict]) -> list[str]:
+        """Removes the segments that none of these states names; the removed names."""
+        named = {s["name"] for state in states for s in state.get("segments", [])}
+        known = {name for state in states for name in state.get("books", [])}
         files, gone = self.manifest.files, []
         for folder in files.names():
             if folder.startswith("segment=") and folder.removeprefix("segment=") not in named:

@@ -72,10 +72,11 @@ def test_a_fetched_book_ends_in_lake_metadata_index_and_log(spark, tmp_path):
     for _ in range(2):  # as after a crash before the log was written
         assert sorted((r.book_id, r.ok) for r in step(asked).collect()) == [(1, True), (2, True), (9, False)]
     assert loop.step(4).succeeded == 2
-    assert sorted((r.term, r.book_id) for r in spark.read.parquet(table).collect()) == [("cat", 1), ("dog", 2), ("walrus", 1), ("walrus", 2)]
+    assert sorted((r.term, r.book_id) for r in index_store.load_table(spark, table).collect()) == [("cat", 1), ("dog", 2), ("walrus", 1), ("walrus", 2)]
     known = tasks.current_metadata(spark, meta).orderBy("book_id").collect()
     assert [(r.book_id, r.title, r.author, r.language) for r in known] == [(1, "Book 1", "Ann", "en"), (2, "Book 2", "Ann", "en")]
-    assert spark.read.parquet(meta).count() == 2
+    assert tasks.current_metadata(spark, meta).count() == 2
+    assert [r.book_id for r in index_store.lookup(spark, table, "dog").collect()] == [2]
     assert loop.step(4).failed == 1  # 4 was transient and is tried again, 3 is not
 
 

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import analytics, control, measures, metadata
+from foliospark.operators import analytics, control, measures, metadata, tasks
 from foliospark.operators.pipeline import Controller
 from foliospark.schemas import METRICS
-from foliospark.sources import fetch, lake, results
+from foliospark.sources import fetch, index_store, lake, results
+from foliospark.sources.segments import SegmentedIndex
+from foliospark.sources.store import Store
 from foliospark.streaming import ingest
 
 
@@ -119,12 +121,60 @@ def test_streamed_ingestion_is_exactly_once(spark, tmp_path):
     (root / "20250925/15/13_body.txt.tmp").write_text("never")
     run()
     run()
-    rows = spark.read.parquet(table).collect()
+    rows = SegmentedIndex(spark, table).postings().collect()
     assert sorted((r.term, r.book_id) for r in rows) == [("cat", 11), ("cat", 12), ("dog", 11), ("owl", 12)]
     assert sorted(r.book_id for r in spark.read.parquet(log).collect()) == [11, 12]
     bodies = spark.createDataFrame([(12, "cat owl")], "book_id long, text string")
     ingest.index_batch(bodies, table, log)  # a batch done twice
-    assert spark.read.parquet(table).count() == 4 and spark.read.parquet(log).count() == 2
+    assert SegmentedIndex(spark, table).postings().count() == 4 and spark.read.parquet(log).count() == 2
+    assert ids_of(index_store.lookup(spark, table, "cat")) == [11, 12]
+
+
+def test_a_body_waits_for_its_header(spark, tmp_path):
+    root, store = tmp_path / "lake", Store(spark, str(tmp_path / "store"))
+    put(root, "20250925/14", 11, body="cat dog")
+    put(root, "20250925/14", 12, header=False, body="cat owl")
+    run = lambda: ingest.ingest_pairs(spark, str(root), store.root, str(tmp_path / "cp")).awaitTermination()
+    state = lambda v: (ids_of(v.metadata.read()), ids_of(v.index.lookup("cat")), ids_of(v.log.read()))
+    run()
+    assert state(store.view()) == ([11], [11], [11])
+    (root / "20250925/14/12_header.txt").write_text("Title: Book 12\nLanguage: English\n")
+    (root / "20250925/15").mkdir()
+    (root / "20250925/15/11_header.txt").write_text("Title: no body yet\n")
+    run()
+    run()
+    assert state(store.view()) == ([11, 12], [11, 12], [11, 12])
+    titles = lambda: {r.book_id: r.title for r in store.view().metadata.read().collect()}
+    assert titles() == {11: "Book 11", 12: "Book 12"}
+    (root / "20250925/15/11_body.txt").write_text("cat emu")  # a newer copy, in two parts
+    put(root, "20240101/01", 12, body="cat fox")  # an older copy that comes late
+    run()
+    assert titles() == {11: "no body yet", 12: "Book 12"}
+    view = store.view()
+    assert ids_of(view.index.lookup("emu")) == [11] and view.index.lookup("fox").count() == 0
+    before = store.manifest.latest()
+    pairs = spark.createDataFrame([("d", 99, "h", "b")], "dir string, book_id long, header_path string, body_path string")
+    ingest.index_pairs(pairs, store, str(root), str(tmp_path / "cp"), 0)  # a batch done twice
+    assert store.manifest.latest() == before
+
+
+def test_a_step_reads_its_own_books(spark, tmp_path):
+    for layout in ("time", "book", "batch"):
+        root = tmp_path / layout
+        folder = {"time": lambda i: "20250925/14", "book": str, "batch": lambda i: f"batch_{i // 10 * 10}_{i // 10 * 10 + 9}"}[layout]
+        for i in range(1, 31):
+            put(root, folder(i), i, body="owl" if i == 4 else f"cat w{i}")
+        asked = spark.createDataFrame([(3,), (4,), (17,), (99,)], "book_id long")
+        found = lake.read_pairs(lake.find_books(spark, str(root), layout, asked, 10))
+        assert {(r.book_id, r.body, r.header.split("\n")[0]) for r in found.collect()} == {(3, "cat w3", "Title: Book 3"), (4, "owl", "Title: Book 4"), (17, "cat w17", "Title: Book 17")}
+        read = {f.rsplit("/", 1)[1] for f in found.inputFiles() if f.endswith(".txt")}
+        assert read == {f"{i}_{kind}.txt" for i in (3, 4, 17) for kind in ("body", "header")}
+        store = Store(spark, str(tmp_path / f"{layout}-store"), buckets=2)
+        step = tasks.index_into_store(store, str(root), layout, 10)
+        for _ in range(2):
+            assert sorted((r.book_id, r.ok) for r in step(asked).collect()) == [(3, True), (4, True), (17, True), (99, False)]
+        assert ids_of(store.view().metadata.read()) == [3, 4, 17] == ids_of(store.view().log.read())
+        assert ids_of(store.view().index.lookup("cat")) == [3, 17]
 
 
 def test_cleaning_keeps_the_latest(spark, tmp_path):
