@@ -102,8 +102,9 @@ def speed_spread(frame: DataFrame, size: str = "batch_size") -> DataFrame:
 
 def peak_memory(frame: DataFrame, order: str) -> DataFrame:
     """Per test the row of the highest memory; the first of equal ones by `order`."""
-    rank = F.row_number().over(Window.partitionBy("test_name").orderBy(F.desc("memory_mb"), order))
-    return frame.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rest = [c for c in frame.columns if c != "test_name"]
+    first = F.min_by(F.struct(*rest), F.struct((-F.col("memory_mb")).alias("m"), order)).alias("_row")
+    return frame.where("memory_mb IS NOT NULL").groupBy("test_name").agg(first).select("test_name", *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*frame.columns)
 
 
 def storage_flow(usage: DataFrame) -> DataFrame:
@@ -129,8 +130,8 @@ def error_bounds(frame: DataFrame) -> DataFrame:
 
 def stage_winner(frame: DataFrame, column: str, lowest: bool) -> DataFrame:
     """Rows that are best in their test."""
-    order = F.asc(column) if lowest else F.desc(column)
-    return frame.withColumn("_rank", F.rank().over(Window.partitionBy("test_name").orderBy(order))).where("_rank = 1").drop("_rank")
+    best = frame.groupBy("test_name").agg((F.min(column) if lowest else F.max(column)).alias("_best"))
+    return frame.join(best, "test_name").where(F.col(column) == F.col("_best")).select(*frame.columns)
 
 
 def stage_means(frame: DataFrame, column: str, stages) -> DataFrame:

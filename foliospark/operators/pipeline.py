@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import control
+from foliospark.sources.manifest import Manifest
 
 
 @dataclass
@@ -28,6 +29,7 @@ class Controller:
     def __init__(self, spark: SparkSession, log_path: str, fetch: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], DataFrame], highest: int = 70_000):
         self.spark, self.log_path, self.fetch, self.index, self.highest = spark, log_path, fetch, index, highest
         self.skipped = spark.createDataFrame([], "book_id long")
+        self.draws = Manifest(spark, f"{log_path.rstrip('/')}-draws")
 
     def log(self) -> DataFrame:
         try:
@@ -44,7 +46,10 @@ class Controller:
         return len(rows)
 
     def step(self, max_books: int = 1, seed: int = 0) -> Counts:
-        """Indexes up to max_books pending books, by number; without any, downloads as many candidates."""
+        """Indexes up to max_books pending books, by number; without any, downloads as many candidates.
+
+        Candidates come in the order of the seed's permutation; how far it has gone outlasts a restart.
+        """
         log, out = self.log(), Counts()
         done, have, lost = (control.books_in(log, s) for s in (control.INDEXED, control.DOWNLOADED, control.FAILED))
         pending = control.indexable(control.pending_books(have, done), self.skipped).orderBy("book_id").limit(max_books)
@@ -56,8 +61,12 @@ class Controller:
             if bad:
                 self.skipped = self.skipped.unionByName(self.spark.createDataFrame(bad, "book_id long"))
             return out
-        asked = control.draw_candidates(control.download_candidates(have, lost, self.highest), max_books, seed)
-        asked = self.spark.createDataFrame(asked.collect(), "book_id long")
+        base, at = self.draws.latest()
+        taken = have.select("book_id").unionByName(lost.select("book_id"))
+        drawn, ends = control.draw_next(self.spark, taken, self.highest, max_books, control.Draw(**at), seed)
+        if drawn:
+            self.draws.commit(base, asdict(ends))
+        asked = self.spark.createDataFrame([(i,) for i in drawn], "book_id long")
         got = self.spark.createDataFrame(self.fetch(asked).select("book_id", "outcome").collect(), "book_id long, outcome string")
         out.succeeded = self._record(got.where("outcome = 'ok'").select("book_id"), control.DOWNLOADED)
         out.failed = got.where("outcome != 'ok'").count()
@@ -68,8 +77,8 @@ class Controller:
         if steps < 0:
             raise ValueError("steps can't be negative")
         total = Counts()
-        for i in range(steps):
-            one = self.step(max_books, seed=i)
+        for _ in range(steps):
+            one = self.step(max_books)
             total.succeeded += one.succeeded
             total.failed += one.failed
         return total

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.functions.text import strip
 from foliospark.sources.control_log import LINE_END
 
 
 def parse_queries(texts: DataFrame) -> DataFrame:
-    """(query_id, ordinal, term) of texts(content): lines without what follows '#', split at white space.
+    """(.., query_id, ordinal, term) of texts(.., content): lines without what follows '#', split at white space.
 
-    Lines without a term are no queries; the others are numbered from 1 in their order.
+    Lines without a term are no queries; the others are numbered from 1 in their order, in each text for itself and
+    within its row. Other columns of `texts` stay beside them.
     """
-    lines = texts.select(F.posexplode(F.split("content", LINE_END, -1)).alias("line", "raw"))
-    bare = strip(F.substring_index("raw", "#", 1))
-    kept = lines.select("line", bare.alias("bare")).where("bare != ''")
-    numbered = kept.withColumn("query_id", F.row_number().over(Window.orderBy("line")))  # a query file is small
-    words = numbered.select("query_id", F.posexplode(F.split("bare", r"(?U)[\s\x1c-\x1f]+", -1)).alias("p", "term"))
-    return words.select("query_id", (F.col("p") + 1).alias("ordinal"), "term")
+    rest = [c for c in texts.columns if c != "content"]
+    bare = F.transform(F.split("content", LINE_END, -1), lambda line: strip(F.substring_index(line, "#", 1)))
+    kept = texts.select(*rest, F.posexplode(F.filter(bare, lambda line: line != "")).alias("q", "bare"))
+    words = kept.select(*rest, (F.col("q") + 1).alias("query_id"), F.posexplode(F.split("bare", r"(?U)[\s\x1c-\x1f]+", -1)).alias("p", "term"))
+    return words.select(*rest, "query_id", (F.col("p") + 1).alias("ordinal"), "term")
 
 
 def load_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +43,12 @@ def conjunctive_query(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
 def query_answers(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, n_books, books): every query, also without an answer; ids ascending, comma-joined."""
-    found = conjunctive_query(queries, postings).groupBy("query_id").agg(F.array_sort(F.collect_list("book_id")).alias("b"))
+    return listed_answers(queries, conjunctive_query(queries, postings))
+
+
+def listed_answers(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """query_answers of answers found(query_id, book_id)."""
+    found = found.groupBy("query_id").agg(F.array_sort(F.collect_list("book_id")).alias("b"))
     every = queries.select("query_id").distinct().join(found, "query_id", "left")
     return every.select("query_id", F.coalesce(F.size("b"), F.lit(0)).cast("long").alias("n_books"), F.array_join(F.coalesce("b", F.array().cast("array<bigint>")), ",").alias("books"))
 

@@ -153,7 +153,10 @@ def q_storage_flow(spark, sf):
 
 
 def q_stage_of_test(spark, sf):
-    names = spark.createDataFrame([(t,) for t in [*labels.TEST_ORDER, "odd_test"]], "test_name string")
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    known = F.array(*[F.lit(t) for t in [*labels.TEST_ORDER, "odd_test"]])
+    name = F.element_at(known, (F.col("event_id") % (len(labels.TEST_ORDER) + 1) + 1).cast("int"))
+    names = e.select(F.when(F.col("event_id") % 2 == 0, name).otherwise(F.concat_ws("_", name, "event_type")).alias("test_name")).distinct()
     return names.select("test_name", labels.stage_of_test(F.col("test_name"), labels.LATENCY_STAGES).alias("latency"), labels.stage_of_test(F.col("test_name"), labels.THROUGHPUT_STAGES).alias("throughput"), labels.humanize_test_name(F.col("test_name")).alias("label"))
 
 
@@ -203,7 +206,8 @@ def _r(*names: str) -> str:
 
 
 _STAGE = lambda stages: "CASE " + " ".join(f"WHEN regexp_matches(test_name, '{p}') THEN '{n}'" for n, p in stages) + f" ELSE '{labels.OTHER_STAGE}' END"
-_NAMES = "(VALUES " + ", ".join(f"('{t}')" for t in [*labels.TEST_ORDER, "odd_test"]) + ") t(test_name)"
+_NAMES = f"""(SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN name ELSE name || '_' || event_type END AS test_name FROM (
+  SELECT event_id, event_type, [{", ".join(f"'{t}'" for t in [*labels.TEST_ORDER, "odd_test"])}][event_id % {len(labels.TEST_ORDER) + 1} + 1] AS name FROM events)) t"""
 _MEANS = f"SELECT language, test_name, {_AGG} FROM ({_RUNS}) GROUP BY 1, 2"
 _SOLID = f"SELECT * FROM ({_RUNS}) WHERE test_name <> 'signup'"
 _LABEL = "array_to_string(list_transform(string_split(test_name, '_'), lambda w: CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in labels.TOKEN_LABELS.items()) + " ELSE w END), ' ')"

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import ids
 from foliospark.functions import text as T
-from foliospark.operators import index, query, sets
+from foliospark.operators import digests, index, query, sets
 from foliospark.session import shared_dir
-from foliospark.sources import index_store
+from foliospark.sources.files import Files
+from foliospark.sources.segments import SegmentedIndex
 
 #: The registered workload: frequent, rarer, repeated, absent and wrongly cased terms.
 WORKLOAD = """# the registered workload
@@ -39,18 +40,21 @@ def workload(spark: SparkSession) -> DataFrame:
     return query.parse_queries(spark.createDataFrame([(WORKLOAD,)], "content string"))
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def stored_index(spark: SparkSession, sf: str, part: str = "all") -> str:
-    """Path of the stored index of the books (part `known`: of those with labels), built once an application."""
-    key = (spark.sparkContext.applicationId, sf, part)
+def stored_index(spark: SparkSession, sf: str, part: str = "all") -> SegmentedIndex:
+    """The stored index of the books (part `known`: of those with labels), built once an application and input.
+
+    An input whose files have other names, lengths or times is another input.
+    """
+    key = (spark.sparkContext.applicationId, part, Files(spark, f"{sf}/documents.parquet").stamp(), Files(spark, f"{sf}/labels.parquet").stamp())
     if key not in _STORED:
         chosen = books(spark, sf) if part == "all" else books(spark, sf).join(known(spark, sf), "book_id", "left_semi")
         path = f"{shared_dir(spark)}/foliospark/index-{uuid.uuid4().hex}"
-        index_store.save_table(index.pairs(chosen), path)
+        SegmentedIndex(spark, path).replace(index.pairs(chosen), chosen)
         _STORED[key] = path
-    return _STORED[key]
+    return SegmentedIndex(spark, _STORED[key])
 
 
 def _joined(index_: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def q_merge(spark, sf):
 
 
 def q_add_book(spark, sf):
-    base = index_store.load_table(spark, stored_index(spark, sf, "known"))
+    base = stored_index(spark, sf, "known").postings()
     return index.add_books(base, books(spark, sf)).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
@@ -116,21 +120,56 @@ def q_synthetic_corpus(spark, sf):
 
 
 def q_term_lookup(spark, sf):
-    return index_store.lookup(spark, stored_index(spark, sf), "onon").select("book_id")
+    return stored_index(spark, sf).lookup("onon").select("book_id")
 
 
 def q_multi_term_lookup(spark, sf):
-    terms = workload(spark).select("term").distinct()
-    return _joined(query.multi_term_lookup(terms, index_store.lookup_terms(spark, stored_index(spark, sf), terms)))
+    return _joined(stored_index(spark, sf).arrays(workload(spark)))
 
 
 def q_conjunctive(spark, sf):
     asked = workload(spark)
-    return query.query_answers(asked, index_store.lookup_terms(spark, stored_index(spark, sf), asked))
+    return query.listed_answers(asked, stored_index(spark, sf).conjunctive(asked))
 
 
 def q_parse_queries(spark, sf):
-    return workload(spark)
+    """Every document as a query file: its sentences are lines, what follows a comma is a comment."""
+    made = F.translate(F.coalesce("text", F.lit("")), ".,", "\n#")
+    parsed = query.parse_queries(books(spark, sf).select("book_id", made.alias("content")))
+    return parsed.groupBy("book_id").agg(
+        F.max("query_id").cast("long").alias("n_queries"), F.count(F.lit(1)).alias("n_terms"), F.sum(F.length("term") * F.col("query_id") * F.col("ordinal")).alias("weighted")
+    )
+
+
+def grown_index(spark: SparkSession, sf: str) -> SegmentedIndex:
+    """An index that three batches of books have made, the first one twice, and that was compacted then."""
+    grown = SegmentedIndex(spark, f"{shared_dir(spark)}/foliospark/grown-{uuid.uuid4().hex}")
+    batch = lambda i: books(spark, sf).where(F.pmod(F.xxhash64("book_id"), F.lit(3)) == i)
+    for i in (0, 1, 0, 2):
+        grown.add(batch(i))
+    grown.compact(most=2)
+    return grown
+
+
+def q_index_batches(spark, sf):
+    blocks = grown_index(spark, sf).blocks()
+    return blocks.groupBy("term").agg(F.sum("n").alias("n_books"), F.min("first_id").alias("first_book"), F.max("last_id").alias("last_book"))
+
+
+def q_conjunctive_batches(spark, sf):
+    asked = workload(spark)
+    return query.listed_answers(asked, grown_index(spark, sf).conjunctive(asked))
+
+
+def q_index_difference(spark, sf):
+    """What the stored index of the labelled books lacks against the one of all, by ranges of terms."""
+    every, some = stored_index(spark, sf).postings(), stored_index(spark, sf, "known").postings()
+    return digests.difference(every, some, "term", "book_id")
+
+
+def q_range_digests(spark, sf):
+    posts = stored_index(spark, sf).postings()
+    return digests.range_digests(posts, F.floor(F.col("book_id") / 100), "term", "book_id").select("place", "n", F.col("total").cast("string").alias("total"), "mixed")
 
 
 def q_term_file_path(spark, sf):
@@ -167,6 +206,7 @@ SELECT e.query_id, coalesce(n, 0) AS n_books, coalesce(b, '') AS books FROM (SEL
   JOIN (SELECT query_id, count(DISTINCT term) AS n_terms FROM {_WORKLOAD_SQL} GROUP BY 1) w USING (query_id)
   WHERE m = n_terms GROUP BY query_id) a USING (query_id)
 """
+_BLANKS = "' ' || chr(9) || chr(13)"
 _RESERVED = ", ".join(f"'{n}'" for n in ids.RESERVED_NAMES)
 
 QUERIES = {
@@ -175,6 +215,8 @@ QUERIES = {
     "add_book": q_add_book, "term_count": q_term_count, "postings_sorted": q_postings_sorted, "synthetic_corpus": q_synthetic_corpus,
     "term_lookup": q_term_lookup, "multi_term_lookup": q_multi_term_lookup, "conjunctive_query": q_conjunctive, "parse_queries": q_parse_queries,
     "term_file_path": q_term_file_path, "canonical_file": q_canonical, "first_difference": q_first_difference,
+    "index_batches": q_index_batches, "conjunctive_batches": q_conjunctive_batches, "index_difference": q_index_difference,
+    "range_digests": q_range_digests,
 }
 
 ORACLE = {
@@ -200,7 +242,16 @@ ORACLE = {
     "multi_term_lookup": f"""SELECT w.term, coalesce(n_books, 0) AS n_books, coalesce(postings, '') AS postings
         FROM (SELECT DISTINCT term FROM {_WORKLOAD_SQL}) w LEFT JOIN ({_ARRAYS}) a ON a.term = w.term""",
     "conjunctive_query": _ANSWERS,
-    "parse_queries": f"SELECT query_id, ordinal, term FROM {_WORKLOAD_SQL}",
+    "parse_queries": f"""WITH lines AS (SELECT doc_id, pos, trim(split_part(line, '#', 1), {_BLANKS}) AS line FROM (
+          SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), '.,', chr(10) || '#'), chr(10)) AS l FROM documents))),
+        queries AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS q FROM lines WHERE line <> ''),
+        terms AS (SELECT doc_id, q, unnest(w) AS term, generate_subscripts(w, 1) AS o FROM (SELECT doc_id, q, regexp_split_to_array(line, '[ \\t\\r]+') AS w FROM queries))
+        SELECT doc_id AS book_id, max(q) AS n_queries, count(*) AS n_terms, CAST(sum(length(term) * q * o) AS BIGINT) AS weighted FROM terms GROUP BY doc_id""",
+    "index_batches": f"SELECT term, count(*) AS n_books, min(book_id) AS first_book, max(book_id) AS last_book FROM ({_POSTINGS}) GROUP BY term",
+    "conjunctive_batches": _ANSWERS,
+    "index_difference": f"SELECT term, book_id, 'left' AS side FROM ({_POSTINGS}) WHERE book_id NOT IN (SELECT doc_id FROM labels)",
+    "range_digests": f"""SELECT book_id // 100 AS place, count(*) AS n, CAST(CAST(sum(h) AS HUGEINT) AS VARCHAR) AS total, bit_xor(h) AS mixed FROM (
+          SELECT book_id, CAST('0x' || md5('=' || term || chr(9) || '=' || book_id)[:12] AS BIGINT) AS h FROM ({_POSTINGS})) GROUP BY 1""",
     "term_file_path": f"""SELECT term, upper(term[1]) || '/' || CASE WHEN term IN ({_RESERVED}) THEN term || '_' ELSE term END || '.txt' AS path, term AS back
         FROM (SELECT DISTINCT term FROM ({_POSTINGS}) UNION ALL VALUES ('con'), ('cone'), ('lpt9'), ('nul'))""",
     "canonical_file": f"""SELECT 0 AS section, 'tokens' || chr(9) || doc_id || chr(9) || array_to_string({_TERMS}, chr(9)) AS line FROM documents

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import headers, ids
 from foliospark.functions import text as T
 from foliospark.operators import control, metadata, sets
+from foliospark.session import shared_dir
 from foliospark.sources import control_log, lake
+from foliospark.sources.store import METADATA
+from foliospark.sources.tables import MergeTable
 
 HEADERS = [
     (1, "Title: Pride and Prejudice\r\nAuthor: Jane Austen\r\nLanguage: English\r\n"),
@@ -20,11 +25,6 @@ RAW_BOOKS = [
     (1, f"head\n{T.START_MARKER} SAMPLE ***\nbody text\n{T.END_MARKER} SAMPLE ***\nfoot"), (2, f"{T.END_MARKER} x\n{T.START_MARKER} y"),
     (3, "no marker"), (4, f" h {T.START_MARKER}a{T.END_MARKER}b{T.END_MARKER}"), (5, f"{T.START_MARKER} only start"),
 ]
-IDS = [(i, s) for i, s in enumerate(["1", " 0042 ", "0", "000", "-1", "1.0", "²", "12a", "", "70000", "\t7\n"])]
-LOG = "1\r\n  2  \n\nabc\n2\n0003\n9\u20284\n77"
-STATUSES = [200, 204, 301, 400, 403, 404, 408, 410, 429, 500, 502, 503]
-
-
 def _q(s: str) -> str:
     parts = []
     for piece in s.replace("'", "''").replace("\r", "\x00CR\x00").replace("\n", "\x00LF\x00").replace("\t", "\x00TAB\x00").split("\x00"):
@@ -128,7 +128,12 @@ def q_split_markers(spark, sf):
 
 
 def q_normalize_book_id(spark, sf):
-    return spark.createDataFrame(IDS, "row int, raw string").select("row", ids.normalize_book_id(F.col("raw")).alias("book_id"))
+    """Ids as people write them: with zeros, spaces, signs, fractions, letters."""
+    forms = ["00%s", " %s\t", "-%s", "%s.0", "+%s", "%s", "0x%s", "%s\n", ""]
+    raw = F.lit(None).cast("string")
+    for i, form in reversed(list(enumerate(forms))):
+        raw = F.when(F.col("doc_id") % len(forms) == i, F.format_string(form, F.col("doc_id").cast("string")) if form else F.lit("")).otherwise(raw)
+    return docs(spark, sf).select("doc_id", ids.normalize_book_id(raw).alias("book_id"))
 
 
 def q_build_url(spark, sf):
@@ -136,7 +141,8 @@ def q_build_url(spark, sf):
 
 
 def q_classify_status(spark, sf):
-    return spark.createDataFrame([(s,) for s in STATUSES], "status int").select("status", ids.status_class(F.col("status")).alias("class"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") % 600).cast("int").alias("status"))
+    return e.groupBy("status", ids.status_class(F.col("status")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_batch_bucket(spark, sf):
@@ -173,7 +179,13 @@ def q_disk_usage(spark, sf):
 
 
 def q_control_read(spark, sf):
-    return control_log.read_ids(spark.createDataFrame([("log", LOG)], "log string, content string")).select("pos", "book_id")
+    """Logs of a hundred documents each: some lines are bad, some repeat, the last one of every other log is torn."""
+    d = docs(spark, sf).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = d.groupBy(F.floor(F.col("doc_id") / 100).alias("log")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # a hundred ids at most
+    line = lambda i: F.when(i % 5 == 0, F.concat(F.lit("bad"), i)).when(i % 5 == 1, F.concat(F.lit(" 00"), i, F.lit(" "))).when(i % 5 == 2, (i - 1).cast("string")).otherwise(i.cast("string"))
+    whole = F.array_join(F.transform("ids", line), "\r\n")
+    made = rows.select("log", F.concat(whole, F.when(F.col("log") % 2 == 0, "\n").otherwise("")).alias("content"))
+    return control_log.read_ids(made).select("log", "pos", "book_id")
 
 
 def q_ordered_dedup(spark, sf):
@@ -186,6 +198,16 @@ def q_upsert_latest(spark, sf):
     return metadata.upsert_latest(e.select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
+def q_metadata_layers(spark, sf):
+    """Metadata of all documents, then two changes of some of them, read from their layers."""
+    kept = MergeTable(spark, f"{shared_dir(spark)}/foliospark/metadata-{uuid.uuid4().hex}", METADATA)
+    rows = mart(spark, sf)
+    kept.upsert(rows)
+    for step, every in ((1, 3), (2, 5)):
+        kept.upsert(rows.where(F.col("book_id") % every == 0).withColumn("title", F.concat(F.lit(f"edition {step} of "), F.col("book_id").cast("string"))))
+    return kept.read()
+
+
 def q_list_books(spark, sf):
     return metadata.list_books(mart(spark, sf))
 
@@ -307,7 +329,7 @@ QUERIES = {
     "split_markers": q_split_markers, "normalize_book_id": q_normalize_book_id, "build_url": q_build_url, "classify_status": q_classify_status,
     "batch_bucket": q_batch_bucket, "time_bucket": q_time_bucket, "stored_path": q_stored_path, "pair_files": q_pair_files,
     "newest_complete_copy": q_newest, "locate_newest": q_locate_newest, "disk_usage": q_disk_usage, "control_read": q_control_read,
-    "ordered_dedup": q_ordered_dedup, "upsert_latest": q_upsert_latest, "list_books": q_list_books, "find_by_id": q_find_by_id,
+    "metadata_layers": q_metadata_layers, "ordered_dedup": q_ordered_dedup, "upsert_latest": q_upsert_latest, "list_books": q_list_books, "find_by_id": q_find_by_id,
     "find_by_author": q_find_by_author, "find_by_title": q_find_by_title, "find_literal_wildcards": q_find_wildcard, "path_by_title": q_path_by_title,
     "corpus_join": q_corpus_join, "top_author": q_top_author, "synthetic_metadata": q_synthetic_metadata, "pending_books": q_pending,
     "orphan_indexed": q_orphans, "detect_pending": q_detect_pending, "download_candidates": q_candidates, "next_to_index": q_next,
@@ -327,11 +349,10 @@ ORACLE = {
     "normalize_language": "SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr,en' ELSE 'klingon,es' END AS code FROM documents GROUP BY lang",
     "split_markers": f"""SELECT book_id, CASE WHEN ok THEN h END AS header, CASE WHEN ok THEN trim(split_part(r, '{T.END_MARKER}', 1), ' ' || chr(10)) END AS body, NOT ok AS failed
         FROM (SELECT *, s AND strpos(r, '{T.END_MARKER}') > 0 AS ok FROM ({_BOOK_SPLIT}))""",
-    "normalize_book_id": f"""SELECT "row", CASE WHEN regexp_matches(t, '^[0-9]+$') AND ltrim(t, '0') <> '' THEN ltrim(t, '0') END AS book_id
-        FROM (SELECT "row", trim(raw, ' ' || chr(9) || chr(10)) AS t FROM {_values(IDS, '"row", raw')})""",
+    "normalize_book_id": "SELECT doc_id, CASE WHEN doc_id > 0 AND doc_id % 9 IN (0, 1, 5, 7) THEN CAST(doc_id AS VARCHAR) END AS book_id FROM documents",
     "build_url": "SELECT doc_id, 'https://www.gutenberg.org/cache/epub/' || doc_id || '/pg' || doc_id || '.txt' AS url FROM documents",
-    "classify_status": f"""SELECT status, CASE WHEN status = 200 THEN 'ok' WHEN status BETWEEN 400 AND 499 AND status NOT IN (408, 429) THEN 'permanent' ELSE 'transient' END AS class
-        FROM {_values([(s,) for s in STATUSES], "status")}""",
+    "classify_status": """SELECT CAST(event_id % 600 AS INTEGER) AS status, count(*) AS n, CASE WHEN event_id % 600 = 200 THEN 'ok'
+          WHEN event_id % 600 >= 400 AND event_id % 600 < 500 AND event_id % 600 NOT IN (408, 429) THEN 'permanent' ELSE 'transient' END AS class FROM events GROUP BY event_id % 600""",
     "batch_bucket": "SELECT 'batch_' || (o_orderkey // 1000 * 1000) || '_' || (o_orderkey // 1000 * 1000 + 999) AS batch, count(*) AS n FROM orders GROUP BY 1",
     "time_bucket": "SELECT strftime(ts, '%Y%m%d/%H') AS folder, count(*) AS n FROM events GROUP BY 1",
     "stored_path": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'lake/' || page_id ELSE '/elsewhere/' || page_id END AS stored, CASE WHEN page_id % 2 = 0 THEN '/data/lake/' || page_id ELSE '/elsewhere/' || page_id END AS resolved FROM pages",
@@ -340,9 +361,14 @@ ORACLE = {
     "locate_newest": f"SELECT book_id, arg_max(header_path, dir) AS header_path, arg_max(body_path, dir) AS body_path FROM ({_PAIRS}) WHERE book_id = (SELECT max(o_custkey) FROM orders) GROUP BY book_id",
     "disk_usage": f"""WITH f AS (SELECT DISTINCT dir, dir || '/' || book_id || '_body.txt' AS path FROM ({_FILES}) UNION SELECT DISTINCT dir, dir || '/' || book_id || '_header.txt' FROM ({_FILES}) WHERE headed)
         SELECT sum(length(path)) / 1048576.0 AS size_mb, count(*) AS file_count, (SELECT count(*) FROM (SELECT dir FROM f UNION SELECT regexp_extract(dir, '^(.*)/', 1) FROM f)) AS dir_count FROM f""",
-    "control_read": "SELECT * FROM (VALUES (0, '1'), (1, '2'), (5, '3'), (6, '9'), (7, '4')) t(pos, book_id)",
+    "control_read": """WITH lines AS (SELECT doc_id, doc_id // 100 AS log, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS pos,
+          count(*) OVER (PARTITION BY doc_id // 100) AS n FROM (SELECT DISTINCT doc_id FROM documents)),
+        valid AS (SELECT log, pos, CASE WHEN doc_id % 5 = 2 THEN doc_id - 1 ELSE doc_id END AS id FROM lines WHERE doc_id % 5 <> 0 AND (log % 2 = 0 OR pos < n - 1))
+        SELECT log, CAST(min(pos) AS INTEGER) AS pos, CAST(id AS VARCHAR) AS book_id FROM valid WHERE id > 0 GROUP BY log, id""",
     "ordered_dedup": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
     "upsert_latest": "SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "metadata_layers": f"""SELECT book_id, CASE WHEN book_id % 5 = 0 THEN 'edition 2 of ' || book_id WHEN book_id % 3 = 0 THEN 'edition 1 of ' || book_id ELSE title END AS title,
+          author, language, capture_date, header_path, body_path FROM ({_MART})""",
     "list_books": _LISTED,
     "find_by_id": f"SELECT * FROM ({_LISTED}) WHERE book_id = 42",
     "find_by_author": f"SELECT * FROM ({_LISTED}) WHERE contains(author, 'src1')",

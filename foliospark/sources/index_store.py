@@ -8,6 +8,7 @@ import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.functions import ids
 from foliospark.sources.atomic import write_text
@@ -32,8 +33,37 @@ def lookup_terms(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     return SegmentedIndex(spark, path).lookup_terms(terms)
 
 
+#: A record of a JSON index cut at its commas: maybe the head of an entry, then maybe an id.
+_RECORD = r'''\A[\s\]}{]*("(?:[^"\\]|\\.)*"\s*:\s*\[)?\s*(-?[0-9]+)?[\s\]}]*\z'''
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """Postings of a JSON object of term to ids."""
+    """Postings of a JSON object of term to ids, in as many tasks as the file has splits.
+
+    The file is cut at its commas, so a record is one id, and the first one of an entry has its term; an entry may
+    reach over many splits. A first pass tells the last term of each split (a row a split, on the driver), a second
+    one hands terms down. Only terms that hold a comma themselves break a record; such a file is read whole.
+    """
+    raw = spark.read.option("lineSep", ",").text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    head = F.nullif(F.regexp_extract("value", _RECORD, 1), F.lit(""))
+    record = raw.select("at", "n", head.alias("head"), F.regexp_extract("value", _RECORD, 2).alias("id"), F.col("value").rlike(_RECORD).alias("fits"))
+    known = F.col("head").isNotNull()
+    ends = record.groupBy("at").agg(F.max_by("head", F.when(known, F.col("n"))).alias("last"), F.bool_and("fits").alias("fits")).orderBy("at").collect()
+    if not all(r["fits"] for r in ends):
+        return _load_whole(spark, path)
+    carried, before = [], None
+    for r in ends:
+        carried.append((r["at"], before))
+        before = r["last"] or before
+    carry = F.broadcast(spark.createDataFrame(carried, "at long, carried string"))  # a row a split
+    down = F.last("head", ignorenulls=True).over(Window.partitionBy("at").orderBy("n"))  # a split at most
+    filled = record.withColumn("head", down).join(carry, "at").where("id != ''")
+    key = F.regexp_extract(F.coalesce("head", "carried"), r'''\A("(?:[^"\\]|\\.)*")''', 1)
+    term = F.from_json(F.concat(F.lit("["), key, F.lit("]")), "array<string>")[0]
+    return filled.select(term.alias("term"), F.col("id").cast("long").alias("book_id"))
+
+
+def _load_whole(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("term", "p")).select("term", F.explode("p").alias("book_id"))
 

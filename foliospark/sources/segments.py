@@ -65,20 +65,26 @@ def _ids(block: Column, ids: Column, bits: Column) -> Column:
     return F.coalesce(ids, _decoded(block, bits))
 
 
-def blocked(postings: DataFrame, parts: int) -> DataFrame:
-    """ROW of postings(term, book_id), pairs may repeat: one shuffle, by the partition and, in `parts`, by the block."""
+def blocked(postings: DataFrame, parts: int, dense: bool = True) -> DataFrame:
+    """ROW of postings(term, book_id), pairs may repeat: one shuffle, by the partition and, in `parts`, by the block.
+
+    Without `dense` all blocks are arrays, which saves the second look at them; for batches of few books.
+    """
     placed = _placed(postings.select("term", "book_id").where("term IS NOT NULL AND book_id IS NOT NULL"))
     placed = placed.withColumn("block", F.bitmap_bucket_number("book_id"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).repartition("letter", "bucket", "part")
     keys = ["letter", "bucket", "part", "term", "block"]
     listed = placed.groupBy(*keys).agg(F.array_sort(F.collect_set("book_id")).alias("ids"))  # BLOCK ids at most
     ends = (F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
-    sparse = listed.where(F.size("ids") < DENSE).select("term", "block", *ends, "ids", F.lit(None).cast("binary").alias("bits"), "letter", "bucket")
+    sparse = listed.where(F.size("ids") < DENSE) if dense else listed
+    sparse = sparse.select("term", "block", *ends, "ids", F.lit(None).cast("binary").alias("bits"), "letter", "bucket")
+    if not dense:
+        return sparse
     opened = listed.where(F.size("ids") >= DENSE).select(*keys, F.explode("ids").alias("id"))
-    dense = opened.groupBy(*keys).agg(
+    maps = opened.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")
     )
-    return sparse.unionByName(dense.withColumn("ids", F.lit(None).cast("array<long>")).select(*sparse.columns))
+    return sparse.unionByName(maps.withColumn("ids", F.lit(None).cast("array<long>")).select(*sparse.columns))
 
 
 class SegmentedIndex:
@@ -147,6 +153,16 @@ class SegmentedIndex:
         """(term, book_id) of the terms of a table, of those partitions only."""
         return self._opened(self._asked(terms))
 
+    def arrays(self, terms: DataFrame) -> DataFrame:
+        """(term, postings) of each asked term, an empty array where it is absent; what is returned is an array a term."""
+        few = self._few(terms)
+        if few is None:
+            found, asked = self.lookup_terms(terms), terms.select("term").distinct()
+        else:
+            found, asked = self._opened(self._rows_of(few)), self.spark.createDataFrame([(t,) for t in few], "term string")
+        listed = found.groupBy("term").agg(F.array_sort(F.collect_set("book_id")).alias("postings"))
+        return asked.join(listed, "term", "left").select("term", F.coalesce("postings", F.array().cast("array<bigint>")).alias("postings"))
+
     def surviving_blocks(self, queries: DataFrame) -> DataFrame:
         """(query_id, block, n_terms, low, high): blocks in which every term of a query has ids, whose ranges meet.
 
@@ -155,8 +171,16 @@ class SegmentedIndex:
         return self._survivors(*self._query_rows(queries))
 
     def _query_rows(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        asked = queries.select("query_id", "term").distinct()
-        return asked, self._asked(asked)
+        asked = queries.select("query_id", "term").where("term IS NOT NULL").distinct()
+        local = self._local(asked)
+        if local is None:
+            return asked, self._asked(asked)
+        return local[0], self._rows_of(sorted({r["term"] for r in local[1]}))
+
+    def _local(self, rows: DataFrame) -> tuple[DataFrame, list] | None:
+        """A table of at most PUSHED rows as values of the plan, so that what made it does not run again; None if it is larger."""
+        few = rows.limit(PUSHED + 1).collect()
+        return (self.spark.createDataFrame(few, rows.schema), few) if len(few) <= PUSHED else None
 
     @staticmethod
     def _survivors(asked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -177,11 +201,12 @@ class SegmentedIndex:
         """
         asked, rows = self._query_rows(queries)
         alive = self._survivors(asked, rows)
-        few = [r["block"] for r in alive.select("block").distinct().limit(PUSHED + 1).collect()]
-        if not few:
-            return alive.select("query_id", F.col("block").alias("book_id"))
-        if len(few) <= PUSHED:
-            rows = rows.where(F.col("block").isin(few))
+        local = self._local(alive)
+        if local is not None:
+            alive, few = local
+            if not few:
+                return alive.select("query_id", F.col("block").alias("book_id"))
+            rows = rows.where(F.col("block").isin(sorted({r["block"] for r in few})))
         met = rows.join(asked, "term").join(alive, ["query_id", "block"])
         per_term = met.groupBy("query_id", "block", "low", "high", "term").agg(
             F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"), F.collect_list("bits").alias("maps")
@@ -201,9 +226,9 @@ class SegmentedIndex:
     def _parts(self) -> int:
         return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // (LETTERS * BUCKETS))
 
-    def _write(self, postings: DataFrame) -> dict:
+    def _write(self, postings: DataFrame, dense: bool = True) -> dict:
         name = uuid.uuid4().hex
-        rows = blocked(postings, self._parts()).sortWithinPartitions("letter", "bucket", "term", "block")
+        rows = blocked(postings, self._parts(), dense).sortWithinPartitions("letter", "bucket", "term", "block")
         rows.write.partitionBy("letter", "bucket").parquet(f"{self.root}/segment={name}")
         files = self.manifest.files
         partitions = [
@@ -251,7 +276,7 @@ class SegmentedIndex:
         pairs = index.pairs(new)
         if known is not None:
             pairs = pairs.unionByName(self._missing(known, state))
-        segment = self._write(pairs)
+        segment = self._write(pairs, books.select("book_id").limit(DENSE).count() >= DENSE)
         done = state["done"] | ({source: batch} if source is not None and batch is not None else {})
         segments = state["segments"] + ([segment] if segment["partitions"] else [])
         self.manifest.commit(base, {"segments": segments, "books": [*state["books"], self._write_books(new)], "done": done})
