@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,24 @@ def release(*tables: DataFrame | None) -> None:
             where.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes the shuffle files of a query when the query ends.
+
+    For queries that end in a stored table or on the driver, whose shuffles nothing reads again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs whose results are stored.
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import arrowtext as at
-from foliospark.llm.common import release, small_batches, stored, tidy
+from foliospark.llm.common import release, shuffles_dropped, small_batches, stored
 
 VOCABULARY = 1 << 16
 HEAVY = 1 << 17
@@ -95,8 +95,8 @@ def _deltas(sorted_values: np.ndarray) -> np.ndarray:
 def _ranges(sorted_values: np.ndarray, bits: int, blocks: int) -> list[tuple[int, int, int]]:
     """(block, from, to) of the equal ranges of a `bits`-bit hash that hold something."""
     of = ((sorted_values >> np.uint64(bits - 32)).astype(np.uint64) * np.uint64(blocks)) >> np.uint64(32)
-    cut = np.searchsorted(of, np.arange(blocks + 1))
-    return [(b, int(cut[b]), int(cut[b + 1])) for b in range(blocks) if cut[b + 1] > cut[b]]
+    first = _firsts(of)
+    return list(zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True)) if len(first) else []
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -666,6 +666,11 @@ def score_texts(docs: DataFrame, held_out: Column, deleted: Column, heavy_size:
     ones, too. Without a training row every count is 0. Other columns are ignored. An empty table gives an
     empty table.
     """
+    with shuffles_dropped(docs.sparkSession):  # each step ends in a stored table, so a step's disk is its own shuffle and what is stored
+        return _scored(docs, held_out, deleted, heavy_size, table_size)
+
+
+def _scored(docs: DataFrame, held_out: Column, deleted: Column, heavy_size: int, table_size: int) -> tuple[DataFrame, Scorer]:
     spark = docs.sparkSession
     small_batches(spark)
     part = F.when(F.coalesce(held_out, F.lit(False)), 0).when(F.coalesce(deleted, F.lit(False)), 1).otherwise(2)
@@ -673,26 +678,22 @@ def score_texts(docs: DataFrame, held_out: Column, deleted: Column, heavy_size:
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(max(64, size // (6 * BLOCK)))
     vocabulary, counted = _vocabulary(texts.select("part", "text"), blocks, min(table_size, VOCABULARY))
-    tidy(spark)
     words = counted.select("block", F.lit(COUNTS).alias("kind"), "packed")
     onward = lambda rows: rows.where("block IS NOT NULL").select("block", F.lit(ONWARD).alias("kind"), "packed").unionByName(words)
     shared = spark.sparkContext.broadcast(vocabulary)
     pairs = texts.where("part != 0").select("part", "text").mapInArrow(_count_messages(shared, blocks), MESSAGES)
     facts = stored(pairs.groupBy("block").applyInArrow(_pair_facts(shared, heavy_size, blocks), FACTS), "facts")
-    tidy(spark)
     heavy = [unpack(bytes(r["heavy"]), 2) for r in facts.where("heavy IS NOT NULL").select("heavy").collect()] or [[np.zeros(0, np.uint64)] * 2]
     code, count = (np.concatenate(x) for x in zip(*heavy, strict=True))
     order = np.argsort(code)
     cells = facts.where("cell IS NOT NULL").select("cell", "mass").unionByName(onward(facts).groupBy("block").applyInArrow(_rare_facts(shared), "cell long, mass long"))
-    summed = cells.groupBy("cell").agg(F.sum("mass").alias("mass")).collect()  # cells are a grid of fixed size
+    summed = cells.groupBy("cell").agg(F.sum("mass").alias("mass")).toArrow()  # cells are a grid of fixed size
     release(facts)
-    tidy(spark)
-    cell, mass = (np.array([r[i] for r in summed], dtype=np.int64) for i in (0, 1))
+    cell, mass = (summed.column(c).to_numpy() for c in ("cell", "mass"))
     scorer = Scorer(vocabulary, fit_weights(cell, mass, vocabulary.outcomes), code[order], count[order].astype(np.int64))
     ready = spark.sparkContext.broadcast(scorer)
     sent = texts.mapInArrow(_score_messages(ready, blocks), MESSAGES)
     settled = stored(sent.groupBy("block").applyInArrow(_settle(ready, blocks), SETTLED), "settled")
-    tidy(spark)
     rare = onward(settled).groupBy("block").applyInArrow(_settle_rare(ready), SETTLED)
     sums = settled.where("piece IS NOT NULL").unionByName(rare).select("piece", F.coalesce("head", F.lit(False)).alias("head"), "packed")
     out = sums.groupBy("piece").applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
