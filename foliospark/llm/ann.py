@@ -7,12 +7,13 @@ is reranked by its exact cosine on the original values in double precision.
 
 How deep to walk depends on the data, so it is measured: the true neighbours of PROBED indexed vectors that
 are no queries are found by brute force over all rows, and `wanted` is set so that the walk reaches RECALL of
-them. Cells hold about nine entries (more beyond MOST_CENTROIDS), so a walk stops close to that depth.
+them. Cells hold about four entries (more beyond MOST_CENTROIDS), so a walk stops close to that depth.
 
 The codebooks are fitted on a bounded sample of at most SAMPLE vectors; every vector is indexed. Equal
 vectors are one entry with its smallest ids, so a vector with very many copies stays one entry. Cells
-are dealt to shards, a shard in parts of about CHUNK entries and CHUNK queries, so a full cell is many
-small tasks' work, and a query's vector travels once a shard and part, with its list of cells.
+are dealt to shards in runs, a shard in parts of about CHUNK entries and CHUNK queries, so a full cell is many
+small tasks' work, and a query's vector travels once a shard and part, with its list of cells. Within a part a
+query meets the entries of its own cells only.
 """
 
 from __future__ import annotations
@@ -140,6 +141,11 @@ def traverse(da: np.ndarray, db: np.ndarray, counts: np.ndarray, wanted: int, un
     return cells
 
 
+def _shard(cell, shards: int, cells: int):
+    """Shards are runs of cells, so they hold the neighbours of a first half, and a walk meets few of them in part."""
+    return cell * shards // cells
+
+
 def _probe(books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray, wanted: int, shards: int):
     """A row for each query and shard: the cells of the shard that the query's walk reaches."""
 
@@ -152,11 +158,12 @@ def _probe(books: tuple[np.ndarray, np.ndarray], half: int, counts: np.ndarray,
             for start in range(0, len(x), 256):
                 rows, shard, cells = [], [], []
                 for i in range(start, min(start + 256, len(x))):
-                    found = np.array(traverse(da[i], db[i], counts, wanted))
-                    for s in np.unique(found % shards):
+                    found = np.sort(np.array(traverse(da[i], db[i], counts, wanted), dtype=np.int64))
+                    place = _shard(found, shards, len(counts))
+                    for cut in np.split(found, np.flatnonzero(np.diff(place)) + 1):
                         rows.append(i)
-                        shard.append(int(s))
-                        cells.append(found[found % shards == s].astype(np.int32))
+                        shard.append(int(_shard(int(cut[0]), shards, len(counts))))
+                        cells.append(cut.astype(np.int32))
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(shard, pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
@@ -218,28 +225,48 @@ def depth(coded: DataFrame, asked: DataFrame, books: tuple[np.ndarray, np.ndarra
     return needed[min(int(len(needed) * RECALL), len(needed) - 1)] if needed else top
 
 
+#: Cosines that differ by less than rounding does are ties; the value itself is returned as it is.
+PLACES = 13
+
+
+def _exact(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Cosines of one vector with some others, each by sums of its own row, so that a pair gives the same wherever it is met."""
+    q, e = q / np.abs(q).max(), e / np.abs(e).max(axis=1, keepdims=True)
+    return (e * q).sum(axis=1) / np.sqrt((e * e).sum(axis=1)) / np.sqrt((q * q).sum())
+
+
 def _rerank(top: int):
-    """Of one part of a shard's queries against one of its entries: each query's best ids in its cells."""
+    """Of one part of a shard's queries against one of its entries: each query's best ids in its cells.
+
+    Entries lie in the order of their cells; a query meets the runs of its own cells and no other entry.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            score = _cosines(_matrix(left.column("q").combine_chunks()), _matrix(right.column("v").combine_chunks()))
+            order = np.argsort(right.column("cell").to_numpy(), kind="stable")
+            cell = right.column("cell").to_numpy()[order]
+            original = _matrix(right.column("v").combine_chunks())[order]
             ids = right.column("ids").to_pylist()
-            name, cell = np.array([x[0] for x in ids]), right.column("cell").to_numpy()
-            cells = left.column("cells").to_pylist()
-            for i, query in enumerate(left.column("query_id").to_pylist()):
-                own = np.flatnonzero(np.isin(cell, cells[i]))
+            ids = [ids[i] for i in order]
+            name, unit = np.array([x[0] for x in ids]), _unit(original)
+            asked = _matrix(left.column("q").combine_chunks())
+            queries, cells = left.column("query_id").to_pylist(), left.column("cells").to_pylist()
+            for i, direction in enumerate(_unit(asked)):
+                begin, end = np.searchsorted(cell, cells[i], "left"), np.searchsorted(cell, cells[i], "right")
+                length = end - begin
+                own = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
                 if not len(own):
                     continue
-                s = -score[i][own]
+                s = unit[own] @ direction
                 keep = min(top + 1, len(own))
-                near = own[s <= np.partition(s, keep - 1)[keep - 1]]
-                near = near[np.lexsort((name[near], -score[i][near]))][: 4 * keep]
-                best = sorted((-score[i, j], n) for j in near for n in ids[j] if n != query)[:top]
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += [n for _, n in best]
-                out["score"] += [-x for x, _ in best]
+                near = own[s >= np.partition(s, len(s) - keep)[len(s) - keep] - 1e-12]
+                exact = _exact(asked[i], original[near])
+                first = np.lexsort((name[near], -np.round(exact, PLACES)))[: 4 * keep]
+                best = sorted((-round(float(exact[x]), PLACES), n, float(exact[x])) for x in first for n in ids[near[x]] if n != queries[i])[:top]
+                out["query_id"] += [queries[i]] * len(best)
+                out["vec_id"] += [n for _, n, _ in best]
+                out["score"] += [x for _, _, x in best]
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     return run
@@ -269,7 +296,7 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int | Non
     if not sample:
         sample = index.select("v").limit(SAMPLE).collect()
     x = _unit(np.array([r["v"] for r in sample], dtype=np.float64))
-    k = centroids or int(np.clip(round(n**0.5 / 3), 4, MOST_CENTROIDS))
+    k = centroids or int(np.clip(round(n**0.5 / 2), 4, MOST_CENTROIDS))
     books = (_kmeans(x[:, :half], k, 1), _kmeans(x[:, half:], k, 2) if half < d else np.zeros((1, 0)))
     coded = stored(index.select("e", "ids", "v").mapInArrow(_encode(books, half), "e long, ids array<long>, v array<double>, cell int"), "cells")
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
@@ -278,7 +305,7 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int | Non
     wanted = max(wanted or depth(coded, asked, books, half, counts, top), top + 1)
     shards = int(np.clip(n // CHUNK, 16, 4096))
     probes = stored(asked.select("vec_id", "v").mapInArrow(_probe(books, half, counts, wanted, shards), "query_id long, q array<double>, shard int, cells array<int>"), "probes")
-    coded = coded.withColumn("shard", F.col("cell") % shards)
+    coded = coded.withColumn("shard", F.floor(F.col("cell").cast("long") * shards / len(counts)).cast("int"))
     load = probes.groupBy("shard").agg(F.count(F.lit(1)).alias("asked"))
     dealt = coded.groupBy("shard").agg(F.count(F.lit(1)).alias("filled")).join(load, "shard").select(
         "shard", F.ceil(F.col("filled") / CHUNK).cast("int").alias("parts"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("turns")
@@ -292,7 +319,7 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int | Non
     )
     keys = ["shard", "part", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rerank(top), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )

@@ -44,6 +44,19 @@ def test_walk_is_short_on_clusters_and_measured_on_other_rows(spark, monkeypatch
 
     measured = ann.depth
     monkeypatch.setattr(ann, "depth", depth)
+    pairs, met = ann._rerank, spark.sparkContext.accumulator(0)
+
+    def counted(top):
+        run = pairs(top)
+
+        def also(left, right):
+            cell = np.array(right.column("cell").to_pylist())
+            met.add(int(sum(np.isin(cell, c).sum() for c in left.column("cells").to_pylist())))
+            return run(left, right)
+
+        return also
+
+    monkeypatch.setattr(ann, "_rerank", counted)
     want = brute([(i, np.array(v)) for i, v in enumerate(vectors)], [(i, vectors[i]) for i in range(0, 6000, 100)])
     got = {}
     for r in nearest(rows, rows.where("vec_id % 100 = 0")).collect():
@@ -51,6 +64,18 @@ def test_walk_is_short_on_clusters_and_measured_on_other_rows(spark, monkeypatch
     hits = sum(i in got[q] for q, w in want.items() for _, i in w)
     assert hits / sum(len(w) for w in want.values()) >= 0.9
     assert seen["depth"] < 0.2 * 6000
+    assert 60 * seen["depth"] <= met.value < 0.2 * 60 * 6000  # cosines that are computed, of 60 queries with 6,000 rows
+
+
+def test_scaled_vectors_are_ties(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 16))
+    rows = [(1000 + i, (base[i] * f).tolist()) for i in range(60) for f in (1.0,)]
+    rows += [(int(n), (base[0] * f).tolist()) for n, f in zip(rng.permutation(900)[:300], rng.uniform(0.01, 50, 300), strict=True)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(table, table.where("vec_id = 1000")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == sorted(i for i, _ in rows if i < 1000)[:5]
+    assert all(abs(r.score - 1) < 1e-14 for r in got)
 
 
 def test_cells_come_by_rising_distance():
