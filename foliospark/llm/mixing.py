@@ -8,9 +8,11 @@ frequent one. This is the least-squares solution; where posteriors are too soft
 rates meet the targets, and the solution misses them by as little as it can.
 
 The classifier is naive Bayes over word hashes of a bounded number of FEATURES, with posteriors tempered
-by text length so that they stay soft. At the solution a document's rate follows from its own posteriors
-and one K-vector, so the problem is solved in that vector by Newton steps until its gradient is nearly 0.
-Each step is one distributed sum of ten numbers over (tokens, posteriors); no rate is ever gathered.
+by text length so that they stay soft. The rates are fitted by accelerated projected gradient until no document's
+projected gradient is left. As the curvatures lie up to 1 / RIDGE apart, from rates of 1 that takes hundreds of
+passes over the documents, so the descent starts near its end: at the solution a document's rate follows from its
+own posteriors and one K-vector, which Newton steps on that vector find. Each step of either kind is one
+distributed sum of a few numbers over (tokens, posteriors); no rate is ever gathered.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from foliospark.llm.common import stored
 
 FEATURES = 1 << 14
 LABELLED = 200_000  # documents the classifier is fitted on
-STEPS = 24  # of the plain descent
+STEPS, GAP = 200, 1e-7  # most steps of the descent, and the projected gradient of a document that ends it
 PASSES, SETTLED = 200, 1e-8  # most sums over all documents; the gradient, as a share of a domain, that ends them
 RIDGE = 0.002  # pull of every rate towards 1
 TEMPER = 10.0  # words of evidence a posterior counts at most
@@ -79,33 +81,61 @@ def posteriors(texts: DataFrame, model: DataFrame) -> DataFrame:
     return scored.select("key", "tokens", F.array(*[x / sum(ex[1:], ex[0]) for x in ex]).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS) -> tuple[list[list[float]], float]:
-    """The K-vectors of a plain descent over members(tokens, p) of so many steps, and its step length.
+ETA = 1.0 / (1.0 + RIDGE)
+_ROOT = ((1.0 + RIDGE) / RIDGE) ** 0.5
+MOMENTUM = (_ROOT - 1) / (_ROOT + 1)
 
-    It takes thousands of steps to settle, so `solve_rates` is what `mix` uses; this is what it is held against.
+
+def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, start: Column | None = None, steps: int = STEPS) -> tuple[list[list[float]], float]:
+    """Projected gradient steps on the rates of members(tokens, p), from `start` (1, without): their K-vectors and the gap.
 
     In units of all tokens: a_k = sum_d r_d n_d p_dk / N, target t_k, s_k = a_k at rate 1. The gradient for
-    document d, per token, is sum_k p_dk (a_k - t_k) / s_k + RIDGE (r_d - 1). Posteriors sum to 1, so the
-    curvature is at most 1 + RIDGE and the step length 1 / (1 + RIDGE) never overshoots.
+    document d, per token, is sum_k p_dk (a_k - t_k) / s_k + RIDGE (r_d - 1), so a step needs of all documents the K
+    sums alone. Posteriors sum to 1, so the curvature lies between RIDGE and 1 + RIDGE: the step length ETA never
+    overshoots, and MOMENTUM is that of strongly convex functions. Steps end when no document's projected gradient
+    is above GAP, or after `steps`; the gap is the largest one left before the last step.
     """
-    eta = 1.0 / (1.0 + RIDGE)
     want = [float(targets.get(d, 0.0)) for d in DOMAINS]
     norm = sum(want) or 1.0
     history: list[list[float]] = []
     table = members.select("tokens", "p")
-    total = table.agg(F.sum("tokens")).first()[0]
+    tokens, p = F.col("tokens"), F.col("p")
+    first = table.agg(F.sum("tokens"), *[F.sum(tokens * p[k]) for k in range(len(DOMAINS))]).first()
+    total, gap = first[0], 0.0
     if not total:
-        return history, eta
-    share: list[float] = []
-    for _ in range(steps):
-        r = rate(F.col("p"), history, eta)
-        sums = list(table.agg(*[F.sum(r * F.col("tokens") * F.col("p")[k]) / total for k in range(len(DOMAINS))]).first())
-        share = share or sums
-        off = [a - w / norm for a, w in zip(sums, want, strict=True)]
-        history.append([o / s if s > 1e-12 else 0.0 for o, s in zip(off, share, strict=True)])
-        if max(abs(o) for o in off) < 1e-5:
+        return history, gap
+    share = [x / total for x in first[1:]]
+    for _ in range(max(1, steps)):
+        at = _rates(p, start, history)["ahead"]
+        a = table.agg(*[F.sum(at * tokens * p[k]) / total for k in range(len(DOMAINS))]).first()
+        g = [(x - w / norm) / s if s > 1e-12 else 0.0 for x, w, s in zip(a, want, share, strict=True)]
+        slope = sum((p[k] * F.lit(float(x)) for k, x in enumerate(g)), F.lit(0.0)) + RIDGE * (at - 1)
+        gap = table.agg(F.max(F.abs(at - F.greatest(F.lit(0.0), at - slope)))).first()[0]
+        history.append(g)
+        if gap < GAP:
             break
-    return history, eta
+    return history, gap
+
+
+def _rates(p: Column, start: Column | None, history: list[list[float]]) -> Column:
+    """struct(rate, ahead) after the recorded steps: the rate, and where the next gradient is taken."""
+    begin = F.lit(1.0) if start is None else start
+    begin = F.struct(begin.alias("rate"), begin.alias("ahead"))
+    if not history:
+        return begin
+    steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
+    push = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+    def step(was, g):
+        new = F.greatest(F.lit(0.0), was["ahead"] - ETA * (push(g) + RIDGE * (was["ahead"] - 1)))
+        return F.struct(new.alias("rate"), (new + MOMENTUM * (new - was["rate"])).alias("ahead"))
+
+    return F.aggregate(steps, begin, step)
+
+
+def rate(p: Column, start: Column | None, history: list[list[float]]) -> Column:
+    """The rate after the recorded steps: each is a gradient step and a projection on r >= 0."""
+    return _rates(p, start, history)["rate"]
 
 
 def settled_rate(p: Column, g: list[float]) -> Column:
@@ -114,7 +144,7 @@ def settled_rate(p: Column, g: list[float]) -> Column:
 
 
 def solve_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS) -> list[float]:
-    """The vector g_k = (a_k - t_k) / s_k of the least-squares rates over members(tokens, p).
+    """The vector g_k = (a_k - t_k) / s_k of the least-squares rates over members(tokens, p): where the descent starts.
 
     Units are those of fit_rates. With r(g) from settled_rate, g is the minimum of the convex function
     sum_k (s_k g_k^2 / 2 + t_k g_k) + RIDGE / 2 sum_d n_d r_d(g)^2 / N, found by Newton steps with halving.
@@ -155,16 +185,7 @@ def solve_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS) -> l
             g, (value, slope, curve), step = g + length * step, new, None
         else:
             length /= 2
-    raise RuntimeError(f"rates did not settle within {PASSES} passes")
-
-
-def rate(p: Column, history: list[list[float]], eta: float) -> Column:
-    """The rate after the recorded steps, from 1: each is a gradient step and a projection on r >= 0."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
-    push = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - eta * (push(g) + RIDGE * (r - 1))))
+    return g.tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
@@ -181,10 +202,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     texts = keyed.select("key", "text")
     members = stored(posteriors(texts.dropDuplicates(["key"]) if alike else texts, train(docs, labels)), "members")
     copies = keyed.select("doc_id", "key").join(members, "key", "left")
-    g = solve_rates(members, targets)
+    start = settled_rate(F.col("p"), solve_rates(members, targets))
+    history, _ = fit_rates(members, targets, start)
     k = len(DOMAINS)
     p = F.coalesce("p", F.array(*[F.lit(1.0 / k)] * k))
     return copies.select(
         "doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), *[p[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)],
-        F.when(F.col("tokens") > 0, settled_rate(F.col("p"), g)).otherwise(F.lit(0.0)).alias("rate"),
+        F.when(F.col("tokens") > 0, rate(F.col("p"), start, history)).otherwise(F.lit(0.0)).alias("rate"),
     )

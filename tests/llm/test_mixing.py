@@ -31,16 +31,34 @@ def test_posteriors_and_targets(spark):
 def test_descent_against_a_plain_loop(spark):
     members = [(10, [0.9, 0.1, 0.0]), (30, [0.2, 0.7, 0.1]), (5, [0.0, 0.0, 1.0]), (50, [0.6, 0.3, 0.1])]
     table = spark.createDataFrame(members, "tokens long, p array<double>")
-    history, eta = mixing.fit_rates(table, {"good": 0.9, "poor": 0.1})
-    n, r = sum(t for t, _ in members), [1.0] * 4
+    history, _ = mixing.fit_rates(table, {"good": 0.9, "poor": 0.1}, steps=12)
+    n, r, y = sum(t for t, _ in members), [1.0] * 4, [1.0] * 4
     share = [sum(t * p[k] for t, p in members) / n for k in range(3)]
     for g in history:
-        a = [sum(x * t * p[k] for x, (t, p) in zip(r, members, strict=True)) / n for k in range(3)]
+        a = [sum(x * t * p[k] for x, (t, p) in zip(y, members, strict=True)) / n for k in range(3)]
         want = [(a[k] - (0.9, 0.1, 0.0)[k]) / share[k] for k in range(3)]
         assert all(abs(x - y) < 1e-9 for x, y in zip(g, want, strict=True))
-        r = [max(0.0, x - eta * (sum(p[k] * g[k] for k in range(3)) + mixing.RIDGE * (x - 1))) for x, (_, p) in zip(r, members, strict=True)]
-    got = [x[0] for x in table.select(mixing.rate(table.p, history, eta)).collect()]
-    assert all(abs(x - y) < 1e-9 for x, y in zip(sorted(got), sorted(r), strict=True))
+        new = [max(0.0, x - mixing.ETA * (sum(p[k] * g[k] for k in range(3)) + mixing.RIDGE * (x - 1))) for x, (_, p) in zip(y, members, strict=True)]
+        r, y = new, [x + mixing.MOMENTUM * (x - old) for x, old in zip(new, r, strict=True)]
+    got = [x[0] for x in table.select(mixing.rate(table.p, None, history)).collect()]
+    assert len(history) == 12 and all(abs(x - y) < 1e-9 for x, y in zip(sorted(got), sorted(r), strict=True))
+
+
+def test_descent_alone_and_from_its_start_end_alike(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    texts = docs.select(docs.doc_id.alias("key"), "text")
+    members = mixing.stored(mixing.posteriors(texts, mixing.train(docs, labels)), "members")
+    start = mixing.settled_rate(members.p, mixing.solve_rates(members))
+    history, gap = mixing.fit_rates(members, start=start)
+    print("steps", len(history), "gap", gap)
+    assert gap < mixing.GAP and len(history) <= 3
+    small = members.limit(40).cache()
+    start = mixing.settled_rate(small.p, mixing.solve_rates(small))
+    near, gap = mixing.fit_rates(small, start=start)
+    alone, rest = mixing.fit_rates(small, steps=90)
+    assert gap < mixing.GAP and rest < 1e-2
+    for r in small.select(mixing.rate(small.p, start, near).alias("a"), mixing.rate(small.p, None, alone).alias("b")).collect():
+        assert abs(r.a - r.b) < 0.2
 
 
 def test_odd_and_empty_rows(spark, odd_docs, no_docs):
