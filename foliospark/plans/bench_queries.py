@@ -169,6 +169,12 @@ def q_error_bounds(spark, sf):
     return _rounded(analytics.error_bounds(stats).select("language", "test_name", "plotted_mean", "lower_bound", "upper_bound"), "plotted_mean", "lower_bound", "upper_bound")
 
 
+def q_stage_means(spark, sf):
+    known = F.array(*[F.lit(t) for t in labels.TEST_ORDER])
+    named = runs(spark, sf).withColumn("test_name", F.element_at(known, (F.col("event_id") % len(labels.TEST_ORDER) + 1).cast("int")))
+    return _rounded(analytics.stage_means(named, "elapsed_seconds", labels.LATENCY_STAGES), "elapsed_seconds")
+
+
 def q_stage_winner(spark, sf):
     means = measures.aggregate_runs(runs(spark, sf), "language", "test_name")
     return analytics.stage_winner(means, "elapsed_seconds", True).select("test_name", "language")
@@ -218,7 +224,7 @@ QUERIES = {
     "ratio_to_best": q_ratio_to_best, "avg_rounds": q_avg_rounds, "geo_mean": q_geo_mean, "mean_cpu": q_mean_cpu, "reliability": q_reliability,
     "recovery_verdict": q_recovery_verdict, "speed_spread": q_speed_spread, "peak_memory": q_peak_memory, "classify_path": q_classify_path,
     "storage_flow": q_storage_flow, "stage_of_test": q_stage_of_test, "order_tests": q_order_tests, "error_bounds": q_error_bounds,
-    "stage_winner": q_stage_winner, "radar_table": q_radar, "union_metrics": q_union_metrics, "csv_text": q_csv_text,
+    "stage_winner": q_stage_winner, "stage_means": q_stage_means, "radar_table": q_radar, "union_metrics": q_union_metrics, "csv_text": q_csv_text,
 }
 
 ORACLE = {
@@ -253,6 +259,8 @@ ORACLE = {
     "order_tests": "SELECT * FROM (VALUES ('build_postings', 1), ('lookup_time_based', 2), ('click', 3), ('error', 4), ('purchase', 5), ('signup', 6), ('view', 7)) t(test_name, place)",
     "error_bounds": f"""SELECT language, test_name, round(greatest(m, 5e-7), 4) AS plotted_mean, round(least(greatest(greatest(m - s, l), 5e-7), greatest(m, 5e-7)), 4) AS lower_bound, round(greatest(m, 5e-7) + s, 4) AS upper_bound
         FROM (SELECT language, test_name, avg(elapsed_seconds) AS m, coalesce(stddev_samp(elapsed_seconds), 0) AS s, min(elapsed_seconds) AS l FROM ({_RUNS}) GROUP BY 1, 2)""",
+    "stage_means": f"""SELECT {_STAGE(labels.LATENCY_STAGES)} AS stage, language, round(avg(elapsed_seconds), 4) AS elapsed_seconds FROM (
+          SELECT language, elapsed_seconds, [{", ".join(f"'{t}'" for t in labels.TEST_ORDER)}][event_id % {len(labels.TEST_ORDER)} + 1] AS test_name FROM ({_RUNS})) GROUP BY 1, 2""",
     "stage_winner": f"SELECT test_name, language FROM ({_MEANS}) QUALIFY rank() OVER (PARTITION BY test_name ORDER BY elapsed_seconds) = 1",
     "radar_table": f"""WITH t AS (SELECT language, test_name, avg(elapsed_seconds) AS e FROM ({_SOLID}) GROUP BY 1, 2),
         s AS (SELECT language, test_name, batch_size, avg(cpu_percent) AS c FROM ({_SOLID}) GROUP BY 1, 2, 3),

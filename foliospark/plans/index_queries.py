@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from foliospark.functions import ids
 from foliospark.functions import text as T
 from foliospark.operators import digests, index, query, sets
 from foliospark.session import shared_dir
+from foliospark.sources import index_store, lake_source
 from foliospark.sources.files import Files
 from foliospark.sources.segments import SegmentedIndex
 
@@ -161,6 +163,30 @@ def q_conjunctive_batches(spark, sf):
     return query.listed_answers(asked, grown_index(spark, sf).conjunctive(asked))
 
 
+def q_stored_postings(spark, sf):
+    return stored_index(spark, sf).postings()
+
+
+def q_json_index(spark, sf):
+    """The whole index written as one JSON object, and read again in splits."""
+    path = f"{re.sub('^file:/+', '/', shared_dir(spark))}/foliospark/index-{uuid.uuid4().hex}.json"
+    index_store.save_json(index.as_arrays(stored_index(spark, sf).postings()), path)
+    return index_store.load_json(spark, path)
+
+
+def q_lake_source(spark, sf):
+    """Every document stored as a book through the lake's sink, and read again through its source."""
+    lake_source.register(spark)
+    root = f"{shared_dir(spark)}/foliospark/lake-{uuid.uuid4().hex}"
+    made = books(spark, sf).where("book_id IS NOT NULL").select(
+        "book_id", F.format_string("Title: Book %d\n", "book_id").alias("header"), F.col("text").alias("body"), F.lit("u").alias("source_url"), F.lit("2026-10-02 07:30:00").cast("timestamp").alias("downloaded_at")
+    )
+    options = {"path": root, "layout": "batch", "batch_size": "100"}
+    made.write.format("lake").options(**options).mode("append").save()
+    found = spark.read.format("lake").options(**options).load()
+    return found.select("book_id", "folder", "header", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
+
+
 def q_index_difference(spark, sf):
     """What the stored index of the labelled books lacks against the one of all, by ranges of terms."""
     every, some = stored_index(spark, sf).postings(), stored_index(spark, sf, "known").postings()
@@ -216,7 +242,7 @@ QUERIES = {
     "term_lookup": q_term_lookup, "multi_term_lookup": q_multi_term_lookup, "conjunctive_query": q_conjunctive, "parse_queries": q_parse_queries,
     "term_file_path": q_term_file_path, "canonical_file": q_canonical, "first_difference": q_first_difference,
     "index_batches": q_index_batches, "conjunctive_batches": q_conjunctive_batches, "index_difference": q_index_difference,
-    "range_digests": q_range_digests,
+    "range_digests": q_range_digests, "stored_postings": q_stored_postings, "json_index": q_json_index, "lake_source": q_lake_source,
 }
 
 ORACLE = {
@@ -249,6 +275,10 @@ ORACLE = {
         SELECT doc_id AS book_id, max(q) AS n_queries, count(*) AS n_terms, CAST(sum(length(term) * q * o) AS BIGINT) AS weighted FROM terms GROUP BY doc_id""",
     "index_batches": f"SELECT term, count(*) AS n_books, min(book_id) AS first_book, max(book_id) AS last_book FROM ({_POSTINGS}) GROUP BY term",
     "conjunctive_batches": _ANSWERS,
+    "stored_postings": _POSTINGS,
+    "json_index": _POSTINGS,
+    "lake_source": """SELECT doc_id AS book_id, 'batch_' || (doc_id // 100 * 100) || '_' || (doc_id // 100 * 100 + 99) AS folder, 'Title: Book ' || doc_id || chr(10) AS header,
+          sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id IS NOT NULL""",
     "index_difference": f"SELECT term, book_id, 'left' AS side FROM ({_POSTINGS}) WHERE book_id NOT IN (SELECT doc_id FROM labels)",
     "range_digests": f"""SELECT book_id // 100 AS place, count(*) AS n, CAST(CAST(sum(h) AS HUGEINT) AS VARCHAR) AS total, bit_xor(h) AS mixed FROM (
           SELECT book_id, CAST('0x' || md5('=' || term || chr(9) || '=' || book_id)[:12] AS BIGINT) AS h FROM ({_POSTINGS})) GROUP BY 1""",

@@ -263,6 +263,28 @@ def q_candidates(spark, sf):
     return control.download_candidates(downloaded(spark, sf), control.books_in(log(spark, sf), control.FAILED))
 
 
+def q_drawn(spark, sf):
+    """All candidates, drawn ten thousand at a time by a keyed permutation."""
+    taken = downloaded(spark, sf).unionByName(control.books_in(log(spark, sf), control.FAILED))
+    at, out = control.Draw(), []
+    while at.turn == 0:
+        found, at = control.draw_next(spark, taken, 70_000, 10_000, at, key=7)
+        out += found
+    return spark.createDataFrame([(i,) for i in out], "book_id long").distinct()
+
+
+def q_indexable(spark, sf):
+    failed_now = docs(spark, sf).where("doc_id % 4 = 0").select(F.col("doc_id").alias("book_id"))
+    return control.indexable(control.pending_books(downloaded(spark, sf), indexed(spark, sf)), failed_now)
+
+
+def q_snapshot_parity(spark, sf):
+    """Two snapshots of the documents by language; in the second some values differ and some rows are gone."""
+    one = docs(spark, sf).where("lang IS NOT NULL").select(F.col("lang").alias("section"), F.col("doc_id").alias("place"), F.col("source").alias("value"))
+    two = one.where("place % 13 <> 0").withColumn("value", F.when(F.col("place") % 10 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    return sets.snapshot_parity(one, two)
+
+
 def q_next(spark, sf):
     return control.next_to_index(control.pending_books(downloaded(spark, sf), indexed(spark, sf)).select(F.col("book_id").cast("string").alias("book_id")))
 
@@ -332,7 +354,7 @@ QUERIES = {
     "metadata_layers": q_metadata_layers, "ordered_dedup": q_ordered_dedup, "upsert_latest": q_upsert_latest, "list_books": q_list_books, "find_by_id": q_find_by_id,
     "find_by_author": q_find_by_author, "find_by_title": q_find_by_title, "find_literal_wildcards": q_find_wildcard, "path_by_title": q_path_by_title,
     "corpus_join": q_corpus_join, "top_author": q_top_author, "synthetic_metadata": q_synthetic_metadata, "pending_books": q_pending,
-    "orphan_indexed": q_orphans, "detect_pending": q_detect_pending, "download_candidates": q_candidates, "next_to_index": q_next,
+    "orphan_indexed": q_orphans, "detect_pending": q_detect_pending, "download_candidates": q_candidates, "next_to_index": q_next, "drawn_candidates": q_drawn, "indexable": q_indexable, "snapshot_parity": q_snapshot_parity,
     "verify_resume": q_verify_resume, "state_summary": q_state_summary, "first_half": q_first_half, "even_sample": q_even_sample, "sha256": q_sha256,
 }
 
@@ -382,6 +404,10 @@ ORACLE = {
     "orphan_indexed": f"SELECT DISTINCT book_id FROM ({_INDEXED}) WHERE book_id NOT IN (SELECT doc_id FROM documents)",
     "detect_pending": f"SELECT DISTINCT book_id FROM ({_PAIRS}) WHERE book_id NOT IN ({_INDEXED})",
     "download_candidates": "SELECT r AS book_id FROM range(1, 70001) t(r) WHERE r NOT IN (SELECT doc_id FROM documents) AND r NOT IN (SELECT doc_id + 60000 FROM documents WHERE doc_id % 11 = 0)",
+    "drawn_candidates": "SELECT r AS book_id FROM range(1, 70001) t(r) WHERE r NOT IN (SELECT doc_id FROM documents) AND r NOT IN (SELECT doc_id + 60000 FROM documents WHERE doc_id % 11 = 0)",
+    "indexable": f"SELECT DISTINCT doc_id AS book_id FROM documents WHERE doc_id NOT IN ({_INDEXED}) AND doc_id % 4 <> 0",
+    "snapshot_parity": """SELECT lang AS section, doc_id AS place, source AS expected, CASE WHEN doc_id % 13 <> 0 THEN source || '!' END AS actual FROM documents
+        WHERE lang IS NOT NULL AND (doc_id % 13 = 0 OR doc_id % 10 = 0 AND source IS NOT NULL)""",
     "next_to_index": f"SELECT min(doc_id) AS book_id FROM documents WHERE doc_id NOT IN ({_INDEXED})",
     "verify_resume": """WITH a AS (SELECT DISTINCT doc_id AS b FROM documents), p AS (SELECT b FROM a WHERE b % 2 = 0), r AS (SELECT b FROM a WHERE b % 2 = 1 AND b % 9 <> 0 OR b % 100 = 0)
         SELECT (SELECT count(*) FROM r WHERE b IN (SELECT b FROM p)) AS duplicated, (SELECT count(*) FROM a WHERE b NOT IN (SELECT b FROM p) AND b NOT IN (SELECT b FROM r)) AS lost""",
