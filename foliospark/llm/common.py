@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The list of all tables that stored() writes within it, for a release() when what was made of them is stored, too."""
+    made: list[DataFrame] = []
+    token = _noted.set(made)
+    try:
+        yield made
+    finally:
+        _noted.reset(token)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes a table into the shared folder and reads it again.
 
@@ -35,6 +50,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._stored_at = path
+    if (made := _noted.get()) is not None:
+        made.append(kept)
     return kept
 
 

@@ -21,6 +21,7 @@ Documents are sets of distinct k-word shingles; two documents link when
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,6 +43,8 @@ RANGES = 64
 #: near copies, and later; most rounds; and how many comparisons an entry of the lists may stand for without a
 #: round, at first and later.
 FIRST_LEADERS, LEADERS, ROUNDS, FIRST, LATER = 16, 64, 3, 1, 16
+#: Entries of one list and class of sizes that one task compares with others in the last round.
+HOT = 1000
 #: Ids of this many rows are broadcast (8 bytes each); more are joined by a shuffle.
 SMALL = 1_000_000
 
@@ -241,11 +244,35 @@ def _comparisons(lists: DataFrame, percent: int) -> int:
     return int(by_list.agg(F.sum("pairs")).first()[0] or 0)
 
 
+def _sized(lists: DataFrame, percent: int) -> DataFrame:
+    """Entries with `s`, the class of their size: sizes that the length filter lets meet lie in one class or in neighbours."""
+    base = math.log(100 / percent) * (1 + 1e-9)
+    return lists.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
+
+
+def _all_pairs(lists: DataFrame, names: list[str], percent: int) -> DataFrame:
+    """Each pair of entries of one list whose sizes can link, once.
+
+    A list is joined class of sizes by class. The left side of a class of more than HOT entries is dealt to
+    parts and the right side goes to every part, so what one task compares is bounded on one side by HOT entries.
+    """
+    sized = _sized(lists, percent)
+    hot = sized.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+    hot = stored(hot.select("h", "s", F.ceil(F.col("c") / HOT).cast("int").alias("parts")), "hot-lists")
+    deal = F.broadcast(hot) if hot.count() <= SMALL else hot  # a row for each HOT entries at most
+    parts = F.coalesce("parts", F.lit(1))
+    left = sized.join(deal, ["h", "s"], "left").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("parts")
+    other = sized.select("h", *[F.col(x).alias(f"l_{x}") for x in names], F.col("s").alias("l_s"))
+    right = other.withColumn("s", F.explode(F.array("l_s", F.col("l_s") + 1))).join(deal, ["h", "s"], "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["h", "s", "part"]).where((F.col("s") > F.col("l_s")) | (F.col("node") > F.col("l_node")))
+
+
 def _candidates(lists: DataFrame, turn: int | None, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of entries of one list that pass the filters: all pairs, or those with the leaders of a turn."""
     names = [c for c in ("node", "n", "pos", "coarse", "root") if c in lists.columns]
     if turn is None:
-        both = lists.join(lists.select("h", *[F.col(x).alias(f"l_{x}") for x in names]), "h").where("node > l_node")
+        both = _all_pairs(lists, names, percent)
     else:
         # one leader a bucket of the turn's hash of the node
         bucket = F.xxhash64("node", F.lit(turn))

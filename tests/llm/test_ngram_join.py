@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
+from foliospark.llm import ngram_join
 from foliospark.llm.ngram_join import similar_documents
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -84,3 +87,30 @@ def test_near_duplicates_under_null_and_repeated_ids(spark):
     want = brute(rows, 4, 85)
     assert got(similar_documents(docs)) == want
     assert got(similar_documents(docs.repartition(5))) == want
+
+
+def test_hot_lists_of_unlinked_texts(spark, monkeypatch):
+    """Texts of a few common phrases: long lists without links, of many sizes, and a few links among them."""
+    monkeypatch.setattr(ngram_join, "HOT", 64)
+    rng = random.Random(21)
+    phrases = [" ".join(rng.choice([f"p{i}" for i in range(300)]) for _ in range(9)) for _ in range(12)]
+    rows = []
+    for i in range(900):
+        own = f"x{i} y{i} z{i}" if i % 9 else f"x{i - i % 27} y z"
+        rows.append((i, " ".join([rng.choice(phrases) for _ in range(rng.choice([3, 4, 8, 12]))] + [own])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    pairs = ngram_join._all_pairs
+
+    def watched(lists, names, percent):
+        both = pairs(lists, names, percent)
+        sizes = both.groupBy("h", "s", "part").agg(F.countDistinct("node").alias("c")).agg(F.max("c")).first()[0]
+        plain = {(r.h, *sorted((r.a, r.b))) for r in lists.select("h", F.col("node").alias("a"), "n").join(lists.select("h", F.col("node").alias("b"), F.col("n").alias("m")), "h").where("a < b AND 100 * least(n, m) >= 85 * greatest(n, m)").collect()}
+        got = [(r.h, *sorted((r.node, r.l_node))) for r in both.select("h", "node", "l_node").collect()]
+        assert len(got) == len(set(got)) and plain <= set(got)
+        seen.append((sizes, len(got)))
+        return both
+
+    monkeypatch.setattr(ngram_join, "_all_pairs", watched)
+    assert got(similar_documents(docs)) == brute(rows, 4, 85)
+    assert seen and all(size is None or size <= 2 * 64 for size, _ in seen) and max(n for _, n in seen) > 1000

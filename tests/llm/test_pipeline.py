@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import corpus_pipeline as cp
@@ -72,3 +73,16 @@ def test_near_duplicates_under_null_and_repeated_ids(spark, sf):
     want = sorted(min(x) for x in best.values())
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == want
     assert {group[rows.index((r.doc_id, r.text))] for r in kept} == set(best)
+
+
+def test_run_twice_in_one_session_and_release(spark, sf):
+    """Both runs give the same rows, and leave of their corpora only the last one's documents."""
+    from foliospark.session import shared_dir
+
+    folder = f"{shared_dir(spark)}/foliospark".replace("file:", "")
+    names = lambda: {n for n in os.listdir(folder) if n.rsplit("-", 1)[0] in {*(n for n, _ in cp.STAGES), "rejected", "windows", "marks", "prefixes", "sets"}} if os.path.isdir(folder) else set()
+    before, rows = names(), []
+    for _ in range(2):
+        rows.append(sorted((r.doc_id, r.tokens, round(r.rate, 9)) for r in cp.run(spark, sf).collect()))
+    assert rows[0] == rows[1] and rows[0]
+    assert sorted(n.rsplit("-", 1)[0] for n in names() - before) == ["personal_data"] * 2
