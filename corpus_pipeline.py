@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, langid, mixing, ngram_join, pii
-from foliospark.llm.common import crc_bucket, stored, table
+from foliospark.llm.common import crc_bucket, noted, release, stored, table
 
 LEAST_SHARE = 0.4  # of a document's letters in its main language
 NEAR_K, NEAR_PERCENT = 5, 80
@@ -76,9 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Beside them one stored corpus is left at the end, and two while a stage runs: what a
+    stage has made and the documents it was given are released when its own result is stored."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+        with noted() as made:
+            found = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return found
+        before, docs = docs, stored(found, name)
+        release(*made, before)
