@@ -31,6 +31,7 @@ from foliospark.llm.common import release, stored
 
 SAMPLE = 20_000
 CHUNK = 2048
+WALKS = 64  # queries whose walks are one task
 ROUNDS = 15
 PROBED, RECALL = 200, 0.96
 MOST_CENTROIDS = 512
@@ -304,7 +305,9 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = 5, wanted: int | Non
         counts[cell] = c
     wanted = max(wanted or depth(coded, asked, books, half, counts, top), top + 1)
     shards = int(np.clip(n // CHUNK, 16, 4096))
-    probes = stored(asked.select("vec_id", "v").mapInArrow(_probe(books, half, counts, wanted, shards), "query_id long, q array<double>, shard int, cells array<int>"), "probes")
+    # few bytes, but each query is a walk of its own: dealt by number, not by size
+    turns = int(np.clip(asked.count() // WALKS, 1, 4096))
+    probes = stored(asked.select("vec_id", "v").repartition(turns, "vec_id").mapInArrow(_probe(books, half, counts, wanted, shards), "query_id long, q array<double>, shard int, cells array<int>"), "probes")
     coded = coded.withColumn("shard", F.floor(F.col("cell").cast("long") * shards / len(counts)).cast("int"))
     load = probes.groupBy("shard").agg(F.count(F.lit(1)).alias("asked"))
     dealt = coded.groupBy("shard").agg(F.count(F.lit(1)).alias("filled")).join(load, "shard").select(
