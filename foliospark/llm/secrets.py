@@ -300,9 +300,9 @@ def fit(windows: list[tuple[bytes, bytes]], l2: float = 1e-3, rate: float = 0.15
             b[:, i] = now / now.sum(axis=1, keepdims=True)
         p = f * b
         p /= p.sum(axis=2, keepdims=True)
-        pair = f[:, :-1, :, None] * jump * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        grads = ((gold_w - by_feature(p.reshape(-1, 3))) / n - l2 * w, (gold_t - pair.sum(axis=(0, 1))) / n - l2 * t)
+        before, behind = f[:, :-1].reshape(-1, 3), (e[:, 1:] * b[:, 1:]).reshape(-1, 3)
+        before = before / ((before @ jump) * behind).sum(axis=1, keepdims=True)  # so that a place's pairs sum to 1
+        grads = ((gold_w - by_feature(p.reshape(-1, 3))) / n - l2 * w, (gold_t - jump * (before.T @ behind)) / n - l2 * t)
         for v, g, m1, m2 in ((w, grads[0], moments[0], moments[1]), (t, grads[1], moments[2], moments[3])):
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)

@@ -115,3 +115,41 @@ def test_odd_and_empty_rows(spark, odd_docs, no_docs):
     assert secrets.scan_secrets(no_docs, None).count() == 0
     assert secrets.train(no_docs) is not None  # from the generated lines alone
     assert len(secrets.scan_secrets(odd_docs, secrets.train(odd_docs)).collect()) == odd_docs.count()
+
+
+def test_fit_climbs_to_where_the_likelihood_is_flat(monkeypatch):
+    """The field's log-likelihood, summed over all label sequences by hand, and its slope at the end of a long fit."""
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(secrets, "WINDOW", 2)
+    monkeypatch.setattr(secrets, "STEPS", 1500)
+    offsets, l2 = secrets.OFFSETS, 0.02
+    windows = []
+    for _ in range(40):
+        label = rng.choice([0, 0, 1, 2], 5)
+        features = np.stack([offsets + np.minimum(label[i] + rng.integers(0, 2), np.array(secrets.WIDTHS) - 1) for i in range(5)])
+        windows.append((features.astype(np.int16).tobytes(), label.astype(np.int8).tobytes()))
+    field = secrets.fit(windows, l2=l2, rate=0.02)
+    w, t = field.weights, field.transitions
+
+    def objective(w, t):
+        total = 0.0
+        for a, b in windows:
+            x, y = np.frombuffer(a, np.int16).reshape(5, -1), np.frombuffer(b, np.int8)
+            e = w[x].sum(axis=1)
+            score = lambda z: sum(e[i, z[i]] for i in range(5)) + sum(t[z[i], z[i + 1]] for i in range(4))  # noqa: E731, B023
+            total += score(y) - np.log(sum(np.exp(score(z)) for z in itertools.product(range(3), repeat=5)))
+        return total / len(windows) - l2 / 2 * ((w * w).sum() + (t * t).sum())
+
+    best, h = objective(w, t), 1e-4
+    for place in [(0, 0), (int(offsets[1]), 1), (int(offsets[2]) + 1, 2)]:
+        up, down = w.copy(), w.copy()
+        up[place] += h
+        down[place] -= h
+        assert abs(objective(up, t) - objective(down, t)) / (2 * h) < 5e-3
+    for place in [(0, 1), (1, 2), (2, 0)]:
+        up, down = t.copy(), t.copy()
+        up[place] += h
+        down[place] -= h
+        assert abs(objective(w, up) - objective(w, down)) / (2 * h) < 5e-3
+    assert best > objective(np.zeros_like(w), np.zeros_like(t)) + 0.5
