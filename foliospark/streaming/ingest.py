@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foliospark.functions import ids
 from foliospark.operators import control, tasks
 from foliospark.sources import lake
 from foliospark.sources.segments import SegmentedIndex
@@ -79,7 +80,7 @@ def index_pairs(pairs: DataFrame, store: Store, root: str, source: str, batch: i
         return
     # copied beside older ones, a folder that sorts before the stored one brings nothing new
     known = store.view().metadata.read().select("book_id", F.regexp_extract("body_path", "^(.*)/[^/]*$", 1).alias("stored"))
-    below = F.regexp_replace(F.regexp_replace("dir", "^file:/+", "/"), f"^{root.rstrip('/')}/", "")
+    below = ids.stored_path(F.regexp_replace("dir", "^file:/+", "/"), root)
     older = pairs.join(known, "book_id").where(below < F.col("stored")).select("dir", "book_id")
     newest = lake.newest_complete_copy(pairs.join(older, ["dir", "book_id"], "left_anti"))
     books = lake.read_pairs(newest).persist()
