@@ -117,3 +117,19 @@ def test_shifted_cut_and_reordered_passages(spark):
     found = find_leaks(frame(docs + short, "doc_id"), frame([(0, item)], "item_id"))
     assert got(found) == want
     assert {r.doc_id: (r.start, r.n_words) for r in found.collect()}[20] == (0, 57)
+
+
+def test_texts_under_one_id_and_a_long_item(spark):
+    """Texts of one doc_id are one document with its best window; a long item is found inside a longer text."""
+    rng = random.Random(31)
+    say = lambda n: [rng.choice([f"w{i}" for i in range(4000)]) for _ in range(n)]
+    item, long = say(60), say(1500)
+    near = list(item)
+    near[30] = "changed"
+    inside = say(40) + long[:700] + ["put", "in"] + long[700:] + say(40)
+    docs = [(1, " ".join(say(20) + near)), (1, " ".join(item + say(9))), (1, None), (2, " ".join(say(300))), (3, " ".join(inside)), (None, " ".join(item))]
+    items = [(7, " ".join(item)), (8, " ".join(long))]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    one = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert set(one) == {(1, 7), (3, 8)} and one[1, 7].similarity == 1.0 and one[1, 7].start == 0
+    assert got(found.where("doc_id = 3")) == brute([(3, " ".join(inside))], items)

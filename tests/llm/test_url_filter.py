@@ -80,3 +80,13 @@ def test_empty_tables(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string, html string, host string")).count() == 0
     row = u.judge_urls(spark.createDataFrame([(1, None, "x")], "page_id long, url string, score string")).first()
     assert (row.host, row.path, row.rule, row.score) == ("", "", None, 0.0)
+
+
+def test_null_and_repeated_page_ids(spark, sf):
+    """Each row is judged by its own url, whatever its id; repeated rows come back as often."""
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").limit(60).collect()]
+    rows = pages + pages[:5] + [(None, pages[7][1]), (None, None), (pages[3][0], "http://net/es/other"), (pages[3][0], None)]
+    table = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS verdict")
+    got = sorted(((-1 if r.page_id is None else r.page_id), r.host, r.path, r.rule or "") for r in u.judge_urls(table).collect())
+    want = sorted(((-1 if i is None else i), *plain(url), rule_of(*plain(url))[0] or "") for i, url in rows)
+    assert got == want
