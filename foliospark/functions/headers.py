@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import SPACE, collapse, strip
 
 UNKNOWN = "Unknown"
+#: Fixed value: what a line that opens a field looks like.
 FIELD_LINE = r"^([A-Za-z][A-Za-z ]*?):[ \t]*(.*)$"
 
 #: Codes of language names.

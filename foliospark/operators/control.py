@@ -39,11 +39,6 @@ def download_candidates(downloaded: DataFrame, failed: DataFrame, highest: int =
     return minus(every, downloaded.select("book_id").unionByName(failed.select("book_id")))
 
 
-def draw_candidates(candidates: DataFrame, k: int, seed: int) -> DataFrame:
-    """k distinct candidates at random."""
-    return candidates.orderBy(F.rand(seed)).limit(k)
-
-
 def permuted(counter: Column, bits: int, key: int, rounds: int = 4) -> Column:
     """A keyed permutation of 0 to 2**bits - 1 (an even number of bits): a Feistel network over the two halves."""
     half = bits // 2
