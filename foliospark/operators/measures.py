@@ -32,8 +32,13 @@ def duration_stats(samples: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def throughput(items: Column, seconds: Column) -> Column:
-    """Items a second to four places; an error for no time or a negative count."""
+def throughput(items: Column, seconds: Column, checked: bool = True) -> Column:
+    """Items a second to four places; an error for no time or a negative count.
+
+    Unchecked, as IEEE divides: no time at all gives an infinite rate, a null gives null.
+    """
+    if not checked:
+        return F.bround(F.when(seconds == 0, items * F.lit(float("inf"))).otherwise(F.try_divide(items, seconds)), 4)
     good = (seconds > 0) & (items >= 0)
     return F.when(good, F.bround(items / seconds, 4)).otherwise(F.raise_error(F.lit("throughput needs seconds > 0 and items >= 0")).cast("double"))
 

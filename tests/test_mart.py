@@ -228,3 +228,27 @@ def test_reliability_and_resume(spark):
     assert (r.duplicated, r.lost) == (0, 0)
     with pytest.raises(Exception, match="throughput needs"):
         spark.range(1).select(measures.throughput(F.lit(5), F.lit(0.0))).collect()
+
+
+def mart_agrees(spark, folder, name, rows):
+    """A query over a few events (event_id, user_id, event_type, value) against its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from foliospark.plans import bench_queries
+
+    events = spark.createDataFrame([(i, datetime(2026, 10, 2, 7, 30, i % 60), u, t, v, "") for i, u, t, v in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    frame = bench_queries.QUERIES[name](spark, str(folder))
+    want = con.execute(bench_queries.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    got = [tuple(r) for r in frame.select(*columns).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
+    return got
+
+
+ZEROS = [(1, 0, "view", 0.0), (2, 1, "click", 2.5), (3, 2, "view", 0.0), (4, 0, "view", 4.0), (6, 4, "error", None), (8, 2, "click", 0.25), (11, 4, "click", 3.0)]
+
+
+def test_throughput_of_no_time(spark, tmp_path):
+    assert (1, math.inf) in mart_agrees(spark, tmp_path, "throughput", ZEROS)
