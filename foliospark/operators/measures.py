@@ -109,9 +109,16 @@ def read_csv(spark: SparkSession, path: str, schema: Measurement) -> DataFrame:
     return frame.withColumn("row", F.monotonically_increasing_id())
 
 
+def fixed_decimals(number: Column, places: int) -> Column:
+    """A number as text; inf, -inf and nan as C and Python write them, null stays null."""
+    n = number.cast("double")
+    odd = F.when(F.isnan(n), "nan").when(n == float("inf"), "inf").when(n == float("-inf"), "-inf")
+    return F.when(n.isNotNull(), F.coalesce(odd, F.format_string(f"%.{places}f", n)))
+
+
 def csv_text(frame: DataFrame, schema: Measurement) -> DataFrame:
     """Numbers with their fixed decimals as text, times in ISO form with six places."""
-    text = [c if c not in schema.written else F.format_string(f"%.{schema.written[c]}f", F.col(c).cast("double")).alias(c) for c in schema.columns]
+    text = [c if c not in schema.written else fixed_decimals(F.col(c), schema.written[c]).alias(c) for c in schema.columns]
     return frame.select(*text, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
 
 

@@ -252,3 +252,8 @@ ZEROS = [(1, 0, "view", 0.0), (2, 1, "click", 2.5), (3, 2, "view", 0.0), (4, 0,
 
 def test_throughput_of_no_time(spark, tmp_path):
     assert (1, math.inf) in mart_agrees(spark, tmp_path, "throughput", ZEROS)
+
+
+def test_csv_text_of_no_time(spark, tmp_path):
+    rows = mart_agrees(spark, tmp_path, "csv_text", ZEROS)
+    assert {r[3] for r in rows} >= {"inf", None} and {r[2] for r in rows} >= {"0.000000", None}
