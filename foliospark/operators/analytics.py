@@ -34,8 +34,11 @@ def avg_rounds(frame: DataFrame, numbers: Sequence[str]) -> DataFrame:
     return frame.groupBy("language", "test_name").agg(*[F.avg(c).alias(c) for c in numbers])
 
 
-def geo_mean(frame: DataFrame, column: str, name: str = "geo_mean") -> DataFrame:
-    return frame.groupBy("language").agg(F.exp(F.avg(F.ln(F.greatest(F.col(column), F.lit(LEAST_POSITIVE))))).alias(name))
+def geo_mean(frame: DataFrame, column: str, name: str = "geo_mean", least: float = LEAST_POSITIVE) -> DataFrame:
+    """Geometric mean of the values, raised to `least`; nulls do not count. With 0 for `least` a zero makes the mean 0."""
+    raised = F.when(F.col(column).isNotNull(), F.greatest(F.col(column), F.lit(least)))
+    log = F.when(raised == 0, F.lit(float("-inf"))).otherwise(F.ln(raised))
+    return frame.groupBy("language").agg(F.exp(F.avg(log)).alias(name))
 
 
 def mean_cpu(frame: DataFrame) -> DataFrame:

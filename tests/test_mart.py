@@ -262,3 +262,9 @@ def test_csv_text_of_no_time(spark, tmp_path):
 def test_drop_invalid_drops_marked_times_only(spark, tmp_path):
     rows = mart_agrees(spark, tmp_path, "drop_invalid", [*ZEROS, (5, 0, "view", 1.0), (7, 0, "view", 1.0)])
     assert {r[0] for r in rows} >= {1, 3, 4}
+
+
+def test_geo_mean_with_a_zero(spark, tmp_path):
+    assert ("python", 0.0) in mart_agrees(spark, tmp_path, "geo_mean", ZEROS)
+    frame = spark.createDataFrame([("go", 0.5), ("go", 2.0), ("go", None)], "language string, x double")
+    assert [r.geo_mean for r in analytics.geo_mean(frame, "x").collect()] == [1.0]
