@@ -132,9 +132,9 @@ def error_bounds(frame: DataFrame) -> DataFrame:
 
 
 def stage_winner(frame: DataFrame, column: str, lowest: bool) -> DataFrame:
-    """Rows that are best in their test."""
-    best = frame.groupBy("test_name").agg((F.min(column) if lowest else F.max(column)).alias("_best"))
-    return frame.join(best, "test_name").where(F.col(column) == F.col("_best")).select(*frame.columns)
+    """Rows that are best in their test. The frame is worked out once: a mean that is summed again may differ in its last bit."""
+    best = (F.min if lowest else F.max)(column).over(Window.partitionBy("test_name"))
+    return frame.withColumn("_best", best).where(F.col(column) == F.col("_best")).select(*frame.columns)
 
 
 def stage_means(frame: DataFrame, column: str, stages) -> DataFrame:

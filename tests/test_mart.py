@@ -268,3 +268,10 @@ def test_geo_mean_with_a_zero(spark, tmp_path):
     assert ("python", 0.0) in mart_agrees(spark, tmp_path, "geo_mean", ZEROS)
     frame = spark.createDataFrame([("go", 0.5), ("go", 2.0), ("go", None)], "language string, x double")
     assert [r.geo_mean for r in analytics.geo_mean(frame, "x").collect()] == [1.0]
+
+
+def test_stage_winner_works_its_frame_out_once(spark):
+    """Values that come out otherwise each time, as sums in another order do."""
+    once = F.udf(lambda: random.random(), "double").asNondeterministic()
+    frame = spark.createDataFrame([(t, lang) for t in "ab" for lang in ("go", "rust")], "test_name string, language string").withColumn("x", once())
+    assert sorted(r.test_name for r in analytics.stage_winner(frame, "x", True).collect()) == ["a", "b"]
