@@ -19,6 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from foliospark.functions import ids as names
 from foliospark.operators import index
@@ -53,37 +54,51 @@ def holds(bits: Column, book_id: Column) -> Column:
     return F.getbit(_byte(bits, F.floor(place / 8).cast("int")), (place % 8).cast("int")) == 1
 
 
+#: The places of the bits that are set in each value of a byte.
+_PLACES = [[k for k in range(8) if byte >> k & 1] for byte in range(256)]
+
+
 def _decoded(block: Column, bits: Column) -> Column:
-    """The ids of a block's bitmap, ascending in their distance from 0."""
-    used = F.filter(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1)), lambda i: _byte(bits, i) != 0)
-    set_ = lambda i: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(_byte(bits, i), k) == 1)
-    place = F.flatten(F.transform(used, lambda i: F.transform(set_(i), lambda k: i * 8 + k)))
-    return F.transform(place, lambda p: F.when(block > 0, (block - 1) * BLOCK + p + 1).otherwise(block * BLOCK - p))
+    """The ids of a block's bitmap, ascending in their distance from 0. A byte's bits are looked up, not tested one by one."""
+    places = F.expr(f"array({', '.join('array(' + ', '.join(map(str, p)) + ')' if p else 'array()' for p in _PLACES)})").cast("array<array<int>>")
+    bytes_ = F.split(F.decode(bits, "ISO-8859-1"), "")
+    of = lambda c, i: F.transform(F.get(places, F.ascii(c)), lambda k: i * 8 + k)
+    place = F.flatten(F.transform(bytes_, of))
+    base = F.when(block > 0, (block - 1) * BLOCK + 1).otherwise(block * BLOCK)
+    sign = F.when(block > 0, 1).otherwise(-1)
+    return F.transform(place, lambda p: base + sign * p)
 
 
 def _ids(block: Column, ids: Column, bits: Column) -> Column:
     return F.coalesce(ids, _decoded(block, bits))
 
 
-def blocked(postings: DataFrame, parts: int, dense: bool = True) -> DataFrame:
-    """ROW of postings(term, book_id), pairs may repeat: one shuffle, by the partition and, in `parts`, by the block.
+def listed(postings: DataFrame, parts: int) -> DataFrame:
+    """(term, block, n, first_id, last_id, ids, letter, bucket) of postings(term, book_id), pairs may repeat.
 
-    Without `dense` all blocks are arrays, which saves the second look at them; for batches of few books.
+    Ids meet by term and block, evenly dealt; only finished blocks are sent on to their partition and, in `parts`, by the block.
     """
-    placed = _placed(postings.select("term", "book_id").where("term IS NOT NULL AND book_id IS NOT NULL"))
-    placed = placed.withColumn("block", F.bitmap_bucket_number("book_id"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).repartition("letter", "bucket", "part")
-    keys = ["letter", "bucket", "part", "term", "block"]
-    listed = placed.groupBy(*keys).agg(F.array_sort(F.collect_set("book_id")).alias("ids"))  # BLOCK ids at most
+    pairs = postings.select("term", "book_id").where("term IS NOT NULL AND book_id IS NOT NULL")
+    met = pairs.groupBy("term", F.bitmap_bucket_number("book_id").alias("block")).agg(F.sort_array(F.array_distinct(F.collect_list("book_id"))).alias("ids"))  # a book's row has a pair once
+    placed = _placed(met).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).repartition("letter", "bucket", "part")
     ends = (F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
-    sparse = listed.where(F.size("ids") < DENSE) if dense else listed
-    sparse = sparse.select("term", "block", *ends, "ids", F.lit(None).cast("binary").alias("bits"), "letter", "bucket")
+    return placed.select("term", "block", *ends, "ids", "letter", "bucket")
+
+
+def blocked(postings: DataFrame, parts: int, dense: bool = True) -> DataFrame:
+    """ROW of postings(term, book_id), pairs may repeat."""
+    return _rows(listed(postings, parts), dense)
+
+
+def _rows(blocks: DataFrame, dense: bool) -> DataFrame:
+    """ROW of listed blocks, which are read twice. Without `dense` all blocks are arrays, which saves the second look; for batches of few books."""
+    sparse = blocks.where(F.col("n") < DENSE) if dense else blocks
+    sparse = sparse.withColumn("bits", F.lit(None).cast("binary")).select("term", "block", "n", "first_id", "last_id", "ids", "bits", "letter", "bucket")
     if not dense:
         return sparse
-    opened = listed.where(F.size("ids") >= DENSE).select(*keys, F.explode("ids").alias("id"))
-    maps = opened.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")
-    )
+    keys = ["letter", "bucket", "term", "block", "n", "first_id", "last_id"]
+    opened = blocks.where(F.col("n") >= DENSE).select(*keys, F.explode("ids").alias("id"))
+    maps = opened.groupBy(*keys).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
     return sparse.unionByName(maps.withColumn("ids", F.lit(None).cast("array<long>")).select(*sparse.columns))
 
 
@@ -160,7 +175,7 @@ class SegmentedIndex:
             found, asked = self.lookup_terms(terms), terms.select("term").distinct()
         else:
             found, asked = self._opened(self._rows_of(few)), self.spark.createDataFrame([(t,) for t in few], "term string")
-        listed = found.groupBy("term").agg(F.array_sort(F.collect_set("book_id")).alias("postings"))
+        listed = found.groupBy("term").agg(F.sort_array(F.collect_set("book_id")).alias("postings"))
         return asked.join(listed, "term", "left").select("term", F.coalesce("postings", F.array().cast("array<bigint>")).alias("postings"))
 
     def surviving_blocks(self, queries: DataFrame) -> DataFrame:
@@ -228,8 +243,14 @@ class SegmentedIndex:
 
     def _write(self, postings: DataFrame, dense: bool = True) -> dict:
         name = uuid.uuid4().hex
-        rows = blocked(postings, self._parts(), dense).sortWithinPartitions("letter", "bucket", "term", "block")
-        rows.write.partitionBy("letter", "bucket").parquet(f"{self.root}/segment={name}")
+        blocks = listed(postings, self._parts())
+        kept = blocks.persist(StorageLevel.DISK_ONLY) if dense else blocks
+        try:
+            rows = _rows(kept, dense).sortWithinPartitions("letter", "bucket", "term", "block")
+            rows.write.partitionBy("letter", "bucket").parquet(f"{self.root}/segment={name}")
+        finally:
+            if dense:
+                kept.unpersist()
         files = self.manifest.files
         partitions = [
             [letter.removeprefix("letter="), int(bucket.removeprefix("bucket="))]

@@ -169,3 +169,27 @@ def test_two_writers_and_odd_terms(spark, tmp_path):
     other = Manifest(spark, str(tmp_path / "m"))
     assert other.latest() == (0, {}) and other.commit(0, {"a": 1}) == 1
     assert not other.files.create("_manifest/000000000001.json", "{}") and other.at(1) == {"a": 1}
+
+
+def test_bitmaps_open_to_their_ids_within_a_scan_of_bytes(spark):
+    """Every pattern of a byte, on both sides of 0; a block's bytes are looked up once each."""
+    ids = spark.range(-40_000, 70_000).where("xxhash64(id) % 3 <> 0").select("id")
+    maps = ids.groupBy(F.bitmap_bucket_number("id").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")).localCheckpoint()
+    opened = segments._decoded(F.col("block"), F.col("bits"))
+    assert maps.select(F.explode(opened).alias("id")).exceptAll(ids).isEmpty() and maps.select(F.sum(F.size(opened))).first()[0] == ids.count()
+    assert "getbit" not in str(opened._jc.toString()).lower()
+
+
+def test_an_index_is_listed_once(spark, tmp_path):
+    """Both kinds of blocks come from one pass over the pairs."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1, 3001).select(F.lit("cat").alias("term"), F.col("id").alias("book_id")).unionByName(spark.createDataFrame([("dog", 5)], "term string, book_id long"))
+    SegmentedIndex(spark, str(tmp_path / "i")).replace(rows.mapInArrow(seen, rows.schema), rows.select("book_id"))
+    assert passes.value == 3001
+    assert SegmentedIndex(spark, str(tmp_path / "i")).postings().exceptAll(rows).isEmpty()
