@@ -20,7 +20,10 @@ def range_digests(rows: DataFrame, place: Column, *columns: str) -> DataFrame:
     A partial aggregate: what is shuffled is a row for each task and range, whatever the order of the rows.
     """
     hashed = rows.select(place.alias("place"), row_hash(*columns).alias("h"))
-    return hashed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+    halves = (F.sum(F.shiftright("h", 24)).alias("high"), F.sum(F.col("h").bitwiseAND(0xFFFFFF)).alias("low"))  # sums of longs; 2^39 rows don't overflow them
+    found = hashed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), *halves, F.bit_xor("h").alias("mixed"))
+    total = F.col("high").cast("decimal(20,0)") * F.lit(1 << 24).cast("decimal(10,0)") + F.col("low").cast("decimal(20,0)")
+    return found.select("place", "n", total.cast("decimal(38,0)").alias("total"), "mixed")
 
 
 def rolled_up(digests: DataFrame, fan: int) -> DataFrame:
