@@ -29,7 +29,7 @@ def build_postings(books: DataFrame) -> DataFrame:
 
 
 def as_arrays(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.array_sort(F.collect_set("book_id")).alias("postings"))
+    return postings.groupBy("term").agg(F.sort_array(F.collect_set("book_id")).alias("postings"))
 
 
 def from_arrays(index: DataFrame) -> DataFrame:

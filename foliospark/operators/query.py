@@ -48,7 +48,7 @@ def query_answers(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
 def listed_answers(queries: DataFrame, found: DataFrame) -> DataFrame:
     """query_answers of answers found(query_id, book_id)."""
-    found = found.groupBy("query_id").agg(F.array_sort(F.collect_list("book_id")).alias("b"))
+    found = found.groupBy("query_id").agg(F.sort_array(F.collect_list("book_id")).alias("b"))
     every = queries.select("query_id").distinct().join(found, "query_id", "left")
     return every.select("query_id", F.coalesce(F.size("b"), F.lit(0)).cast("long").alias("n_books"), F.array_join(F.coalesce("b", F.array().cast("array<bigint>")), ",").alias("books"))
 
@@ -60,5 +60,5 @@ def term_lookup(postings: DataFrame, term: str | Column) -> DataFrame:
 
 def multi_term_lookup(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """(term, postings) of each asked term, an empty array where it is absent."""
-    found = postings.join(terms, "term", "left_semi").groupBy("term").agg(F.array_sort(F.collect_set("book_id")).alias("postings"))
+    found = postings.join(terms, "term", "left_semi").groupBy("term").agg(F.sort_array(F.collect_set("book_id")).alias("postings"))
     return terms.select("term").distinct().join(found, "term", "left").select("term", F.coalesce("postings", F.array().cast("array<bigint>")).alias("postings"))

@@ -90,7 +90,7 @@ def canonical_lines(tokens: DataFrame, answers: DataFrame) -> DataFrame:
         F.concat(F.lit("tokens\t"), F.col("book_id").cast("string"), F.lit("\t"), F.array_join("terms", "\t")).alias("line"),
     )
     pairs = tokens.select("book_id", F.explode(F.array_distinct("terms")).alias("term"))
-    index = pairs.groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("book_id")), ",").alias("p"))
+    index = pairs.groupBy("term").agg(F.array_join(F.sort_array(F.collect_set("book_id")), ",").alias("p"))
     posts = index.select(F.lit(1).alias("section"), F.lit(0).cast("long").alias("rank"), F.col("term").alias("key"), F.concat_ws("\t", F.lit("postings"), "term", "p").alias("line"))
     tail = F.when(F.col("books") != "", F.concat(F.lit("\t"), F.col("books"))).otherwise("")
     lines = answers.select(F.lit(2).alias("section"), F.col("query_id").cast("long").alias("rank"), F.lit("").alias("key"), F.concat(F.lit("query\t"), F.col("query_id").cast("string"), tail).alias("line"))
