@@ -247,3 +247,21 @@ def test_files_of_a_file_system(spark, tmp_path):
     assert files.rename("c.txt", "a/d.txt") and files.names("a") == ["b.txt", "d.txt"]
     files.delete("a")
     assert files.names() == []
+
+
+def test_json_is_written_by_tasks(spark, tmp_path):
+    """No entry comes to the driver, the order of rows and partitions is kept, and nothing is left beside the file."""
+    import json
+
+    want = {f"t{i:04}": [i, i + 7, -i] for i in range(500)} | {'zz"\\é': [1], "zzz": []}
+    frame = spark.createDataFrame(list(want.items()), "term string, postings array<long>").repartitionByRange(7, "term").sortWithinPartitions("term")
+    kept, type(frame).toLocalIterator = type(frame).toLocalIterator, None
+    try:
+        index_store.save_json(frame, str(tmp_path / "i.json"))
+    finally:
+        type(frame).toLocalIterator = kept
+    text = (tmp_path / "i.json").read_text()
+    assert json.loads(text) == want and list(json.loads(text)) == sorted(want)
+    assert text.startswith('{\n  "t0000": [\n    0,\n    7,\n    0\n  ],\n') and text.endswith("\n}")
+    assert [p.name for p in tmp_path.iterdir()] == ["i.json"]
+    assert sorted(map(tuple, index_store.load_json(spark, str(tmp_path / "i.json")).collect())) == sorted((t, i) for t, p in want.items() for i in p)
