@@ -9,6 +9,7 @@ dealt to tasks; a task opens its own files only.
 
 from __future__ import annotations
 
+import io
 import json
 import posixpath
 import re
@@ -172,12 +173,13 @@ class LakeStream(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # where it lies, and where it belongs below the root
+    moves: str  # a task's list, a line a file: where it lies in the task's folder, and where it belongs below the root
 
 
 class LakeWriter(DataSourceWriter):
     """Writes rows (book_id, header, body, source_url, downloaded_at). Tasks write into a staging folder of the job;
     the commit moves the files into place, a book's body last, so a reader that pairs files never sees half a book.
+    Tasks list their files beside them and send the list's path only; the commit reads the lists line by line.
     A failed or repeated task leaves nothing that a reader sees."""
 
     def __init__(self, lake: Lake, schema: StructType):
@@ -185,8 +187,9 @@ class LakeWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Written:
         system, root = open_root(self.lake.path)
-        part, files = f"{root}/_staging/{self.job}/{uuid.uuid4().hex}", []
+        part, n = f"{root}/_staging/{self.job}/{uuid.uuid4().hex}", 0
         system.create_dir(part, recursive=True)
+        moves = system.open_output_stream(f"{part}/moves")
         for row in iterator:
             book = dict(zip(self.columns, row, strict=True))
             i, at = book["book_id"], book["downloaded_at"]
@@ -196,17 +199,21 @@ class LakeWriter(DataSourceWriter):
                 side = {"book_id": i, "source_url": book["source_url"], "downloaded_at": f"{at:%Y-%m-%dT%H:%M:%S}"}
                 texts = {"metadata.json": json.dumps(side, indent=2) + "\n"} | texts
             for name, text in texts.items():
-                staged = f"{part}/{len(files)}"
-                with system.open_output_stream(staged) as out:
+                with system.open_output_stream(f"{part}/{n}") as out:
                     out.write(text.encode())
-                files.append((staged, f"{folder}/{name}"))
-        return Written(files)
+                moves.write(f"{n}\t{folder}/{name}\n".encode())
+                n += 1
+        moves.close()
+        return Written(f"{part}/moves")
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = open_root(self.lake.path)
-        for staged, name in (f for m in messages if m for f in m.files):
-            system.create_dir(posixpath.dirname(f"{root}/{name}"), recursive=True)
-            system.move(staged, f"{root}/{name}")
+        for message in filter(None, messages):
+            with system.open_input_stream(message.moves) as source:
+                for line in io.TextIOWrapper(source, "utf-8", newline="\n"):
+                    staged, name = line.rstrip("\n").split("\t")
+                    system.create_dir(posixpath.dirname(f"{root}/{name}"), recursive=True)
+                    system.move(f"{posixpath.dirname(message.moves)}/{staged}", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -265,3 +265,22 @@ def test_json_is_written_by_tasks(spark, tmp_path):
     assert text.startswith('{\n  "t0000": [\n    0,\n    7,\n    0\n  ],\n') and text.endswith("\n}")
     assert [p.name for p in tmp_path.iterdir()] == ["i.json"]
     assert sorted(map(tuple, index_store.load_json(spark, str(tmp_path / "i.json")).collect())) == sorted((t, i) for t, p in want.items() for i in p)
+
+
+def test_lake_messages_do_not_grow_with_the_books(spark, tmp_path):
+    """A task sends the path of its list; the commit moves what the lists name."""
+    import pickle
+    from datetime import datetime
+
+    from pyspark.sql.types import Row, StructType
+
+    schema = StructType.fromDDL("book_id long, header string, body string, source_url string, downloaded_at timestamp")
+    lake = lake_source.Lake({"path": str(tmp_path), "layout": "batch", "batch_size": "10"})
+    sizes = {}
+    for low, n in ((0, 1), (100, 300)):
+        writer = lake_source.LakeWriter(lake, schema)
+        message = writer.write(iter([Row(book_id=low + i, header="h", body=f"b{i}", source_url="u", downloaded_at=datetime(2026, 10, 2)) for i in range(n)]))
+        sizes[n] = len(pickle.dumps(message))
+        writer.commit([message, None])
+    assert sizes[300] == sizes[1]
+    assert (tmp_path / "batch_390_399" / "399_body.txt").read_text() == "b299" and not list((tmp_path / "_staging").iterdir())
