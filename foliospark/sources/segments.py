@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from foliospark.functions import ids as names
-from foliospark.operators import index
+from foliospark.operators import digests, index
 from foliospark.sources.manifest import Conflict, Manifest, Section
 
 BUCKETS, LETTERS = 4, 27
@@ -137,6 +137,33 @@ class SegmentedIndex:
     def _opened(blocks: DataFrame) -> DataFrame:
         return blocks.select("term", F.explode(_ids(F.col("block"), F.col("ids"), F.col("bits"))).alias("book_id"))
 
+    def _whole(self, blocks: DataFrame, segments: int) -> DataFrame:
+        """(term, block, ids, bits) of stored rows of so many segments; where a block may lie in several, its ids are put together."""
+        if segments < 2:
+            return blocks.select("term", "block", "ids", "bits")
+        ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list(_ids(F.col("block"), F.col("ids"), F.col("bits"))))))
+        return blocks.groupBy("term", "block").agg(ids.alias("ids")).withColumn("bits", F.lit(None).cast("binary"))
+
+    def whole_blocks(self) -> DataFrame:
+        """(term, block, ids, bits) of the whole index, each block once."""
+        state = self.state()
+        return self._whole(self.blocks(state=state), len(state["segments"]))
+
+    def difference(self, other: SegmentedIndex) -> DataFrame:
+        """(term, book_id, side) of the pairs that one index has and the other lacks; side is left (this one's) or right.
+
+        Digests of ranges of terms are taken from the blocks as they lie. Of unequal ranges the blocks are shuffled, not
+        their pairs: the two of a term and block meet, and are opened if they differ.
+        """
+        place = F.pmod(F.xxhash64("term"), F.lit(digests.RANGES))
+        mine, theirs = digests.in_unequal_ranges(self.whole_blocks(), other.whole_blocks(), place, "term", "block", "ids", "bits", hashed=digests.stored_hash)
+        met = mine.alias("a").join(theirs.alias("b"), ["term", "block"], "full")
+        unequal = met.where(~(F.col("a.ids").eqNullSafe(F.col("b.ids")) & F.col("a.bits").eqNullSafe(F.col("b.bits"))))
+        opened = lambda of: F.coalesce(_ids(F.col("block"), F.col(f"{of}.ids"), F.col(f"{of}.bits")), F.array().cast("array<bigint>"))
+        ids = unequal.select("term", opened("a").alias("a"), opened("b").alias("b"))
+        only = lambda side, x, y: F.struct(F.lit(side).alias("side"), F.array_except(x, y).alias("ids"))
+        return ids.select("term", F.inline(F.array(only("left", "a", "b"), only("right", "b", "a")))).select("term", F.explode("ids").alias("book_id"), "side")
+
     def books(self, state: dict | None = None) -> DataFrame:
         """(book_id, block) of the indexed books, also of those without a term."""
         paths = [f"{self.root}/books/{name}" for name in (state or self.state())["books"]]

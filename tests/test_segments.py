@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import index, query
+from foliospark.plans import index_queries
 from foliospark.sources import segments
 from foliospark.sources.manifest import Conflict, Manifest
 from foliospark.sources.segments import SegmentedIndex, blocked, partition_of
@@ -193,3 +194,27 @@ def test_an_index_is_listed_once(spark, tmp_path):
     SegmentedIndex(spark, str(tmp_path / "i")).replace(rows.mapInArrow(seen, rows.schema), rows.select("book_id"))
     assert passes.value == 3001
     assert SegmentedIndex(spark, str(tmp_path / "i")).postings().exceptAll(rows).isEmpty()
+
+
+def test_indexes_are_compared_block_by_block(spark, tmp_path, small_blocks):
+    """Of one segment or several, arrays beside bitmaps, ids on both sides of 0; blocks are shuffled, pairs are not."""
+    rng = random.Random(5)
+    rows = [(rng.choice([i - 60, 40_000 + i, 200_000 + i]), " ".join(rng.choices(WORDS, k=3))) for i in range(1, 121)]
+    one, two, none = (SegmentedIndex(spark, str(tmp_path / n)) for n in "ab0")
+    one.replace(index.build_postings(frame(spark, rows[:100])))
+    for part in (rows[30:70], rows[60:], [(rows[40][0], "only here")]):
+        two.add(frame(spark, part))
+    pairs_of = lambda rs: {(w, i) for w, ids in plain(rs).items() for i in ids}
+    a, b = pairs_of(rows[:100]), pairs_of([*rows[30:], (rows[40][0], "only here")]) - {("here", rows[40][0]), ("only", rows[40][0])}
+    want = sorted([(*p, "left") for p in a - b] + [(*p, "right") for p in b - a])
+    found = one.difference(two)
+    assert sorted(map(tuple, found.collect())) == want and {r[2] for r in want} == {"left", "right"}
+    assert sorted(map(tuple, one.difference(none).collect())) == sorted((*p, "left") for p in a)
+    assert one.difference(one).isEmpty() and none.difference(none).isEmpty()
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert dealt and not any("book_id" in line for line in dealt)
+
+
+def test_the_query_of_differences_deals_no_pairs(spark):
+    plan = index_queries.q_index_difference(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "book_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
