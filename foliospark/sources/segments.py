@@ -73,13 +73,20 @@ def _ids(block: Column, ids: Column, bits: Column) -> Column:
     return F.coalesce(ids, _decoded(block, bits))
 
 
+def met_blocks(postings: DataFrame) -> DataFrame:
+    """(term, block, ids) of postings(term, book_id), pairs may repeat: ids meet by term and block, evenly dealt."""
+    pairs = postings.select("term", "book_id").where("term IS NOT NULL AND book_id IS NOT NULL")
+    ids = F.sort_array(F.array_distinct(F.collect_list("book_id")))  # a book's row has a pair once
+    return pairs.groupBy("term", F.bitmap_bucket_number("book_id").alias("block")).agg(ids.alias("ids"))
+
+
 def listed(postings: DataFrame, parts: int) -> DataFrame:
-    """(term, block, n, first_id, last_id, ids, letter, bucket) of postings(term, book_id), pairs may repeat.
+    """(term, block, n, first_id, last_id, ids, letter, bucket) of postings(term, book_id), pairs may repeat."""
+    return _sent(met_blocks(postings), parts)
 
-    Ids meet by term and block, evenly dealt; only finished blocks are sent on to their partition and, in `parts`, by the block.
-    """
-    pairs = postings.select("term", "book_id").where("term IS NOT NULL AND book_id IS NOT NULL")
-    met = pairs.groupBy("term", F.bitmap_bucket_number("book_id").alias("block")).agg(F.sort_array(F.array_distinct(F.collect_list("book_id"))).alias("ids"))  # a book's row has a pair once
+
+def _sent(met: DataFrame, parts: int) -> DataFrame:
+    """listed of met blocks: finished blocks are sent on to their partition and, in `parts`, by the block."""
     placed = _placed(met).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).repartition("letter", "bucket", "part")
     ends = (F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
     return placed.select("term", "block", *ends, "ids", "letter", "bucket")
@@ -141,7 +148,7 @@ class SegmentedIndex:
         """(term, block, ids, bits) of stored rows of so many segments; where a block may lie in several, its ids are put together."""
         if segments < 2:
             return blocks.select("term", "block", "ids", "bits")
-        ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list(_ids(F.col("block"), F.col("ids"), F.col("bits"))))))
+        ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list(_ids(F.col("block"), F.col("ids"), F.col("bits"))))))
         return blocks.groupBy("term", "block").agg(ids.alias("ids")).withColumn("bits", F.lit(None).cast("binary"))
 
     def whole_blocks(self) -> DataFrame:
@@ -322,9 +329,10 @@ class SegmentedIndex:
             return False
         new, known = self._split(books, state)
         pairs = index.pairs(new)
+        many = books.select("book_id").limit(DENSE).count() >= DENSE
         if known is not None:
-            pairs = pairs.unionByName(self._missing(known, state))
-        segment = self._write(pairs, books.select("book_id").limit(DENSE).count() >= DENSE)
+            pairs = pairs.unionByName(self._missing(known, state, many))
+        segment = self._write(pairs, many)
         done = state["done"] | ({source: batch} if source is not None and batch is not None else {})
         segments = state["segments"] + ([segment] if segment["partitions"] else [])
         self.manifest.commit(base, {"segments": segments, "books": [*state["books"], self._write_books(new)], "done": done})
@@ -344,19 +352,24 @@ class SegmentedIndex:
             return books, None
         return books.join(there, "book_id", "left_anti"), known
 
-    def _missing(self, books: DataFrame, state: dict) -> DataFrame:
-        """The pairs of indexed books that the index lacks; of it only their terms' partitions and blocks are read."""
-        pairs = _placed(index.pairs(books).distinct()).withColumn("block", F.bitmap_bucket_number("book_id"))
-        here = pairs.select("letter", "bucket").distinct().collect()  # LETTERS * BUCKETS at most
-        rows = self.blocks({(r["letter"], r["bucket"]) for r in here}, state)
+    def _missing(self, books: DataFrame, state: dict, many: bool = False) -> DataFrame:
+        """The pairs of indexed books that the index lacks; of it only their terms' partitions and blocks are read.
+
+        The books' pairs meet by term and block first, so a stored block is joined and opened once, not for each of its
+        pairs. `many` books have terms of all partitions, which aren't listed first then.
+        """
+        partitions = None
+        if not many:
+            placed = _placed(index.pairs(books).select("term").distinct()).select("letter", "bucket").distinct()
+            partitions = {(r["letter"], r["bucket"]) for r in placed.collect()}  # LETTERS * BUCKETS at most
+        rows = self.blocks(partitions, state)
         few = [r["block"] for r in books.select(F.bitmap_bucket_number("book_id").alias("block")).distinct().limit(PUSHED + 1).collect()]
         if len(few) <= PUSHED:
             rows = rows.where(F.col("block").isin(few))
-        rows = rows.select("term", "block", "ids", "bits").alias("r")
-        p = pairs.alias("p")
-        same = (F.col("p.term") == F.col("r.term")) & (F.col("p.block") == F.col("r.block"))
-        has = F.coalesce(F.array_contains("r.ids", F.col("p.book_id")), holds(F.col("r.bits"), F.col("p.book_id")))
-        return p.join(rows, same & has, "left_anti").select("term", "book_id")
+        there = self._whole(rows, len(state["segments"])).select("term", "block", F.col("ids").alias("old"), "bits")
+        met = met_blocks(index.pairs(books)).join(there, ["term", "block"], "left")
+        old = F.coalesce(_ids(F.col("block"), F.col("old"), F.col("bits")), F.array().cast("array<bigint>"))
+        return met.select("term", F.explode(F.array_except("ids", old)).alias("book_id"))
 
     def compact(self, most: int = 4) -> int:
         """Rewrites the partitions that lie in more than `most` segments as one; how many. Answers stay as they are."""

@@ -218,3 +218,25 @@ def test_indexes_are_compared_block_by_block(spark, tmp_path, small_blocks):
 def test_the_query_of_differences_deals_no_pairs(spark):
     plan = index_queries.q_index_difference(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(term" in plan and "book_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_books_that_are_there_meet_block_by_block(spark, tmp_path, small_blocks):
+    """A batch joins a stored block once, in whichever segments and forms it lies; only missing pairs are found."""
+    rng = random.Random(6)
+    ids = [rng.choice([i - 60, 40_000 + i]) for i in range(1, 121)]
+    rows = [(i, " ".join(rng.choices(WORDS, k=3))) for i in ids]
+    stored = SegmentedIndex(spark, str(tmp_path / "i"))
+    for a in (0, 60):
+        stored.add(frame(spark, rows[a : a + 60]))
+    again = [(i, " ".join(rng.choices([*WORDS, "fresh"], k=3))) for i in ids]
+    have, want = plain(rows), plain(again)
+    lacks = sorted((w, i) for w in want for i in want[w] - have.get(w, set()))
+    for many in (False, True):
+        missing = stored._missing(frame(spark, again), stored.state(), many)
+        assert sorted(map(tuple, missing.collect())) == lacks
+    dealt = [line for line in missing._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert dealt and not any("book_id" in line.split("hashpartitioning")[1].split(", REPART")[0].split("ENSURE")[0] for line in dealt if "hashpartitioning" in line)
+    joins = [line for line in missing._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "array_contains" not in joins[0] and "getbit" not in joins[0]
+    stored.add(frame(spark, again))
+    assert dict_of(stored.postings()) == {w: have.get(w, set()) | want.get(w, set()) for w in {*have, *want}}
