@@ -151,6 +151,11 @@ class SegmentedIndex:
         ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list(_ids(F.col("block"), F.col("ids"), F.col("bits"))))))
         return blocks.groupBy("term", "block").agg(ids.alias("ids")).withColumn("bits", F.lit(None).cast("binary"))
 
+    @staticmethod
+    def _arrays(whole: DataFrame) -> DataFrame:
+        """(term, block, ids) of whole blocks."""
+        return whole.select("term", "block", _ids(F.col("block"), F.col("ids"), F.col("bits")).alias("ids"))
+
     def whole_blocks(self) -> DataFrame:
         """(term, block, ids, bits) of the whole index, each block once."""
         state = self.state()
@@ -276,8 +281,12 @@ class SegmentedIndex:
         return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // (LETTERS * BUCKETS))
 
     def _write(self, postings: DataFrame, dense: bool = True) -> dict:
+        return self._write_blocks(met_blocks(postings), dense)
+
+    def _write_blocks(self, met: DataFrame, dense: bool = True) -> dict:
+        """A segment of blocks(term, block, ids), each once."""
         name = uuid.uuid4().hex
-        blocks = listed(postings, self._parts())
+        blocks = _sent(met, self._parts())
         kept = blocks.persist(StorageLevel.DISK_ONLY) if dense else blocks
         try:
             rows = _rows(kept, dense).sortWithinPartitions("letter", "bucket", "term", "block")
@@ -384,7 +393,7 @@ class SegmentedIndex:
             return 0
         segments = state["segments"]
         if touched:
-            merged = self._write(self._opened(self.blocks(touched, state)))
+            merged = self._write_blocks(self._arrays(self._whole(self.blocks(touched, state), len(segments))))
             rest = [s | {"partitions": [p for p in s["partitions"] if tuple(p) not in touched]} for s in segments]
             segments = [*[s for s in rest if s["partitions"]], merged]
         if len(books) > most:

@@ -240,3 +240,16 @@ def test_books_that_are_there_meet_block_by_block(spark, tmp_path, small_blocks)
     assert len(joins) == 1 and "array_contains" not in joins[0] and "getbit" not in joins[0]
     stored.add(frame(spark, again))
     assert dict_of(stored.postings()) == {w: have.get(w, set()) | want.get(w, set()) for w in {*have, *want}}
+
+
+def test_compaction_puts_blocks_together_not_pairs(spark, tmp_path, small_blocks, monkeypatch):
+    stored = SegmentedIndex(spark, str(tmp_path / "i"))
+    rows = [(i - 20, " ".join(WORDS[i % 5 : i % 5 + 4])) for i in range(60)]
+    for a in (0, 20, 40):
+        stored.add(frame(spark, rows[a : a + 20]))
+    plans, sent = [], segments._sent
+    monkeypatch.setattr(segments, "_sent", lambda met, parts: plans.append(met._jdf.queryExecution().optimizedPlan().toString()) or sent(met, parts))
+    assert stored.compact(most=2) > 0 and dict_of(stored.postings()) == plain(rows)
+    assert len(plans) == 1 and "Aggregate [term" in plans[0] and "Generate" not in plans[0]
+    whole = stored.blocks().groupBy("term", "block").count()
+    assert whole.where("count > 1").isEmpty()
