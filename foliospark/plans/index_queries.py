@@ -103,8 +103,7 @@ def q_merge(spark, sf):
 
 
 def q_add_book(spark, sf):
-    base = stored_index(spark, sf, "known").postings()
-    return index.add_books(base, books(spark, sf)).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    return stored_index(spark, sf, "known").with_books(books(spark, sf)).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 def q_term_count(spark, sf):

@@ -161,6 +161,16 @@ class SegmentedIndex:
         state = self.state()
         return self._whole(self.blocks(state=state), len(state["segments"]))
 
+    def with_books(self, books: DataFrame) -> DataFrame:
+        """(term, book_id) of the index and of books(book_id, text) beside it, each pair once: index.add_books of a stored index.
+
+        Nothing is written. The books' pairs meet by term and block and only blocks are joined; books without an id, which no
+        block holds, are rows too.
+        """
+        state = self.state()
+        unnamed = index.build_postings(books.where("book_id IS NULL"))
+        return self._opened(self.blocks(state=state)).unionByName(self._missing(books, state, many=True)).unionByName(unnamed)
+
     def difference(self, other: SegmentedIndex) -> DataFrame:
         """(term, book_id, side) of the pairs that one index has and the other lacks; side is left (this one's) or right.
 

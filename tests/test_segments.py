@@ -253,3 +253,24 @@ def test_compaction_puts_blocks_together_not_pairs(spark, tmp_path, small_blocks
     assert len(plans) == 1 and "Aggregate [term" in plans[0] and "Generate" not in plans[0]
     whole = stored.blocks().groupBy("term", "block").count()
     assert whole.where("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_an_index_with_books_meets_them_block_by_block(spark, tmp_path, small_blocks, batches):
+    stored = SegmentedIndex(spark, str(tmp_path / "i"))
+    rows = [(i - 20, " ".join(WORDS[i % 5 : i % 5 + 4])) for i in range(60)]
+    for k in range(batches):
+        stored.add(frame(spark, rows[k:40:batches]))
+    books = frame(spark, [*rows[20:], (5, "fresh alpha"), (5, "fresh"), (None, "owl beta"), (None, "owl"), (7, None)])
+    found = stored.with_books(books)
+    want = index.add_books(stored.postings(), books)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.where("book_id IS NULL").count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Join LeftOuter, ((term" in plan and "(book_id" not in plan.split("Join")[1].splitlines()[0]
+    assert sorted(map(tuple, stored.postings().collect())) == sorted((w, i) for w, ids in plain(rows[:40]).items() for i in ids)
+
+
+def test_the_query_of_added_books_joins_no_pairs(spark):
+    plan = index_queries.q_add_book(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("book_id" in line for line in joins)
