@@ -35,10 +35,14 @@ def duration_stats(samples: DataFrame, *keys: str) -> DataFrame:
 def throughput(items: Column, seconds: Column, checked: bool = True) -> Column:
     """Items a second to four places; an error for no time or a negative count.
 
-    Unchecked, as IEEE divides: no time at all gives an infinite rate, a null gives null.
+    Unchecked, as IEEE divides: no time at all gives an infinite rate of the zero's sign, a null gives null. It is
+    rounded as the SQL's round_even rounds: ten thousand times the rate, worked out as a double, goes to the nearest
+    integer. `bround` rounds the rate's decimal digits, which gives others near ties and above some 10^12.
     """
     if not checked:
-        return F.bround(F.when(seconds == 0, items * F.lit(float("inf"))).otherwise(F.try_divide(items, seconds)), 4)
+        rate = F.when(seconds == 0, items * F.pow(seconds, F.lit(-1))).otherwise(F.try_divide(items, seconds))
+        scaled = rate * 10_000.0
+        return F.when(F.abs(scaled) == float("inf"), rate).otherwise(F.rint(scaled) / 10_000.0)
     good = (seconds > 0) & (items >= 0)
     return F.when(good, F.bround(items / seconds, 4)).otherwise(F.raise_error(F.lit("throughput needs seconds > 0 and items >= 0")).cast("double"))
 

@@ -254,6 +254,17 @@ def test_throughput_of_no_time(spark, tmp_path):
     assert (1, math.inf) in mart_agrees(spark, tmp_path, "throughput", ZEROS)
 
 
+#: Times of 1000 items: rates near a tie at the fifth place, which decimal digits and scaled doubles round otherwise; signed
+#: zeros and infinities; and times so short that the rate has no fourth place, or that the scaled rate is infinite.
+TIES = [34782.608695652176, 30257.1860816944, 11997.60047990402, 3956.4787339268055, -34782.608695652176, 10.24, -0.0, -math.inf, math.inf, 5e-16, 1e-302, 5e-324]
+
+
+@pytest.mark.parametrize("name", ["throughput", "csv_text"])
+def test_rates_are_rounded_as_their_sql_does(spark, tmp_path, name):
+    rows = mart_agrees(spark, tmp_path, name, [(3 * i, 0, "view", v) for i, v in enumerate(TIES) if name == "throughput" or v in (-0.0, -math.inf) or abs(v) > 10])
+    assert {0.0288, 0.0331, 0.0833, 0.2527, -0.0288, -math.inf} <= {float(r[1 if name == "throughput" else 3]) for r in rows}
+
+
 def test_csv_text_of_no_time(spark, tmp_path):
     rows = mart_agrees(spark, tmp_path, "csv_text", ZEROS)
     assert {r[3] for r in rows} >= {"inf", None} and {r[2] for r in rows} >= {"0.000000", None}
